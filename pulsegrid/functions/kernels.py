@@ -89,6 +89,22 @@ def lag_differences(frame: pa.Array) -> pa.Array:
     return _by_length(frame, kernel)
 
 
+def chroma(size: int, base_class: int = 0):
+    """Fold `size` bins to 12 pitch classes and divide by (L2 norm + 1e-6)."""
+
+    @kernel_udf
+    def folded(mag: pa.Array) -> pa.Array:
+        classes = np.eye(12)[(np.arange(size) + base_class) % 12]
+
+        def kernel(x):
+            sums = x @ classes
+            return sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-6)
+
+        return _by_length(mag, kernel)
+
+    return folded
+
+
 @kernel_udf
 def mismatch_errors(freq: pa.Array, mag: pa.Array, trial: pa.Array) -> pa.Array:
     """Two-way mismatch of the peaks of a row against each of its trial fundamentals.

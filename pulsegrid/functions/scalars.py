@@ -10,6 +10,7 @@ from pulsegrid.constants import (
     ROOTS,
     SAMPLE_RATE,
 )
+from pulsegrid.functions import arrays as A
 
 ROOT_ARRAY = "array(" + ", ".join(f"'{name}'" for name in ROOTS) + ")"
 
@@ -48,9 +49,33 @@ def samples_seconds(n: str, rate: float = SAMPLE_RATE) -> str:
     return f"({n}) / {float(rate)}D"
 
 
+def fixed(x: str, digits: int, tie_up: bool = False) -> str:
+    """A number >= 0 with fixed decimals, rounded by its exact binary value.
+
+    `format_string` rounds the shortest decimal text instead: it makes 0.62 of 0.615, which
+    lies below the tie. Exact ties go to the even neighbour, or up with `tie_up`.
+    """
+    scale = 10**digits
+    unit = f"cast({1 << 60} as decimal(19,0))"
+    parts = f"cast(cast((x_ - floor(x_)) * {float(1 << 60)}D as bigint) as decimal(19,0)) * {scale}"
+    tie = "true" if tie_up else "n_ % 2 = 1"
+    over = f"(p_ - (p_ div {unit}) * {unit}) * 2"
+    up = f"if({over} > {unit} or ({over} = {unit} and {tie}), 1, 0)"
+    number = A.bind(f"cast(floor(x_) as bigint) * {scale} + (p_ div {unit})", "n_", f"n_ + {up}")
+    text = (
+        f"concat(cast(v_ div {scale} as string), '.', lpad(cast(v_ % {scale} as string), {digits}, '0'))"
+        if digits
+        else "cast(v_ as string)"
+    )
+    return A.bind(f"cast({x} as double)", "x_", A.bind(parts, "p_", A.bind(number, "v_", text)))
+
+
+def right_aligned(text: str, width: int) -> str:
+    """Pad on the left; a longer text is kept."""
+    return f"lpad({text}, greatest({width}, length({text})), ' ')"
+
+
 def clock(seconds: str) -> str:
     """Seconds as `m:ss.s`; a remainder that rounds to 60.0 is kept as it is."""
-    return (
-        f"format_string('%d:%s', cast(floor(({seconds}) / 60) as bigint), "
-        f"lpad(format_string('%.1f', ({seconds}) % 60), 4, '0'))"
-    )
+    rest = fixed(f"({seconds}) % 60", 1, tie_up=True)
+    return f"concat(cast(floor(({seconds}) / 60) as bigint), ':', lpad({rest}, 4, '0'))"

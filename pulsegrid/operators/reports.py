@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.constants import ANALYSIS_DELAY, SAMPLE_RATE
+from pulsegrid.functions import arrays as A
 from pulsegrid.functions import scalars as X
 
 # A document holds the events of this many frames (25 minutes at hop 512), so that a very
@@ -101,7 +102,7 @@ def report_rows(recordings: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def confidence_text(confidence: str) -> str:
-    return f"concat(format_string('%.1f', {confidence} * 100), '%')"
+    return f"concat({X.fixed(f'{confidence} * 100', 1, tie_up=True)}, '%')"
 
 
 def event_lists(recordings: DataFrame, onsets: DataFrame, notes: DataFrame) -> DataFrame:
@@ -161,14 +162,16 @@ def result_documents(
 
 def note_line() -> str:
     """Fixed-width line of a note record."""
-    return (
-        "format_string('%6.2fs: %4s (%6.1fHz) - %s', time_seconds, note_name, frequency_hz, method)"
-    )
+    seconds = A.bind(X.fixed("time_seconds", 2), "t_", X.right_aligned("t_", 6))
+    hz = A.bind(X.fixed("frequency_hz", 1), "h_", X.right_aligned("h_", 6))
+    name = X.right_aligned("note_name", 4)
+    return f"concat({seconds}, 's: ', {name}, ' (', {hz}, 'Hz) - ', method)"
 
 
 def note_timing() -> str:
     """Short line of a note record with its confidence in percent."""
-    return "format_string('%.2fs: %s (%.0f%%)', time_seconds, note_name, confidence * 100)"
+    percent = X.fixed("confidence * 100", 0, tie_up=True)
+    return f"concat({X.fixed('time_seconds', 2, tie_up=True)}, 's: ', note_name, ' (', {percent}, '%)')"
 
 
 def export_name(ts: str) -> str:

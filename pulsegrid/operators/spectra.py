@@ -11,27 +11,6 @@ from pulsegrid.functions import arrays as A
 from pulsegrid.operators.series import attach_totals, over_segments
 
 
-def with_chroma(
-    df: DataFrame, mag: str, size: int, base_class: int = 0, name: str = "chroma"
-) -> DataFrame:
-    """Fold `size` bins to 12 pitch classes and divide by (L2 norm + 1e-6).
-
-    Written out per class, so that it stays inside generated code.
-    """
-    folds = [
-        " + ".join(f"{mag}[{b}]" for b in range(size) if (b + base_class) % 12 == pc) or "0D"
-        for pc in range(12)
-    ]
-    squares = " + ".join(f"_fold[{pc}] * _fold[{pc}]" for pc in range(12))
-    scaled = ", ".join(f"_fold[{pc}] / _norm" for pc in range(12))
-    return (
-        df.withColumn("_fold", F.expr(f"array({', '.join(folds)})"))
-        .withColumn("_norm", F.expr(f"sqrt({squares}) + 1e-6D"))
-        .withColumn(name, F.expr(f"array({scaled})"))
-        .drop("_fold", "_norm")
-    )
-
-
 def rise(now: str, earlier: str) -> str:
     """Sum of squared increases between two spectra; 0 when there is no earlier one."""
     return (

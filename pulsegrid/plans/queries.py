@@ -208,7 +208,7 @@ def hann_frames(spark, sf_dir):
         "series_id",
         "frame",
         rounded(A.total(tapered("f", SIZE, True)), 2, "periodic"),
-        rounded(A.total(tapered("f", SIZE, False)), 2, "symmetric"),
+        rounded(A.total(tapered("f", SIZE, False)), 2, "even_ended"),
     )
 
 
@@ -247,7 +247,7 @@ def series_duration(spark, sf_dir):
 @query
 def highpass_series(spark, sf_dir):
     return highpass(V.event_series(spark, sf_dir), SERIES, "t", "x").select(
-        "series_id", "t", rounded("y", 6, "y")
+        "series_id", "t", rounded("y / 3", 6, "third_of_y")
     )
 
 
@@ -341,7 +341,7 @@ def peak_phase(spark, sf_dir):
 
 
 def _with_chroma(df):
-    return spectra.with_chroma(df, "mag", BINS)
+    return df.withColumn("chroma", K.chroma(BINS)("mag"))
 
 
 def _matched(spark, sf_dir):

@@ -25,7 +25,6 @@ from pulsegrid.operators import chords, fusion, gate, periods, pitch, reports
 from pulsegrid.operators.frames import prepared_for_lags, tapered
 from pulsegrid.operators.onsets import find_onsets
 from pulsegrid.operators.series import keep_where
-from pulsegrid.operators.spectra import with_chroma
 from pulsegrid.session import stage_table
 from pulsegrid.sources import recordings as R
 
@@ -89,7 +88,7 @@ def frame_features(segments: DataFrame, frames: int = R.SEGMENT_FRAMES) -> DataF
             F.expr(f"slice(_row, 2, {CQT_BINS})").alias("cqt"),
         )
     )
-    return with_chroma(rows, "cqt", CQT_BINS)
+    return rows.withColumn("chroma", K.chroma(CQT_BINS)("cqt"))
 
 
 def gated_features(features: DataFrame) -> DataFrame:
