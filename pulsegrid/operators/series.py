@@ -138,7 +138,8 @@ def exact_median(
     values = (
         df.groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", F.floor(F.col(value) * bins_per_unit))
+        # Never NULL, so that both uses below keep the same plan and share one shuffle.
+        .withColumn("_bin", F.coalesce(F.floor(F.col(value) * bins_per_unit), F.lit(-1)))
     )
     running = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
     holding = (

@@ -103,7 +103,7 @@ FROM (SELECT *, max(x) OVER (PARTITION BY series_id) AS m FROM ev)"""
 )
 ORACLE["mean_center"] = (
     with_(EV)
-    + "SELECT series_id, t, round(x - avg(x) OVER (PARTITION BY series_id), 6) + 0.0 AS v FROM ev"
+    + "SELECT series_id, t, round((x - avg(x) OVER (PARTITION BY series_id)) * pi(), 6) + 0.0 AS v_pi FROM ev"
 )
 ORACLE["midi_scalars"] = f"""
 SELECT event_id, midi, round({hz_of('midi')}, 6) AS hz, {midi_of(hz_of('midi'))} AS midi_again,
@@ -166,7 +166,7 @@ ORACLE["highpass_series"] = (
   SELECT ev.series_id, ev.t, ev.x, ev.x - hp.x + 0.95 * hp.y
   FROM hp JOIN ev ON ev.series_id = hp.series_id AND ev.t = hp.t + 1)""",
     )
-    + "SELECT series_id, t, round(y / 3, 6) + 0.0 AS third_of_y FROM hp"
+    + "SELECT series_id, t, round(y * pi(), 6) + 0.0 AS y_pi FROM hp"
 )
 
 # ---- spectra ----------------------------------------------------------------------------

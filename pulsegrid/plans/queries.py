@@ -128,7 +128,7 @@ def normalize_max(spark, sf_dir):
 @query
 def mean_center(spark, sf_dir):
     return spectra.mean_center(V.event_series(spark, sf_dir), SERIES, "t", "x", "v").select(
-        "series_id", "t", rounded("v", 6, "v")
+        "series_id", "t", rounded("v * pi()", 6, "v_pi")
     )
 
 
@@ -247,7 +247,7 @@ def series_duration(spark, sf_dir):
 @query
 def highpass_series(spark, sf_dir):
     return highpass(V.event_series(spark, sf_dir), SERIES, "t", "x").select(
-        "series_id", "t", rounded("y / 3", 6, "third_of_y")
+        "series_id", "t", rounded("y * pi()", 6, "y_pi")
     )
 
 
