@@ -13,7 +13,16 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.constants import CQT_BINS, FRAME_SIZE, HOP_SIZE, SAMPLE_RATE
+from pulsegrid.constants import (
+    ANALYSIS_DELAY,
+    C1_MIDI,
+    CQT_BINS,
+    FRAME_SIZE,
+    HOP_SIZE,
+    ONSET_K,
+    ONSET_WINDOW,
+    SAMPLE_RATE,
+)
 
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -216,3 +225,94 @@ def normalised_differences(min_lag: int, max_lag: int):
         return _by_length(differences, kernel)
 
     return curve
+
+
+def events_between(
+    values: np.ndarray,
+    first: int,
+    start: int,
+    window: int = ONSET_WINDOW,
+    k: float = ONSET_K,
+    slack: float = 0.0,
+) -> list[tuple[int, float]]:
+    """(position, threshold) of the onset events from position `start` on that have a next value.
+
+    `values[0]` is at position `first`; the values reach back over the trailing window.
+    `slack` lowers the threshold by that share.
+    """
+    found = []
+    for p in range(max(1, start), first + len(values) - 1):
+        i = p - first
+        if values[i] > values[i - 1] and values[i] > values[i + 1]:
+            trail = values[max(0, 1 - first, i - window + 1) : i + 1]
+            threshold = trail.mean() + k * trail.std()
+            if values[i] > threshold * (1 - slack):
+                found.append((p, float(threshold)))
+    return found
+
+
+def frame_features(frames_per_segment: int):
+    """Features of a segment's own frames, from `(samples, seg, lead, n_samples)`.
+
+    Per frame: flux against the frame before, constant-Q magnitudes from C1, and the tapered
+    analysis frame if the flux looks like an onset. That test is the onset rule with a hair of
+    slack, so it never misses one; the rule itself is applied later, on the flux column.
+    """
+    kind = T.ArrayType(
+        T.StructType(
+            [
+                T.StructField("flux", T.DoubleType()),
+                T.StructField("cqt", DOUBLES),
+                T.StructField("event", DOUBLES),
+            ]
+        )
+    )
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME_SIZE) / FRAME_SIZE)
+
+    def of_segment(x: np.ndarray, seg: int, lead: int, n_samples: int):
+        start = seg * frames_per_segment
+        last = (n_samples - FRAME_SIZE) // HOP_SIZE
+        own = min(frames_per_segment, last + 1 - start)
+        if own <= 0:
+            return np.empty(0), np.empty((0, CQT_BINS)), []
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME_SIZE)[::HOP_SIZE]
+        mags = np.abs(np.fft.rfft(frames * taper, axis=1))
+        flux = (np.maximum(np.diff(mags, axis=0), 0.0) ** 2).sum(axis=1)
+        if lead == 0:
+            flux = np.concatenate([[0.0], flux])
+        first = start - lead + (1 if lead else 0)
+        mine = flux[start - first : start - first + own]
+        cqt = constant_q_rows(frames[lead : lead + own], C1_MIDI, (FRAME_SIZE // 2,))
+        events = [None] * own
+        for p, _ in events_between(flux, first, start, slack=1e-9):
+            if p < start + own:
+                events[p - start] = frames[min(p + ANALYSIS_DELAY, last) - start + lead] * taper
+        return mine, cqt, events
+
+    def features(samples: pa.Array, seg: pa.Array, lead: pa.Array, n_samples: pa.Array) -> pa.Array:
+        rows = []
+        for x, *where in zip(samples, seg.to_pylist(), lead.to_pylist(), n_samples.to_pylist()):
+            if x.is_valid:
+                rows.append(of_segment(x.values.to_numpy().astype(np.float64), *where))
+            else:
+                rows.append((np.empty(0), np.empty((0, CQT_BINS)), []))
+        flux = np.concatenate([r[0] for r in rows]) if rows else np.empty(0)
+        cqt = np.concatenate([r[1] for r in rows]).ravel() if rows else np.empty(0)
+        events = [e for r in rows for e in r[2]]
+        widths = np.array([0 if e is None else len(e) for e in events], dtype=np.int64)
+        present = [e for e in events if e is not None]
+        event = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)),
+            pa.array(np.concatenate(present) if present else np.empty(0)),
+            mask=pa.array(widths == 0),
+        )
+        tones = pa.ListArray.from_arrays(
+            pa.array(np.arange(0, len(cqt) + 1, CQT_BINS, dtype=np.int32)), pa.array(cqt)
+        )
+        structs = pa.StructArray.from_arrays(
+            [pa.array(flux), tones, event], names=["flux", "cqt", "event"]
+        )
+        counts = np.cumsum([0, *[len(r[0]) for r in rows]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(counts), structs)
+
+    return F.arrow_udf(features, kind).asNondeterministic()

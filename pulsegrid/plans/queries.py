@@ -738,7 +738,7 @@ def harmonic_suppress(spark, sf_dir):
 @query
 def constant_q_frames(spark, sf_dir):
     """Constant-Q spectra of the documents' bytes read as audio: loudest bin per frame."""
-    frames = T.frame_features(R.decode(_document_audio(spark, sf_dir)))
+    frames = T.frame_features(R.decode(_document_audio(spark, sf_dir))).where("frame is not null")
     return frames.select(
         F.col("recording_id").cast("bigint").alias("doc_id"),
         "frame",
@@ -808,11 +808,10 @@ def pcm16_scan(spark, sf_dir):
     """Raw 16-bit decoding of whole documents."""
     return (
         R.decode(_document_audio(spark, sf_dir))
-        # A segment repeats the frame before it and the tail of its last frame.
         .select(
             F.col("recording_id").cast("bigint").alias("doc_id"),
             "n_samples",
-            F.expr("slice(samples, lead * 512 + 1, 64 * 512)").alias("own"),
+            F.expr(R.own_samples()).alias("own"),
         )
         .groupBy("doc_id", "n_samples")
         .agg(

@@ -4,31 +4,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from pulsegrid.constants import (
     ALLOWED_CONTENT_TYPES,
-    C1_MIDI,
     CQT_BINS,
-    FRAME_SIZE,
-    HOP_SIZE,
     LOWEST_MIDI,
     PADDED_SIZE,
     SAMPLE_RATE,
 )
 from pulsegrid.functions import kernels as K
 from pulsegrid.operators import chords, fusion, gate, periods, pitch, reports
-from pulsegrid.operators.frames import prepared_for_lags, tapered
+from pulsegrid.operators.frames import prepared_for_lags
 from pulsegrid.operators.onsets import find_onsets
 from pulsegrid.operators.series import keep_where
 from pulsegrid.session import stage_table
 from pulsegrid.sources import recordings as R
 
 KEY = ["recording_id"]
+EVENT_COLUMNS = ["chroma", "chord_score", "label", "root_pc", "bass_pc"]
 AUTOCORR_LAGS = periods.lag_range(SAMPLE_RATE, 60, 800, PADDED_SIZE - 1)
 YIN_LAGS = periods.lag_range(SAMPLE_RATE, 50, 800, PADDED_SIZE // 2)
 
@@ -47,48 +42,26 @@ class Transcription:
         return nested.join(self.file_info, "recording_id", "left")
 
 
-def _frame_features(samples: pa.Array) -> pa.Array:
-    """Per frame of a segment: flux against the frame before, then the constant-Q magnitudes."""
-    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME_SIZE) / FRAME_SIZE)
-    counts, values = [], []
-    for row in samples:
-        x = row.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME_SIZE)[::HOP_SIZE]
-        mags = np.abs(np.fft.rfft(frames * taper, axis=1))
-        flux = np.zeros(len(frames))
-        flux[1:] = (np.maximum(np.diff(mags, axis=0), 0.0) ** 2).sum(axis=1)
-        cqt = K.constant_q_rows(frames, C1_MIDI, (FRAME_SIZE // 2,))
-        values.append(np.column_stack([flux, cqt]))
-        counts.append(len(frames))
-    width = CQT_BINS + 1
-    flat = np.concatenate(values).ravel() if values else np.empty(0)
-    inner = pa.ListArray.from_arrays(
-        pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat)
-    )
-    return pa.ListArray.from_arrays(
-        pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), inner
-    )
-
-
-_frame_features = F.arrow_udf(_frame_features, ArrayType(K.DOUBLES)).asNondeterministic()
-
-
 def frame_features(segments: DataFrame, frames: int = R.SEGMENT_FRAMES) -> DataFrame:
-    """`(recording_id, frame, last_frame, flux, cqt, chroma)` of every frame; narrow."""
-    rows = (
-        segments.where(f"error is null and size(samples) >= {FRAME_SIZE}")
-        .select("recording_id", "seg", "lead", "n_samples", _frame_features("samples").alias("_rows"))
-        .select("recording_id", "seg", "lead", "n_samples", F.posexplode("_rows").alias("_i", "_row"))
-        .where("_i >= lead")
+    """One row per frame: flux, constant-Q, chroma and, at possible onsets, the analysis frame.
+
+    Narrow: every segment holds the frames that its own frames look at. Recordings without a
+    frame and files that failed keep one row with `frame` NULL.
+    """
+    rows = K.frame_features(frames)("samples", "seg", "lead", "n_samples")
+    kept = ["recording_id", "n_samples", "original_sample_rate", "channels", "error"]
+    return (
+        segments.select(*kept, "seg", rows.alias("_rows"))
+        .select(*kept, "seg", F.posexplode_outer("_rows").alias("_i", "_row"))
         .select(
-            "recording_id",
-            F.expr(f"seg * {frames} + _i - lead").alias("frame"),
-            F.expr(f"(n_samples - {FRAME_SIZE}) div {HOP_SIZE}").alias("last_frame"),
-            F.expr("_row[0]").alias("flux"),
-            F.expr(f"slice(_row, 2, {CQT_BINS})").alias("cqt"),
+            *kept,
+            F.expr(f"seg * {frames} + _i").alias("frame"),
+            F.col("_row.flux").alias("flux"),
+            F.col("_row.cqt").alias("cqt"),
+            F.col("_row.event").alias("event"),
         )
+        .withColumn("chroma", K.chroma(CQT_BINS)("cqt"))
     )
-    return rows.withColumn("chroma", K.chroma(CQT_BINS)("cqt"))
 
 
 def gated_features(features: DataFrame) -> DataFrame:
@@ -108,31 +81,15 @@ def chord_events(events: DataFrame) -> DataFrame:
     )
 
 
-def event_frames(events: DataFrame, segments: DataFrame, frames: int = R.SEGMENT_FRAMES) -> DataFrame:
-    """The tapered analysis frame of each event, cut from its segment."""
-    targets = events.withColumn("_at", F.expr(reports.analysis_frame())).select(
-        "recording_id", "frame", "_at", F.expr(f"_at div {frames}").alias("seg")
-    )
-    samples = segments.where("error is null").select("recording_id", "seg", "lead", "samples")
-    start = f"cast((_at % {frames} + lead) * {HOP_SIZE} + 1 as int)"
-    return targets.join(samples, ["recording_id", "seg"]).select(
-        "recording_id",
-        "frame",
-        F.expr(
-            tapered(f"transform(slice(samples, {start}, {FRAME_SIZE}), v -> cast(v as double))", FRAME_SIZE)
-        ).alias("f"),
-    )
-
-
-def pitch_estimates(frames: DataFrame) -> DataFrame:
-    """Notes of the five estimators on tapered frames `f`, each computed once."""
+def pitch_estimates(events: DataFrame) -> DataFrame:
+    """Notes of the five estimators on the tapered frames `event`, each computed once."""
     spectra = (
-        prepared_for_lags(frames, "f", PADDED_SIZE, "_lagged")
-        .withColumn("mag", K.rfft_magnitude("f"))
-        .withColumn("cqt", K.constant_q(LOWEST_MIDI)("f"))
+        prepared_for_lags(events.select(*KEY, "frame", "event"), "event", PADDED_SIZE, "_lagged")
+        .withColumn("mag", K.rfft_magnitude("event"))
+        .withColumn("cqt", K.constant_q(LOWEST_MIDI)("event"))
         .withColumn("_acf", K.autocorrelation("_lagged"))
         .withColumn("_curve", K.normalised_differences(*YIN_LAGS)(K.lag_differences("_lagged")))
-        .drop("_lagged", "f")
+        .drop("_lagged", "event")
     )
     lags = spectra.withColumns(
         {
@@ -172,14 +129,18 @@ def transcribe(
 ) -> Transcription:
     """Analyse admitted files. `chord_path=False` labels every onset as a note.
 
-    Two stage tables: sample segments, and scalar features per frame. Everything after
-    them moves only scalars, except for the segments joined back to their onsets.
+    Samples are never shuffled: one narrow pass decodes the files and leaves a stage table of
+    frame features, with the analysis frame kept at possible onsets. All later shuffles move
+    scalars and small vectors per frame.
     """
     admitted = R.admitted(files, allowed)
-    segments = stage_table(R.decode(admitted, highpass, resample, raw_rate), "segments")
-    features = stage_table(gated_features(frame_features(segments)).drop("cqt"), "features")
+    segments = R.decode(admitted, highpass, resample, raw_rate)
+    rows = stage_table(gated_features(frame_features(segments)).drop("cqt"), "frames")
+    features = rows.where("frame is not null")
 
-    onsets = find_onsets(features, KEY, "frame", "flux")
+    onsets = find_onsets(
+        features.select(*KEY, "frame", "flux", *EVENT_COLUMNS), KEY, "frame", "flux"
+    )
     if chord_path:
         flags = features.select(*KEY, "frame", *gate.GATE_FEATURES)
         limits = gate.gate_thresholds(flags, KEY, "frame")
@@ -187,19 +148,22 @@ def transcribe(
         routed = onsets.join(gated.select(*KEY, "frame", "gate"), [*KEY, "frame"])
     else:
         routed = onsets.withColumn("gate", F.lit(False))
-    routed = stage_table(routed, "events")
-    notes = reports.note_records(
-        pick_notes(pitch_estimates(event_frames(routed.where("not gate"), segments)))
+    # Notes are estimated where the frames lie, then only the picks are joined to the events.
+    picks = pick_notes(pitch_estimates(features.where("event is not null")))
+    routed = stage_table(
+        routed.join(picks.select(*KEY, "frame", "pick"), [*KEY, "frame"], "left"), "events"
     )
-    notes = stage_table(notes, "notes")
+    notes = reports.note_records(routed.where("not gate"))
     found = chord_events(routed.where("gate"))
     onset_rows = reports.onset_records(routed)
-    decoded = R.recordings(segments)
+    decoded = rows.where("error is null and coalesce(frame, 0) = 0").select(
+        *KEY, "n_samples", "original_sample_rate", "channels"
+    )
     return Transcription(
         onsets=onset_rows,
         notes=notes,
         chords=found,
         summary=reports.summary(decoded, onset_rows, notes, found),
         file_info=R.file_info(admitted.drop("content"), decoded),
-        quarantine=R.quarantine(files.drop("content"), allowed).unionByName(R.failed(segments)),
+        quarantine=R.quarantine(files.drop("content"), allowed).unionByName(R.failed(rows)),
     )

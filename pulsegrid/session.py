@@ -14,8 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Segment rows hold tens of thousands of samples: batches are bounded in rows.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Segment rows hold about 160,000 samples: batches are bounded in bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

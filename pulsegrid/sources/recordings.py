@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from pulsegrid.constants import (
     ALLOWED_CONTENT_TYPES,
+    ANALYSIS_DELAY,
     BITS_PER_SAMPLE,
     DEFAULT_EXTENSION,
     FRAME_SIZE,
     HIGHPASS_ALPHA,
     HOP_SIZE,
     MAX_UPLOAD_BYTES,
+    ONSET_WINDOW,
     SAMPLE_RATE,
 )
 from pulsegrid.functions.kernels import resample_rows
@@ -27,8 +29,11 @@ from pulsegrid.functions.kernels import resample_rows
 CONTENT_TYPES = {".wav": "audio/wav", ".mp3": "audio/mpeg", ".aac": "audio/aac", ".raw": "audio/raw"}
 RAW_TYPE = "audio/raw"
 
-# Frames that start in one segment row: 64 frames are 32,768 samples, 128 KiB as floats.
-SEGMENT_FRAMES = 64
+# Frames that start in one segment row: 256 frames are 131,072 samples, 512 KiB as floats.
+SEGMENT_FRAMES = 256
+# Frames repeated before and after: the trailing onset window and the delayed analysis frame.
+LEAD_FRAMES = ONSET_WINDOW
+TAIL_FRAMES = ANALYSIS_DELAY
 
 SEGMENT_SCHEMA = (
     "recording_id string, seg bigint, lead int, samples array<float>, n_samples bigint, "
@@ -128,12 +133,12 @@ def highpass_block(x: np.ndarray, alpha: float = HIGHPASS_ALPHA, block: int = 20
 
 
 def _segments(x: np.ndarray, frames: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(segment, leading hops, samples): the frames of a segment and the frame before them."""
+    """(segment, leading frames, samples): the frames of a segment and their neighbours."""
     total = max(1, 1 + (len(x) - FRAME_SIZE) // HOP_SIZE)
     for seg in range(-(-total // frames)):
-        lead = 1 if seg else 0
+        lead = min(LEAD_FRAMES, seg * frames)
         first = (seg * frames - lead) * HOP_SIZE
-        yield seg, lead, x[first : (seg * frames + frames - 1) * HOP_SIZE + FRAME_SIZE]
+        yield seg, lead, x[first : (seg * frames + frames + TAIL_FRAMES - 1) * HOP_SIZE + FRAME_SIZE]
 
 
 def decode(
@@ -183,7 +188,7 @@ def decode(
                     rows.append(
                         (path, seg, lead, part.astype(np.float32), len(mono), rate, channels, None)
                     )
-                    if len(rows) == 64:
+                    if len(rows) == 16:
                         yield batch(rows)
                         rows = []
                 if rows:
@@ -192,17 +197,15 @@ def decode(
     return files.select("path", "content", "content_type").mapInArrow(job, SEGMENT_SCHEMA)
 
 
-def failed(segments: DataFrame) -> DataFrame:
-    """Decoding failures as quarantine rows."""
-    return segments.where("error is not null").select(
-        "recording_id", F.lit("decode").alias("stage"), "error"
-    )
+def own_samples(frames: int = SEGMENT_FRAMES) -> str:
+    """The samples that start in a segment, without those repeated from its neighbours."""
+    return f"slice(samples, cast(lead * {HOP_SIZE} + 1 as int), {frames * HOP_SIZE})"
 
 
-def recordings(segments: DataFrame) -> DataFrame:
-    """One row per decoded recording."""
-    return segments.where("seg = 0 and error is null").select(
-        "recording_id", "n_samples", "original_sample_rate", "channels"
+def failed(rows: DataFrame) -> DataFrame:
+    """Decoding failures as quarantine rows."""
+    return rows.where("error is not null").select(
+        "recording_id", F.lit("decode").alias("stage"), "error"
     )
 
 

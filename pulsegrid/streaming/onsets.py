@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.constants import ONSET_K, ONSET_WINDOW
+from pulsegrid.functions.kernels import events_between
 
 STATE = (
     "n bigint, tail array<double>, last_ms bigint, "
@@ -23,24 +24,6 @@ STATE = (
 )
 
 
-def events_between(
-    values: np.ndarray, first: int, start: int, window: int, k: float
-) -> list[tuple[int, float]]:
-    """(position, threshold) of the events from position `start` on that have a next value.
-
-    `values[0]` is at position `first`; the values reach back over the trailing window.
-    """
-    found = []
-    for p in range(max(1, start), first + len(values) - 1):
-        i = p - first
-        if values[i] > values[i - 1] and values[i] > values[i + 1]:
-            trail = values[max(0, 1 - first, i - window + 1) : i + 1]
-            threshold = trail.mean() + k * trail.std()
-            if values[i] > threshold:
-                found.append((p, float(threshold)))
-    return found
-
-
 def stream_onsets(
     stream: DataFrame,
     key: str,
