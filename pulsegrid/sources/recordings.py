@@ -34,6 +34,8 @@ SEGMENT_FRAMES = 256
 # Frames repeated before and after: the trailing onset window and the delayed analysis frame.
 LEAD_FRAMES = ONSET_WINDOW
 TAIL_FRAMES = ANALYSIS_DELAY
+# Decoded samples that a task holds before it hands rows on.
+BATCH_SAMPLES = 1 << 21
 
 SEGMENT_SCHEMA = (
     "recording_id string, seg bigint, lead int, samples array<float>, n_samples bigint, "
@@ -167,32 +169,35 @@ def decode(
             columns = [pa.array(list(c), type=t) for c, t in zip(zip(*rows), types)]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
+        def rows_of(path: str, content: bytes, kind: str) -> Iterator[tuple]:
+            try:
+                audio, rate, channels = _read(content, kind == RAW_TYPE, raw_rate)
+                if rate != SAMPLE_RATE and not resample:
+                    raise ValueError(f"Expected {SAMPLE_RATE} Hz, got {rate}")
+                mono = audio.mean(axis=1)
+                if rate != SAMPLE_RATE and len(mono):
+                    target = int(len(mono) * SAMPLE_RATE / rate)
+                    mono = resample_rows(mono[None, :], target)[0] if target else mono[:0]
+                if highpass and len(mono):
+                    mono = highpass_block(mono)
+            except Exception as failure:  # a bad file must not stop the job
+                yield path, 0, 0, None, None, None, None, str(failure)
+                return
+            for seg, lead, part in _segments(mono, frames):
+                yield path, seg, lead, part.astype(np.float32), len(mono), rate, channels, None
+
+        waiting, held = [], 0
         for source in batches:
             for row in range(source.num_rows):
                 path, content, kind = (source.column(i)[row].as_py() for i in range(3))
-                try:
-                    audio, rate, channels = _read(content, kind == RAW_TYPE, raw_rate)
-                    if rate != SAMPLE_RATE and not resample:
-                        raise ValueError(f"Expected {SAMPLE_RATE} Hz, got {rate}")
-                    mono = audio.mean(axis=1)
-                    if rate != SAMPLE_RATE and len(mono):
-                        target = int(len(mono) * SAMPLE_RATE / rate)
-                        mono = resample_rows(mono[None, :], target)[0] if target else mono[:0]
-                    if highpass and len(mono):
-                        mono = highpass_block(mono)
-                except Exception as failure:  # a bad file must not stop the job
-                    yield batch([(path, 0, 0, None, None, None, None, str(failure))])
-                    continue
-                rows = []
-                for seg, lead, part in _segments(mono, frames):
-                    rows.append(
-                        (path, seg, lead, part.astype(np.float32), len(mono), rate, channels, None)
-                    )
-                    if len(rows) == 16:
-                        yield batch(rows)
-                        rows = []
-                if rows:
-                    yield batch(rows)
+                for out in rows_of(path, content, kind):
+                    waiting.append(out)
+                    held += 64 + (0 if out[3] is None else len(out[3]))
+                    if held > BATCH_SAMPLES:
+                        yield batch(waiting)
+                        waiting, held = [], 0
+        if waiting:
+            yield batch(waiting)
 
     return files.select("path", "content", "content_type").mapInArrow(job, SEGMENT_SCHEMA)
 
