@@ -28,16 +28,6 @@ def multiply(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (u, v) -> u * v)"
 
 
-def pad(a: str, size: int) -> str:
-    """Append zeros up to `size`; a longer array is kept."""
-    return f"concat({a}, array_repeat(0D, greatest(0, {size} - size({a}))))"
-
-
-def centre(a: str) -> str:
-    """Subtract the mean; `a` should be a column, it is read three times."""
-    return f"zip_with({a}, array_repeat({total(a)} / size({a}), size({a})), (u, v) -> u - v)"
-
-
 def hann(size: int, periodic: bool) -> str:
     """Hann taper; denominator `size` when periodic, else `size - 1`."""
     return (

@@ -78,24 +78,48 @@ def _lag_products(x: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.abs(np.fft.rfft(x, 2 * n, axis=1)) ** 2, 2 * n, axis=1)[:, :n]
 
 
-@kernel_udf
-def autocorrelation(frame: pa.Array) -> pa.Array:
-    """`sum_j x[j] * x[j + lag]` for all lags from 0."""
-    return _by_length(frame, _lag_products)
+def lag_frame(padded: int):
+    """Zero-pad to `padded`, symmetric Hann taper, mean removal: the input of the lag estimators."""
 
+    @kernel_udf
+    def prepared(frame: pa.Array) -> pa.Array:
+        def kernel(x):
+            size = max(padded, x.shape[1])
+            full = np.zeros((len(x), size))
+            full[:, : x.shape[1]] = x
+            full *= np.hanning(size)
+            return full - full.mean(axis=1, keepdims=True)
 
-@kernel_udf
-def lag_differences(frame: pa.Array) -> pa.Array:
-    """`sum_j (x[j] - x[j + lag])^2` over the overlapping part, for all lags from 0."""
+        return _by_length(frame, kernel)
+
+    return prepared
+
+
+def autocorrelation(max_lag: int):
+    """`sum_j x[j] * x[j + lag]` for the lags `0..max_lag`."""
+
+    @kernel_udf
+    def sums(frame: pa.Array) -> pa.Array:
+        return _by_length(frame, lambda x: _lag_products(x)[:, : max_lag + 1])
+
+    return sums
+
+
+def lag_differences(max_lag: int):
+    """`sum_j (x[j] - x[j + lag])^2` over the overlapping part, for the lags `0..max_lag`."""
+
+    @kernel_udf
+    def sums(frame: pa.Array) -> pa.Array:
+        def kernel(x):
+            lags = np.arange(min(max_lag + 1, x.shape[1]))
+            energy = np.cumsum(x * x, axis=1)
+            head = energy[:, x.shape[1] - 1 - lags]
+            tail = energy[:, -1:] - np.where(lags > 0, energy[:, lags - 1], 0.0)
+            return np.maximum(head + tail - 2 * _lag_products(x)[:, lags], 0.0)
 
-    def kernel(x):
-        energy = np.cumsum(x * x, axis=1)
-        lags = np.arange(x.shape[1])
-        head = energy[:, ::-1]
-        tail = energy[:, -1:] - np.where(lags > 0, energy[:, lags - 1], 0.0)
-        return np.maximum(head + tail - 2 * _lag_products(x), 0.0)
+        return _by_length(frame, kernel)
 
-    return _by_length(frame, kernel)
+    return sums
 
 
 def chroma(size: int, base_class: int = 0):

@@ -47,12 +47,12 @@ def chord_templates(spark: SparkSession) -> DataFrame:
 
 
 def template_scores(chroma: str) -> str:
-    """Similarity to each template in number order, rounded so that equal chords tie."""
+    """Similarity to each template in number order, in whole billionths so that equal chords tie."""
     terms = []
     for tid in range(N_TEMPLATES):
         classes = template_classes(tid)
         parts = " + ".join(f"{chroma}[{pc}]" for pc in classes)
-        terms.append(f"round(({parts}) * {len(classes) ** -0.5!r}D, 9)")
+        terms.append(f"cast(({parts}) * {len(classes) ** -0.5!r}D * 1e9D + 0.5D as bigint)")
     return f"array({', '.join(terms)})"
 
 
@@ -68,15 +68,17 @@ def match_chords(df: DataFrame, chroma: str = "chroma", scores: str | None = Non
 
     `scores` keeps the similarities of all templates under that name.
     """
-    kept = scores or "_scores"
     out = (
-        df.withColumn(kept, F.expr(template_scores(chroma)))
-        .withColumn("chord_score", F.expr(f"array_max({kept})"))
-        .withColumn("tid", F.expr(f"coalesce(cast(array_position({kept}, chord_score) - 1 as int), 0)"))
+        df.withColumn("_scores", F.expr(template_scores(chroma)))
+        .withColumn("_best", F.expr("array_max(_scores)"))
+        .withColumn("chord_score", F.col("_best") / 1e9)
+        .withColumn("tid", F.expr("coalesce(cast(array_position(_scores, _best) - 1 as int), 0)"))
         .withColumn("label", F.expr(template_label("tid")))
         .withColumn("root_pc", F.expr(root_of_label("label")))
     )
-    return out if scores else out.drop(kept)
+    if scores:
+        out = out.withColumn(scores, F.expr("transform(_scores, v -> v / 1e9D)"))
+    return out.drop("_scores", "_best")
 
 
 def root_of_label(label: str) -> str:

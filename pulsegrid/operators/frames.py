@@ -83,12 +83,3 @@ def frames_of_segments(
 def tapered(f: str, size: int, periodic: bool = True) -> str:
     """Frame times Hann window."""
     return A.multiply(f, A.hann(size, periodic))
-
-
-def prepared_for_lags(df: DataFrame, f: str, padded: int, name: str) -> DataFrame:
-    """Zero-pad, symmetric taper, mean removal: the input of the lag estimators."""
-    return (
-        df.withColumn("_padded", F.expr(A.multiply(A.pad(f, padded), A.hann(padded, periodic=False))))
-        .withColumn(name, F.expr(A.centre("_padded")))
-        .drop("_padded")
-    )

@@ -19,15 +19,14 @@ def autocorrelation_lag(
 ) -> str:
     """Lag of the best strict peak of the normalised autocorrelation; low notes count 1.2 times."""
     peaks = (
-        f"filter(sequence({shortest + 1}, {longest - 2}), j -> nac[j] > nac[j - 1] "
-        f"and nac[j] > nac[j + 1] and nac[j] > {threshold}D)"
+        f"filter(sequence({shortest + 1}, {longest - 2}), j -> {acf}[j] > {acf}[j - 1] "
+        f"and {acf}[j] > {acf}[j + 1] and {acf}[j] / power > {threshold}D)"
     )
     ranked = (
-        f"transform({peaks}, j -> named_struct('w', round(nac[j] * "
+        f"transform({peaks}, j -> named_struct('w', round({acf}[j] / power * "
         f"if({rate}D / j < 150, 1.2D, 1D), 9), 'after', -j))"
     )
-    normal = f"if({acf}[0] > 0, transform({acf}, v -> v / {acf}[0]), {acf})"
-    return A.bind(normal, "nac", f"-(array_max({ranked}).after)")
+    return A.bind(f"if({acf}[0] > 0, {acf}[0], 1D)", "power", f"-(array_max({ranked}).after)")
 
 
 def yin_lag(

@@ -17,7 +17,7 @@ from pulsegrid.functions import arrays as A
 from pulsegrid.functions import kernels as K
 from pulsegrid.functions import scalars as X
 from pulsegrid.operators import chords, fusion, gate, periods, pitch, reports, smoothing, spectra
-from pulsegrid.operators.frames import highpass, prepared_for_lags, sliding_frames, tapered
+from pulsegrid.operators.frames import highpass, sliding_frames, tapered
 from pulsegrid.operators.onsets import find_onsets
 from pulsegrid.operators.series import exact_median, join_by_span, keep_where
 from pulsegrid.plans import transcribe as T
@@ -576,18 +576,18 @@ def neighbourhood_max(spark, sf_dir):
 
 
 def _lagged(df):
-    return prepared_for_lags(df, "f", PADDED, "p")
+    return df.withColumn("p", K.lag_frame(PADDED)("f"))
 
 
 def _autocorr(df):
-    return df.withColumn("acf", K.autocorrelation("p")).withColumn(
+    return df.withColumn("acf", K.autocorrelation(AUTOCORR_LAGS[1])("p")).withColumn(
         "autocorr_lag", F.expr(periods.autocorrelation_lag("acf", LAG_RATE, *AUTOCORR_LAGS))
     )
 
 
 def _yin(df):
     return df.withColumn(
-        "curve", K.normalised_differences(*YIN_LAGS)(K.lag_differences("p"))
+        "curve", K.normalised_differences(*YIN_LAGS)(K.lag_differences(YIN_LAGS[1])("p"))
     ).withColumn("yin_lag", F.expr(periods.yin_lag("curve", LAG_RATE, *YIN_LAGS)))
 
 
@@ -607,7 +607,7 @@ def lag_difference(spark, sf_dir):
     first, last = YIN_LAGS
     return (
         _lagged(_line_frames(spark, sf_dir))
-        .select("series_id", "frame", K.lag_differences("p").alias("d"))
+        .select("series_id", "frame", K.lag_differences(YIN_LAGS[1])("p").alias("d"))
         .select("series_id", "frame", F.posexplode("d").alias("lag", "d"))
         .where(F.col("lag").between(first, last))
         .select("series_id", "frame", "lag", rounded("d / 1e9D", 4, "d"))

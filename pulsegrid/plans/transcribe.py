@@ -16,7 +16,6 @@ from pulsegrid.constants import (
 )
 from pulsegrid.functions import kernels as K
 from pulsegrid.operators import chords, fusion, gate, periods, pitch, reports
-from pulsegrid.operators.frames import prepared_for_lags
 from pulsegrid.operators.onsets import find_onsets
 from pulsegrid.operators.series import keep_where
 from pulsegrid.session import stage_table
@@ -83,13 +82,16 @@ def chord_events(events: DataFrame) -> DataFrame:
 
 def pitch_estimates(events: DataFrame) -> DataFrame:
     """Notes of the five estimators on the tapered frames `event`, each computed once."""
+    prepared = K.lag_frame(PADDED_SIZE)("event")
     spectra = (
-        prepared_for_lags(events.select(*KEY, "frame", "event"), "event", PADDED_SIZE, "_lagged")
+        events.select(*KEY, "frame", "event")
         .withColumn("mag", K.rfft_magnitude("event"))
         .withColumn("cqt", K.constant_q(LOWEST_MIDI)("event"))
-        .withColumn("_acf", K.autocorrelation("_lagged"))
-        .withColumn("_curve", K.normalised_differences(*YIN_LAGS)(K.lag_differences("_lagged")))
-        .drop("_lagged", "event")
+        .withColumn("_acf", K.autocorrelation(AUTOCORR_LAGS[1])(prepared))
+        .withColumn(
+            "_curve", K.normalised_differences(*YIN_LAGS)(K.lag_differences(YIN_LAGS[1])(prepared))
+        )
+        .drop("event")
     )
     lags = spectra.withColumns(
         {

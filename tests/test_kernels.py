@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from pulsegrid.constants import C1_MIDI, FRAME_SIZE, LOWEST_MIDI, SAMPLE_RATE
 from pulsegrid.functions import kernels as K
 from pulsegrid.operators import periods, pitch
-from pulsegrid.operators.frames import prepared_for_lags
 
 
 def arrays(spark, rows):
@@ -27,7 +26,7 @@ def test_fft_keeps_the_energy_and_null_rows(spark):
 def test_lag_sums_match_direct_ones(spark):
     x = np.random.default_rng(2).normal(size=40)
     row = arrays(spark, [x]).select(
-        K.autocorrelation("f").alias("a"), K.lag_differences("f").alias("d")
+        K.autocorrelation(39)("f").alias("a"), K.lag_differences(39)("f").alias("d")
     ).first()
     for lag in range(40):
         assert row.a[lag] == pytest.approx((x[: 40 - lag] * x[lag:]).sum(), abs=1e-9)
@@ -59,9 +58,10 @@ def test_period_estimators_find_a_harmonic_tone(spark):
         hz = 440 * 2 ** ((m - 69) / 12)
         rows.append(sum(np.sin(2 * np.pi * hz * h * n / SAMPLE_RATE) / h for h in range(1, 7)) * np.hanning(FRAME_SIZE))
     df = (
-        prepared_for_lags(arrays(spark, rows), "f", 4096, "p")
-        .withColumn("acf", K.autocorrelation("p"))
-        .withColumn("curve", K.normalised_differences(*lags_y)(K.lag_differences("p")))
+        arrays(spark, rows)
+        .withColumn("p", K.lag_frame(4096)("f"))
+        .withColumn("acf", K.autocorrelation(lags_a[1])("p"))
+        .withColumn("curve", K.normalised_differences(*lags_y)(K.lag_differences(lags_y[1])("p")))
         .withColumn("a", F.expr(periods.autocorrelation_lag("acf", SAMPLE_RATE, *lags_a)))
         .withColumn("y", F.expr(periods.yin_lag("curve", SAMPLE_RATE, *lags_y)))
         .select("i", F.expr(periods.lag_note("a", SAMPLE_RATE)).alias("an"), F.expr(periods.lag_note("y", SAMPLE_RATE)).alias("yn"))
