@@ -2,8 +2,8 @@
 
 All moves cost the same, so one step needs only the best state so far. A key is not
 decoded in one task: each segment becomes a matrix "best score from entry state to
-exit state" in (max, +) arithmetic, matrices are chained in two levels, and once the
-states at the segment borders are known every segment is decoded on its own.
+exit state" in (max, +) arithmetic, neighbouring matrices are combined level by level,
+and once the states at the borders are known every segment is decoded on its own.
 Scores are whole numbers, so cutting a key anywhere gives the same path.
 """
 
@@ -96,8 +96,14 @@ def smooth_states(
     stay: float = 0.9,
     frames: int = SEGMENT_FRAMES,
     per_block: int = SEGMENTS_PER_BLOCK,
+    levels: int = 1,
 ) -> DataFrame:
-    """`(keys, pos, state)`: the most likely state of every row; `probs` has `states` entries."""
+    """`(keys, pos, state)`: the most likely state of every row; `probs` has `states` entries.
+
+    `levels` of combining leave one matrix per `frames * per_block ** levels` positions of a
+    key for the last step, which takes a key's matrices in one task. One level leaves at most
+    2,048 for 2^31 positions; take two for longer keys.
+    """
     keys = list(keys)
     stay_score, move_score = transition_scores(states, stay)
     rows = df.select(
@@ -125,29 +131,18 @@ def smooth_states(
         total = None
         for flat in pdf["_m"]:
             m = np.asarray(flat, dtype=np.int64).reshape(states, states)
-            if total is None:
-                total = m
-            else:
-                total = np.stack([(row[:, None] + m).max(axis=0) for row in total])
+            total = m if total is None else np.stack([(r[:, None] + m).max(axis=0) for r in total])
         return pdf[[*keys, "_block"]].head(1).assign(_m=[total.ravel()])
 
-    def block_exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        exits = _chain([np.asarray(f).reshape(states, states) for f in pdf["_m"]], None, None)
-        entries = [None, *exits[:-1]]
-        return pdf[[*keys, "_block"]].assign(
-            _in=pd.array(entries, dtype="Int64"), _out=np.array(exits, dtype=np.int64)
-        )
-
-    def segment_exits(pdf: pd.DataFrame) -> pd.DataFrame:
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        """States on both sides of each matrix, from the states around all of them if known."""
         pdf = pdf.sort_values("_seg")
-        first = pdf["_bin"].iloc[0]
-        entry = None if pd.isna(first) else int(first)
-        exits = _chain(
-            [np.asarray(f).reshape(states, states) for f in pdf["_m"]], entry, int(pdf["_bout"].iloc[0])
-        )
+        outer = [None, None]
+        if "_bin" in pdf:
+            outer = [None if pd.isna(pdf[c].iloc[0]) else int(pdf[c].iloc[0]) for c in ("_bin", "_bout")]
+        found = _chain([np.asarray(f).reshape(states, states) for f in pdf["_m"]], *outer)
         return pdf[[*keys, "_seg"]].assign(
-            _in=pd.array([entry, *exits[:-1]], dtype="Int64"), _out=np.array(exits, dtype=np.int64)
+            _in=pd.array([outer[0], *found[:-1]], dtype="Int64"), _out=np.array(found, dtype=np.int64)
         )
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -162,26 +157,27 @@ def smooth_states(
         )
         return pdf[[*keys, pos]].assign(state=path)
 
-    matrices = (
-        rows.groupBy(*keys, "_seg")
-        .applyInPandas(segment_matrix, f"{key_type}, _seg bigint, _m array<bigint>")
-        .withColumn("_block", F.expr(f"_seg div {per_block}"))
-    )
-    blocks = matrices.groupBy(*keys, "_block").applyInPandas(
-        block_matrix, f"{key_type}, _block bigint, _m array<bigint>"
-    )
-    outer = (
-        blocks.groupBy(*keys)
-        .applyInPandas(block_exits, f"{key_type}, _block bigint, _in bigint, _out bigint")
-        .withColumnsRenamed({"_in": "_bin", "_out": "_bout"})
-    )
-    inner = (
-        matrices.join(outer, [*keys, "_block"])
-        .groupBy(*keys, "_block")
-        .applyInPandas(segment_exits, f"{key_type}, _seg bigint, _in bigint, _out bigint")
-    )
+    matrix_type = f"{key_type}, _seg bigint, _m array<bigint>"
+    border_type = f"{key_type}, _seg bigint, _in bigint, _out bigint"
+    ladder = [rows.groupBy(*keys, "_seg").applyInPandas(segment_matrix, matrix_type)]
+    for _ in range(levels):
+        ladder[-1] = ladder[-1].withColumn("_block", F.expr(f"_seg div {per_block}"))
+        ladder.append(
+            ladder[-1]
+            .groupBy(*keys, "_block")
+            .applyInPandas(block_matrix, matrix_type.replace("_seg", "_block"))
+            .withColumnRenamed("_block", "_seg")
+        )
+    borders = ladder.pop().groupBy(*keys).applyInPandas(exits, border_type)
+    for matrices in reversed(ladder):
+        around = borders.withColumnsRenamed({"_seg": "_block", "_in": "_bin", "_out": "_bout"})
+        borders = (
+            matrices.join(around, [*keys, "_block"])
+            .groupBy(*keys, "_block")
+            .applyInPandas(exits, border_type)
+        )
     return (
-        rows.join(inner, [*keys, "_seg"])
+        rows.join(borders, [*keys, "_seg"])
         .groupBy(*keys, "_seg")
         .applyInPandas(decode, f"{key_type}, {pos} bigint, state bigint")
     )

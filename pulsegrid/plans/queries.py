@@ -436,9 +436,9 @@ QUERIES["spectral_flatness"] = _gate_feature("flatness")
 
 
 def _flags(spark, sf_dir):
-    return _featured(V.embedding_recordings(spark, sf_dir)).select(
-        "recording_id", "frame", *gate.GATE_FEATURES
-    )
+    # Features before positions: the ranking then moves scalars instead of vectors.
+    rows = _featured(V.embedding_frames(spark, sf_dir)).select(*FRAME, *gate.GATE_FEATURES)
+    return V.number_frames(rows).drop("vec_id")
 
 
 @query
@@ -500,7 +500,8 @@ def chord_records(spark, sf_dir):
 @query
 def viterbi_smooth(spark, sf_dir):
     """Chord labels smoothed along the vectors of each recording."""
-    rows = chords.match_chords(_with_chroma(V.embedding_recordings(spark, sf_dir)), scores="scores")
+    chroma = _with_chroma(V.embedding_frames(spark, sf_dir)).select(*FRAME, "chroma")
+    rows = chords.match_chords(V.number_frames(chroma), scores="scores")
     path = smoothing.smooth_states(rows, REC, "frame", "scores", chords.N_TEMPLATES)
     return path.select("recording_id", "frame", expr(chords.template_label("cast(state as int)"), "label"))
 

@@ -29,13 +29,18 @@ def build_session(master: str | None = None, app: str = "pulsegrid", **conf: str
     return builder.getOrCreate()
 
 
+_temporary_roots: dict[str, str] = {}
+
+
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for stage tables; a temporary one only where the cluster names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="pulsegrid-stage-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _temporary_roots:
+        _temporary_roots[app] = tempfile.mkdtemp(prefix="pulsegrid-stage-")
+    return _temporary_roots[app]
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.series import number_rows
 
-VEC_BUCKET = 65536
+# Slices that rows are ranked in. They bound the rows of one key that a task sorts.
+VEC_BUCKET = 1 << 16
+ORDER_BUCKET = 1 << 30
+EVENT_BUCKET = "minute"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +23,7 @@ def event_series(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         F.col("user_id").alias("series_id"), "ts", "event_id", F.col("value").alias("x"), *extra
     )
     return number_rows(
-        rows, ["series_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts"))
+        rows, ["series_id"], ["ts", "event_id"], F.date_trunc(EVENT_BUCKET, F.col("ts"))
     ).select("series_id", "t", "x", *extra)
 
 
@@ -30,7 +33,8 @@ def line_series(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("series_id"), *order, *extra
     )
-    return number_rows(rows, ["series_id"], order, F.col("l_shipdate")).select(
+    bucket = F.struct("l_shipdate", F.expr(f"l_orderkey div {ORDER_BUCKET}").alias("slice"))
+    return number_rows(rows, ["series_id"], order, bucket).select(
         "series_id", "t", F.col("l_extendedprice").alias("x"), *extra
     )
 

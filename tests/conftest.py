@@ -19,10 +19,9 @@ def spark(tmp_path_factory):
         spark_ui_showConsoleProgress="false",
         spark_sql_shuffle_partitions="4",
         spark_driver_memory="8g",
+        spark_checkpoint_dir=str(tmp_path_factory.mktemp("stage")),
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stage")))
     ship_package(session)
     yield session
     session.stop()

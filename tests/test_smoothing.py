@@ -22,14 +22,14 @@ def best_path(p, states, stay):
     return path[::-1]
 
 
-@pytest.mark.parametrize("frames,per_block", [(4096, 256), (16, 3), (5, 2)])
-def test_path_does_not_depend_on_the_cut(spark, frames, per_block):
+@pytest.mark.parametrize("frames,per_block,levels", [(4096, 256, 1), (16, 3, 1), (5, 2, 2), (9, 4, 0)])
+def test_path_does_not_depend_on_the_cut(spark, frames, per_block, levels):
     rng = np.random.default_rng(11)
     states = 6
     probs = {k: rng.dirichlet(np.ones(states) * 0.4, n) for k, n in (("a", 200), ("b", 37), ("c", 1))}
     rows = [(k, t, p.tolist()) for k, ps in probs.items() for t, p in enumerate(ps)]
     df = spark.createDataFrame(rows, "k string, t bigint, p array<double>").repartition(5)
-    got = smooth_states(df, ["k"], "t", "p", states, 0.9, frames, per_block).collect()
+    got = smooth_states(df, ["k"], "t", "p", states, 0.9, frames, per_block, levels).collect()
     for key, p in probs.items():
         assert [r.state for r in sorted(got, key=lambda r: r.t) if r.k == key] == best_path(p, states, 0.9)
 
