@@ -219,6 +219,75 @@ def constant_q_rows(frames: np.ndarray, base_midi: int, centres: tuple[int, ...]
     return magnitude.reshape(len(frames), len(centres), -1).mean(axis=1)
 
 
+# Frames around a frame that its constant-Q tones reach into, and one halving filter.
+CONTEXT_FRAMES = 70
+HALVING = np.blackman(31) * np.sinc(0.5 * (np.arange(31) - 15))
+HALVING = HALVING / HALVING.sum()
+
+
+@lru_cache(maxsize=4)
+def _octave_tones(base_midi: int, bins: int, per_octave: int) -> list[tuple[int, int, np.ndarray]]:
+    """(halvings, reach in samples, tones) for groups of neighbouring bins.
+
+    A bin is taken from the signal halved so often that it lies under a fifth of the rate;
+    its tone then has a few hundred samples.
+    """
+    quality = 1 / (2 ** (1 / per_octave) - 1)
+    hz = 440.0 * 2.0 ** ((base_midi - 69) / 12 + np.arange(bins) / per_octave)
+    halvings = np.maximum(0, np.floor(np.log2(0.2 * SAMPLE_RATE / (1.1 * hz)))).astype(int)
+    groups = []
+    for d in sorted(set(halvings), reverse=True):
+        own = hz[halvings == d]
+        length = quality * SAMPLE_RATE / own / 2**d
+        reach = int(np.ceil(length.max() / 2))
+        n = np.arange(-reach, reach + 1)[:, None]
+        window = np.where(np.abs(n) <= length / 2, 0.5 + 0.5 * np.cos(2 * np.pi * n / length), 0.0)
+        tone = window * np.exp(-2j * np.pi * own * n * 2**d / SAMPLE_RATE)
+        tone *= 2**d * 2 / np.sqrt(length * 2**d)
+        groups.append((int(d), reach, np.concatenate([tone.real, tone.imag], axis=1)))
+    return groups
+
+
+def halved_signals(x: np.ndarray, times: int = 7) -> list[np.ndarray]:
+    """The signal at its own rate, at half of it, and so on."""
+    out = [x]
+    for _ in range(times):
+        out.append(np.convolve(out[-1], HALVING, "same")[::2])
+    return out
+
+
+def constant_q_track(
+    halved: list[np.ndarray],
+    centre: int,
+    count: int,
+    base_midi: int = C1_MIDI,
+    bins: int = CQT_BINS,
+    per_octave: int = 12,
+) -> np.ndarray:
+    """Constant-Q magnitudes of `count` frames whose first centre is at `centre`; whole tones.
+
+    The signal must reach `CONTEXT_FRAMES` frames beyond the outer ones.
+    """
+    columns = []
+    for d, reach, tones in _octave_tones(base_midi, bins, per_octave):
+        hop, middle = HOP_SIZE >> d, centre >> d
+        span = halved[d][middle - reach : middle + (count - 1) * hop + reach + 1]
+        product = np.lib.stride_tricks.sliding_window_view(span, 2 * reach + 1)[::hop] @ tones
+        half = product.shape[1] // 2
+        columns.append(np.hypot(product[:, :half], product[:, half:]))
+    return np.concatenate(columns, axis=1)
+
+
+def chroma_track(halved: list[np.ndarray], centre: int, count: int) -> np.ndarray:
+    """Pitch classes of frames: seven octaves from C1 in thirds of a semitone, each class being
+    its own bin and the two beside it; scaled to maximum 1, then by (L2 norm + 1e-6)."""
+    fine = constant_q_track(halved, centre, count, C1_MIDI, 7 * 36, 36)
+    sums = fine @ np.eye(12)[(np.arange(7 * 36) + 1) // 3 % 12]
+    top = sums.max(axis=1, keepdims=True)
+    sums = sums / np.where(top > 0, top, 1.0)
+    return sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-6)
+
+
 FRAME_CENTRES = tuple(range(0, FRAME_SIZE + 1, HOP_SIZE))
 
 
@@ -278,8 +347,8 @@ def events_between(
 def frame_features(frames_per_segment: int):
     """Features of a segment's own frames, from `(samples, seg, lead, n_samples)`.
 
-    Per frame: flux against the frame before, constant-Q magnitudes from C1, and the tapered
-    analysis frame if the flux looks like an onset. That test is the onset rule with a hair of
+    Per frame: flux against the frame before, constant-Q magnitudes from C1, chroma, and the
+    tapered analysis frame if the flux looks like an onset. That test is the onset rule with a hair of
     slack, so it never misses one; the rule itself is applied later, on the flux column.
     """
     kind = T.ArrayType(
@@ -287,31 +356,46 @@ def frame_features(frames_per_segment: int):
             [
                 T.StructField("flux", T.DoubleType()),
                 T.StructField("cqt", DOUBLES),
+                T.StructField("chroma", DOUBLES),
                 T.StructField("event", DOUBLES),
             ]
         )
     )
     taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME_SIZE) / FRAME_SIZE)
 
+    nothing = np.empty(0), np.empty((0, CQT_BINS)), np.empty((0, 12)), []
+
     def of_segment(x: np.ndarray, seg: int, lead: int, n_samples: int):
         start = seg * frames_per_segment
         last = (n_samples - FRAME_SIZE) // HOP_SIZE
         own = min(frames_per_segment, last + 1 - start)
         if own <= 0:
-            return np.empty(0), np.empty((0, CQT_BINS)), []
+            return nothing
+        back = min(lead, ONSET_WINDOW)
         frames = np.lib.stride_tricks.sliding_window_view(x, FRAME_SIZE)[::HOP_SIZE]
+        frames = frames[lead - back : lead + own + ANALYSIS_DELAY + 1]
         mags = np.abs(np.fft.rfft(frames * taper, axis=1))
         flux = (np.maximum(np.diff(mags, axis=0), 0.0) ** 2).sum(axis=1)
-        if lead == 0:
+        if back == 0:
             flux = np.concatenate([[0.0], flux])
-        first = start - lead + (1 if lead else 0)
-        mine = flux[start - first : start - first + own]
-        cqt = constant_q_rows(frames[lead : lead + own], C1_MIDI, (FRAME_SIZE // 2,))
+        first = start - back + (1 if back else 0)
+        margin = np.zeros(CONTEXT_FRAMES * HOP_SIZE)
+        halved = halved_signals(np.concatenate([margin, x, margin]))
+        centre = len(margin) + lead * HOP_SIZE + FRAME_SIZE // 2
         events = [None] * own
         for p, _ in events_between(flux, first, start, slack=1e-9):
             if p < start + own:
-                events[p - start] = frames[min(p + ANALYSIS_DELAY, last) - start + lead] * taper
-        return mine, cqt, events
+                events[p - start] = frames[min(p + ANALYSIS_DELAY, last) - start + back] * taper
+        return (
+            flux[start - first : start - first + own],
+            constant_q_track(halved, centre, own),
+            chroma_track(halved, centre, own),
+            events,
+        )
+
+    def lists(rows: np.ndarray) -> pa.ListArray:
+        ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
 
     def features(samples: pa.Array, seg: pa.Array, lead: pa.Array, n_samples: pa.Array) -> pa.Array:
         rows = []
@@ -319,10 +403,9 @@ def frame_features(frames_per_segment: int):
             if x.is_valid:
                 rows.append(of_segment(x.values.to_numpy().astype(np.float64), *where))
             else:
-                rows.append((np.empty(0), np.empty((0, CQT_BINS)), []))
-        flux = np.concatenate([r[0] for r in rows]) if rows else np.empty(0)
-        cqt = np.concatenate([r[1] for r in rows]).ravel() if rows else np.empty(0)
-        events = [e for r in rows for e in r[2]]
+                rows.append(nothing)
+        flux, cqt, chroma_ = (np.concatenate([r[i] for r in rows]) for i in range(3))
+        events = [e for r in rows for e in r[3]]
         widths = np.array([0 if e is None else len(e) for e in events], dtype=np.int64)
         present = [e for e in events if e is not None]
         event = pa.ListArray.from_arrays(
@@ -330,11 +413,9 @@ def frame_features(frames_per_segment: int):
             pa.array(np.concatenate(present) if present else np.empty(0)),
             mask=pa.array(widths == 0),
         )
-        tones = pa.ListArray.from_arrays(
-            pa.array(np.arange(0, len(cqt) + 1, CQT_BINS, dtype=np.int32)), pa.array(cqt)
-        )
         structs = pa.StructArray.from_arrays(
-            [pa.array(flux), tones, event], names=["flux", "cqt", "event"]
+            [pa.array(flux), lists(cqt), lists(chroma_), event],
+            names=["flux", "cqt", "chroma", "event"],
         )
         counts = np.cumsum([0, *[len(r[0]) for r in rows]]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(counts), structs)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.constants import (
     ALLOWED_CONTENT_TYPES,
-    CQT_BINS,
     LOWEST_MIDI,
     PADDED_SIZE,
     SAMPLE_RATE,
@@ -57,9 +56,9 @@ def frame_features(segments: DataFrame, frames: int = R.SEGMENT_FRAMES) -> DataF
             F.expr(f"seg * {frames} + _i").alias("frame"),
             F.col("_row.flux").alias("flux"),
             F.col("_row.cqt").alias("cqt"),
+            F.col("_row.chroma").alias("chroma"),
             F.col("_row.event").alias("event"),
         )
-        .withColumn("chroma", K.chroma(CQT_BINS)("cqt"))
     )
 
 

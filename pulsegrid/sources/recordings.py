@@ -23,17 +23,18 @@ from pulsegrid.constants import (
     ONSET_WINDOW,
     SAMPLE_RATE,
 )
-from pulsegrid.functions.kernels import resample_rows
+from pulsegrid.functions.kernels import CONTEXT_FRAMES, resample_rows
 
 # Content types that file extensions stand for, and the type of headerless PCM.
 CONTENT_TYPES = {".wav": "audio/wav", ".mp3": "audio/mpeg", ".aac": "audio/aac", ".raw": "audio/raw"}
 RAW_TYPE = "audio/raw"
 
-# Frames that start in one segment row: 256 frames are 131,072 samples, 512 KiB as floats.
-SEGMENT_FRAMES = 256
-# Frames repeated before and after: the trailing onset window and the delayed analysis frame.
-LEAD_FRAMES = ONSET_WINDOW
-TAIL_FRAMES = ANALYSIS_DELAY
+# Frames that start in one segment row: 1024 frames are 524,288 samples, 2 MiB as floats.
+SEGMENT_FRAMES = 1024
+# Frames repeated before and after: the trailing onset window, the delayed analysis frame, and
+# the reach of the longest constant-Q tone.
+LEAD_FRAMES = max(ONSET_WINDOW, CONTEXT_FRAMES)
+TAIL_FRAMES = max(ANALYSIS_DELAY, CONTEXT_FRAMES)
 # Decoded samples that a task holds before it hands rows on.
 BATCH_SAMPLES = 1 << 21
 

