@@ -266,12 +266,13 @@ def constant_q_track(
 ) -> np.ndarray:
     """Constant-Q magnitudes of `count` frames whose first centre is at `centre`; whole tones.
 
-    The signal must reach `CONTEXT_FRAMES` frames beyond the outer ones.
+    The signal counts as silent outside; it should reach `CONTEXT_FRAMES` frames beyond the
+    outer ones where there is more of it.
     """
     columns = []
     for d, reach, tones in _octave_tones(base_midi, bins, per_octave):
         hop, middle = HOP_SIZE >> d, centre >> d
-        span = halved[d][middle - reach : middle + (count - 1) * hop + reach + 1]
+        span = np.pad(halved[d], reach)[middle : middle + (count - 1) * hop + 2 * reach + 1]
         product = np.lib.stride_tricks.sliding_window_view(span, 2 * reach + 1)[::hop] @ tones
         half = product.shape[1] // 2
         columns.append(np.hypot(product[:, :half], product[:, half:]))
@@ -379,7 +380,7 @@ def frame_features(frames_per_segment: int):
         if back == 0:
             flux = np.concatenate([[0.0], flux])
         first = start - back + (1 if back else 0)
-        margin = np.zeros(CONTEXT_FRAMES * HOP_SIZE)
+        margin = np.zeros(4 * HOP_SIZE)  # more than the halving filters reach
         halved = halved_signals(np.concatenate([margin, x, margin]))
         centre = len(margin) + lead * HOP_SIZE + FRAME_SIZE // 2
         events = [None] * own
