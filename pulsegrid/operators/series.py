@@ -20,26 +20,39 @@ JOIN_SPAN = 1 << 20
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "t"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    position: Column,
+    name: str = "t",
+    rows_per_slice: int = 1 << 20,
 ) -> DataFrame:
     """Add the 0-based position of each row in its key's order.
 
-    `bucket` must rise with `order` (a day, an id range). Rows are ranked inside
-    (key, bucket); the sizes of the earlier buckets of the key are added. Only
-    the bucket counts, one row per key and bucket, are ever windowed by key.
+    `position` is a BIGINT that rises with `order` (seconds, an id). Its range is cut into
+    slices of about `rows_per_slice` rows of all keys; rows are ranked inside (key, slice) and
+    the sizes of the earlier slices of the key are added. Only the sizes, one row per key and
+    slice, are ever windowed by key. The slice width comes from a scalar subquery.
     """
-    bucketed = df.withColumn("_bucket", bucket)
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    width = (
+        df.select(position.alias("p"))
+        .agg(F.expr(f"(max(p) - min(p)) div greatest(1, count(1) div {rows_per_slice}) + 1"))
+        .scalar()
+    )
+    # Rows without a position come first, as NULLs do in the order.
+    first = F.lit(-(1 << 62))
+    sliced = df.withColumn("_slice", F.coalesce(F.floor(position / width), first))
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
+        *keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        bucketed.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_bucket"])
+        sliced.withColumn("_rank", F.row_number().over(inside) - 1)
+        .join(offsets, [*keys, "_slice"])
         .withColumn(name, (F.col("_rank") + F.col("_offset")).cast("bigint"))
-        .drop("_bucket", "_rank", "_offset")
+        .drop("_slice", "_rank", "_offset")
     )
 
 

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.series import number_rows
 
-# Slices that rows are ranked in. They bound the rows of one key that a task sorts.
-VEC_BUCKET = 1 << 16
-ORDER_BUCKET = 1 << 30
-EVENT_BUCKET = "minute"
+# Seconds of a TIMESTAMP_NTZ, free of time zones.
+SECONDS = (
+    "cast(datediff(cast(ts as date), date'1970-01-01') as bigint) * 86400 "
+    "+ hour(ts) * 3600 + minute(ts) * 60 + cast(floor(second(ts)) as int)"
+)
+# Shipping day, then order key.
+DAY_AND_ORDER = (
+    f"cast(datediff(cast(l_shipdate as date), date'1970-01-01') as bigint) * {1 << 40} + l_orderkey"
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +28,7 @@ def event_series(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         F.col("user_id").alias("series_id"), "ts", "event_id", F.col("value").alias("x"), *extra
     )
     return number_rows(
-        rows, ["series_id"], ["ts", "event_id"], F.date_trunc(EVENT_BUCKET, F.col("ts"))
+        rows, ["series_id"], ["ts", "event_id"], F.expr(SECONDS)
     ).select("series_id", "t", "x", *extra)
 
 
@@ -33,8 +38,7 @@ def line_series(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("series_id"), *order, *extra
     )
-    bucket = F.struct("l_shipdate", F.expr(f"l_orderkey div {ORDER_BUCKET}").alias("slice"))
-    return number_rows(rows, ["series_id"], order, bucket).select(
+    return number_rows(rows, ["series_id"], order, F.expr(DAY_AND_ORDER)).select(
         "series_id", "t", F.col("l_extendedprice").alias("x"), *extra
     )
 
@@ -51,9 +55,7 @@ def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def number_frames(df: DataFrame) -> DataFrame:
     """Add `frame`, the position of a vector in its recording."""
-    return number_rows(
-        df, ["recording_id"], ["vec_id"], F.expr(f"vec_id div {VEC_BUCKET}"), "frame"
-    )
+    return number_rows(df, ["recording_id"], ["vec_id"], F.col("vec_id"), "frame")
 
 
 def embedding_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
