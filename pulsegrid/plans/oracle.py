@@ -666,8 +666,8 @@ ORACLE["method_cascade"] = (
   CAST(CASE WHEN rn IS NOT NULL THEN 0.9 WHEN s = h THEN 0.8 WHEN s IS NOT NULL THEN 0.7 WHEN h IS NOT NULL THEN 0.6
     WHEN f IS NOT NULL THEN 0.5 ELSE 0.0 END AS DOUBLE) AS confidence
 FROM (
-  SELECT em.recording_id, em.vec_id, CASE WHEN em.vec_id % 3 <> 0 THEN rb.note END AS rn, rb.method,
-    CASE WHEN em.vec_id % 6 <> 0 THEN sn.note END AS s, CASE WHEN em.vec_id % 12 <> 0 THEN hp.note END AS h, fn.note AS f
+  SELECT em.recording_id, em.vec_id, CASE WHEN rb.method LIKE '%corrected)' THEN rb.note END AS rn, rb.method,
+    CASE WHEN sn.note >= 60 THEN sn.note END AS s, hp.note AS h, fn.note AS f
   FROM em LEFT JOIN rb USING (vec_id) LEFT JOIN sn USING (vec_id) LEFT JOIN hp USING (vec_id) LEFT JOIN fn USING (vec_id))"""
 )
 

@@ -688,16 +688,15 @@ def octave_select(spark, sf_dir):
 
 @query
 def method_cascade(spark, sf_dir):
-    """The cascade with the vote hidden from every third vector, so that all branches occur."""
-    picked = T.pick_notes(_estimates(spark, sf_dir), n=BINS).withColumn(
-        "shown", F.expr("if(vec_id % 3 = 0, null, robust)")
-    )
-    simple = "if(vec_id % 6 = 0, null, CQT_Simple)"
-    hps = "if(vec_id % 12 = 0, null, HPS)"
-    return (
-        picked.withColumns({"simple": F.expr(simple), "hps": F.expr(hps)})
-        .withColumn("pick", F.expr(fusion.cascade("shown", "simple", "hps", "FFT")))
-        .select(*FRAME, "pick.note", "pick.method", "pick.confidence")
+    """The cascade trusting only octave-corrected votes and only sums from C4 up."""
+    picked = T.pick_notes(_estimates(spark, sf_dir), n=BINS).withColumns(
+        {
+            "vote": F.expr("if(robust.method like '%corrected)', robust, null)"),
+            "simple": F.expr("if(CQT_Simple >= 60, CQT_Simple, null)"),
+        }
+    )
+    return picked.withColumn("pick", F.expr(fusion.cascade("vote", "simple", "HPS", "FFT"))).select(
+        *FRAME, "pick.note", "pick.method", "pick.confidence"
     )
 
 

@@ -15,6 +15,7 @@ from pulsegrid.constants import (
     ALLOWED_CONTENT_TYPES,
     ANALYSIS_DELAY,
     BITS_PER_SAMPLE,
+    CHANNELS,
     DEFAULT_EXTENSION,
     FRAME_SIZE,
     HIGHPASS_ALPHA,
@@ -101,22 +102,26 @@ def quarantine(
     )
 
 
-def pcm16(content: bytes) -> np.ndarray:
-    """Little-endian 16-bit samples in [-1, 1)."""
-    return np.frombuffer(content, dtype="<i2").astype(np.float64) / 32768.0
+def pcm(content: bytes, width: int = 2) -> np.ndarray:
+    """Little-endian PCM samples of `width` bytes in [-1, 1); single bytes are unsigned."""
+    if width == 1:
+        return (np.frombuffer(content, dtype="u1").astype(np.float64) - 128.0) / 128.0
+    if width == 3:
+        packed = np.frombuffer(content, dtype="u1").reshape(-1, 3)
+        content = np.pad(packed, ((0, 0), (1, 0))).tobytes()
+        width = 4
+    return np.frombuffer(content, dtype=f"<i{width}") / float(1 << (8 * width - 1))
 
 
 def _read(content: bytes, raw: bool, raw_rate: int) -> tuple[np.ndarray, int, int]:
     if raw:
-        return pcm16(content)[:, None], raw_rate, 1
+        return pcm(content, BITS_PER_SAMPLE // 8)[:, None], raw_rate, CHANNELS
     with wave.open(io.BytesIO(content)) as w:
-        if w.getsampwidth() * 8 != BITS_PER_SAMPLE:
-            raise ValueError(f"Expected {BITS_PER_SAMPLE} bit samples, got {8 * w.getsampwidth()}")
-        declared, channels = w.getnframes(), w.getnchannels()
+        declared, channels, width = w.getnframes(), w.getnchannels(), w.getsampwidth()
         body = w.readframes(declared)
-        if len(body) < declared * channels * 2:
+        if len(body) < declared * channels * width:
             raise ValueError("Truncated file")
-        return pcm16(body).reshape(-1, channels), w.getframerate(), channels
+        return pcm(body, width).reshape(-1, channels), w.getframerate(), channels
 
 
 def highpass_block(x: np.ndarray, alpha: float = HIGHPASS_ALPHA, block: int = 2048) -> np.ndarray:

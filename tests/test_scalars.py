@@ -89,3 +89,12 @@ def test_long_recordings_give_several_documents(spark):
     assert got["r", 0].note_names == "D4" and got["r", 1].note_names == "C4"
     assert got["r", 0].onset_times == [5.0, float(part - 1)]
     assert got["empty", 0].note_names == "None detected" and got["empty", 0].n_onsets == 0
+
+
+def test_pcm_widths():
+    values = np.array([-1.0, -0.5, 0.0, 0.25])
+    whole = {w: (values * (1 << (8 * w - 1))).astype(int) for w in (2, 3, 4)}
+    packed = {w: b"".join(int(v).to_bytes(w, "little", signed=True) for v in v_) for w, v_ in whole.items()}
+    packed[1] = bytes(int(v * 128 + 128) for v in values)
+    for width, content in packed.items():
+        assert list(R.pcm(content, width)) == list(values)
