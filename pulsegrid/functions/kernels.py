@@ -138,6 +138,25 @@ def chroma(size: int, base_class: int = 0):
     return folded
 
 
+def similarities(weights: np.ndarray, best: bool):
+    """Products of a vector with the columns of a fixed matrix, to whole billionths.
+
+    With `best` only the largest one and its column number, the first one on ties.
+    """
+
+    @kernel_udf
+    def products(vector: pa.Array) -> pa.Array:
+        def kernel(x):
+            scores = np.floor(x @ weights * 1e9 + 0.5)
+            if best:
+                return np.column_stack([scores.max(axis=1) / 1e9, scores.argmax(axis=1)])
+            return scores / 1e9
+
+        return _by_length(vector, kernel)
+
+    return products
+
+
 @kernel_udf
 def mismatch_errors(freq: pa.Array, mag: pa.Array, trial: pa.Array) -> pa.Array:
     """Two-way mismatch of the peaks of a row against each of its trial fundamentals.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.constants import CHORD_INTERVALS, ROOTS
 from pulsegrid.functions import arrays as A
+from pulsegrid.functions.kernels import similarities
 from pulsegrid.functions.scalars import ROOT_ARRAY
 
 QUALITIES = list(CHORD_INTERVALS)
@@ -46,14 +48,13 @@ def chord_templates(spark: SparkSession) -> DataFrame:
     )
 
 
-def template_scores(chroma: str) -> str:
-    """Similarity to each template in number order, in whole billionths so that equal chords tie."""
-    terms = []
+def template_matrix() -> np.ndarray:
+    """Unit-norm templates as columns, `(12, 108)`."""
+    weights = np.zeros((12, N_TEMPLATES))
     for tid in range(N_TEMPLATES):
         classes = template_classes(tid)
-        parts = " + ".join(f"{chroma}[{pc}]" for pc in classes)
-        terms.append(f"cast(({parts}) * {len(classes) ** -0.5!r}D * 1e9D + 0.5D as bigint)")
-    return f"array({', '.join(terms)})"
+        weights[classes, tid] = len(classes) ** -0.5
+    return weights
 
 
 def template_label(tid: str) -> str:
@@ -68,17 +69,18 @@ def match_chords(df: DataFrame, chroma: str = "chroma", scores: str | None = Non
 
     `scores` keeps the similarities of all templates under that name.
     """
-    out = (
-        df.withColumn("_scores", F.expr(template_scores(chroma)))
-        .withColumn("_best", F.expr("array_max(_scores)"))
-        .withColumn("chord_score", F.col("_best") / 1e9)
-        .withColumn("tid", F.expr("coalesce(cast(array_position(_scores, _best) - 1 as int), 0)"))
+    weights = template_matrix()
+    if scores:
+        df = df.withColumn(scores, similarities(weights, best=False)(chroma))
+    # Rows without chroma get number 0 and no score.
+    return (
+        df.withColumn("_best", similarities(weights, best=True)(chroma))
+        .withColumn("chord_score", F.expr("get(_best, 0)"))
+        .withColumn("tid", F.expr("coalesce(cast(get(_best, 1) as int), 0)"))
         .withColumn("label", F.expr(template_label("tid")))
-        .withColumn("root_pc", F.expr(root_of_label("label")))
+        .withColumn("root_pc", F.expr(f"cast(tid div {len(QUALITIES)} as int)"))
+        .drop("_best")
     )
-    if scores:
-        out = out.withColumn(scores, F.expr("transform(_scores, v -> v / 1e9D)"))
-    return out.drop("_scores", "_best")
 
 
 def root_of_label(label: str) -> str:

@@ -413,7 +413,11 @@ def chord_inversion(spark, sf_dir):
         _matched(spark, sf_dir)
         .withColumn("bass_pc", F.expr(chords.bass_class("mag")))
         .select(
-            *FRAME, "label", "root_pc", "bass_pc", expr(chords.inversion("bass_pc", "root_pc"), "inversion")
+            *FRAME,
+            "label",
+            expr(chords.root_of_label("label"), "root_pc"),
+            "bass_pc",
+            expr(chords.inversion("bass_pc", "root_pc"), "inversion"),
         )
     )
 
