@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,7 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Segment rows hold about 160,000 samples: batches are bounded in bytes.
+    # Segment rows hold about 600,000 samples: batches are bounded in bytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
@@ -33,10 +34,12 @@ _temporary_roots: dict[str, str] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for stage tables; a temporary one only where the cluster names none."""
+    """Shared folder for stage tables; a temporary one only where driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _temporary_roots:
         _temporary_roots[app] = tempfile.mkdtemp(prefix="pulsegrid-stage-")
@@ -55,6 +58,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Remove all stage tables under the shared folder, once results that read them are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{stage_root(spark).rstrip('/')}/pulsegrid")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 
