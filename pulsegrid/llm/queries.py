@@ -4,21 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import sharding
+from pulsegrid.llm import chat, langid, sharding
+
+#: Arrow batches of texts are bounded in bytes as well as in rows.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
+
+def remainder(modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo `modulus`; a null id reads as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`lang_pred` is the best language even where the operator rejects it (`rejected`, `lang`)."""
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(5) == 0
+    model = langid.fit(docs, train=~held_out)
+    found = langid.identify(docs, model, held_out)
+    return found.select("doc_id", "held_out", F.col("lang_best").alias("lang_pred"), "score", "lang", "margin", "rejected")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    turns = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_chats(turns))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+
+def _chat_sql() -> str:
+    template = chat.Template()
+
+    def escaped(column: str) -> str:
+        out = f"replace({column}, '\\', '\\\\')"
+        for s in template.strings():
+            out = f"replace({out}, '{s}', '{s[0]}\\{s[1:]}')"
+        return out
+
+    marks = len(template.open) + len(template.sep) + len(template.close)
+    said = "</s>[INST] ok [/INST]"
+    return f"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', '{said}'
+            union all select -1, 1, 'assistant', '{said}'
+        ),
+        joined as (
+            select conv_id,
+                   count(*) as n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as whole,
+                   coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as learned,
+                   cast(sum({marks} + length({escaped('role')}) + length({escaped('text')})) as bigint) as formatted_chars
+            from turns group by conv_id
+        )
+        select conv_id, n_turns, sha256(whole) as turns_sha256, length(learned) as loss_chars,
+               sha256(learned) as loss_sha256, formatted_chars
+        from joined
+    """
+
+
+ORACLE: dict[str, str] = {"op2_chat_format": _chat_sql()}
