@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, langid, sharding
+from pulsegrid.llm import chat, langid, neardup, sharding
 
 #: Arrow batches of texts are bounded in bytes as well as in rows.
 BATCHES = {
@@ -50,10 +50,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 
@@ -88,4 +94,34 @@ def _chat_sql() -> str:
     """
 
 
-ORACLE: dict[str, str] = {"op2_chat_format": _chat_sql()}
+_NEAR_DUPLICATES = """
+    with recursive words as (
+        select doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), x -> x <> '') as w
+        from documents
+    ),
+    shingles as (
+        select distinct doc_id, unnest(case
+            when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+        from words
+    ),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    shared as (
+        select a.doc_id as a, b.doc_id as b, count(*) as n_both
+        from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all
+    ),
+    links as (
+        select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+        where 100 * n_both >= 75 * (x.n + y.n - n_both)
+    ),
+    reach(doc_id, other) as (
+        select doc_id, doc_id from documents
+        union select reach.doc_id, links.b from reach join links on reach.other = links.a
+    )
+    select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id, d.doc_id = min(other) as kept
+    from documents d join reach using (doc_id) left join sizes using (doc_id) group by d.doc_id
+"""
+
+
+ORACLE: dict[str, str] = {"op2_chat_format": _chat_sql(), "op8_minhash_near_dedup": _NEAR_DUPLICATES}
