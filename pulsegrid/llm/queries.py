@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, langid, neardup, sharding
+from pulsegrid.llm import chat, langid, neardup, packing, sharding
 
 #: Arrow batches of texts are bounded in bytes as well as in rows.
 BATCHES = {
@@ -50,6 +50,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of `docs` with a checksum instead of their ids."""
+    pieces = packing.pack_documents(docs, tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
+    "op5_packing": op5_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
@@ -97,12 +115,12 @@ def _chat_sql() -> str:
 _NEAR_DUPLICATES = """
     with recursive words as (
         select doc_id, list_filter(regexp_split_to_array(
-            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), x -> x <> '') as w
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') as w
         from documents
     ),
     shingles as (
         select distinct doc_id, unnest(case
-            when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
             when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
         from words
     ),
