@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, langid, neardup, packing, sharding
+from pulsegrid.llm import chat, langid, neardup, packing, sharding, toxicity
 
 #: Arrow batches of texts are bounded in bytes as well as in rows.
 BATCHES = {
@@ -67,6 +67,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels, train=remainder(3) != 1)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select(F.col("doc_id").cast("long"), (remainder(3) == 1).alias("held_out"), "text")
+    predicted = (F.col("score") >= toxicity.Settings.threshold).cast("int")
+    return toxicity.score(rows, model, ["doc_id", "held_out"]).withColumn("predicted", predicted)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
