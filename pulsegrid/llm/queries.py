@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, langid, neardup, packing, sharding, toxicity
+from pulsegrid.llm import chat, decontaminate, langid, neardup, packing, sharding, toxicity
 
 #: Arrow batches of texts are bounded in bytes as well as in rows.
 BATCHES = {
@@ -50,6 +50,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
