@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, decontaminate, langid, neardup, packing, sharding, toxicity
+from pulsegrid.llm import chat, decontaminate, langid, licences, neardup, packing, sharding, toxicity
 
 #: Arrow batches of texts are bounded in bytes as well as in rows.
 BATCHES = {
@@ -85,6 +85,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, model, ["doc_id", "held_out"]).withColumn("predicted", predicted)
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_licence_scan": op7_licence_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
