@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, decontaminate, langid, licences, neardup, packing, sharding, toxicity
+from pulsegrid.llm import chat, decontaminate, langid, licences, neardup, neighbours, packing, sharding, toxicity
 
 #: Arrow batches of texts are bounded in bytes as well as in rows.
 BATCHES = {
@@ -95,6 +95,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_licence_scan": op7_licence_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
 
