@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, decontaminate, langid, licences, neardup, neighbours, packing, sharding, toxicity
+from pulsegrid.llm import chat, decontaminate, langid, licences, neardup, neighbours, packing, privacy, sharding, toxicity
 
 #: Arrow batches of texts are bounded in bytes as well as in rows.
 BATCHES = {
@@ -100,6 +100,12 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return privacy.sanitise(docs, ["doc_id"]).drop("masked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licence_scan": op7_licence_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_personal_data": op10_personal_data,
 }
 
 
