@@ -17,7 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.stream import record_batch
@@ -221,34 +222,62 @@ def _matches(block, words: np.ndarray, index: Index, s: Settings) -> Iterator[tu
         yield d, i, found, begin, end
 
 
+def _indexes(spark: SparkSession, benchmark: DataFrame, s: Settings) -> Iterator[Broadcast]:
+    """Broadcast indexes of the benchmark, one for each pass of at most about `block_items` items."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    passes = max(1, -(-items.count() // s.block_items))
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(Index([r["item_id"] for r in part], [r["text"] for r in part], s))
+
+
+def _found(texts: pa.Array, index: Index, s: Settings) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, distance, start word, end word) of all matches in a batch of texts."""
+    for block in word_blocks(texts, ALNUM):
+        if len(block.start):
+            for d, *rest in _matches(block, folded_words(block), index, s):
+                yield block.lo + d, *rest
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """One row for each document and benchmark item (doc_id, text; item_id, text) that match.
 
-    Words are runs of letters and digits, case-folded. `distance` is the smallest edit distance in words of the item to a run
-    of the document's words around a candidate window; `end_word` is where the first such run ends, `start_word` as many words before as the
-    item has. Null and empty texts on either side match nothing; repeated rows and items are matched each. An item of fewer than
-    1 / rate words matches only itself. No row is shuffled.
+    Words are runs of letters and digits, case-folded. `distance` is the smallest edit distance in words of the item to a
+    run of the document's words around a candidate window; `end_word` is where the first such run ends, `start_word` as
+    many words before as the item has. Null and empty texts on either side match nothing; repeated rows and items are
+    matched each. An item of fewer than 1 / rate words matches only itself. No row is shuffled.
     """
     s = settings or Settings()
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    passes = max(1, -(-items.count() // s.block_items))
     out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in part], [r["text"] for r in part], s))
+    for index in _indexes(docs.sparkSession, benchmark, s):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            held = index.value
             for batch in batches:
-                ids, rows = batch.column(0).to_pylist(), []
-                for block in word_blocks(batch.column(1), ALNUM):
-                    if not len(block.start):
-                        continue
-                    for d, i, found, begin, end in _matches(block, folded_words(block), index.value, s):
-                        rows.append((ids[block.lo + d], index.value.ids[i], found, len(index.value.words[i]), begin, end))
+                ids = batch.column(0).to_pylist()
+                rows = [
+                    (ids[row], held.ids[i], edits, len(held.words[i]), begin, end)
+                    for row, i, edits, begin, end in _found(batch.column(1), held, s)
+                ]
                 if rows:
                     yield record_batch(_SCHEMA, list(zip(*rows, strict=True)))
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
         out = found if out is None else out.union(found)
     return out
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text matches no benchmark item; no row is shuffled."""
+    s = settings or Settings()
+    text = docs.columns.index("text")
+    for index in _indexes(docs.sparkSession, benchmark, s):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[row for row, *_ in _found(batch.column(text), index.value, s)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

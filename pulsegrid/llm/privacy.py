@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulsegrid.llm.stream import record_batch
 from pulsegrid.llm.text import code_points, mix, utf8, word_blocks
@@ -273,7 +274,7 @@ def sanitise(docs: DataFrame, keep: list[str], settings: Settings | None = None)
         rows = rows.join(found, F.col("__id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark")), "left")
     rows = rows.select(*[f"k_{c}" for c in keep], F.col("__text"), "terms")
     kept = [f"k_{c}" for c in keep]
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), FIELDS])
+    schema = StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL(FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = hashlib.sha256(b"").hexdigest()

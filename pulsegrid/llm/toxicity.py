@@ -231,9 +231,9 @@ def learn_lexicon(rows: DataFrame, s: Settings) -> Lexicon:
 
 
 def measure(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """The `keep` columns of `docs` and `features` of its texts."""
-    kept = docs.select(*keep, "text")
-    schema = StructType([*kept.drop("text").schema, StructField("features", ArrayType(DoubleType()))])
+    """The `keep` columns of `docs`, which may hold the text too, and `features` of its texts."""
+    kept = docs.select(*keep, F.col("text").alias("__measured"))
+    schema = StructType([*kept.drop("__measured").schema, StructField("features", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Measure(lexicon)
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, settings: Settings |
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The `keep` columns of `docs` (without text) and the `score` (0 to 1) of each whole text; null reads as empty.
+    """The `keep` columns of `docs` and the `score` (0 to 1) of each whole text; null reads as empty.
 
     One row for each row; nothing is shuffled.
     """
