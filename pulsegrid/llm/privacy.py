@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pulsegrid.llm.stream import record_batch
-from pulsegrid.llm.text import code_points, mix, utf8, word_blocks
+from pulsegrid.llm.text import HashSet, code_points, mix, utf8, word_blocks
 from pulsegrid.session import stage_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -40,7 +40,8 @@ _LETTERS[97:123] = _LETTERS[128:] = True
 class Settings:
     """A term needs `support` different contexts with an entity, `share` of its documents and `bits` of information.
 
-    `reach` words on either side of an entity are its context. `bits_table` bounds the tables that are broadcast.
+    `reach` words on either side of an entity are its context. `bits_table` bounds the tables that are broadcast; up to
+    `broadcast_terms` disclosing terms (16 bytes each) are broadcast, more are joined with their occurrences.
     """
 
     reach: int = 8
@@ -50,6 +51,7 @@ class Settings:
     bits: float = 3.0
     remove_share: float = 0.9
     bits_table: int = 20
+    broadcast_terms: int = 1_000_000
 
 
 def luhn(digits: str) -> bool:
@@ -234,6 +236,28 @@ def term_spans(docs: DataFrame, terms: DataFrame, s: Settings) -> DataFrame:
     return hits.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("hit")).alias("terms"))
 
 
+def _collected(terms: DataFrame, s: Settings) -> tuple[HashSet, np.ndarray]:
+    """A bounded number of terms, and which of them are removed, by rank."""
+    held = terms.orderBy("term").toArrow()
+    hashes = held["term"].to_numpy().view(np.uint64)
+    return HashSet(hashes, s.bits_table), (held["share"].to_numpy() >= s.remove_share)[np.argsort(hashes)]
+
+
+def _occurrences(texts: pa.Array, terms: HashSet, remove: np.ndarray) -> dict[int, list[tuple[int, int, int, bool]]]:
+    """Spans (start, kind, end, remove) of the terms in each row of a batch that holds some."""
+    out: dict[int, list[tuple[int, int, int, bool]]] = {}
+    for block in word_blocks(texts, _LETTERS):
+        at, rank = terms.find(block.hashes())
+        if not len(at):
+            continue
+        chars, owner = code_points(block.data), block.owner()[at]
+        base = chars[block.begin[owner]]
+        spans = (chars[block.start[at]] - base, chars[block.end[at]] - base, remove[rank])
+        for row, a, b, gone in zip((block.lo + owner).tolist(), *(x.tolist() for x in spans), strict=True):
+            out.setdefault(row, []).append((a, 4, b, gone))
+    return out
+
+
 def masked(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
     """The text with base spans and generalised terms replaced by their kind in brackets, and removed terms left out.
 
@@ -265,9 +289,11 @@ def sanitise(docs: DataFrame, keep: list[str], settings: Settings | None = None)
     """
     s = settings or Settings()
     terms = disclosing_terms(docs, s)
+    few = terms is not None and terms.count() <= s.broadcast_terms
+    lexicon = docs.sparkSession.sparkContext.broadcast(_collected(terms, s) if few else None)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), *[F.col(c).alias(f"k_{c}") for c in keep], "text"))
     hit_type = "array<struct<start:bigint,end:bigint,remove:boolean>>"
-    if terms is None:
+    if terms is None or few:
         rows = rows.withColumn("terms", F.lit(None).cast(hit_type))
     else:
         found = term_spans(docs, terms, s).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
@@ -280,14 +306,15 @@ def sanitise(docs: DataFrame, keep: list[str], settings: Settings | None = None)
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             n, texts, hits = batch.num_rows, batch.column(len(kept)), batch.column(len(kept) + 1)
+            inside = _occurrences(texts, *lexicon.value) if lexicon.value else {}
             counts = np.zeros((4, n), dtype=np.int64)
             digest, listed = [nothing] * n, [""] * n
             clean: dict[int, str] = {}
-            rows = np.union1d(with_signs(texts), np.flatnonzero(np.asarray(hits.is_valid())))
-            for row in rows.tolist():
+            found = np.union1d(with_signs(texts), np.flatnonzero(np.asarray(hits.is_valid())))
+            for row in sorted({*found.tolist(), *inside}):
                 text = texts[row].as_py()
                 base = base_spans(text)
-                more = [(x["start"], 4, x["end"], x["remove"]) for x in hits[row].as_py() or []]
+                more = inside.get(row) or [(x["start"], 4, x["end"], x["remove"]) for x in hits[row].as_py() or []]
                 if not base and not more:
                     continue
                 for _, kind, _ in base:
