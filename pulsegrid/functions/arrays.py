@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 
 def bind(value: str, name: str, body: str) -> str:
     """Evaluate `value` once per row and use it as `name` in `body`."""
@@ -28,9 +31,8 @@ def multiply(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (u, v) -> u * v)"
 
 
+@lru_cache(maxsize=16)
 def hann(size: int, periodic: bool) -> str:
-    """Hann taper; denominator `size` when periodic, else `size - 1`."""
-    return (
-        f"transform(sequence(0, {size - 1}), "
-        f"i -> 0.5D - 0.5D * cos(2 * pi() * i / {size if periodic else size - 1}D))"
-    )
+    """Hann taper as an array of literals; denominator `size` when periodic, else `size - 1`."""
+    step = 2 * math.pi / (size if periodic else max(size - 1, 1))
+    return "array(" + ", ".join(f"{0.5 - 0.5 * math.cos(step * i)!r}D" for i in range(size)) + ")"

@@ -42,6 +42,10 @@ def _by_length(col: pa.Array, kernel) -> pa.Array:
     sizes = np.diff(col.offsets.to_numpy())
     flat = col.values.to_numpy(zero_copy_only=False)
     starts = col.offsets.to_numpy()[:-1]
+    if len(col) and not col.null_count and sizes[0] and (sizes == sizes[0]).all():
+        out = kernel(flat[starts[0] : starts[0] + sizes.sum()].reshape(len(col), -1).astype(np.float64, copy=False))
+        ends = np.arange(len(col) + 1, dtype=np.int32) * np.int32(out.shape[1])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(out).ravel()))
     valid = ~np.asarray(col.is_null())
     rows: list = [None] * len(col)
     for size in np.unique(sizes[valid]) if valid.any() else []:
@@ -166,24 +170,38 @@ def mismatch_errors(freq: pa.Array, mag: pa.Array, trial: pa.Array) -> pa.Array:
     """
 
     def error(f, m, f0):
+        """Rows with equally many peaks and trials: `f`, `m` (rows, peaks) and `f0` (rows, trials)."""
         h = np.arange(1, 11)
-        audible = f0[:, None] * h <= SAMPLE_RATE / 2
-        gaps = np.abs(f[None, None, :] - (f0[:, None] * h)[:, :, None]).min(axis=2)
-        nearest = np.rint(f[None, :] / f0[:, None])
-        used = (f[None, :] >= 0.8 * f0[:, None]) & (nearest >= 1) & (nearest <= 10)
-        off = np.where(used, np.abs(f[None, :] - f0[:, None] * nearest) * m[None, :], 0.0)
-        return (np.where(audible, gaps, 0.0).sum(axis=1) + off.sum(axis=1)) / (audible.sum(axis=1) + 1)
-
-    out = []
-    for f, m, f0 in zip(freq, mag, trial):
-        peaks = f.values.to_numpy(zero_copy_only=False)
-        trials = f0.values.to_numpy(zero_copy_only=False)
-        if len(peaks):
-            out.append(error(peaks, m.values.to_numpy(zero_copy_only=False), trials))
-        else:
-            out.append(np.full(len(trials), 1e6))
-    offsets = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
+        harmonic = f0[:, :, None] * h
+        audible = harmonic <= SAMPLE_RATE / 2
+        # The nearest peak is one of the two that a harmonic falls between.
+        order = np.argsort(f, axis=1)
+        f, m = np.take_along_axis(f, order, 1), np.take_along_axis(m, order, 1)
+        gaps = np.empty_like(harmonic)
+        for i, (row, wanted) in enumerate(zip(f, harmonic, strict=True)):
+            right = np.searchsorted(row, wanted)
+            gaps[i] = np.minimum(
+                np.abs(row[np.minimum(right, len(row) - 1)] - wanted), np.abs(row[np.maximum(right - 1, 0)] - wanted)
+            )
+        nearest = np.rint(f[:, None, :] / f0[:, :, None])
+        used = (f[:, None, :] >= 0.8 * f0[:, :, None]) & (nearest >= 1) & (nearest <= 10)
+        off = np.where(used, np.abs(f[:, None, :] - f0[:, :, None] * nearest) * m[:, None, :], 0.0)
+        return (np.where(audible, gaps, 0.0).sum(axis=2) + off.sum(axis=2)) / (audible.sum(axis=2) + 1)
+
+    peaks, trials = (np.diff(c.offsets.to_numpy()) for c in (freq, trial))
+    flat = [c.values.to_numpy(zero_copy_only=False) for c in (freq, mag, trial)]
+    starts = [c.offsets.to_numpy()[:-1] for c in (freq, mag, trial)]
+    out: list = [np.full(n, 1e6) for n in trials]
+    for p, n in np.unique(np.stack([peaks, trials], axis=1), axis=0):
+        if not p or not n:
+            continue
+        same = np.flatnonzero((peaks == p) & (trials == n))
+        for part in np.array_split(same, -(-len(same) * p * n // (1 << 20))):
+            rows = [x[s[part][:, None] + np.arange(k)] for x, s, k in zip(flat, starts, (p, p, n), strict=True)]
+            for i, e in zip(part, error(*rows), strict=True):
+                out[i] = e
+    offsets = np.concatenate([[0], np.cumsum(trials)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0)))
 
 
 def fourier_resample(target: int):
@@ -353,15 +371,21 @@ def events_between(
     `values[0]` is at position `first`; the values reach back over the trailing window.
     `slack` lowers the threshold by that share.
     """
-    found = []
-    for p in range(max(1, start), first + len(values) - 1):
-        i = p - first
-        if values[i] > values[i - 1] and values[i] > values[i + 1]:
-            trail = values[max(0, 1 - first, i - window + 1) : i + 1]
-            threshold = trail.mean() + k * trail.std()
-            if values[i] > threshold * (1 - slack):
-                found.append((p, float(threshold)))
-    return found
+    values = np.asarray(values, dtype=np.float64)
+    i = np.flatnonzero((values[1:-1] > values[:-2]) & (values[1:-1] > values[2:])) + 1
+    i = i[first + i >= max(1, start)]
+    if not len(i):
+        return []
+    # Trailing values of each maximum; those before the window, the data or position 1 are left out.
+    at = i[:, None] - np.arange(window - 1, -1, -1)
+    inside = at >= max(0, 1 - first)
+    trail = np.where(inside, values[np.maximum(at, 0)], 0.0)
+    n = inside.sum(axis=1)
+    mean = trail.sum(axis=1) / n
+    spread = np.sqrt((np.where(inside, trail - mean[:, None], 0.0) ** 2).sum(axis=1) / n)
+    threshold = mean + k * spread
+    over = values[i] > threshold * (1 - slack)
+    return list(zip((first + i[over]).tolist(), threshold[over].tolist(), strict=True))
 
 
 def frame_features(frames_per_segment: int):

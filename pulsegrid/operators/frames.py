@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,6 @@ from pulsegrid.functions import arrays as A
 from pulsegrid.operators.series import over_segments, segment_arrays
 
 SEGMENT_HOPS = 128
-HIGHPASS_REACH = 512
 
 
 def highpass(
@@ -26,20 +26,24 @@ def highpass(
 ) -> DataFrame:
     """One-pole high-pass `y[n] = x[n] - x[n-1] + alpha * y[n-1]`, `y[0] = x[0]`.
 
-    Unrolled: `y[n] = x[n] - (1 - alpha) * sum_{k>=1} alpha^(k-1) * x[n-k]`. The sum is
-    a running one inside a segment, with values scaled by `alpha^-position`. What
-    lies further back than the halo weighs less than alpha^512, about 4e-12.
+    Unrolled: `y[n] = x[n] - (1 - alpha) * sum_{k>=1} alpha^(k-1) * x[n-k]`. The sum is a running one inside a
+    segment, with values scaled by `alpha^-position`. The halo reaches as far back as weights are
+    above 1e-12, and segments are short enough for the scale to stay finite, whatever `alpha` in (0, 1) is.
     """
-    length = 4096
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
+    decay = -math.log(alpha)
+    reach = max(1, math.ceil(math.log(1e12) / decay))
+    length = max(reach, min(4096, int(600 / decay) - reach))
 
     def compute(rows, w):
-        local = F.expr(f"{pos} - _seg * {length} + {HIGHPASS_REACH}")
+        local = F.expr(f"{pos} - _seg * {length} + {reach}")
         scaled = F.col(value) * F.pow(F.lit(alpha), -(local + 1))
         history = F.sum(scaled).over(w.rowsBetween(W.unboundedPreceding, -1))
         weighted = F.coalesce(history, F.lit(0.0)) * F.pow(F.lit(alpha), local)
         return rows.withColumn(name, F.col(value) - F.lit(1 - alpha) * weighted)
 
-    return over_segments(df, keys, pos, HIGHPASS_REACH, 0, compute, length)
+    return over_segments(df, keys, pos, reach, 0, compute, length)
 
 
 def sliding_frames(

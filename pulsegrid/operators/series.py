@@ -9,48 +9,55 @@ a window with a bounded frame sees all the rows it needs.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from pulsegrid.session import stage_table
+
 SEGMENT = 4096
 JOIN_SPAN = 1 << 20
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match each other; the key columns of `left` are kept."""
+    named = {c: f"_right_{c}" for c in on}
+    right = right.withColumnsRenamed(named)
+    same = [left[c].eqNullSafe(right[named[c]]) for c in on]
+    return left.join(right, reduce(and_, same), how).drop(*named.values())
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    position: Column,
     name: str = "t",
     rows_per_slice: int = 1 << 20,
 ) -> DataFrame:
-    """Add the 0-based position of each row in its key's order.
+    """Add the 0-based position of each row in its key's order; NULL keys are keys, NULLs come first.
 
-    `position` is a BIGINT that rises with `order` (seconds, an id). Its range is cut into
-    slices of about `rows_per_slice` rows of all keys; rows are ranked inside (key, slice) and
-    the sizes of the earlier slices of the key are added. Only the sizes, one row per key and
-    slice, are ever windowed by key. The slice width comes from a scalar subquery.
+    A table of at most `rows_per_slice` rows is ranked by one window. A larger one is range-partitioned by key and
+    order into slices of about that many rows, however keys and order values crowd, and staged once so that
+    all uses see the same slices. Rows are ranked inside (key, slice) and the sizes of the key's
+    earlier slices are added; only the sizes, one row per key and slice, are windowed by key.
     """
-    width = (
-        df.select(position.alias("p"))
-        .agg(F.expr(f"(max(p) - min(p)) div greatest(1, count(1) div {rows_per_slice}) + 1"))
-        .scalar()
-    )
-    # Rows without a position come first, as NULLs do in the order.
-    first = F.lit(-(1 << 62))
-    sliced = df.withColumn("_slice", F.coalesce(F.floor(position / width), first))
+    slices = -(-df.count() // rows_per_slice)
+    if slices <= 1:
+        whole = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, (F.row_number().over(whole) - 1).cast("bigint"))
+    ranged = df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
+    sliced = stage_table(ranged, "slices")
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
-    )
+    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    ranked = sliced.withColumn("_rank", F.row_number().over(inside) - 1)
     return (
-        sliced.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_slice"])
+        null_safe_join(ranked, offsets, [*keys, "_slice"])
         .withColumn(name, (F.col("_rank") + F.col("_offset")).cast("bigint"))
         .drop("_slice", "_rank", "_offset")
     )
@@ -120,11 +127,11 @@ def attach_totals(
 def join_by_span(
     df: DataFrame, per_key: DataFrame, keys: Sequence[str], pos: str, last: str, span: int = JOIN_SPAN
 ) -> DataFrame:
-    """Inner join of rows with a one-row-per-key table, spread over spans of positions."""
+    """Inner join of rows with a one-row-per-key table, spread over spans of positions; NULL keys match."""
     spread = per_key.withColumn(
         "_span", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"{last} div {span}")))
     )
-    return df.withColumn("_span", F.expr(f"{pos} div {span}")).join(spread, [*keys, "_span"]).drop("_span")
+    return null_safe_join(df.withColumn("_span", F.expr(f"{pos} div {span}")), spread, [*keys, "_span"]).drop("_span")
 
 
 def segment_arrays(
@@ -141,18 +148,18 @@ def segment_arrays(
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", bins_per_unit: int = 1 << 14
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", bins_per_octave: int = 64
 ) -> DataFrame:
-    """Exact median per key by counting, without gathering a key's values.
+    """Exact median per key by counting, without gathering a key's values; NULLs do not count.
 
-    Equal values are counted together first. Counts per value bin find the bins
-    that hold the middle ranks, and only the values of those bins are ordered.
+    Equal values are counted together first. Bins are fractions of an octave, so values that crowd near zero
+    part as well as large ones do. Counts per bin find the bins that hold the middle
+    ranks, and only the values of those bins are ordered. A key without a value has median NULL.
     """
+    octave = f"cast(floor(log2(abs({value})) * {bins_per_octave}) as bigint) + {1100 * bins_per_octave}"
+    part = F.expr(f"case when {value} > 0 then {octave} when {value} < 0 then -({octave}) else 0 end")
     values = (
-        df.groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        # Never NULL, so that both uses below keep the same plan and share one shuffle.
-        .withColumn("_bin", F.coalesce(F.floor(F.col(value) * bins_per_unit), F.lit(-1)))
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", part)
     )
     running = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
     holding = (
@@ -166,7 +173,7 @@ def exact_median(
     )
     inside = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     ranked = (
-        values.join(holding, [*keys, "_bin"])
+        null_safe_join(values, holding, [*keys, "_bin"])
         .withColumn("_hi", F.col("_below") + F.sum("_n").over(inside))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
     )
@@ -174,6 +181,6 @@ def exact_median(
     def at(rank: str) -> Column:
         return F.max(F.expr(f"if(_lo <= {rank} and {rank} < _hi, {value}, null)"))
 
-    return ranked.groupBy(*keys).agg(
-        ((at("(_total - 1) div 2") + at("_total div 2")) / 2).alias(name)
-    )
+    found = ranked.groupBy(*keys).agg(((at("(_total - 1) div 2") + at("_total div 2")) / 2).alias(name))
+    without = df.groupBy(*keys).agg(F.count(value).alias("_n")).where("_n = 0")
+    return found.unionByName(without.select(*keys, F.lit(None).cast("double").alias(name)))

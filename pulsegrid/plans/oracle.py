@@ -238,7 +238,7 @@ ORACLE["top_peaks"] = (
     with_(EM, SP, NEAR, REFINED)
     + """SELECT recording_id, vec_id,
   CAST(row_number() OVER (PARTITION BY vec_id ORDER BY mag DESC, bin) - 1 AS INT) AS rank,
-  CAST(bin AS INT) AS bin, round(mag, 9) AS mag FROM pk WHERE nth <= 10"""
+  CAST(bin AS INT) AS bin, round(mag, 9) AS mag FROM pk WHERE nth <= 50"""
 )
 ORACLE["peak_phase"] = (
     with_(
@@ -763,7 +763,9 @@ ORACLE["channel_mixdown"] = (
 )
 ORACLE["pcm16_scan"] = """
 WITH words AS (
-  SELECT doc_id, strlen(text) // 2 AS n, unnest(regexp_extract_all(hex(encode(text)), '[0-9A-F]{4}')) AS w FROM documents),
+  SELECT doc_id, (strlen(text) + 1) // 2 AS n,
+    unnest(regexp_extract_all(hex(encode(text)) || CASE WHEN strlen(text) % 2 = 1 THEN '00' ELSE '' END, '[0-9A-F]{4}')) AS w
+  FROM documents),
 samples AS (
   SELECT doc_id, n, CAST('0x' || substr(w, 3, 2) || substr(w, 1, 2) AS INT) AS v FROM words),
 signed AS (SELECT doc_id, n, v - CASE WHEN v >= 32768 THEN 65536 ELSE 0 END AS v FROM samples)

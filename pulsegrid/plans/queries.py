@@ -170,7 +170,7 @@ def series_median(spark, sf_dir):
     rows = V.table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("series_id"), F.col("l_extendedprice").alias("x")
     )
-    return exact_median(rows, SERIES, "x", bins_per_unit=1).select(
+    return exact_median(rows, SERIES, "x").select(
         "series_id", rounded("median", 4, "median")
     )
 
@@ -317,11 +317,11 @@ def peak_refine(spark, sf_dir):
 
 @query
 def top_peaks(spark, sf_dir):
-    """The first ten peaks in bin order, ranked by magnitude."""
+    """The first fifty peaks in bin order, ranked by magnitude."""
     return (
         V.embedding_frames(spark, sf_dir)
         .select(
-            *FRAME, F.posexplode(F.expr(spectra.refined_peaks("mag", BIN_HZ, limit=10))).alias("rank", "p")
+            *FRAME, F.posexplode(F.expr(spectra.refined_peaks("mag", BIN_HZ))).alias("rank", "p")
         )
         .select(*FRAME, "rank", "p.bin", rounded("p.mag", 9, "mag"))
     )
@@ -755,11 +755,11 @@ def constant_q_frames(spark, sf_dir):
 
 
 def _document_audio(spark, sf_dir):
-    """Documents as raw audio files; an odd last byte is left off."""
+    """Documents as raw audio files; an odd last byte is filled up with a zero byte."""
     return V.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("path"),
         F.expr(
-            "substring(encode(text, 'UTF-8'), 1, octet_length(text) - octet_length(text) % 2)"
+            "encode(if(octet_length(text) % 2 = 1, concat(text, char(0)), text), 'UTF-8')"
         ).alias("content"),
         F.lit(R.RAW_TYPE).alias("content_type"),
     )

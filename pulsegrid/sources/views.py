@@ -7,16 +7,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.series import number_rows
 
-# Seconds of a TIMESTAMP_NTZ, free of time zones.
-SECONDS = (
-    "cast(datediff(cast(ts as date), date'1970-01-01') as bigint) * 86400 "
-    "+ hour(ts) * 3600 + minute(ts) * 60 + cast(floor(second(ts)) as int)"
-)
-# Shipping day, then order key.
-DAY_AND_ORDER = (
-    f"cast(datediff(cast(l_shipdate as date), date'1970-01-01') as bigint) * {1 << 40} + l_orderkey"
-)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,9 +17,7 @@ def event_series(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("series_id"), "ts", "event_id", F.col("value").alias("x"), *extra
     )
-    return number_rows(
-        rows, ["series_id"], ["ts", "event_id"], F.expr(SECONDS)
-    ).select("series_id", "t", "x", *extra)
+    return number_rows(rows, ["series_id"], ["ts", "event_id"]).select("series_id", "t", "x", *extra)
 
 
 def line_series(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
@@ -38,7 +26,7 @@ def line_series(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("series_id"), *order, *extra
     )
-    return number_rows(rows, ["series_id"], order, F.expr(DAY_AND_ORDER)).select(
+    return number_rows(rows, ["series_id"], order).select(
         "series_id", "t", F.col("l_extendedprice").alias("x"), *extra
     )
 
@@ -55,7 +43,7 @@ def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def number_frames(df: DataFrame) -> DataFrame:
     """Add `frame`, the position of a vector in its recording."""
-    return number_rows(df, ["recording_id"], ["vec_id"], F.col("vec_id"), "frame")
+    return number_rows(df, ["recording_id"], ["vec_id"], "frame")
 
 
 def embedding_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:

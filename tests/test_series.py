@@ -68,7 +68,7 @@ def test_highpass_matches_the_recursion(hot):
     df, values = hot
     long = series.number_rows(
         df.select(F.lit(9).alias("k"), "x", (F.col("k") * 10000 + F.col("t")).alias("o")),
-        ["k"], ["o"], F.col("o"), rows_per_slice=100,
+        ["k"], ["o"], rows_per_slice=100,
     )
     x = np.concatenate([values[k] for k in (0, 1, 2)])
     long = long.unionByName(long.withColumn("t", F.col("t") + len(x)))
@@ -84,7 +84,7 @@ def test_highpass_matches_the_recursion(hot):
 def test_number_rows_is_a_row_number(hot):
     df, values = hot
     shuffled = df.select("k", "x", F.col("t").alias("o"))
-    got = series.number_rows(shuffled, ["k"], ["o"], F.col("o"), rows_per_slice=300).collect()
+    got = series.number_rows(shuffled, ["k"], ["o"], rows_per_slice=300).collect()
     assert all(r.t == r.o for r in got) and len(got) == sum(map(len, values.values()))
 
 
@@ -99,7 +99,7 @@ def test_totals_reach_every_row(hot):
 def test_exact_median(spark, hot, bins):
     df, values = hot
     many = df.unionByName(spark.range(501).selectExpr("3 as k", "id as t", "cast(id % 3 as double) as x"))
-    got = {r.k: r.median for r in series.exact_median(many, ["k"], "x", bins_per_unit=bins).collect()}
+    got = {r.k: r.median for r in series.exact_median(many, ["k"], "x", bins_per_octave=bins).collect()}
     for key, x in {**values, 3: np.arange(501) % 3}.items():
         assert got[key] == pytest.approx(np.median(x), abs=1e-12)
 
