@@ -214,8 +214,20 @@ def fourier_resample(target: int):
     return resample
 
 
+def fourier_resample_by(up: int, down: int):
+    """Resample arrays of any length n to `n * up // down` values."""
+
+    @kernel_udf
+    def resample(frame: pa.Array) -> pa.Array:
+        return _by_length(frame, lambda x: resample_rows(x, x.shape[1] * up // down))
+
+    return resample
+
+
 def resample_rows(x: np.ndarray, target: int) -> np.ndarray:
     size = x.shape[1]
+    if not target:
+        return x[:, :0]
     kept = min(size, target)
     spectrum = np.fft.rfft(x, axis=1)[:, : kept // 2 + 1]
     if kept % 2 == 0 and size != target:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.constants import FRAME_SIZE, HIGHPASS_ALPHA, HOP_SIZE
 from pulsegrid.functions import arrays as A
-from pulsegrid.operators.series import over_segments, segment_arrays
+from pulsegrid.operators.series import attach_totals, over_segments, segment_arrays
 
 SEGMENT_HOPS = 128
 
@@ -87,3 +87,38 @@ def frames_of_segments(
 def tapered(f: str, size: int, periodic: bool = True) -> str:
     """Frame times Hann window."""
     return A.multiply(f, A.hann(size, periodic))
+
+
+def whole_blocks(
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, size: int, segment_blocks: int = SEGMENT_HOPS
+) -> DataFrame:
+    """Consecutive blocks `(keys, frame, f)` of `size` values; the last one of a key may be shorter."""
+    packed = segment_arrays(df, keys, pos, value, segment_blocks * size)
+    starts = f"sequence(0, (size(samples) - 1) div {size})"
+    return packed.select(*keys, "seg", "samples", F.explode(F.expr(starts)).alias("_i")).select(
+        *keys,
+        F.expr(f"seg * {segment_blocks} + _i").alias("frame"),
+        F.expr(f"slice(samples, cast(_i * {size} + 1 as int), {size})").alias("f"),
+    )
+
+
+def resample_linear(
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, up: int, down: int, name: str = "y"
+) -> DataFrame:
+    """Whole series at `up / down` of their rate: `(keys, j, name)`, linear between neighbours, the last value held.
+
+    A series of n values gets `n * up div down` values, the j-th at position `j * down / up`. Each row yields the
+    points from itself up to its neighbour, so apart from the key's length only one neighbour is looked at.
+    """
+
+    def compute(rows, w):
+        return rows.withColumn("_next", F.coalesce(F.lead(value).over(w), F.col(value)))
+
+    rows = attach_totals(over_segments(df, keys, pos, 0, 1, compute), keys, pos, [F.max(pos).alias("_end")], source=df)
+    first = f"({pos} * {up} + {down - 1}) div {down}"
+    last = f"least((({pos} + 1) * {up} + {down - 1}) div {down}, (_end + 1) * {up} div {down}) - 1"
+    points = F.expr(f"if({first} <= {last}, sequence({first}, {last}), cast(array() as array<bigint>))")
+    share = f"((j * {down} - {pos} * {up}) / cast({up} as double))"
+    return rows.withColumn("j", F.explode(points)).select(
+        *keys, "j", F.expr(f"{value} + (_next - {value}) * {share}").alias(name)
+    )

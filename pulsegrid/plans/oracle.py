@@ -56,7 +56,7 @@ FR = """fr AS (
   WHERE t // 16 - k BETWEEN 0 AND (n - 64) // 16 AND n >= 64)"""
 
 BL = """bl AS (
-  SELECT series_id, t // 64 AS frame, t % 64 AS i, x FROM ln WHERE t // 64 <= (n - 64) // 64 AND n >= 64)"""
+  SELECT series_id, t // 64 AS frame, t % 64 AS i, x, count(*) OVER (PARTITION BY series_id, t // 64) AS nb FROM ln)"""
 
 EM = """em AS (
   SELECT label AS recording_id, vec_id, embedding,
@@ -68,6 +68,8 @@ SP = """sp AS (
   FROM (SELECT recording_id, vec_id, frame, unnest(range(64)) AS bin,
                CAST(unnest(embedding) AS DOUBLE) AS f FROM em))"""
 
+LOUD = SP.replace("abs(f) AS mag, max(abs(f))", "abs(f) * 1000 AS mag, max(abs(f) * 1000)")
+
 
 def onsets_cte(name: str, source: str, key: str, pos: str, val: str, *extra: str) -> str:
     more = "".join(f", {c}" for c in extra)
@@ -448,7 +450,7 @@ ORACLE["hps_pitch"] = (
     with_(EM, SP, *HPS1) + "SELECT recording_id, vec_id, note FROM em LEFT JOIN hp USING (vec_id)"
 )
 ORACLE["hps_multivoice"] = (
-    with_(EM, SP, HM, REST1, *[hps_round(k) for k in (1, 2, 3, 4)])
+    with_(EM, LOUD, HM, REST1, *[hps_round(k) for k in (1, 2, 3, 4)])
     + """SELECT recording_id, vec_id,
   CAST(row_number() OVER (PARTITION BY vec_id ORDER BY best, k) - 1 AS INT) AS voice, CAST(best + 21 AS INT) AS note
 FROM ("""
@@ -573,8 +575,10 @@ ORACLE["cmnd"] = (
     with_(*LINE_LAGS)
     + "SELECT series_id, frame, CAST(lag AS INT) AS lag, round(c, 6) AS v FROM cv"
 )
+TONE = LN.replace("ln AS", "plain AS") + """,
+ln AS (SELECT series_id, t, n, round(x / (40 + 460 * (series_id % 2)) + 1000 * cos(2 * pi() * t / (6 + series_id % 25)), 3) AS x FROM plain)"""
 ORACLE["yin_period"] = (
-    with_(*LINE_LAGS)
+    with_(*[TONE if part is LN else part for part in LINE_LAGS])
     + f"""SELECT series_id, frame, round(lag, 6) AS lag, {piano_of(f'{RATE} / lag')} AS note
 FROM {ALL_FRAMES} LEFT JOIN yl USING (series_id, frame)"""
 )
@@ -657,7 +661,7 @@ ORACLE["octave_select"] = (
     + "SELECT recording_id, vec_id, note, method FROM em LEFT JOIN rb USING (vec_id)"
 )
 ORACLE["method_cascade"] = (
-    with_(*ESTIMATES)
+    with_(*[LOUD if part is SP else part for part in ESTIMATES])
     + """SELECT recording_id, vec_id,
   CASE WHEN rn IS NOT NULL THEN rn WHEN s IS NOT NULL THEN s WHEN h IS NOT NULL THEN h ELSE f END AS note,
   CASE WHEN rn IS NOT NULL THEN 'Robust (' || method || ')' WHEN s = h THEN 'CQT (consensus)'
@@ -666,8 +670,9 @@ ORACLE["method_cascade"] = (
   CAST(CASE WHEN rn IS NOT NULL THEN 0.9 WHEN s = h THEN 0.8 WHEN s IS NOT NULL THEN 0.7 WHEN h IS NOT NULL THEN 0.6
     WHEN f IS NOT NULL THEN 0.5 ELSE 0.0 END AS DOUBLE) AS confidence
 FROM (
-  SELECT em.recording_id, em.vec_id, CASE WHEN rb.method LIKE '%corrected)' THEN rb.note END AS rn, rb.method,
-    CASE WHEN sn.note >= 60 THEN sn.note END AS s, hp.note AS h, fn.note AS f
+  SELECT em.recording_id, em.vec_id, CASE WHEN rb.method LIKE '%corrected)' AND rb.note % 3 = 0 THEN rb.note END AS rn, rb.method,
+    CASE WHEN sn.note % 2 = 0 THEN sn.note END AS s, CASE WHEN hp.note % 4 <> 1 THEN hp.note END AS h,
+    CASE WHEN fn.note % 5 <> 0 THEN fn.note END AS f
   FROM em LEFT JOIN rb USING (vec_id) LEFT JOIN sn USING (vec_id) LEFT JOIN hp USING (vec_id) LEFT JOIN fn USING (vec_id))"""
 )
 
@@ -771,28 +776,33 @@ samples AS (
 signed AS (SELECT doc_id, n, v - CASE WHEN v >= 32768 THEN 65536 ELSE 0 END AS v FROM samples)
 SELECT doc_id, any_value(n) AS n_samples, CAST(sum(v) AS BIGINT) AS total, CAST(max(v) AS INT) AS largest,
   CAST(min(v) AS INT) AS smallest FROM signed GROUP BY 1"""
-# Fourier interpolation written as a sum over the samples of a block.
-ORACLE["resample_blocks"] = (
-    with_(
-        LN,
-        BL,
-        """kn AS (
-  SELECT m, n AS i, (1 + 2 * sum(CASE WHEN k < 24 THEN cos(2 * pi() * k * (m / 48.0 - n / 64.0)) ELSE 0 END)
-    + sum(CASE WHEN k = 24 THEN 2 * cos(2 * pi() * 24 * n / 64.0) * cos(pi() * m) ELSE 0 END)) / 64 AS w
-  FROM (SELECT unnest(range(48)) AS m), (SELECT unnest(range(64)) AS n), (SELECT unnest(range(1, 25)) AS k) GROUP BY 1, 2)""",
-    )
-    + "SELECT series_id, frame, CAST(m AS INT) AS i, round(sum(x * w), 3) + 0.0 AS y FROM bl JOIN kn USING (i) GROUP BY ALL"
-)
-ORACLE["resample_up"] = (
-    with_(
-        LN,
-        BL,
-        """kn AS (
-  SELECT m, n AS i, (1 + 2 * sum(CASE WHEN k < 32 THEN cos(2 * pi() * k * (m / 96.0 - n / 64.0)) ELSE 0 END)
-    + sum(CASE WHEN k = 32 THEN cos(pi() * n) * cos(2 * pi() * 32 * m / 96.0) ELSE 0 END)) / 64 AS w
-  FROM (SELECT unnest(range(96)) AS m), (SELECT unnest(range(64)) AS n), (SELECT unnest(range(1, 33)) AS k) GROUP BY 1, 2)""",
+# Fourier interpolation written as a sum over the n samples of a block, for every n.
+def resampled(target: str) -> str:
+    return (
+        with_(
+            LN,
+            BL,
+            f"sizes AS (SELECT DISTINCT nb, {target} AS m FROM bl)",
+            """kn AS (
+  SELECT nb, p, i, (1 + coalesce(sum(CASE
+      WHEN 2 * k < least(nb, m) OR m = nb THEN 2 * cos(2 * pi() * k * (p / CAST(m AS DOUBLE) - i / CAST(nb AS DOUBLE)))
+      WHEN m < nb THEN 2 * cos(2 * pi() * k * i / nb) * cos(pi() * p)
+      ELSE cos(pi() * i) * cos(2 * pi() * k * p / m) END), 0)) / nb AS w
+  FROM (SELECT nb, m, unnest(range(m)) AS p FROM sizes) JOIN (SELECT nb, unnest(range(nb)) AS i FROM sizes) USING (nb)
+    LEFT JOIN (SELECT unnest(range(1, 33)) AS k) ON 2 * k <= least(nb, m) GROUP BY 1, 2, 3)""",
+        )
+        + "SELECT series_id, frame, CAST(p AS INT) AS i, round(sum(x * w), 3) + 0.0 AS y FROM bl JOIN kn USING (nb, i) GROUP BY ALL"
     )
-    + "SELECT series_id, frame, CAST(m AS INT) AS i, round(sum(x * w), 3) + 0.0 AS y FROM bl JOIN kn USING (i) GROUP BY ALL"
+
+
+ORACLE["resample_blocks"] = resampled("nb * 3 // 4")
+ORACLE["resample_up"] = resampled("nb * 3 // 2")
+ORACLE["resample_series"] = (
+    with_(EV)
+    + """SELECT series_id, j, round(a.x + (coalesce(b.x, a.x) - a.x) * ((j * 160 - a.t * 147) / 147.0), 6) + 0.0 AS y
+FROM (SELECT series_id, unnest(range(count(*) * 147 // 160)) AS j FROM ev GROUP BY 1)
+  JOIN ev a USING (series_id) LEFT JOIN ev b ON b.series_id = a.series_id AND b.t = a.t + 1
+WHERE a.t = j * 160 // 147"""
 )
 
 # Onsets and notes of the event series; values count as frequencies.

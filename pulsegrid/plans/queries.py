@@ -17,7 +17,7 @@ from pulsegrid.functions import arrays as A
 from pulsegrid.functions import kernels as K
 from pulsegrid.functions import scalars as X
 from pulsegrid.operators import chords, fusion, gate, periods, pitch, reports, smoothing, spectra
-from pulsegrid.operators.frames import highpass, sliding_frames, tapered
+from pulsegrid.operators.frames import highpass, resample_linear, sliding_frames, tapered, whole_blocks
 from pulsegrid.operators.onsets import find_onsets
 from pulsegrid.operators.series import exact_median, join_by_span, keep_where
 from pulsegrid.plans import transcribe as T
@@ -532,10 +532,15 @@ def hps_pitch(spark, sf_dir):
     return V.embedding_frames(spark, sf_dir).select(*FRAME, expr(pitch.hps_note("mag", BINS), "note"))
 
 
+def _loud_frames(spark, sf_dir):
+    """Frames whose magnitudes are a thousand times larger; logarithmic scores then reach all branches."""
+    return V.embedding_frames(spark, sf_dir).withColumn("mag", F.expr("transform(mag, v -> v * 1000)"))
+
+
 @query
 def hps_multivoice(spark, sf_dir):
     return (
-        V.embedding_frames(spark, sf_dir)
+        _loud_frames(spark, sf_dir)
         .select(*FRAME, F.posexplode(F.expr(pitch.hps_notes("mag", BINS, 4))).alias("voice", "note"))
     )
 
@@ -549,6 +554,8 @@ def harmonic_sum_pitch(spark, sf_dir):
 
 @query
 def missing_fundamental(spark, sf_dir):
+    """The rule with its octave correction, which no spectrum can trigger: the strongest bin scores at least twice the
+    maximum, and a bin below 0.3 of the maximum at most 0.6 + 1/2 + 1/3 + 1/4 + 1/5 of it."""
     return V.embedding_frames(spark, sf_dir).select(
         *FRAME, expr(pitch.harmonic_sum_note("mag", BINS), "note")
     )
@@ -630,7 +637,11 @@ def cmnd(spark, sf_dir):
 
 @query
 def yin_period(spark, sf_dir):
-    return _yin(_lagged(_line_frames(spark, sf_dir))).select(
+    """Prices of each supplier as noise on a tone whose period follows from the supplier."""
+    tone = "round(x / (40 + 460 * (series_id % 2)) + 1000 * cos(2 * pi() * t / (6 + series_id % 25)), 3)"
+    rows = V.line_series(spark, sf_dir).withColumn("x", F.expr(tone))
+    frames = sliding_frames(rows, SERIES, "t", "x", SIZE, HOP, segment_hops=4096 // HOP)
+    return _yin(_lagged(frames)).select(
         "series_id", "frame", rounded("yin_lag", 6, "lag"), expr(_lag_note("yin_lag"), "note")
     )
 
@@ -645,9 +656,9 @@ def harmonic_fit(spark, sf_dir):
     )
 
 
-def _estimates(spark, sf_dir):
+def _estimates(spark, sf_dir, frames=V.embedding_frames):
     """All five estimators, each embedding being both the spectrum and the samples."""
-    return _yin(_autocorr(_lagged(V.embedding_frames(spark, sf_dir)))).select(
+    return _yin(_autocorr(_lagged(frames(spark, sf_dir)))).select(
         *FRAME,
         "mag",
         expr(pitch.fft_note("mag", BINS), "FFT"),
@@ -692,14 +703,16 @@ def octave_select(spark, sf_dir):
 
 @query
 def method_cascade(spark, sf_dir):
-    """The cascade trusting only octave-corrected votes and only sums from C4 up."""
-    picked = T.pick_notes(_estimates(spark, sf_dir), n=BINS).withColumns(
+    """The cascade trusting only some notes of each method, so that every outcome occurs."""
+    picked = T.pick_notes(_estimates(spark, sf_dir, _loud_frames), n=BINS).withColumns(
         {
-            "vote": F.expr("if(robust.method like '%corrected)', robust, null)"),
-            "simple": F.expr("if(CQT_Simple >= 60, CQT_Simple, null)"),
+            "vote": F.expr("if(robust.method like '%corrected)' and robust.note % 3 = 0, robust, null)"),
+            "simple": F.expr("if(CQT_Simple % 2 = 0, CQT_Simple, null)"),
+            "product": F.expr("if(HPS % 4 <> 1, HPS, null)"),
+            "peak": F.expr("if(FFT % 5 <> 0, FFT, null)"),
         }
     )
-    return picked.withColumn("pick", F.expr(fusion.cascade("vote", "simple", "HPS", "FFT"))).select(
+    return picked.withColumn("pick", F.expr(fusion.cascade("vote", "simple", "product", "peak"))).select(
         *FRAME, "pick.note", "pick.method", "pick.confidence"
     )
 
@@ -826,26 +839,37 @@ def pcm16_scan(spark, sf_dir):
     )
 
 
+def _line_blocks(spark, sf_dir):
+    return whole_blocks(V.line_series(spark, sf_dir), SERIES, "t", "x", SIZE)
+
+
 @query
 def resample_blocks(spark, sf_dir):
-    """Blocks of 64 values resampled to 48."""
+    """Blocks of 64 values, and the shorter last one, resampled to three quarters."""
     return (
-        _line_frames(spark, sf_dir, SIZE)
-        .select("series_id", "frame", F.posexplode(K.fourier_resample(48)("f")).alias("i", "y"))
+        _line_blocks(spark, sf_dir)
+        .select("series_id", "frame", F.posexplode(K.fourier_resample_by(3, 4)("f")).alias("i", "y"))
         .select("series_id", "frame", "i", rounded("y", 3, "y"))
     )
 
 
 @query
 def resample_up(spark, sf_dir):
-    """Blocks of 64 values resampled to 96."""
+    """Blocks of 64 values, and the shorter last one, resampled to three halves."""
     return (
-        _line_frames(spark, sf_dir, SIZE)
-        .select("series_id", "frame", F.posexplode(K.fourier_resample(96)("f")).alias("i", "y"))
+        _line_blocks(spark, sf_dir)
+        .select("series_id", "frame", F.posexplode(K.fourier_resample_by(3, 2)("f")).alias("i", "y"))
         .select("series_id", "frame", "i", rounded("y", 3, "y"))
     )
 
 
+@query
+def resample_series(spark, sf_dir):
+    """Whole series from 48,000 to 44,100 values a second, by linear interpolation."""
+    rows = resample_linear(V.event_series(spark, sf_dir), SERIES, "t", "x", 147, 160)
+    return rows.select("series_id", "j", rounded("y", 6, "y"))
+
+
 def _summary(spark, sf_dir):
     recordings, onsets, notes = _event_tables(spark, sf_dir)
     return reports.summary(recordings, onsets, notes, _no_chords(spark))

@@ -50,3 +50,14 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_queries_reach_their_branches(spark):
+    """Each outcome of the rules occurs in the rows of the queries that show them."""
+    path = "/root/testdata/sf0.01"
+    voices = {r.voice for r in QUERIES["hps_multivoice"](spark, path).select("voice").distinct().collect()}
+    assert voices == {0, 1, 2, 3}
+    methods = {r.method.split(" (octave")[0] for r in QUERIES["method_cascade"](spark, path).select("method").distinct().collect()}
+    assert {"CQT (consensus)", "CQT (simple)", "CQT (HPS)", "FFT", "None"} <= methods and any(m.startswith("Robust") for m in methods)
+    lags = QUERIES["yin_period"](spark, path).where("lag is not null")
+    assert lags.where("note is not null").count() > 50 and lags.where("lag <> round(lag)").count() > 0

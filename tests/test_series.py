@@ -88,6 +88,63 @@ def test_number_rows_is_a_row_number(hot):
     assert all(r.t == r.o for r in got) and len(got) == sum(map(len, values.values()))
 
 
+@pytest.mark.parametrize("per_slice", [200, 1 << 20])
+def test_positions_with_null_keys_crowds_and_outliers(spark, per_slice):
+    """NULL keys and orders, nine tenths of the rows at one second, and one row far away."""
+    rows = [(None if i % 7 == 0 else "a", 5 if i % 10 else None, i) for i in range(2000)] + [("a", -(10**9), 5000), ("b", 1, 1)]
+    df = spark.createDataFrame(rows, "k string, second bigint, id bigint").repartition(5)
+    got = {(r.k, r.id): r.t for r in series.number_rows(df, ["k"], ["second", "id"], rows_per_slice=per_slice).collect()}
+    wanted = {}
+    for key in (None, "a", "b"):
+        own = sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        wanted.update({(key, x[2]): t for t, x in enumerate(own)})
+    assert got == wanted
+
+
+def test_slices_are_even(spark, monkeypatch):
+    seen = []
+    staged = series.stage_table
+    monkeypatch.setattr(series, "stage_table", lambda df, name: seen.append(staged(df, name)) or seen[-1])
+    df = spark.range(4000).selectExpr("1 as k", "if(id = 0, -1000000000, 7) as second", "id")
+    series.number_rows(df, ["k"], ["second", "id"], rows_per_slice=250).count()
+    assert seen[0].groupBy("k", "_slice").count().agg(F.max("count")).first()[0] <= 1000
+
+
+def test_null_keys_and_values(spark):
+    rows = [(None, 0, 2.0), (None, 1, 4.0), (1, 0, None), (1, 1, None), (2, 0, None), (2, 1, None), (2, 2, 1.0), (2, 3, 2.0), (2, 4, 3.0)]
+    df = spark.createDataFrame(rows, "k int, t bigint, x double")
+    assert {r.k: r.median for r in series.exact_median(df, ["k"], "x").collect()} == {None: 3.0, 1: None, 2: 2.0}
+    totals = series.attach_totals(df, ["k"], "t", [F.max("x").alias("m")], span=2).collect()
+    assert len(totals) == 9 and {r.m for r in totals if r.k is None} == {4.0}
+
+
+@pytest.mark.parametrize("alpha", [0.3, 0.5, 0.95, 0.999])
+def test_highpass_for_any_alpha(hot, alpha):
+    df, values = hot
+    got = {(r.k, r.t): r.y for r in highpass(df, ["k"], "t", "x", alpha=alpha).collect()}
+    for key, x in values.items():
+        y = x[0]
+        for t in range(len(x)):
+            y = x[t] if t == 0 else x[t] - x[t - 1] + alpha * y
+            assert abs(got[key, t] - y) < 1e-6
+
+
+def test_whole_series_resampling(hot):
+    from pulsegrid.operators.frames import resample_linear, whole_blocks
+
+    df, values = hot
+    for up, down in ((147, 160), (3, 2), (1, 1)):
+        got = {(r.k, r.j): r.y for r in resample_linear(df, ["k"], "t", "x", up, down).collect()}
+        for key, x in values.items():
+            wanted = np.interp(np.arange(len(x) * up // down) * down / up, np.arange(len(x)), x)
+            assert sorted(j for k, j in got if k == key) == list(range(len(wanted)))
+            assert np.allclose([got[key, j] for j in range(len(wanted))], wanted)
+    blocks = whole_blocks(df, ["k"], "t", "x", 64, segment_blocks=3).collect()
+    for key, x in values.items():
+        own = sorted((r.frame, r.f) for r in blocks if r.k == key)
+        assert [f for f, _ in own] == list(range(-(-len(x) // 64))) and [v for _, f in own for v in f] == list(x)
+
+
 def test_totals_reach_every_row(hot):
     df, values = hot
     got = series.attach_totals(df, ["k"], "t", [F.max("x").alias("m")], span=100).collect()
