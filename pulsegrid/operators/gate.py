@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.constants import GATE_FEATURES, GATE_K, GATE_SMOOTH, GATE_VOTES
 from pulsegrid.functions import arrays as A
-from pulsegrid.operators.series import exact_median, join_by_span, over_segments
+from pulsegrid.operators.series import exact_median, join_by_span, null_safe_join, over_segments
 from pulsegrid.operators.spectra import entropy, flatness
 
 
@@ -51,7 +51,7 @@ def gate_thresholds(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
     spread = df.groupBy(*keys).agg(
         *[F.stddev_pop(f).alias(f"sd_{f}") for f in GATE_FEATURES], F.max(pos).alias("_last")
     )
-    return per_key.join(spread, list(keys)).select(
+    return null_safe_join(per_key, spread, list(keys)).select(
         *keys,
         "_last",
         *[

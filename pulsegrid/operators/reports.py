@@ -105,9 +105,11 @@ def confidence_text(confidence: str) -> str:
     return f"concat({X.fixed(f'{confidence} * 100', 1, tie_up=True)}, '%')"
 
 
-def event_lists(recordings: DataFrame, onsets: DataFrame, notes: DataFrame) -> DataFrame:
-    """Onset times, their count and the joined note names, per recording and part."""
-    part = F.expr(f"frame_index div {PART_FRAMES}").alias("part")
+def event_lists(
+    recordings: DataFrame, onsets: DataFrame, notes: DataFrame, part_frames: int = PART_FRAMES
+) -> DataFrame:
+    """Onset times, their count and the joined note names, per recording and part of `part_frames` frames."""
+    part = F.expr(f"frame_index div {part_frames}").alias("part")
     rows = (
         onsets.select("recording_id", part, "frame_index", "time_seconds")
         .unionByName(
@@ -140,11 +142,11 @@ def event_lists(recordings: DataFrame, onsets: DataFrame, notes: DataFrame) -> D
 
 
 def result_documents(
-    summaries: DataFrame, onsets: DataFrame, notes: DataFrame, chords: DataFrame
+    summaries: DataFrame, onsets: DataFrame, notes: DataFrame, chords: DataFrame, part_frames: int = PART_FRAMES
 ) -> DataFrame:
-    """Nested result per recording and part: event arrays in frame order, and the summary."""
+    """Nested result per recording and part of `part_frames` frames: event arrays in frame order, and the summary."""
     tables = {"onsets": onsets, "notes": notes, "chords": chords}
-    part = F.expr(f"frame_index div {PART_FRAMES}").cast("bigint").alias("part")
+    part = F.expr(f"frame_index div {part_frames}").cast("bigint").alias("part")
     rows = summaries.select("recording_id", F.lit(0).cast("bigint").alias("part"))
     for name, df in tables.items():
         fields = ["frame_index", *[c for c in df.columns if c not in ("recording_id", "frame_index")]]

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.series import null_safe_join
+
 SEGMENT_FRAMES = 4096
 SEGMENTS_PER_BLOCK = 256
 SCALE = 1_000_000
@@ -123,14 +125,15 @@ def smooth_states(
         pdf = pdf.sort_values(pos)
         scores = np.stack(pdf["_e"].to_numpy()).astype(np.int64)
         seg = int(pdf["_seg"].iloc[0])
-        m = _walk(scores, identity(), seg == 0, stay_score, move_score)
+        # A key's first segment has no entry state: one row says it all.
+        m = _walk(scores, identity()[:1] if seg == 0 else identity(), seg == 0, stay_score, move_score)
         return pdf[[*keys, "_seg"]].head(1).assign(_m=[m.ravel()])
 
     def block_matrix(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_seg")
         total = None
         for flat in pdf["_m"]:
-            m = np.asarray(flat, dtype=np.int64).reshape(states, states)
+            m = np.asarray(flat, dtype=np.int64).reshape(-1, states)
             total = m if total is None else np.stack([(r[:, None] + m).max(axis=0) for r in total])
         return pdf[[*keys, "_block"]].head(1).assign(_m=[total.ravel()])
 
@@ -140,7 +143,7 @@ def smooth_states(
         outer = [None, None]
         if "_bin" in pdf:
             outer = [None if pd.isna(pdf[c].iloc[0]) else int(pdf[c].iloc[0]) for c in ("_bin", "_bout")]
-        found = _chain([np.asarray(f).reshape(states, states) for f in pdf["_m"]], *outer)
+        found = _chain([np.asarray(f).reshape(-1, states) for f in pdf["_m"]], *outer)
         return pdf[[*keys, "_seg"]].assign(
             _in=pd.array([outer[0], *found[:-1]], dtype="Int64"), _out=np.array(found, dtype=np.int64)
         )
@@ -172,12 +175,12 @@ def smooth_states(
     for matrices in reversed(ladder):
         around = borders.withColumnsRenamed({"_seg": "_block", "_in": "_bin", "_out": "_bout"})
         borders = (
-            matrices.join(around, [*keys, "_block"])
+            null_safe_join(matrices, around, [*keys, "_block"])
             .groupBy(*keys, "_block")
             .applyInPandas(exits, border_type)
         )
     return (
-        rows.join(borders, [*keys, "_seg"])
+        null_safe_join(rows, borders, [*keys, "_seg"])
         .groupBy(*keys, "_seg")
         .applyInPandas(decode, f"{key_type}, {pos} bigint, state bigint")
     )

@@ -39,6 +39,20 @@ class Transcription:
         nested = reports.result_documents(self.summary, self.onsets, self.notes, self.chords)
         return nested.join(self.file_info, "recording_id", "left")
 
+    def report(self) -> DataFrame:
+        """Confidence, method and detection rate of each recording."""
+        rates = reports.with_detection_rate(self.summary).select("recording_id", "detection_rate")
+        return reports.report_rows(self.summary, self.notes).join(rates, "recording_id", "left")
+
+    def event_lists(self) -> DataFrame:
+        return reports.event_lists(self.summary, self.onsets, self.notes)
+
+    def note_lines(self) -> DataFrame:
+        """Text lines of the notes."""
+        return self.notes.select(
+            "recording_id", "frame_index", F.expr(reports.note_line()).alias("line"), F.expr(reports.note_timing()).alias("timing")
+        )
+
 
 def frame_features(segments: DataFrame, frames: int = R.SEGMENT_FRAMES) -> DataFrame:
     """One row per frame: flux, constant-Q, chroma and, at possible onsets, the analysis frame.
@@ -81,16 +95,16 @@ def chord_events(events: DataFrame) -> DataFrame:
 
 def pitch_estimates(events: DataFrame) -> DataFrame:
     """Notes of the five estimators on the tapered frames `event`, each computed once."""
-    prepared = K.lag_frame(PADDED_SIZE)("event")
     spectra = (
         events.select(*KEY, "frame", "event")
+        .withColumn("_prepared", K.lag_frame(PADDED_SIZE)("event"))
         .withColumn("mag", K.rfft_magnitude("event"))
         .withColumn("cqt", K.constant_q(LOWEST_MIDI)("event"))
-        .withColumn("_acf", K.autocorrelation(AUTOCORR_LAGS[1])(prepared))
+        .withColumn("_acf", K.autocorrelation(AUTOCORR_LAGS[1])("_prepared"))
         .withColumn(
-            "_curve", K.normalised_differences(*YIN_LAGS)(K.lag_differences(YIN_LAGS[1])(prepared))
+            "_curve", K.normalised_differences(*YIN_LAGS)(K.lag_differences(YIN_LAGS[1])("_prepared"))
         )
-        .drop("event")
+        .drop("event", "_prepared")
     )
     lags = spectra.withColumns(
         {
@@ -126,15 +140,17 @@ def transcribe(
     resample: bool = True,
     chord_path: bool = True,
     allowed=tuple(ALLOWED_CONTENT_TYPES) + (R.RAW_TYPE,),
-    raw_rate: int = SAMPLE_RATE,
+    raw_rate: int | str = SAMPLE_RATE,
+    max_bytes: int | None = None,
 ) -> Transcription:
-    """Analyse admitted files. `chord_path=False` labels every onset as a note.
+    """Analyse admitted files. `chord_path=False` labels every onset as a note; `raw_rate` may name a column;
+    `max_bytes` refuses larger files.
 
     Samples are never shuffled: one narrow pass decodes the files and leaves a stage table of
     frame features, with the analysis frame kept at possible onsets. All later shuffles move
     scalars and small vectors per frame.
     """
-    admitted = R.admitted(files, allowed)
+    admitted = R.admitted(files, allowed, max_bytes)
     segments = R.decode(admitted, highpass, resample, raw_rate)
     rows = stage_table(gated_features(frame_features(segments)).drop("cqt"), "frames")
     features = rows.where("frame is not null")
@@ -166,5 +182,5 @@ def transcribe(
         chords=found,
         summary=reports.summary(decoded, onset_rows, notes, found),
         file_info=R.file_info(admitted.drop("content"), decoded),
-        quarantine=R.quarantine(files.drop("content"), allowed).unionByName(R.failed(rows)),
+        quarantine=R.quarantine(files.drop("content"), allowed, max_bytes).unionByName(R.failed(rows)),
     )

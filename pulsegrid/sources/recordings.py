@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import math
+import struct
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,24 +76,29 @@ def reject_reason(
     content_type: str = "content_type",
     length: str = "length",
     allowed: Sequence[str] = ALLOWED_CONTENT_TYPES,
-    max_bytes: int = MAX_UPLOAD_BYTES,
+    max_bytes: int | None = MAX_UPLOAD_BYTES,
 ) -> str:
-    """Why a file is not admitted, NULL if it is."""
+    """Why a file is not admitted, NULL if it is. Without `max_bytes` any size is, even an unknown one."""
     listed = ", ".join(f"'{t}'" for t in allowed)
+    size = ""
+    if max_bytes is not None:
+        size = f"when {length} is null then 'Unknown size' when {length} > {max_bytes} then 'File too large' "
     return (
         f"case when {content_type} is null or {content_type} not in ({listed}) "
-        f"then concat('Unsupported file type: ', coalesce({content_type}, 'unknown')) "
-        f"when {length} > {max_bytes} then 'File too large' end"
+        f"then concat('Unsupported file type: ', coalesce({content_type}, 'unknown')) {size}end"
     )
 
 
-def admitted(df: DataFrame, allowed: Sequence[str] = ALLOWED_CONTENT_TYPES, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+def admitted(
+    df: DataFrame, allowed: Sequence[str] = ALLOWED_CONTENT_TYPES, max_bytes: int | None = MAX_UPLOAD_BYTES
+) -> DataFrame:
     """Files that pass admission. Plain predicates, so the length test reaches the file scan."""
-    return df.where(F.col("length") <= max_bytes).where(F.col("content_type").isin(list(allowed)))
+    kept = df.where(F.col("content_type").isin(list(allowed)))
+    return kept if max_bytes is None else kept.where(F.col("length") <= max_bytes)
 
 
 def quarantine(
-    df: DataFrame, allowed: Sequence[str] = ALLOWED_CONTENT_TYPES, max_bytes: int = MAX_UPLOAD_BYTES
+    df: DataFrame, allowed: Sequence[str] = ALLOWED_CONTENT_TYPES, max_bytes: int | None = MAX_UPLOAD_BYTES
 ) -> DataFrame:
     """Files that fail admission, as `(recording_id, stage, error)`; their bytes are never read."""
     return (
@@ -113,55 +119,156 @@ def pcm(content: bytes, width: int = 2) -> np.ndarray:
     return np.frombuffer(content, dtype=f"<i{width}") / float(1 << (8 * width - 1))
 
 
-def _read(content: bytes, raw: bool, raw_rate: int) -> tuple[np.ndarray, int, int]:
+@dataclass(frozen=True)
+class Sound:
+    """Where the samples of a file lie and how they are stored."""
+
+    body: memoryview
+    rate: int
+    channels: int
+    width: int
+    floating: bool = False
+
+    @property
+    def n_samples(self) -> int:
+        return len(self.body) // (self.width * self.channels)
+
+    def blocks(self, size: int) -> Iterator[np.ndarray]:
+        """The mono mix in blocks of at most `size` samples; only one block is held as numbers."""
+        step = self.width * self.channels
+        for at in range(0, self.n_samples * step, size * step):
+            part = self.body[at : min(at + size * step, self.n_samples * step)]
+            x = np.frombuffer(part, dtype=f"<f{self.width}").astype(np.float64) if self.floating else pcm(bytes(part), self.width)
+            yield x.reshape(-1, self.channels).mean(axis=1)
+
+
+def read_header(content: bytes, raw: bool, raw_rate: int) -> Sound:
+    """The samples of a WAV file (PCM of 8 to 32 bits or IEEE floats) or of headerless PCM16."""
+    data = memoryview(content)
     if raw:
-        return pcm(content, BITS_PER_SAMPLE // 8)[:, None], raw_rate, CHANNELS
-    with wave.open(io.BytesIO(content)) as w:
-        declared, channels, width = w.getnframes(), w.getnchannels(), w.getsampwidth()
-        body = w.readframes(declared)
-        if len(body) < declared * channels * width:
-            raise ValueError("Truncated file")
-        return pcm(body, width).reshape(-1, channels), w.getframerate(), channels
+        return Sound(data, raw_rate, CHANNELS, BITS_PER_SAMPLE // 8)
+    if bytes(data[:4]) != b"RIFF" or bytes(data[8:12]) != b"WAVE":
+        raise ValueError("file does not start with RIFF id")
+    at, form = 12, None
+    while at + 8 <= len(data):
+        name, size = bytes(data[at : at + 4]), struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if name == b"fmt ":
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
+            if kind == 0xFFFE and size >= 26:  # extensible: the kind stands in the sub-format
+                kind = struct.unpack("<H", data[at + 32 : at + 34])[0]
+            form = kind, channels, rate, bits
+        elif name == b"data":
+            if form is None:
+                raise ValueError("data chunk before fmt chunk")
+            kind, channels, rate, bits = form
+            if (kind, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)} or not channels or not rate:
+                raise ValueError(f"unknown format: {kind}, {bits} bits")
+            if at + 8 + size > len(data):
+                raise ValueError("Truncated file")
+            return Sound(data[at + 8 : at + 8 + size], rate, channels, bits // 8, kind == 3)
+        at += 8 + size + size % 2
+    raise ValueError("fmt chunk and/or data chunk missing")
+
+
+def joined_blocks(blocks: Iterator[np.ndarray], size: int, before: int, after: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(samples, own start, own end): blocks of `size` samples with up to `before` and `after` neighbours around them."""
+    held, start, ended = np.zeros(0), 0, False
+    while True:
+        while not ended and len(held) - start < size + after:
+            more = next(blocks, None)
+            ended = more is None
+            held = held if ended else np.concatenate([held, more])
+        own = min(size, len(held) - start)
+        if own <= 0:
+            return
+        yield held[: start + own + after], start, start + own
+        cut = max(0, start + own - before)
+        held, start = held[cut:], start + own - cut
+
+
+def resample_blocks(
+    blocks: Iterator[np.ndarray], n: int, rate: int, target_rate: int = SAMPLE_RATE, whole: int = 1 << 20, margin: int = 1 << 14
+) -> Iterator[np.ndarray]:
+    """`n * target_rate // rate` samples by the Fourier method.
+
+    A signal of at most `whole` samples is transformed at once. A longer one is cut into blocks that are tapered over
+    `margin` samples on either side; away from the ends they agree with the whole transform.
+    """
+    left = n * target_rate // rate
+    if n <= whole:
+        x = np.concatenate(list(blocks)) if n else np.zeros(0)
+        yield resample_rows(x[None, :], left)[0] if left else x[:0]
+        return
+    unit = rate // math.gcd(rate, target_rate)  # so many samples become a whole number of samples
+    up = target_rate // math.gcd(rate, target_rate)
+    margin = -(-margin // unit) * unit
+    taper = 0.5 - 0.5 * np.cos(np.pi * (np.arange(margin) + 0.5) / margin)
+    for x, a, b in joined_blocks(blocks, max(whole // 4 // unit, 1) * unit, 2 * margin, 2 * margin):
+        x = np.concatenate([np.zeros(2 * margin - a), x, np.zeros(2 * margin - (len(x) - b))])
+        x = np.concatenate([x, np.zeros(-len(x) % unit)])
+        x[:margin] *= taper
+        x[-margin:] *= taper[::-1]
+        y = resample_rows(x[None, :], len(x) // unit * up)[0]
+        first = 2 * margin // unit * up
+        part = y[first : first + min(left, -(-(b - a) * up // unit))]
+        left -= len(part)
+        yield part
 
 
 def highpass_block(x: np.ndarray, alpha: float = HIGHPASS_ALPHA, block: int = 2048) -> np.ndarray:
-    """One-pole high-pass of a whole signal: running sums in blocks, a carry between blocks."""
-    out = np.empty_like(x)
+    """One-pole high-pass of a whole signal."""
+    return np.concatenate([np.zeros(0), *highpass_blocks(iter([x]), alpha, block)])
+
+
+def highpass_blocks(blocks: Iterator[np.ndarray], alpha: float = HIGHPASS_ALPHA, block: int = 2048) -> Iterator[np.ndarray]:
+    """One-pole high-pass of a signal in blocks: running sums inside, a carry between them."""
+    block = max(1, min(block, int(600 / -math.log(alpha))))
     carry = 0.0
     grow = alpha ** -np.arange(1, block + 1)
     shrink = alpha ** np.arange(block + 1)
-    for start in range(0, len(x), block):
-        part = x[start : start + block]
-        n = len(part)
-        sums = np.concatenate([[0.0], np.cumsum(part * grow[:n])])
-        history = (sums + carry) * shrink[: n + 1]
-        out[start : start + n] = part - (1 - alpha) * history[:n]
-        carry = history[n]
-    return out
-
-
-def _segments(x: np.ndarray, frames: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(segment, leading frames, samples): the frames of a segment and their neighbours."""
-    total = max(1, 1 + (len(x) - FRAME_SIZE) // HOP_SIZE)
+    for x in blocks:
+        out = np.empty_like(x)
+        for start in range(0, len(x), block):
+            part = x[start : start + block]
+            n = len(part)
+            sums = np.concatenate([[0.0], np.cumsum(part * grow[:n])])
+            history = (sums + carry) * shrink[: n + 1]
+            out[start : start + n] = part - (1 - alpha) * history[:n]
+            carry = history[n]
+        yield out
+
+
+def _segments(blocks: Iterator[np.ndarray], n: int, frames: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(segment, leading frames, samples): the frames of a segment and their neighbours, from a signal of `n` samples."""
+    total = max(1, 1 + (n - FRAME_SIZE) // HOP_SIZE)
+    held, begin = np.zeros(0), 0
     for seg in range(-(-total // frames)):
         lead = min(LEAD_FRAMES, seg * frames)
         first = (seg * frames - lead) * HOP_SIZE
-        yield seg, lead, x[first : (seg * frames + frames + TAIL_FRAMES - 1) * HOP_SIZE + FRAME_SIZE]
+        stop = min(n, (seg * frames + frames + TAIL_FRAMES - 1) * HOP_SIZE + FRAME_SIZE)
+        parts, end = [held[first - begin :]], begin + len(held)
+        while end < stop:
+            parts.append(next(blocks))
+            end += len(parts[-1])
+        held, begin = np.concatenate(parts), first
+        yield seg, lead, held[: stop - first]
 
 
 def decode(
     files: DataFrame,
     highpass: bool = False,
     resample: bool = True,
-    raw_rate: int = SAMPLE_RATE,
+    raw_rate: int | str = SAMPLE_RATE,
     frames: int = SEGMENT_FRAMES,
 ) -> DataFrame:
     """Files `(path, content, content_type)` to overlapping sample segments.
 
-    Each file is decoded in the task that scanned it (its size is bounded by admission)
-    and leaves as rows of bounded size, so nothing is shuffled. With `resample=False` any
-    rate but 44,100 is an error. Failures are rows with `error` set.
+    Each file is decoded in the task that scanned it, block by block, and leaves as rows of bounded size: besides
+    the file's bytes a task holds a few blocks, and nothing is shuffled. `raw_rate` is the rate of headerless PCM, or
+    the name of a column with it (NULL: 44,100). With `resample=False` any rate but 44,100 is an error. Failures
+    are rows with `error` set; segments before a failure are not kept back.
     """
+    rate_column = F.col(raw_rate) if isinstance(raw_rate, str) else F.lit(raw_rate)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [f.strip().split(" ")[0] for f in SEGMENT_SCHEMA.split(",")]
@@ -175,28 +282,26 @@ def decode(
             columns = [pa.array(list(c), type=t) for c, t in zip(zip(*rows), types)]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        def rows_of(path: str, content: bytes, kind: str) -> Iterator[tuple]:
+        def rows_of(path: str, content: bytes, kind: str, raw: int) -> Iterator[tuple]:
             try:
-                audio, rate, channels = _read(content, kind == RAW_TYPE, raw_rate)
+                sound = read_header(content, kind == RAW_TYPE, raw)
+                rate, n = sound.rate, sound.n_samples
                 if rate != SAMPLE_RATE and not resample:
                     raise ValueError(f"Expected {SAMPLE_RATE} Hz, got {rate}")
-                mono = audio.mean(axis=1)
-                if rate != SAMPLE_RATE and len(mono):
-                    target = int(len(mono) * SAMPLE_RATE / rate)
-                    mono = resample_rows(mono[None, :], target)[0] if target else mono[:0]
-                if highpass and len(mono):
-                    mono = highpass_block(mono)
+                blocks = sound.blocks(1 << 18)
+                if rate != SAMPLE_RATE:
+                    blocks, n = resample_blocks(blocks, n, rate), n * SAMPLE_RATE // rate
+                if highpass:
+                    blocks = highpass_blocks(blocks)
+                for seg, lead, part in _segments(blocks, n, frames):
+                    yield path, seg, lead, part.astype(np.float32), n, rate, sound.channels, None
             except Exception as failure:  # a bad file must not stop the job
                 yield path, 0, 0, None, None, None, None, str(failure)
-                return
-            for seg, lead, part in _segments(mono, frames):
-                yield path, seg, lead, part.astype(np.float32), len(mono), rate, channels, None
 
         waiting, held = [], 0
         for source in batches:
             for row in range(source.num_rows):
-                path, content, kind = (source.column(i)[row].as_py() for i in range(3))
-                for out in rows_of(path, content, kind):
+                for out in rows_of(*(source.column(i)[row].as_py() for i in range(4))):
                     waiting.append(out)
                     held += 64 + (0 if out[3] is None else len(out[3]))
                     if held > BATCH_SAMPLES:
@@ -205,7 +310,8 @@ def decode(
         if waiting:
             yield batch(waiting)
 
-    return files.select("path", "content", "content_type").mapInArrow(job, SEGMENT_SCHEMA)
+    rate = F.coalesce(rate_column.cast("int"), F.lit(SAMPLE_RATE)).alias("raw_rate")
+    return files.select("path", "content", "content_type", rate).mapInArrow(job, SEGMENT_SCHEMA)
 
 
 def own_samples(frames: int = SEGMENT_FRAMES) -> str:

@@ -1,10 +1,12 @@
 """Synthetic recordings with known answers, from files to documents."""
 
 import json
+import struct
 import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.constants import SAMPLE_RATE
 from pulsegrid.plans.transcribe import transcribe
@@ -207,3 +209,74 @@ def test_segments_do_not_change_the_result(spark, tmp_path):
         rows.append(np.array([[r.flux, *r.cqt, *(r.event or [0.0] * 2048)] for r in got]))
     assert np.allclose(rows[0], rows[1], rtol=1e-6, atol=1e-9)
     assert (rows[0][:, 89:] != 0).any(axis=1).sum() >= 1
+
+
+def write_floats(path, x, rate):
+    body = x.astype("<f4").tobytes()
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, 3, 1, rate, rate * 4, 4, 32, b"data", len(body))
+    path.write_bytes(head + body)
+
+
+def test_float_wav_and_rates_per_file(spark, tmp_path):
+    x = tone(330, 0.5, 8000)
+    write_floats(tmp_path / "floats.wav", x, 8000)
+    pcm = np.clip(np.round(x * 32767), -32768, 32767).astype("<i2").tobytes()
+    files = R.scan(spark, str(tmp_path)).select("path", "content", "content_type", F.lit(None).cast("int").alias("hz"))
+    raw = spark.createDataFrame([("raw8", bytearray(pcm), R.RAW_TYPE, 8000), ("raw44", bytearray(pcm), R.RAW_TYPE, None)], files.schema)
+    got = {name(r.recording_id): r for r in R.decode(files.unionByName(raw), raw_rate="hz").collect()}
+    assert got["floats.wav"].error is None and got["floats.wav"].original_sample_rate == 8000
+    assert got["floats.wav"].n_samples == got["raw8"].n_samples == len(x) * 44100 // 8000 and got["raw44"].n_samples == len(x)
+    assert np.abs(np.array(got["floats.wav"].samples) - np.array(got["raw8"].samples)).max() < 1e-4
+
+
+@pytest.mark.parametrize("rate", [48000, 8000, 44056])
+def test_long_files_are_resampled_in_blocks(rate):
+    """A signal that fades in and out is known between its samples: both methods must give that."""
+    n = 700_000
+
+    def signal(t):
+        fade = np.sin(np.pi * np.clip(t * rate / n, 0, 1)) ** 2
+        return fade * sum(np.sin(2 * np.pi * f * t + f) for f in (97.3, 440.0, 1234.5, 3000.1))
+
+    x = signal(np.arange(n) / rate)
+    blocks = (x[i : i + 30_000] for i in range(0, n, 30_000))
+    parts = list(R.resample_blocks(blocks, n, rate, whole=1 << 17))
+    got = np.concatenate(parts)
+    assert len(got) == n * SAMPLE_RATE // rate and len(parts) > 10 and max(map(len, parts)) < 300_000
+    assert np.abs(got - signal(np.arange(len(got)) / SAMPLE_RATE)).max() < 1e-6
+    if n * SAMPLE_RATE % rate == 0:
+        assert np.abs(got - R.resample_rows(x[None, :], len(got))[0]).max() < 1e-6
+
+
+def test_blockwise_highpass_for_any_alpha():
+    x = np.random.default_rng(4).normal(size=5000)
+    for alpha in (0.3, 0.95, 0.999):
+        y = np.empty_like(x)
+        y[0] = x[0]
+        for i in range(1, len(x)):
+            y[i] = x[i] - x[i - 1] + alpha * y[i - 1]
+        parts = np.concatenate(list(R.highpass_blocks((x[i : i + 700] for i in range(0, 5000, 700)), alpha)))
+        assert np.abs(parts - y).max() < 1e-8
+
+
+def test_sizes_are_refused_only_on_demand(spark, tmp_path):
+    write(tmp_path / "big.wav", tone(440, 1.0))
+    files = R.scan(spark, str(tmp_path))
+    assert R.admitted(files, max_bytes=1000).count() == 0 and R.admitted(files, max_bytes=None).count() == 1
+    assert [r.error for r in R.quarantine(files, max_bytes=1000).collect()] == ["File too large"]
+    unknown = files.withColumn("length", F.lit(None).cast("bigint"))
+    assert [r.error for r in R.quarantine(unknown).collect()] == ["Unknown size"] and R.admitted(unknown).count() == 0
+
+
+def test_reports_of_a_transcription(result):
+    rows = {name(r.recording_id): r for r in result.report().collect()}
+    assert rows["silence.wav"].method == "No detection" and rows["silence.wav"].detection_rate is None
+    assert rows["chromatic.wav"].detection_rate > 50
+    lists = {name(r.recording_id): r for r in result.event_lists().collect()}
+    assert lists["chromatic.wav"].n_onsets == 12 and lists["silence.wav"].note_names == "None detected"
+    assert result.note_lines().count() == result.notes.count()
+
+
+def test_half_rate_and_missing_fundamental(notes):
+    assert [r.midi_note % 12 for r in notes["half.wav"]] == [0, 4, 7][: len(notes["half.wav"])] and notes["half.wav"]
+    assert all(r.midi_note % 12 == 9 for r in notes.get("missing.wav", []))
