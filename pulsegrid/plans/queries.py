@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.constants import C1_MIDI, HOP_SIZE, SAMPLE_RATE
+from pulsegrid.constants import C1_MIDI, FRAME_SIZE, HOP_SIZE, LOWEST_MIDI, SAMPLE_RATE
 from pulsegrid.functions import arrays as A
 from pulsegrid.functions import kernels as K
 from pulsegrid.functions import scalars as X
@@ -754,16 +754,35 @@ def harmonic_suppress(spark, sf_dir):
 
 @query
 def constant_q_frames(spark, sf_dir):
-    """Constant-Q spectra of the documents' bytes read as audio: loudest bin per frame."""
-    frames = T.frame_features(R.decode(_document_audio(spark, sf_dir))).where("frame is not null")
+    """Constant-Q spectra of the documents' bytes, laid end to end and read as audio: loudest bin per frame."""
+    frames = T.frame_features(R.decode(_long_audio(spark, sf_dir))).where("frame is not null")
     return frames.select(
-        F.col("recording_id").cast("bigint").alias("doc_id"),
+        F.col("recording_id").cast("bigint").alias("part"),
         "frame",
         expr(f"cast({A.first_argmax('cqt', 6)} as int) + {C1_MIDI}", "loudest"),
         rounded(A.total("cqt"), 3, "sum_cqt"),
     )
 
 
+@query
+def constant_q_spectrum(spark, sf_dir):
+    """Constant-Q magnitudes from A0 of consecutive full-size frames of the documents read as audio."""
+    per_segment = R.SEGMENT_FRAMES * HOP_SIZE // FRAME_SIZE
+    own = R.decode(_long_audio(spark, sf_dir)).select(
+        "recording_id", "seg", F.expr(f"transform({R.own_samples()}, v -> cast(v as double))").alias("own")
+    )
+    starts = f"if(size(own) >= {FRAME_SIZE}, sequence(0, size(own) div {FRAME_SIZE} - 1), cast(array() as array<int>))"
+    frames = own.select("*", F.explode(F.expr(starts)).alias("_i")).select(
+        F.col("recording_id").cast("bigint").alias("part"),
+        F.expr(f"seg * {per_segment} + _i").alias("frame"),
+        F.expr(f"slice(own, _i * {FRAME_SIZE} + 1, {FRAME_SIZE})").alias("f"),
+    )
+    return (
+        frames.select("part", "frame", F.posexplode(K.constant_q(LOWEST_MIDI)("f")).alias("bin", "mag"))
+        .select("part", "frame", "bin", rounded("mag", 5, "mag"))
+    )
+
+
 # ---- sources, sinks, reports ------------------------------------------------------------
 
 
@@ -778,6 +797,17 @@ def _document_audio(spark, sf_dir):
     )
 
 
+def _long_audio(spark, sf_dir):
+    """As raw audio, the texts of 200 consecutive ids laid end to end: signals of thousands of frames."""
+    docs = V.table(spark, sf_dir, "documents").where("text is not null")
+    together = docs.groupBy(F.expr("cast(doc_id div 200 as string)").alias("path")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("rows")
+    )
+    text = F.array_join("rows.text", "")
+    padded = F.when(F.octet_length(text) % 2 == 1, F.concat(text, F.char(F.lit(0)))).otherwise(text)
+    return together.select("path", F.encode(padded, "UTF-8").alias("content"), F.lit(R.RAW_TYPE).alias("content_type"))
+
+
 def _document_files(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select(
         F.concat_ws("/", "source", F.concat_ws(".", "doc_id", F.nullif("lang", F.lit("de")))).alias("path"),
@@ -998,8 +1028,24 @@ def top_candidates(spark, sf_dir):
     )
 
 
+def _transcribed(spark, sf_dir):
+    files = _long_audio(spark, sf_dir).withColumn("length", F.octet_length("content").cast("bigint"))
+    return T.transcribe(files)
+
+
 @query
 def transcription(spark, sf_dir):
-    """The whole job over all documents read as raw audio: one summary row each."""
-    files = _document_audio(spark, sf_dir).withColumn("length", F.octet_length("content").cast("bigint"))
-    return T.transcribe(files).summary
+    """The whole job over all documents, laid end to end and read as raw audio: one summary row each."""
+    return _transcribed(spark, sf_dir).summary
+
+
+@query
+def transcription_notes(spark, sf_dir):
+    """The notes of the whole job."""
+    return _transcribed(spark, sf_dir).notes
+
+
+@query
+def transcription_onsets(spark, sf_dir):
+    """The onsets of the whole job."""
+    return _transcribed(spark, sf_dir).onsets.select("recording_id", "frame_index", rounded("time_seconds", 3, "time_seconds"))

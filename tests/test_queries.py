@@ -14,7 +14,7 @@ TABLES = (
 ).split()
 QUERIES = {name: query for name, query in entry_module.queries().items() if name in plans}
 ORACLE = {name: sql for name, sql in entry_module.oracle_sql().items() if name in plans}
-ROWS_ONLY = {"constant_q_frames", "transcription"}
+ROWS_ONLY = {"constant_q_frames", "transcription", "transcription_notes", "transcription_onsets"}
 
 
 @pytest.fixture(scope="module")
