@@ -400,8 +400,8 @@ def events_between(
     return list(zip((first + i[over]).tolist(), threshold[over].tolist(), strict=True))
 
 
-def frame_features(frames_per_segment: int):
-    """Features of a segment's own frames, from `(samples, seg, lead, n_samples)`.
+def frame_features(frames_per_segment: int, tonal: bool = True):
+    """Features of a segment's own frames, from `(samples, seg, lead, n_samples)`; without `tonal` no constant-Q and chroma.
 
     Per frame: flux against the frame before, constant-Q magnitudes from C1, chroma, and the
     tapered analysis frame if the flux looks like an onset. That test is the onset rule with a hair of
@@ -419,7 +419,8 @@ def frame_features(frames_per_segment: int):
     )
     taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME_SIZE) / FRAME_SIZE)
 
-    nothing = np.empty(0), np.empty((0, CQT_BINS)), np.empty((0, 12)), []
+    widths_of = (CQT_BINS, 12) if tonal else (0, 0)
+    nothing = np.empty(0), np.empty((0, widths_of[0])), np.empty((0, widths_of[1])), []
 
     def of_segment(x: np.ndarray, seg: int, lead: int, n_samples: int):
         start = seg * frames_per_segment
@@ -435,22 +436,20 @@ def frame_features(frames_per_segment: int):
         if back == 0:
             flux = np.concatenate([[0.0], flux])
         first = start - back + (1 if back else 0)
-        margin = np.zeros(4 * HOP_SIZE)  # more than the halving filters reach
-        halved = halved_signals(np.concatenate([margin, x, margin]))
-        centre = len(margin) + lead * HOP_SIZE + FRAME_SIZE // 2
         events = [None] * own
         for p, _ in events_between(flux, first, start, slack=1e-9):
             if p < start + own:
                 events[p - start] = frames[min(p + ANALYSIS_DELAY, last) - start + back] * taper
-        return (
-            flux[start - first : start - first + own],
-            constant_q_track(halved, centre, own),
-            chroma_track(halved, centre, own),
-            events,
-        )
+        flux = flux[start - first : start - first + own]
+        if not tonal:
+            return flux, np.empty((own, 0)), np.empty((own, 0)), events
+        margin = np.zeros(4 * HOP_SIZE)  # more than the halving filters reach
+        halved = halved_signals(np.concatenate([margin, x, margin]))
+        centre = len(margin) + lead * HOP_SIZE + FRAME_SIZE // 2
+        return flux, constant_q_track(halved, centre, own), chroma_track(halved, centre, own), events
 
     def lists(rows: np.ndarray) -> pa.ListArray:
-        ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
 
     def features(samples: pa.Array, seg: pa.Array, lead: pa.Array, n_samples: pa.Array) -> pa.Array:

@@ -151,7 +151,7 @@ def midi_scalars(spark, sf_dir):
 
 @query
 def scalar_functions(spark, sf_dir):
-    """Per series: clip, logarithms, root, spread, median, arg-max, running sum at the end."""
+    """Per series: clip, logarithms, root, mean, spread, maximum and its first place."""
     rows = V.event_series(spark, sf_dir)
     return rows.groupBy("series_id").agg(
         F.round(F.sum(F.greatest(F.lit(0.0), F.col("x") - 50)), 4).alias("clipped"),

@@ -54,13 +54,13 @@ class Transcription:
         )
 
 
-def frame_features(segments: DataFrame, frames: int = R.SEGMENT_FRAMES) -> DataFrame:
-    """One row per frame: flux, constant-Q, chroma and, at possible onsets, the analysis frame.
+def frame_features(segments: DataFrame, frames: int = R.SEGMENT_FRAMES, tonal: bool = True) -> DataFrame:
+    """One row per frame: flux, constant-Q and chroma (empty if not `tonal`) and, at possible onsets, the analysis frame.
 
     Narrow: every segment holds the frames that its own frames look at. Recordings without a
     frame and files that failed keep one row with `frame` NULL.
     """
-    rows = K.frame_features(frames)("samples", "seg", "lead", "n_samples")
+    rows = K.frame_features(frames, tonal)("samples", "seg", "lead", "n_samples")
     kept = ["recording_id", "n_samples", "original_sample_rate", "channels", "error"]
     return (
         segments.select(*kept, "seg", rows.alias("_rows"))
@@ -152,7 +152,13 @@ def transcribe(
     """
     admitted = R.admitted(files, allowed, max_bytes)
     segments = R.decode(admitted, highpass, resample, raw_rate)
-    rows = stage_table(gated_features(frame_features(segments)).drop("cqt"), "frames")
+    marked = frame_features(segments, tonal=chord_path)
+    if chord_path:
+        marked = gated_features(marked)
+    else:  # no event becomes a chord, so nothing of it is computed
+        absent = {"chroma": "array<double>", "chord_score": "double", "label": "string", "root_pc": "int", "bass_pc": "int"}
+        marked = marked.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()})
+    rows = stage_table(marked.drop("cqt"), "frames")
     features = rows.where("frame is not null")
 
     onsets = find_onsets(

@@ -58,17 +58,20 @@ def header_hex(content: str) -> str:
     return f"lower(hex(substring({content}, 1, 12)))"
 
 
-def scan(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Files as `(path, content, length, content_type)`; the type follows the extension."""
+def scan(spark: SparkSession, path: str, pattern: str | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """Files as `(path, content, length, content_type)`; the type follows the extension, unless `declared`, a table
+    `(path, content_type)` with one row a file, names it as it was uploaded."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     types = ", ".join(f"'{e}', '{t}'" for e, t in CONTENT_TYPES.items())
-    return reader.load(path).select(
-        "path",
-        "content",
-        "length",
-        F.expr(f"try_element_at(map({types}), lower({extension('path')}))").alias("content_type"),
+    by_name = F.expr(f"try_element_at(map({types}), lower({extension('path')}))")
+    files = reader.load(path).select("path", "content", "length", by_name.alias("content_type"))
+    if declared is None:
+        return files
+    named = declared.select("path", F.col("content_type").alias("_declared"))
+    return files.join(named, "path", "left").select(
+        "path", "content", "length", F.coalesce("_declared", "content_type").alias("content_type")
     )
 
 

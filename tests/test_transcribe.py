@@ -280,3 +280,25 @@ def test_reports_of_a_transcription(result):
 def test_half_rate_and_missing_fundamental(notes):
     assert [r.midi_note % 12 for r in notes["half.wav"]] == [0, 4, 7][: len(notes["half.wav"])] and notes["half.wav"]
     assert all(r.midi_note % 12 == 9 for r in notes.get("missing.wav", []))
+
+
+def test_low_tone_has_no_lag_candidate(spark, tmp_path):
+    from pulsegrid.plans.transcribe import frame_features, pitch_estimates
+
+    weights = (0.1, 1, 0.8, 0.6, 0.4, 0.3)
+    write(tmp_path / "low_tone.wav", np.concatenate([silence(0.25), tone(55, 1.0, weights=weights)]))
+    files = R.scan(spark, str(tmp_path))
+    assert transcribe(files).onsets.count() == 1
+    events = frame_features(R.decode(files)).where("event is not null")
+    rows = pitch_estimates(events).collect()
+    assert rows and all(r.YIN is None and r.Autocorr is None for r in rows)
+
+
+def test_declared_types_win_over_extensions(spark, tmp_path):
+    write(tmp_path / "a.bin", tone(440, 0.2))
+    write(tmp_path / "b.wav", tone(440, 0.2))
+    plain = {name(r.path): r for r in R.scan(spark, str(tmp_path)).collect()}
+    assert plain["a.bin"].content_type is None
+    declared = spark.createDataFrame([(plain["a.bin"].path, "audio/x-wav")], "path string, content_type string")
+    types = {name(r.path): r.content_type for r in R.scan(spark, str(tmp_path), declared=declared).collect()}
+    assert types == {"a.bin": "audio/x-wav", "b.wav": "audio/wav"}
