@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.constants import FRAME_SIZE, HIGHPASS_ALPHA, HOP_SIZE
 from pulsegrid.functions import arrays as A
-from pulsegrid.operators.series import attach_totals, over_segments, segment_arrays
+from pulsegrid.operators.series import attach_totals, over_segments, segment_arrays, with_halo
 
 SEGMENT_HOPS = 128
 
@@ -84,6 +84,41 @@ def frames_of_segments(
     )
 
 
+def frame_pairs(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    value: str,
+    size: int = FRAME_SIZE,
+    hop: int = HOP_SIZE,
+    segment_hops: int = SEGMENT_HOPS,
+) -> DataFrame:
+    """Frames as `sliding_frames` gives them, each with the one before it: `(keys, frame, f, earlier)`.
+
+    A segment holds one hop more at its front, so what compares a frame with its predecessor needs no shuffle of
+    frames or spectra.
+    """
+    span, after = segment_hops * hop, max(0, size - hop)
+    if max(hop, after) > span:
+        raise ValueError("a segment must hold a whole frame")
+    packed = F.array_sort(F.collect_list(F.struct(pos, value)))
+    segments = with_halo(df, pos, hop, after, span).groupBy(*keys, F.col("_seg").alias("seg")).agg(packed.alias("_rows"))
+    lead = f"if(seg > 0, {hop}, 0)"
+    last = f"least({segment_hops - 1}, (size(samples) - {size} - {lead}) div {hop})"
+    return (
+        segments.select(*keys, "seg", F.col(f"_rows.{value}").alias("samples"))
+        .where(f"size(samples) - {lead} >= {size}")
+        .select(*keys, "seg", "samples", F.explode(F.expr(f"sequence(0, {last})")).alias("_i"))
+        .withColumn("_at", F.expr(f"cast(_i * {hop} + {lead} + 1 as int)"))
+        .select(
+            *keys,
+            F.expr(f"seg * {segment_hops} + _i").alias("frame"),
+            F.expr(f"slice(samples, _at, {size})").alias("f"),
+            F.expr(f"if(_at > {hop}, slice(samples, _at - {hop}, {size}), null)").alias("earlier"),
+        )
+    )
+
+
 def tapered(f: str, size: int, periodic: bool = True) -> str:
     """Frame times Hann window."""
     return A.multiply(f, A.hann(size, periodic))

@@ -17,7 +17,14 @@ from pulsegrid.functions import arrays as A
 from pulsegrid.functions import kernels as K
 from pulsegrid.functions import scalars as X
 from pulsegrid.operators import chords, fusion, gate, periods, pitch, reports, smoothing, spectra
-from pulsegrid.operators.frames import highpass, resample_linear, sliding_frames, tapered, whole_blocks
+from pulsegrid.operators.frames import (
+    frame_pairs,
+    highpass,
+    resample_linear,
+    sliding_frames,
+    tapered,
+    whole_blocks,
+)
 from pulsegrid.operators.onsets import find_onsets
 from pulsegrid.operators.series import exact_median, join_by_span, keep_where
 from pulsegrid.plans import transcribe as T
@@ -280,8 +287,15 @@ def spectral_flux(spark, sf_dir):
 
 @query
 def flux_onsets(spark, sf_dir):
-    flux = spectra.spectral_flux(_line_spectra(spark, sf_dir), SERIES, "frame", "mag")
-    return find_onsets(flux.drop("mag"), SERIES, "frame", "flux").select(
+    pairs = frame_pairs(V.line_series(spark, sf_dir), SERIES, "t", "x", SIZE, HOP, segment_hops=4096 // HOP)
+    magnitudes = pairs.select(
+        *SERIES,
+        "frame",
+        K.rfft_magnitude(F.expr(tapered("f", SIZE))).alias("now"),
+        K.rfft_magnitude(F.expr(tapered("earlier", SIZE))).alias("before"),
+    )
+    flux = magnitudes.select(*SERIES, "frame", expr(spectra.rise("now", "before"), "flux"))
+    return find_onsets(flux, SERIES, "frame", "flux").select(
         "series_id", "frame", rounded(X.frame_seconds("frame"), 6, "time_seconds")
     )
 

@@ -64,6 +64,15 @@ def test_sliding_frames_count_and_content(hot, size, hop):
                 assert frames[i] == list(x[i * hop : i * hop + size])
 
 
+def test_frame_pairs_are_neighbouring_frames(hot):
+    from pulsegrid.operators.frames import frame_pairs
+
+    df, _ = hot
+    frames = {(r.k, r.frame): r.f for r in sliding_frames(df, ["k"], "t", "x", 64, 16, segment_hops=24).collect()}
+    pairs = {(r.k, r.frame): (r.f, r.earlier) for r in frame_pairs(df, ["k"], "t", "x", 64, 16, segment_hops=24).collect()}
+    assert pairs == {(k, i): (f, frames.get((k, i - 1))) for (k, i), f in frames.items()}
+
+
 def test_highpass_matches_the_recursion(hot):
     df, values = hot
     long = series.number_rows(
