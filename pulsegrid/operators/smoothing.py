@@ -99,9 +99,13 @@ def smooth_states(
     frames: int = SEGMENT_FRAMES,
     per_block: int = SEGMENTS_PER_BLOCK,
     levels: int = 1,
+    weights: np.ndarray | None = None,
 ) -> DataFrame:
     """`(keys, pos, state)`: the most likely state of every row; `probs` has `states` entries.
 
+    With `weights` (n, states), `probs` is a vector of n entries whose products with the columns of `weights`, to whole
+    billionths, are the probabilities. They are taken inside the groups, so that only the vectors are shuffled.
+
     `levels` of combining leave one matrix per `frames * per_block ** levels` positions of a
     key for the last step, which takes a key's matrices in one task. One level leaves at most
     2,048 for 2^31 positions; take two for longer keys.
@@ -111,11 +115,18 @@ def smooth_states(
     rows = df.select(
         *keys,
         F.col(pos).cast("bigint").alias(pos),
-        F.expr(whole_scores(probs, states)).alias("_e"),
+        (F.expr(whole_scores(probs, states)) if weights is None else F.col(probs)).alias("_e"),
         F.expr(f"{pos} div {frames}").alias("_seg"),
     )
     key_type = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
+    def scores_of(column: pd.Series) -> np.ndarray:
+        values = np.stack(column.to_numpy())
+        if weights is None:
+            return values.astype(np.int64)
+        likely = np.floor(values @ weights * 1e9 + 0.5) / 1e9
+        return np.rint(np.log(likely + 1e-8) * SCALE).astype(np.int64) * _unit(states) - np.arange(states)
+
     def identity() -> np.ndarray:
         eye = np.full((states, states), IMPOSSIBLE, dtype=np.int64)
         np.fill_diagonal(eye, 0)
@@ -123,7 +134,7 @@ def smooth_states(
 
     def segment_matrix(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
-        scores = np.stack(pdf["_e"].to_numpy()).astype(np.int64)
+        scores = scores_of(pdf["_e"])
         seg = int(pdf["_seg"].iloc[0])
         # A key's first segment has no entry state: one row says it all.
         m = _walk(scores, identity()[:1] if seg == 0 else identity(), seg == 0, stay_score, move_score)
@@ -152,7 +163,7 @@ def smooth_states(
         pdf = pdf.sort_values(pos)
         first = pdf["_in"].iloc[0]
         path = _decode(
-            np.stack(pdf["_e"].to_numpy()).astype(np.int64),
+            scores_of(pdf["_e"]),
             None if pd.isna(first) else int(first),
             int(pdf["_out"].iloc[0]),
             stay_score,

@@ -519,8 +519,10 @@ def chord_records(spark, sf_dir):
 def viterbi_smooth(spark, sf_dir):
     """Chord labels smoothed along the vectors of each recording."""
     chroma = _with_chroma(V.embedding_frames(spark, sf_dir)).select(*FRAME, "chroma")
-    rows = chords.match_chords(V.number_frames(chroma), scores="scores")
-    path = smoothing.smooth_states(rows, REC, "frame", "scores", chords.N_TEMPLATES)
+    rows = V.number_frames(chroma)
+    path = smoothing.smooth_states(
+        rows, REC, "frame", "chroma", chords.N_TEMPLATES, weights=chords.template_matrix()
+    )
     return path.select("recording_id", "frame", expr(chords.template_label("cast(state as int)"), "label"))
 
 
