@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.text import code_points, utf8
+from pulsegrid.llm.text import code_points, lean, utf8
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ def format_chats(turns: DataFrame, template: Template | None = None, part_bytes:
                 names=["conv_id", "part_partition", "part_no", "n_turns", "formatted", "loss_spans"],
             )
 
-    return rows.mapInArrow(parts, SCHEMA)
+    return rows.mapInArrow(lean(parts), SCHEMA)
 
 
 def read_turns(formatted: str, template: Template) -> list[tuple[str, str]]:
@@ -198,7 +198,7 @@ def digests(parts: DataFrame, template: Template | None = None) -> DataFrame:
             close()
         yield flush()
 
-    return rows.mapInArrow(read, DIGEST)
+    return rows.mapInArrow(lean(read), DIGEST)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.stream import record_batch
-from pulsegrid.llm.text import ALNUM, HashSet, U64, mix, span_hashes, word_blocks
+from pulsegrid.llm.text import ALNUM, U64, HashSet, lean, mix, span_hashes, word_blocks
 
 
 @dataclass(frozen=True)
@@ -262,7 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
                 if rows:
                     yield record_batch(_SCHEMA, list(zip(*rows, strict=True)))
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), SCHEMA)
         out = found if out is None else out.union(found)
     return out
 
@@ -279,5 +279,5 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | N
                 keep[[row for row, *_ in _found(batch.column(text), index.value, s)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

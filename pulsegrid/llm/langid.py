@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.text import lean
+
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -121,4 +123,4 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column | None = No
                 names=["doc_id", "held_out", "lang", "lang_best", "score", "margin", "rejected"],
             )
 
-    return rows.mapInArrow(predict, SCHEMA)
+    return rows.mapInArrow(lean(predict), SCHEMA)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.text import ALNUM, HashSet, hash_of, word_blocks
+from pulsegrid.llm.text import ALNUM, hash_of, HashSet, lean, word_blocks
 
 # Phrases of the base scan and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -119,7 +119,7 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> tu
         words = [vocabulary[k] for k in order] + [None]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.r_[held, rows])], names=["word", "n"])
 
-    found = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    found = docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r["word"]: r["n"] for r in found}
     return counts.pop(None, 0), counts
 
@@ -268,4 +268,4 @@ def scan_licences(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
                 names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), SCHEMA)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.stream import joined, record_batch
+from pulsegrid.llm.text import lean
 from pulsegrid.session import stage_table
 
 
@@ -171,7 +172,7 @@ def brute_force(rows: DataFrame, queries: list[tuple[int, list[float]]], d: int,
                     names, sure = best(scores, ids, x, vector, one, k)
                     yield record_batch(_FOUND, [np.full(len(names), one), names, sure])
 
-    return _top(rows.select("id", "vector").mapInArrow(run, FOUND), k)
+    return _top(rows.select("id", "vector").mapInArrow(lean(run), FOUND), k)
 
 
 def build(rows: DataFrame, d: int, n: int, s: Settings) -> tuple[Codebook, DataFrame]:
@@ -192,7 +193,7 @@ def build(rows: DataFrame, d: int, n: int, s: Settings) -> tuple[Codebook, DataF
             cell = shared.value.cells(matrix(batch.column(1), d))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["id", "vector", "cell"])
 
-    indexed = stage_table(rows.mapInArrow(assign, "id long, vector array<double>, cell int"), "cells")
+    indexed = stage_table(rows.mapInArrow(lean(assign), "id long, vector array<double>, cell int"), "cells")
     counts = np.zeros(k * k, dtype=np.int64)
     for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most max_centroids squared
         counts[r["cell"]] = r["n"]
@@ -266,7 +267,7 @@ def search(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, s
             if out:
                 yield record_batch(schema, list(zip(*out, strict=True)))
 
-    asked = queries.select("id", "vector").mapInArrow(probe, "group int, chunk int, id long, vector array<double>, wanted long")
+    asked = queries.select("id", "vector").mapInArrow(lean(probe), "group int, chunk int, id long, vector array<double>, wanted long")
     asked = asked.select("group", "chunk", F.lit(1).alias("side"), "id", "vector", F.lit(0).alias("cell"), "wanted")
     groups = F.floor(F.col("cell") / book.k) * book.spans + F.floor((F.col("cell") % book.k) / book.width)
     many = F.element_at(F.lit(book.chunks.tolist()), F.col("group") + 1)
@@ -300,7 +301,7 @@ def search(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, s
                     out[2].append(sure)
                 yield record_batch(_FOUND, [np.concatenate(c) for c in out])
 
-    found = _top(both.mapInArrow(rerank, FOUND), s.k)
+    found = _top(both.mapInArrow(lean(rerank), FOUND), s.k)
     return found.select("query_id", "rank", "vec_id", "score")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.text import document_blocks, span_hashes, utf8
+from pulsegrid.llm.text import document_blocks, lean, span_hashes, utf8
 
 
 @dataclass(frozen=True)
@@ -28,11 +28,11 @@ class Settings:
     window: int = 2048
     step: int = 8
     parts: int = 3
-    block_tokens: int = 8 << 20
+    block_tokens: int = 4 << 20
     end_id: int = 1
     #: Bytes of text whose distinct words are encoded together, and words that a worker remembers.
     encode_bytes: int = 1 << 20
-    remembered: int = 2_000_000
+    remembered: int = 1_000_000
 
 
 # Words: a text may be cut before a space that a visible character follows, without changing its ids, because the
@@ -58,8 +58,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)  # sorted hashes of words
-        self.place = np.zeros((0, 2), dtype=np.int64)  # where their ids begin and end
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
+        self.place = np.zeros((0, 2), dtype=np.uint32)  # where their ids begin, and how many there are
+        self.ids = np.zeros(1 << 20, dtype=np.uint16 if len(self.length) <= 1 << 16 else np.uint32)
         self.used = 0
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
@@ -82,7 +82,8 @@ class Encoder:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
-        place = self.used + np.stack([np.r_[0, upto[:-1]], upto], axis=1)
+        first = np.r_[0, upto[:-1]]
+        place = np.stack([self.used + first, upto - first], axis=1).astype(np.uint32)
         self.used += len(ids)
         new = hashes[order]
         sort = np.argsort(new)
@@ -105,7 +106,7 @@ class Encoder:
             start = np.flatnonzero(cut)
             end = np.r_[start[1:], len(block)][: len(start)]
             distinct, one, which = np.unique(span_hashes(block, start, end), return_index=True, return_inverse=True)
-            if len(self.known) > self.settings.remembered:
+            if len(self.known) > self.settings.remembered or self.used > 1 << 30:
                 self._forget()
             where = np.searchsorted(self.known, distinct)
             held = np.zeros(len(distinct), dtype=bool)
@@ -115,8 +116,8 @@ class Encoder:
                 new = one[~held]
                 self._learn(block, start[new], end[new], distinct[~held])
                 where = np.searchsorted(self.known, distinct)
-            place = self.place[where]
-            size = (place[:, 1] - place[:, 0])[which]
+            place = self.place[where].astype(np.int64)
+            size = place[:, 1][which]
             total = np.cumsum(size)
             ids = self.ids[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(place[which, 0] - total + size, size)]
             yield lo, ids, np.diff(np.r_[0, total][np.searchsorted(start, begin)])
@@ -291,4 +292,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: Settings | No
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), SCHEMA)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pulsegrid.llm.stream import record_batch
-from pulsegrid.llm.text import HashSet, code_points, mix, utf8, word_blocks
+from pulsegrid.llm.text import code_points, HashSet, lean, mix, utf8, word_blocks
 from pulsegrid.session import stage_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -149,7 +149,7 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
             return block.hashes()[long], code_points(block.data)[block.start[long]]
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    return docs.select("text").where("text is not null").mapInArrow(run, "entity long, term long, context long")
+    return docs.select("text").where("text is not null").mapInArrow(lean(run), "entity long, term long, context long")
 
 
 def _slot(term: Column, s: Settings) -> Column:
@@ -188,7 +188,7 @@ def term_counts(docs: DataFrame, table: np.ndarray, s: Settings) -> DataFrame:
                 terms, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], names=["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosing_terms(docs: DataFrame, s: Settings) -> DataFrame | None:
@@ -231,7 +231,7 @@ def term_spans(docs: DataFrame, terms: DataFrame, s: Settings) -> DataFrame:
                 )
 
     found = keyed(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "mark", "text")
-    found = found.mapInArrow(run, "doc_id long, mark long, term long, start long, end long")
+    found = found.mapInArrow(lean(run), "doc_id long, mark long, term long, start long, end long")
     hits = found.join(terms, "term").select("doc_id", "mark", F.struct("start", "end", (F.col("share") >= s.remove_share).alias("remove")).alias("hit"))
     return hits.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("hit")).alias("terms"))
 
@@ -333,4 +333,4 @@ def sanitise(docs: DataFrame, keep: list[str], settings: Settings | None = None)
                 names=[*kept, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked"],
             )
 
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"k_{c}": c for c in keep})
+    return rows.mapInArrow(lean(run), schema).withColumnsRenamed({f"k_{c}": c for c in keep})

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pulsegrid.llm.stream import record_batch
-from pulsegrid.llm.text import ALNUM, HashSet, U64, hash_of, mix, word_blocks
+from pulsegrid.llm.text import ALNUM, U64, hash_of, HashSet, lean, mix, word_blocks
 from pulsegrid.session import stage_table
 
 INSULTS = (
@@ -206,7 +206,7 @@ def _count_keys(rows: DataFrame, among: np.ndarray | None) -> DataFrame:
                 names = ["key", "positive", "negative"]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(positive), pa.array(both - positive)], names=names)
 
-    counted = rows.select("text", "label").mapInArrow(count, "key long, positive long, negative long")
+    counted = rows.select("text", "label").mapInArrow(lean(count), "key long, positive long, negative long")
     return counted.groupBy("key").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
@@ -243,7 +243,7 @@ def measure(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*keep, "features"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 @dataclass
