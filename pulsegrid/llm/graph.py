@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.session import stage_table
 
 
+def _slot(column: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+
+
+def in_table(df: DataFrame, column: str, ids: DataFrame, bits: int = 24, how: str = "left_semi") -> DataFrame:
+    """Rows of `df` whose `column` may be (`left_semi`) or surely is not (`left_anti`) among the ids of the one-column `ids`.
+
+    The ids are kept as a table of 2 ** `bits` flags, 64 to a row: at most 2 ** (bits - 6) rows are broadcast, however many
+    ids there are. It saves shuffling wide rows that a join with the ids would drop; the exact join still has to follow.
+    """
+    slot = _slot(ids.columns[0], bits)
+    flags = ids.select(F.shiftright(slot, 6).alias("__word"), F.pmod(slot, F.lit(64)).cast("int").alias("__bit"))
+    flags = flags.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__flags"))
+    slot = _slot(column, bits)
+    bit = F.call_function("shiftrightunsigned", F.col("__flags"), F.pmod(slot, F.lit(64)).cast("int"))
+    return df.join(F.broadcast(flags), (F.shiftright(slot, 6) == F.col("__word")) & (bit.bitwiseAND(F.lit(1)) == 1), how)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link neighbours of each node with the smallest of them: the larger neighbours, or the smaller ones and the node."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.graph import components
+from pulsegrid.llm.graph import components, in_table
 from pulsegrid.llm.stream import key_runs, record_batch
-from pulsegrid.llm.text import NOT_SPACE, U64, mix, word_blocks
+from pulsegrid.llm.text import NOT_SPACE, U64, lean, mix, word_blocks
 from pulsegrid.session import stage_table
 
 
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, s: Settings) -> DataFrame:
                 sig[row] = signature(shingles, coordinates)
             yield record_batch(_FINGERPRINT, [batch.column(0), size, d1, d2, sig])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINGERPRINT)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), FINGERPRINT)
 
 
 def _tokens(signatures: pa.Array, s: Settings) -> np.ndarray:
@@ -128,7 +128,7 @@ def frequency_sketch(classes: DataFrame, s: Settings) -> np.ndarray:
         slot = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(held[slot])], names=["slot", "n"])
 
-    rows = classes.select("signature").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = classes.select("signature").mapInArrow(lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << s.sketch_bits, dtype=np.uint32)
     out[rows["slot"].to_numpy()] = np.minimum(rows["n"].to_numpy(), (1 << 32) - 1)
     return out
@@ -148,7 +148,7 @@ def postings(classes: DataFrame, s: Settings) -> DataFrame:
             node = np.repeat(np.asarray(batch.column(0)), s.prefix)
             yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel().astype(np.int64)), pa.array(node)], names=["token", "node"])
 
-    return classes.select("node", "signature").mapInArrow(post, "token long, node long")
+    return classes.select("node", "signature").mapInArrow(lean(post), "token long, node long")
 
 
 def in_block_pairs(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
@@ -227,7 +227,7 @@ def candidate_edges(posted: DataFrame, classes: DataFrame, s: Settings) -> DataF
         if found:
             yield record_batch(_EDGES, list(zip(*found, strict=True)))
 
-    return rows.mapInArrow(link, "a long, b long").distinct()
+    return rows.mapInArrow(lean(link), "a long, b long").distinct()
 
 
 def confirmed_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
@@ -235,7 +235,7 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, s:
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "component").join(classes.select("node", "d1", "d2"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null")
-    rows = texts.join(members, "node")
+    rows = in_table(texts, "node", clusters.select("node")).join(members, "node")
     rows = in_block_pairs(rows, "component", "size", s.block).select("component", "lo", "hi", "at", "node", "d1", "d2", "text")
     rows = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
 
@@ -272,7 +272,7 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, s:
             if out[0]:
                 yield record_batch(_EDGES, list(out))
 
-    return rows.mapInArrow(confirm, "a long, b long").distinct()
+    return rows.mapInArrow(lean(confirm), "a long, b long").distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -336,6 +336,33 @@ def test_near_duplicates_in_blocks(spark):
     assert got == {i: root(i) for i in sets}
 
 
+def test_components_and_id_tables(spark):
+    from pulsegrid.llm.graph import components, in_table
+
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(7, 7)]
+    up = {n: n for e in edges for n in e}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: root(n) for n in linked}
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "wanted")
+    rows = spark.range(3000).selectExpr("if(id = 5, null, id) as doc_id")
+    for bits in (8, 24):
+        maybe = {r[0] for r in in_table(rows, "doc_id", ids, bits).collect()}
+        surely_not = {r[0] for r in in_table(rows, "doc_id", ids, bits, "left_anti").collect()}
+        assert set(range(0, 3000, 3)) <= maybe and not maybe & surely_not and len(maybe) + len(surely_not) == 3000
+    assert len(maybe) < 1010
+
+
 # op9
 
 
