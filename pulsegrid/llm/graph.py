@@ -37,23 +37,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+    out = out.where("a != b")
+    return out if large else out.distinct()  # repeated edges do not change what the small step makes of the large one's
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of each node of `edges` (a, b: BIGINT); the component is its smallest node.
 
-    Each round is written to the shared stage folder, so lost executors recompute one round at most. Ends when a round
-    leaves the edges as they were; then every node is linked with its component alone.
+    Each round is written to the shared stage folder, so lost executors recompute one round at most. Ends when the edges
+    are stars: then every node but the smallest of a component is linked with that one alone.
     """
-    current = stage_table(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    current = stage_table(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     for _ in range(max_rounds):
         current = stage_table(_star(_star(current, large=True), large=False), "edges")
-        seen = current.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h"), F.sum(F.expr("pmod(xxhash64(b, a), 1000003)")).alias("s")).first()
-        if tuple(seen) == state:
+        ends = current.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(current.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.where("up > 1 or (up = 1 and down = 1)").agg(F.count("*")).first()[0]:
             break
-        state = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

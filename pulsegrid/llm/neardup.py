@@ -272,7 +272,7 @@ def confirmed_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, s:
             if out[0]:
                 yield record_batch(_EDGES, list(out))
 
-    return rows.mapInArrow(lean(confirm), "a long, b long").distinct()
+    return rows.mapInArrow(lean(confirm), "a long, b long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
