@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and terms that disclose them by co-occurrence.
 
-Values found by the patterns are protected entities. The words around them are counted over the corpus: the share of a word's
-documents whose context holds the entity estimates p(entity | word). A word with enough support whose share and information
-gain, log2 p(entity | word) / p(entity), pass the thresholds discloses the entity wherever it stands; it is generalised, or removed if the
-share is near one.
+Values found by the patterns are protected entities. The words around them are counted over the corpus, in documents: the share of
+a word's documents in which it stands near the entity estimates p(entity | word), the share of all documents that hold the entity
+p(entity). A word with enough support whose share and information gain, log2 p(entity | word) / p(entity), pass the thresholds
+discloses the entity wherever it stands; it is generalised, or removed if the share is near one. Support alone counts different
+contexts, so copies of one text do not add to it; documents are counted each, copies too.
 """
 
 from __future__ import annotations
@@ -115,11 +116,14 @@ def _entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{KINDS[kind]}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-_CONTEXT = pa.schema([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])
+_CONTEXT = pa.schema([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("docs", pa.int64())])
 
 
 def contexts(docs: DataFrame, s: Settings) -> DataFrame:
-    """(entity, term, context) of each word near each entity; entities themselves are no words."""
+    """(entity, term, context, docs) of each word near each entity; entities themselves are no words.
+
+    `docs` is 1 once for each entity and term of a document, else 0; a row without a term stands for each entity of a document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +138,16 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
                     plain[a:b] = " " * (b - a)
                 (words, where), size = _words("".join(plain)), np.array([a for a, _, _ in spans])
                 near = np.searchsorted(where, size)
+                met: set[tuple[int, int | None]] = set()
                 for (a, kind, b), k in zip(spans, near.tolist(), strict=True):
                     around = words[max(0, k - s.reach) : k + s.reach]
                     context = int(mix(around * np.uint64(3) + np.arange(len(around), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
                     entity = _entity(kind, text[a:b])
-                    out += [(entity, t, context) for t in set(around.view(np.int64).tolist())]
+                    if (entity, None) not in met:
+                        out.append((entity, None, None, 1))
+                    terms = set(around.view(np.int64).tolist())
+                    out += [(entity, t, context, int((entity, t) not in met)) for t in terms]
+                    met.update((entity, t) for t in (None, *terms))
             if out:
                 yield record_batch(_CONTEXT, list(zip(*out, strict=True)))
 
@@ -149,7 +158,7 @@ def contexts(docs: DataFrame, s: Settings) -> DataFrame:
             return block.hashes()[long], code_points(block.data)[block.start[long]]
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    return docs.select("text").where("text is not null").mapInArrow(lean(run), "entity long, term long, context long")
+    return docs.select("text").where("text is not null").mapInArrow(lean(run), "entity long, term long, context long, docs long")
 
 
 def _slot(term: Column, s: Settings) -> Column:
@@ -193,14 +202,15 @@ def term_counts(docs: DataFrame, table: np.ndarray, s: Settings) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, s: Settings) -> DataFrame | None:
     """(term, share) of the words that disclose an entity, staged; None if there is none."""
-    near = stage_table(contexts(docs, s).distinct(), "contexts")
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= s.support)
-    together = stage_table(together, "together")
+    near = contexts(docs, s).groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs"))
+    near = stage_table(near, "contexts")
+    together = near.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("docs").alias("both"))
+    together = stage_table(together.where(F.col("support") >= s.support), "together")
     if not together.take(1):
         return None
     rows = docs.count()
     seen = term_counts(docs, bit_table(together, s), s)
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("holding"))
+    entities = near.where("term is null").select("entity", F.col("docs").alias("holding"))
     rated = together.join(seen, "term").join(entities, "entity")
     share = F.least(F.col("both") / F.col("n"), F.lit(1.0))
     gain = F.log2(share / (F.col("holding") / F.lit(float(max(rows, 1)))))

@@ -449,3 +449,18 @@ def test_disclosing_terms(spark):
     assert found[500]["spans"] == "term:6:14" and found[500]["masked"] == "later [TERM] came back"
     assert found[None]["spans"] == "term:0:8" and found[0]["spans"].startswith("term:7:15,email:")
     assert found[100]["spans"] == "" and found[501]["masked"] in (None, "")
+
+
+def test_disclosing_terms_of_copies(spark):
+    filler = ["meadow", "harbour", "lantern", "copper", "valley"]
+    notes = ", ".join(f"'{w} zorblatt wrote to zed@corp.example.com {w}'" for w in filler)
+    words = ["".join(chr(97 + (k * 7 + j * j * 3 + j * k) % 26) for j in range(6)) for k in range(160)]
+    often = " ".join(f"{' '.join(words[8 * k : 8 * k + 8])} quorfeld amy@corp.example.com" for k in range(20))
+    frame = spark.range(5000).selectExpr("id", f"element_at(array({notes}), cast(id % 5 + 1 as int))")
+    frame = frame.union(spark.range(5000, 50_000).selectExpr("id", "'nothing of note stands here'"))
+    more = [(60_000, "later zorblatt came back"), (60_001, often)] + [(60_100 + k, "a clean quorfeld text") for k in range(20)]
+    frame = frame.union(spark.createDataFrame(more, "id long, text string")).toDF("doc_id", "text")
+    found = privacy.sanitise(frame, ["doc_id"]).where("doc_id % 1000 < 5 or doc_id >= 60000")
+    found = {r["doc_id"]: r["spans"] for r in found.collect()}
+    assert found[60_000] == "term:6:14" and found[0].startswith("term:7:15,") and found[4004].startswith("term:7:15,")
+    assert found[60_100] == "" and found[5004] == ""
