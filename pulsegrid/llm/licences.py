@@ -89,6 +89,7 @@ class Settings:
     slack: int = 4
     min_anchor_share: float = 0.5
     min_coverage: float = 0.6
+    band: int = 65
     window: int = 1 << 16
 
 
@@ -127,6 +128,9 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> tu
 class Index:
     """Anchor words with postings (template, position), and what candidates are verified with."""
 
+    #: Cells of the comparison of a template with the words of a run that are held at once.
+    CELLS = 1 << 18
+
     def __init__(self, templates: tuple[Template, ...], rows: int, frequency: dict[str, int], s: Settings):
         self.settings, self.templates = s, templates
         self.words, self.weights, self.phrases, self.needed = [], [], [], []
@@ -187,18 +191,35 @@ class Index:
                     yield int(doc[x]), t, int(diagonal[x]), int(diagonal[y - 1])
 
     def coverage(self, words: np.ndarray, lo: int, hi: int, t: int, low: int, high: int) -> float:
-        """Share of the template's weight found in document words lo to hi near the diagonals; 0 if a phrase is missing."""
+        """Largest share of the template's weight found in document words lo to hi in a band of diagonals that holds all its phrases.
+
+        A band is as wide as a notice with `slack` words between any two of its words. A run of more diagonals is gone through whole,
+        band by band in bounded steps; 0 if no band holds all phrases.
+        """
         s = self.settings
+        places = []
         for q, phrase in self.phrases[t]:
             a, b = max(lo, low + q - s.slack), min(hi, high + q + s.slack + len(phrase))
-            if not len(consecutive(words[a:b], phrase)):
+            places.append(a + consecutive(words[a:b], phrase) - q)
+            if not len(places[-1]):
                 return 0.0
         template, weights = self.words[t], self.weights[t]
-        shifts = np.arange(low - s.slack, min(high, low + 64) + s.slack + 1)
-        at = np.arange(len(template))[:, None] + shifts[None, :]
-        inside = (at >= lo) & (at < hi)
-        found = ((words[np.clip(at, 0, len(words) - 1)] == template[:, None]) & inside).any(axis=1)
-        return float(weights[found].sum() / weights.sum())
+        first, last, best = low - s.slack, high + s.slack, 0.0
+        width = min(last - first + 1, max(s.band, s.slack * len(template)) + 2 * s.slack)
+        step = max(1, self.CELLS // len(template))
+        for start in range(first, last - width + 2, step):
+            bands = np.arange(start, min(start + step, last - width + 2))
+            whole = np.all([np.searchsorted(p, bands + width) > np.searchsorted(p, bands) for p in places], axis=0)
+            if not whole.any():
+                continue
+            end = int(bands[-1]) + width
+            at = np.arange(len(template))[:, None] + np.arange(start, end)[None, :]
+            hit = (words[np.clip(at, 0, len(words) - 1)] == template[:, None]) & (at >= lo) & (at < hi)
+            held = np.zeros((len(template), hit.shape[1] + 1), dtype=np.int32)
+            np.cumsum(hit, axis=1, out=held[:, 1:])
+            shares = weights @ (held[:, width:] > held[:, :-width])
+            best = max(best, float(shares[whole].max() / weights.sum()))
+        return best
 
 
 def consecutive(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:

@@ -281,6 +281,13 @@ def test_licence_templates(spark):
     assert all(found[1000 + k]["labels"] == "" for k in range(60))
 
 
+def test_licence_after_a_run_of_anchors(spark):
+    table = " ".join(f"{k}.0" for k in range(1, 20_000))
+    frame = spark.createDataFrame([(0, f"{table} Licensed under CC BY 4.0. {table}"), (1, table)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["labels"], round(r["score"], 6)) for r in licences.scan_licences(frame).collect()}
+    assert found == {0: ("cc-by-4.0", 1.0), 1: ("", 0.0)}
+
+
 # op8
 
 
