@@ -5,7 +5,8 @@ shared random bit of (j, word) says so. Two sequences at a small edit distance c
 becomes Hamming distance. A repetition has its own walk and samples a few steps; windows of documents that agree with an item
 in all of them are candidates, and an exact edit distance over words decides. Windows start at each word of each document and are item-sized:
 items are taken in classes by length, and each repetition starts the walk at another place of the item. Repetitions are added until a simulation with
-edits at the allowed rate reaches the target recall.
+edits at the allowed rate reaches the target recall, or to a limit. What the walks miss is found without chance: each item is also cut into one
+more piece than it may have edits, so in every match one piece at least stands word for word, and the pieces are looked up too.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pulsegrid.llm.text import ALNUM, U64, HashSet, lean, mix, span_hashes, word
 class Settings:
     """A passage is a match within floor(`rate` * words of the item) word edits.
 
-    `block_items` bounds the items that are broadcast at once; a larger benchmark takes several passes.
+    `block_items` bounds the items that are broadcast at once; a larger benchmark takes several passes. `target_recall` and `max_repetitions` are
+    those of the walks; with the pieces every match is found.
     """
 
     rate: float = 0.25
@@ -56,6 +58,7 @@ class Walk:
 
     size: int
     fraction: float
+    by_place: bool
     multipliers: np.ndarray
     steps: tuple[int, ...]
 
@@ -65,7 +68,7 @@ class Walk:
         reach = max(size, 1)
         steps = np.sort(rng.choice(np.arange(1, reach), min(s.samples - 1, reach - 1), replace=False)) if reach > 1 else []
         multipliers = rng.integers(1, 1 << 62, reach + 1, dtype=np.uint64) * U64(2) + U64(1)
-        return cls(size, (number * 0.618034) % 1.0, multipliers, (0, *map(int, steps)))
+        return cls(size, (number * 0.618034) % 1.0, number % 2 == 1, multipliers, (0, *map(int, steps)))
 
     def signatures(self, words: np.ndarray, at: np.ndarray, among: list[HashSet] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Starting positions and signatures of the walks from `at`; those outside `among`, level by level, are dropped."""
@@ -92,6 +95,32 @@ class Walk:
         return out
 
 
+@dataclass(frozen=True)
+class Piece:
+    """Words that stand one after another, read as a walk that moves on at each step."""
+
+    size: int
+
+    def signatures(self, words: np.ndarray, at: np.ndarray, among: list[HashSet] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Starting positions and signatures of the pieces from `at`; those outside `among`, word by word, are dropped."""
+        at = at[at + self.size <= len(words)]
+        sign = np.full(len(at), self.size, dtype=np.uint64)
+        for level in range(self.size):
+            sign = mix(sign * U64(0x9E3779B97F4A7C15) + words[at + level])
+            if among is not None:
+                keep, _ = among[level].find(sign)
+                at, sign = at[keep], sign[keep]
+        return at, sign
+
+    def levels(self, words: np.ndarray, at: int) -> list[int]:
+        """Signature of the piece from `at` after each word."""
+        out, sign = [], np.array([self.size], dtype=np.uint64)
+        for word in words[at : at + self.size]:
+            sign = mix(sign * U64(0x9E3779B97F4A7C15) + word)
+            out.append(sign[0])
+        return out
+
+
 def distance(item: list[int], words: list[int], most: int) -> tuple[int, int]:
     """Smallest edit distance of `item` to any run of `words`, and the end of the first such run (bit-parallel)."""
     n = len(item)
@@ -129,16 +158,23 @@ class Index:
                 self.ids.append(ids[block.lo + int(k)])
                 self.words.append(h[block.first[k] : block.first[k + 1]])
         self.common = Counter(w for words in self.words for w in set(words.tolist()))
-        self.tables: list[tuple[Walk, list[HashSet], tuple[np.ndarray, np.ndarray], np.ndarray]] = []
+        self.tables: list[tuple[Walk | Piece, list[HashSet], tuple[np.ndarray, np.ndarray], np.ndarray]] = []
         classes: dict[int, list[int]] = {}
         for i, words in enumerate(self.words):
             classes.setdefault(1 << (len(words).bit_length() - 1), []).append(i)
         for size, members in sorted(classes.items()):
             self._add_class(size, members)
         self.first_words = HashSet([self.words[i][o] for _, _, held, _ in self.tables for i, o in zip(*held, strict=True)])
+        walks = len(self.tables)
+        self._add_pieces()
+        self.pieces = self.tables[walks:]
+        del self.tables[walks:]
+        self.piece_words = HashSet([self.words[i][o] for _, _, held, _ in self.pieces for i, o in zip(*held, strict=True)])
 
     def start(self, walk: Walk, words: np.ndarray) -> int:
-        """Where the walk starts in an item: the rarest word of the benchmark near the repetition's place."""
+        """Where the walk starts in an item: by place alone, or at the rarest word of the benchmark near the repetition's place."""
+        if walk.by_place:
+            return int(walk.fraction * len(words))
         room = len(words) - walk.size
         near = max(1, walk.size // 4)
         at = int(walk.fraction * (room + near))
@@ -156,17 +192,32 @@ class Index:
         for number in range(s.max_repetitions):
             walk = Walk.draw(size, number, s)
             starts = [self.start(walk, self.words[i]) for i in members]
-            signs = [walk.levels(self.words[i], at) for i, at in zip(members, starts, strict=True)]
-            sets = [HashSet([x[level] for x in signs]) for level in range(len(walk.steps))]
-            final = np.array([x[-1] for x in signs], dtype=np.uint64)
-            order = np.argsort(final, kind="stable")
-            bounds = np.searchsorted(final[order], np.r_[sets[-1].values, U64((1 << 64) - 1)])
-            bounds[-1] = len(final)
-            self.tables.append((walk, sets, (np.asarray(members)[order], np.asarray(starts)[order]), bounds))
+            self._add_table(walk, members, starts)
             missed = [x for x in missed if not self._meets(walk, *x)]
             if len(missed) <= (1 - s.target_recall) * s.trials:
                 return
 
+    def _add_table(self, walk: Walk | Piece, members: list[int], starts: list[int]) -> None:
+        signs = [walk.levels(self.words[i], at) for i, at in zip(members, starts, strict=True)]
+        sets = [HashSet([x[level] for x in signs]) for level in range(len(signs[0]))]
+        final = np.array([x[-1] for x in signs], dtype=np.uint64)
+        order = np.argsort(final, kind="stable")
+        bounds = np.searchsorted(final[order], np.r_[sets[-1].values, U64((1 << 64) - 1)])
+        bounds[-1] = len(final)
+        self.tables.append((walk, sets, (np.asarray(members)[order], np.asarray(starts)[order]), bounds))
+
+    def _add_pieces(self) -> None:
+        """Tables of the pieces of all items, by length: an item has one more than the edits it may have."""
+        sizes: dict[int, list[tuple[int, int]]] = {}
+        for i, words in enumerate(self.words):
+            n = len(words)
+            parts = int(math.floor(self.settings.rate * n)) + 1
+            cuts = [k * n // parts for k in range(parts + 1)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                sizes.setdefault(b - a, []).append((i, a))
+        for size, held in sorted(sizes.items()):
+            self._add_table(Piece(size), *map(list, zip(*held, strict=True)))
+
     def _meets(self, walk: Walk, words: np.ndarray, changed: np.ndarray) -> bool:
         if len(changed) == 0:
             return False
@@ -174,16 +225,21 @@ class Index:
         return bool((walk.signatures(changed, np.arange(len(changed)))[1] == wanted).any())
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, item, start in the item) of windows whose sampled steps agree with an item's."""
-        at_starts, _ = self.first_words.find(words)
-        for walk, sets, (items, starts), bounds in self.tables:
-            at, sign = walk.signatures(words, at_starts, sets)
-            if not len(at):
-                continue
-            found, rank = sets[-1].find(sign)
-            size = bounds[rank + 1] - bounds[rank]
-            each = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[rank], size)
-            yield np.repeat(at[found], size), items[each], starts[each]
+        """(position, item, start in the item) of windows that agree with an item's sampled steps or with a piece, in bounded lots."""
+        for tables, first_words in ((self.tables, self.first_words), (self.pieces, self.piece_words)):
+            at_starts, _ = first_words.find(words)
+            for walk, sets, (items, starts), bounds in tables:
+                at, sign = walk.signatures(words, at_starts, sets)
+                if not len(at):
+                    continue
+                found, rank = sets[-1].find(sign)
+                size = bounds[rank + 1] - bounds[rank]
+                total = np.cumsum(size)
+                for lo in range(0, int(total[-1]) if len(total) else 0, LOT):
+                    each = np.arange(lo, min(lo + LOT, int(total[-1])))
+                    hit = np.searchsorted(total, each, side="right")
+                    which = each - (total - size)[hit] + bounds[rank[hit]]
+                    yield at[found[hit]], items[which], starts[which]
 
 
 def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -195,29 +251,42 @@ def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(out, dtype=np.uint64)
 
 
+#: Candidates that are held at once before they are gathered by document and item.
+LOT = 1 << 18
+
 SCHEMA = "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long"
 _SCHEMA = pa.schema([(name, pa.int64()) for name in ("doc_id", "item_id", "distance", "item_words", "start_word", "end_word")])
 
 
 def _matches(block, words: np.ndarray, index: Index, s: Settings) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, item, distance, first word about, end word) of the best match of each item in each document of a block."""
-    tried: set[tuple[int, int, int]] = set()
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    wanted: dict[tuple[int, int], list[np.ndarray]] = {}
     for at, items, starts in index.candidates(words):
         docs = np.searchsorted(block.first, at, side="right") - 1
-        for p, i, o, d in zip(at.tolist(), items.tolist(), starts.tolist(), docs.tolist(), strict=True):
-            begin = p - o
-            if (d, i, begin) in tried or best.get((d, i), (1,))[0] == 0:
+        order = np.lexsort((at - starts, items, docs))
+        docs, items, begins = docs[order], items[order], (at - starts)[order]
+        cuts = np.flatnonzero((np.diff(docs) != 0) | (np.diff(items) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs)], strict=True):
+            key = (int(docs[a]), int(items[a]))
+            held = wanted.setdefault(key, [])
+            held.append(np.unique(begins[a:b]))
+            if len(held) > 64:
+                wanted[key] = [np.unique(np.concatenate(held))]
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for (d, i), held in wanted.items():
+        begins, item = np.unique(np.concatenate(held)), index.words[i]
+        n, most = len(item), int(math.floor(s.rate * len(item)))
+        first, last = int(block.first[d]), int(block.first[d + 1])
+        # Windows that overlap are read as one, so no word is compared twice with an item.
+        fresh = np.flatnonzero(np.diff(begins) > n + 2 * most) + 1
+        for low, high in zip(begins[np.r_[0, fresh]].tolist(), begins[np.r_[fresh - 1, len(begins) - 1]].tolist(), strict=True):
+            lo, hi = max(first, low - most), min(last, high + n + most)
+            if np.isin(words[lo:hi], item).sum() < n - most:
                 continue
-            tried.add((d, i, begin))
-            item = index.words[i]
-            most = int(math.floor(s.rate * len(item)))
-            lo = max(int(block.first[d]), begin - most)
-            hi = min(int(block.first[d + 1]), begin + len(item) + most)
             found, end = distance(item.tolist(), words[lo:hi].tolist(), most)
             if found <= most:
-                end = lo + end - int(block.first[d])
-                best[d, i] = min(best.get((d, i), (most + 1, 0, 0)), (found, max(0, end - len(item)), end))
+                end = lo + end - first
+                best[d, i] = min(best.get((d, i), (most + 1, 0, 0)), (found, max(0, end - n), end))
     for (d, i), (found, begin, end) in sorted(best.items()):
         yield d, i, found, begin, end
 
@@ -243,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
     """One row for each document and benchmark item (doc_id, text; item_id, text) that match.
 
     Words are runs of letters and digits, case-folded. `distance` is the smallest edit distance in words of the item to a
-    run of the document's words around a candidate window; `end_word` is where the first such run ends, `start_word` as
+    run of the document's words around its candidate windows; `end_word` is where the first such run ends, `start_word` as
     many words before as the item has. Null and empty texts on either side match nothing; repeated rows and items are
     matched each. An item of fewer than 1 / rate words matches only itself. No row is shuffled.
     """

@@ -186,6 +186,26 @@ def test_decontamination_recall_of_edited_passages(spark):
     assert len({(r["doc_id"], r["item_id"]) for r in passes.collect()} & wanted) >= 0.98 * len(wanted)
 
 
+@pytest.mark.parametrize("size", [8, 16, 31, 32])
+def test_decontamination_whole_at_the_allowed_rate(spark, size):
+    from pulsegrid.llm import decontaminate
+
+    rng = np.random.default_rng(size)
+    items = [[f"w{rng.integers(0, 10**6)}" for _ in range(size)] for _ in range(40)]
+    docs = []
+    for d in range(400):
+        words = list(items[d % 40])
+        spread = rng.choice(size, size // 4, replace=False) if d % 2 else np.arange(d // 2 % 4, size, 4)[: size // 4]
+        for k in spread.tolist():
+            words[k] = f"e{rng.integers(0, 10**6)}"
+        around = [f"x{rng.integers(0, 10**6)}" for _ in range(40)]
+        docs.append((d, " ".join([*around[:20], *words, *around[20:]])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert got == {(d, d % 40) for d in range(400)}
+
+
 # op5
 
 
