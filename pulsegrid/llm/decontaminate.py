@@ -84,12 +84,17 @@ class Walk:
         return at, sign
 
     def levels(self, words: np.ndarray, at: int) -> list[int]:
-        """Signature of a walk from `at` after each sampled step; walks over the end are cut short there."""
+        """Signature of a walk from `at` after each sampled step; none from the first step on that lies behind the last word.
+
+        In a document other words follow an item, so a walk over its end reads another signature there.
+        """
         out, place, sign = [], at, U64(self.size)
         with np.errstate(over="ignore"):
             for level, step in enumerate(self.steps):
                 for j in range(self.steps[level - 1] if level else 0, step):
-                    place = min(place + int((words[place] * self.multipliers[j]) >> U64(63)), len(words) - 1)
+                    place += int((words[place] * self.multipliers[j]) >> U64(63))
+                    if place == len(words):
+                        return out
                 sign = mix(np.array([sign * U64(0x9E3779B97F4A7C15) + words[place]]))[0]
                 out.append(sign)
         return out
@@ -172,14 +177,19 @@ class Index:
         self.piece_words = HashSet([self.words[i][o] for _, _, held, _ in self.pieces for i, o in zip(*held, strict=True)])
 
     def start(self, walk: Walk, words: np.ndarray) -> int:
-        """Where the walk starts in an item: by place alone, or at the rarest word of the benchmark near the repetition's place."""
+        """Where the walk starts in an item: by place alone, or at the rarest word of the benchmark near the repetition's place.
+
+        If its sampled steps do not stay inside the item, the next best place where they do is taken; from the first word they do.
+        """
         if walk.by_place:
-            return int(walk.fraction * len(words))
+            near = range(int(walk.fraction * len(words)), 0, -1)
+            return next((k for k in near if len(walk.levels(words, k)) == len(walk.steps)), 0)
         room = len(words) - walk.size
         near = max(1, walk.size // 4)
         at = int(walk.fraction * (room + near))
         span = range(max(0, at - near), min(len(words) - 1, at + near) + 1)
-        return min(span, key=lambda k: (self.common[int(words[k])], abs(k - at)))
+        span = sorted(span, key=lambda k: (self.common[int(words[k])], abs(k - at)))
+        return next((k for k in span if len(walk.levels(words, k)) == len(walk.steps)), 0)
 
     def _add_class(self, size: int, members: list[int]) -> None:
         s = self.settings
@@ -187,7 +197,8 @@ class Index:
         trials = []
         for _ in range(s.trials):
             words = self.words[int(rng.choice(members))]
-            trials.append((words, edited(words, int(s.rate * len(words)), rng)))
+            before, after = rng.integers(1, 1 << 62, (2, 2 * size), dtype=np.uint64)
+            trials.append((words, np.concatenate([before, edited(words, int(s.rate * len(words)), rng), after])))
         missed = trials
         for number in range(s.max_repetitions):
             walk = Walk.draw(size, number, s)
@@ -219,8 +230,6 @@ class Index:
             self._add_table(Piece(size), *map(list, zip(*held, strict=True)))
 
     def _meets(self, walk: Walk, words: np.ndarray, changed: np.ndarray) -> bool:
-        if len(changed) == 0:
-            return False
         wanted = walk.levels(words, self.start(walk, words))[-1]
         return bool((walk.signatures(changed, np.arange(len(changed)))[1] == wanted).any())
 

@@ -206,6 +206,23 @@ def test_decontamination_whole_at_the_allowed_rate(spark, size):
     assert got == {(d, d % 40) for d in range(400)}
 
 
+def test_decontamination_walks_stay_inside_items(spark):
+    from pulsegrid.llm import decontaminate
+
+    rng = np.random.default_rng(2)
+    items = [" ".join(f"w{rng.integers(0, 10**6)}" for _ in range(n)) for n in [1] * 5 + [2] * 80 + [3, 4, 5, 8, 9, 16, 17, 33] * 3]
+    index = decontaminate.Index(list(range(len(items))), items, decontaminate.Settings())
+    for walk, _, held, _ in index.tables:
+        for i, start in zip(*held, strict=True):
+            words = index.words[i]
+            running = np.concatenate([words, rng.integers(1, 1 << 62, 99, dtype=np.uint64)])
+            assert walk.levels(words, start)[-1] == walk.signatures(running, np.array([start]))[1][0]
+    docs = [(k, f"before it {x} come {k} others") for k, x in enumerate(items)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} >= {(k, k, 0) for k in range(len(items))}
+
+
 # op5
 
 
