@@ -211,6 +211,7 @@ def test_decontamination_walks_stay_inside_items(spark):
 
     rng = np.random.default_rng(2)
     items = [" ".join(f"w{rng.integers(0, 10**6)}" for _ in range(n)) for n in [1] * 5 + [2] * 80 + [3, 4, 5, 8, 9, 16, 17, 33] * 3]
+    items += [f"often w{k}" for k in range(40)]
     index = decontaminate.Index(list(range(len(items))), items, decontaminate.Settings())
     for walk, _, held, _ in index.tables:
         for i, start in zip(*held, strict=True):
@@ -320,7 +321,7 @@ def test_licence_templates(spark):
 
 def test_licence_after_a_run_of_anchors(spark):
     table = " ".join(f"{k}.0" for k in range(1, 20_000))
-    frame = spark.createDataFrame([(0, f"{table} Licensed under CC BY 4.0. {table}"), (1, table)], "doc_id long, text string")
+    frame = spark.createDataFrame([(0, f"{table} by Licensed under CC BY 4.0. {table}"), (1, table)], "doc_id long, text string")
     found = {r["doc_id"]: (r["labels"], round(r["score"], 6)) for r in licences.scan_licences(frame).collect()}
     assert found == {0: ("cc-by-4.0", 1.0), 1: ("", 0.0)}
 
