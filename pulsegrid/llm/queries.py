@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, decontaminate, langid, licences, neardup, neighbours, packing, privacy, sharding, toxicity
+from pulsegrid.llm import chat, decontaminate, infill, langid, licences, lines, neardup, neighbours, packing, privacy, sharding, spelling, toxicity
 
 #: Arrow batches of texts are bounded in bytes as well as in rows.
 BATCHES = {
@@ -106,6 +106,25 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.sanitise(docs, ["doc_id"]).drop("masked")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    turned = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256")]
+    return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    left = lines.drop_repeated_lines(docs, ["doc_id"])
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -117,6 +136,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_personal_data": op10_personal_data,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 
@@ -181,4 +203,92 @@ _NEAR_DUPLICATES = """
 """
 
 
-ORACLE: dict[str, str] = {"op2_chat_format": _chat_sql(), "op8_minhash_near_dedup": _NEAR_DUPLICATES}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SPELLING_VARIANTS = f"""
+    with recursive crc(i, c, k) as (
+        select cast(i as ubigint), cast(i as ubigint), 0 from range(256) t(i)
+        union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc where k < 8
+    ),
+    crc_table as (select list(c order by i) as t from crc where k = 8),
+    runs as (
+        select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all({_LOWERED}, '[A-Za-z\u00C0-\u00FF]+')) as run from documents
+    ),
+    counted as (select id, run, count(*) as n from runs where length(run) >= 5 group by all),
+    coded as (select run, n, hex(encode(id || ':' || run)) as x, t from counted, crc_table),
+    hashed as (
+        select run, n, xor(4294967295, list_reduce(
+            list_prepend(cast(4294967295 as ubigint), list_transform(range(1, length(x), 2), lambda i: cast('0x' || substr(x, i, 2) as ubigint))),
+            lambda c, b: xor(c >> 8, t[cast((xor(c, b) & 255) + 1 as bigint)]))) as h
+        from coded
+    ),
+    said as (
+        select n, case when h % 97 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word
+        from hashed
+    ),
+    words as (select word, cast(sum(n) as bigint) as n from said where length(word) >= 5 group by word having sum(n) >= 3),
+    shortened as (
+        select distinct word, n, i, substr(word, 1, i) || substr(word, i + 2) as short
+        from (select word, n, unnest(range(length(word))) as i from words)
+    ),
+    pairs as (
+        select a.word, b.word as other, b.n as n_other from shortened a join shortened b on a.short = b.short and a.i = b.i and a.word <> b.word
+        union select s.word, w.word, w.n from shortened s join words w on w.word = s.short
+        union select w.word, s.word, s.n from shortened s join words w on w.word = s.short
+    ),
+    near as (select word, count(*) as n_near, max(n_other) as best_n from pairs group by word),
+    best as (select p.word, min(p.other) as other from pairs p join near on near.word = p.word and near.best_n = p.n_other group by p.word),
+    forms as (
+        select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * w.n then other end as form, case when best_n >= 2 * w.n then best_n end as form_n
+        from words w left join near on near.word = w.word left join best on best.word = w.word
+    ),
+    steps(word, root) as (select word, word from forms union select s.word, f.form from steps s join forms f on f.word = s.root where f.form is not null)
+    select f.word, f.form, s.root, f.n, f.n_near, f.form_n
+    from forms f join steps s on s.word = f.word join forms last on last.word = s.root and last.form is null
+"""
+
+_FILL_IN_MIDDLE = """
+    with drawn as (
+        select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h,
+               regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units
+        from documents
+    ),
+    numbered as (
+        select doc_id, text, units, len(units) as n, cast('0x' || substr(h, 1, 8) as bigint) % (len(units) + 1) as c1,
+               cast('0x' || substr(h, 9, 8) as bigint) % (len(units) + 1) as c2,
+               cast('0x' || substr(h, 17, 8) as bigint) % 100 as d3, cast('0x' || substr(h, 25, 8) as bigint) % 100 as d4
+        from drawn
+    ),
+    formed as (
+        select *, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or d3 >= 90 then 'plain'
+                       when d4 < 20 then 'spm' else 'psm' end as form,
+               array_to_string(units[1:least(c1, c2)], '') as prefix,
+               array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') as middle,
+               array_to_string(units[greatest(c1, c2) + 1:n], '') as suffix
+        from numbered
+    )
+    select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+           case when form <> 'plain' then length(middle) end as middle_chars,
+           sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                            else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+           sha256(text) as restored_sha256
+    from formed
+"""
+
+_LINE_DEDUP = f"""
+    with docs as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls, string_split({_LOWERED}, chr(10)) as low from documents),
+    lined as (select r, doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line, trim(unnest(low), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as key from docs),
+    frequent as (select key from lined where key <> '' group by key having count(distinct r) >= 10)
+    select any_value(doc_id) as doc_id, count(*) as n_lines, count(frequent.key) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by i) filter (frequent.key is null), '')) as kept_sha256
+    from lined left join frequent on frequent.key = lined.key group by r
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op2_chat_format": _chat_sql(),
+    "op8_minhash_near_dedup": _NEAR_DUPLICATES,
+    "op11_spelling_variants": _SPELLING_VARIANTS,
+    "op12_fill_in_middle": _FILL_IN_MIDDLE,
+    "op13_line_dedup": _LINE_DEDUP,
+}
