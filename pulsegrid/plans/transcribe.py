@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.constants import (
@@ -18,6 +18,7 @@ from pulsegrid.operators import chords, fusion, gate, periods, pitch, reports
 from pulsegrid.operators.onsets import find_onsets
 from pulsegrid.operators.series import keep_where
 from pulsegrid.session import stage_table
+from pulsegrid.sources import ranges
 from pulsegrid.sources import recordings as R
 
 KEY = ["recording_id"]
@@ -152,6 +153,23 @@ def transcribe(
     """
     admitted = R.admitted(files, allowed, max_bytes)
     segments = R.decode(admitted, highpass, resample, raw_rate)
+    refused = R.quarantine(files.drop("content"), allowed, max_bytes)
+    return transcribe_segments(segments, admitted.drop("content"), refused, chord_path)
+
+
+def transcribe_ranges(spark: SparkSession, path: str, pattern: str | None = None, chord_path: bool = True, max_bytes: int | None = None, **options) -> Transcription:
+    """Analyse the files under `path` by byte ranges, whatever their size; `options` as of `sources.ranges`."""
+    files = R.listing(spark, path, pattern)
+    allowed = tuple(ALLOWED_CONTENT_TYPES) + (R.RAW_TYPE,)
+    limits = {"pathGlobFilter": pattern, "maxBytes": max_bytes}
+    segments = ranges.scan_segments(spark, path, **{k: v for k, v in limits.items() if v is not None}, **options)
+    listed = R.reject_reason(allowed=allowed, max_bytes=max_bytes, whole=False)
+    refused = files.select(F.col("path").alias("recording_id"), F.lit("admission").alias("stage"), F.expr(listed).alias("error"))
+    return transcribe_segments(segments, files, refused.where("error is not null"), chord_path)
+
+
+def transcribe_segments(segments: DataFrame, files: DataFrame, refused: DataFrame, chord_path: bool = True) -> Transcription:
+    """Analyse segments (as `recordings.decode` gives them) of `files` (path, content_type); `refused` goes to quarantine."""
     marked = frame_features(segments, tonal=chord_path)
     if chord_path:
         marked = gated_features(marked)
@@ -187,6 +205,6 @@ def transcribe(
         notes=notes,
         chords=found,
         summary=reports.summary(decoded, onset_rows, notes, found),
-        file_info=R.file_info(admitted.drop("content"), decoded),
-        quarantine=R.quarantine(files.drop("content"), allowed, max_bytes).unionByName(R.failed(rows)),
+        file_info=R.file_info(files, decoded),
+        quarantine=refused.unionByName(R.failed(rows)),
     )

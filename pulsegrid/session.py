@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Filters on the recording choose files before they are read.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # Segment rows hold about 600,000 samples: batches are bounded in bytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from pulsegrid.functions.kernels import CONTEXT_FRAMES, resample_rows
 # Content types that file extensions stand for, and the type of headerless PCM.
 CONTENT_TYPES = {".wav": "audio/wav", ".mp3": "audio/mpeg", ".aac": "audio/aac", ".raw": "audio/raw"}
 RAW_TYPE = "audio/raw"
+# A longer file does not fit one row; `sources.ranges` reads it.
+LONGEST_ROW = (1 << 31) - (1 << 20)
 
 # Frames that start in one segment row: 1024 frames are 524,288 samples, 2 MiB as floats.
 SEGMENT_FRAMES = 1024
@@ -58,15 +62,19 @@ def header_hex(content: str) -> str:
     return f"lower(hex(substring({content}, 1, 12)))"
 
 
+def content_type(path: str) -> str:
+    """The content type that a file name stands for."""
+    types = ", ".join(f"'{e}', '{t}'" for e, t in CONTENT_TYPES.items())
+    return f"try_element_at(map({types}), lower({extension(path)}))"
+
+
 def scan(spark: SparkSession, path: str, pattern: str | None = None, declared: DataFrame | None = None) -> DataFrame:
     """Files as `(path, content, length, content_type)`; the type follows the extension, unless `declared`, a table
     `(path, content_type)` with one row a file, names it as it was uploaded."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    types = ", ".join(f"'{e}', '{t}'" for e, t in CONTENT_TYPES.items())
-    by_name = F.expr(f"try_element_at(map({types}), lower({extension('path')}))")
-    files = reader.load(path).select("path", "content", "length", by_name.alias("content_type"))
+    files = reader.load(path).select("path", "content", "length", F.expr(content_type("path")).alias("content_type"))
     if declared is None:
         return files
     named = declared.select("path", F.col("content_type").alias("_declared"))
@@ -75,17 +83,51 @@ def scan(spark: SparkSession, path: str, pattern: str | None = None, declared: D
     )
 
 
+def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Files as `(path, length, content_type)`; their bytes are never read, so any size will do."""
+    return scan(spark, path, pattern).drop("content")
+
+
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """Write each row `(name, content)` as a file under a shared folder, as Arrow's file systems name it; `(name, length)` of each.
+
+    A file is written under another name and then moved, so a task that runs twice leaves one whole file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            lengths = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{base.rstrip('/')}/{name}"
+                parts = target.rsplit("/", 1)
+                system.create_dir(parts[0], recursive=True)
+                waiting = f"{parts[0]}/.{parts[1]}-{uuid.uuid4().hex}"
+                with system.open_output_stream(waiting) as out:
+                    out.write(content)
+                system.move(waiting, target)
+                lengths.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["name", "length"])
+
+    return df.select(F.col("name").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "name string, length bigint")
+
+
 def reject_reason(
     content_type: str = "content_type",
     length: str = "length",
     allowed: Sequence[str] = ALLOWED_CONTENT_TYPES,
     max_bytes: int | None = MAX_UPLOAD_BYTES,
+    whole: bool = True,
 ) -> str:
-    """Why a file is not admitted, NULL if it is. Without `max_bytes` any size is, even an unknown one."""
+    """Why a file is not admitted, NULL if it is. Without `max_bytes` any known size is, but a file that is read `whole` must
+    fit a row."""
     listed = ", ".join(f"'{t}'" for t in allowed)
-    size = ""
-    if max_bytes is not None:
-        size = f"when {length} is null then 'Unknown size' when {length} > {max_bytes} then 'File too large' "
+    limits = {} if max_bytes is None else {max_bytes: "File too large"}
+    if whole:
+        limits.setdefault(LONGEST_ROW, "File too large to read whole")
+    size = "".join(f"when {length} > {most} then '{reason}' " for most, reason in limits.items())
+    if size:
+        size = f"when {length} is null then 'Unknown size' {size}"
     return (
         f"case when {content_type} is null or {content_type} not in ({listed}) "
         f"then concat('Unsupported file type: ', coalesce({content_type}, 'unknown')) {size}end"
@@ -95,9 +137,10 @@ def reject_reason(
 def admitted(
     df: DataFrame, allowed: Sequence[str] = ALLOWED_CONTENT_TYPES, max_bytes: int | None = MAX_UPLOAD_BYTES
 ) -> DataFrame:
-    """Files that pass admission. Plain predicates, so the length test reaches the file scan."""
-    kept = df.where(F.col("content_type").isin(list(allowed)))
-    return kept if max_bytes is None else kept.where(F.col("length") <= max_bytes)
+    """Files that pass admission. Plain predicates, so the length test reaches the file scan, which would fail on a file
+    that is too long for a row."""
+    most = LONGEST_ROW if max_bytes is None else min(max_bytes, LONGEST_ROW)
+    return df.where(F.col("content_type").isin(list(allowed)) & (F.col("length") <= most))
 
 
 def quarantine(
@@ -111,6 +154,23 @@ def quarantine(
     )
 
 
+class FileView:
+    """Bytes of an open file (`read_at(n, offset)`), sliced without being read; `bytes()` reads them."""
+
+    def __init__(self, file, start: int, stop: int):
+        self.file, self.start, self.stop = file, start, stop
+
+    def __len__(self) -> int:
+        return self.stop - self.start
+
+    def __getitem__(self, part: slice) -> FileView:
+        a, b, _ = part.indices(len(self))
+        return FileView(self.file, self.start + a, self.start + max(a, b))
+
+    def __bytes__(self) -> bytes:
+        return bytes(self.file.read_at(len(self), self.start)) if len(self) else b""
+
+
 def pcm(content: bytes, width: int = 2) -> np.ndarray:
     """Little-endian PCM samples of `width` bytes in [-1, 1); single bytes are unsigned."""
     if width == 1:
@@ -126,49 +186,58 @@ def pcm(content: bytes, width: int = 2) -> np.ndarray:
 class Sound:
     """Where the samples of a file lie and how they are stored."""
 
-    body: memoryview
+    body: memoryview | FileView
     rate: int
     channels: int
     width: int
     floating: bool = False
+    begins: int = 0
 
     @property
     def n_samples(self) -> int:
         return len(self.body) // (self.width * self.channels)
 
+    def samples(self, first: int, stop: int) -> np.ndarray:
+        """The mono mix of the samples `first` to `stop`; only their bytes are read."""
+        step = self.width * self.channels
+        part = bytes(self.body[first * step : stop * step])
+        x = np.frombuffer(part, dtype=f"<f{self.width}").astype(np.float64) if self.floating else pcm(part, self.width)
+        return x.reshape(-1, self.channels).mean(axis=1)
+
     def blocks(self, size: int) -> Iterator[np.ndarray]:
         """The mono mix in blocks of at most `size` samples; only one block is held as numbers."""
-        step = self.width * self.channels
-        for at in range(0, self.n_samples * step, size * step):
-            part = self.body[at : min(at + size * step, self.n_samples * step)]
-            x = np.frombuffer(part, dtype=f"<f{self.width}").astype(np.float64) if self.floating else pcm(bytes(part), self.width)
-            yield x.reshape(-1, self.channels).mean(axis=1)
+        for at in range(0, self.n_samples, size):
+            yield self.samples(at, min(at + size, self.n_samples))
 
 
-def read_header(content: bytes, raw: bool, raw_rate: int) -> Sound:
-    """The samples of a WAV file (PCM of 8 to 32 bits or IEEE floats) or of headerless PCM16."""
-    data = memoryview(content)
+def read_header(content: bytes | FileView, raw: bool, raw_rate: int) -> Sound:
+    """The samples of a WAV file (PCM of 8 to 32 bits or IEEE floats; RF64 beyond 4 GiB) or of headerless PCM16."""
+    data = content if isinstance(content, FileView) else memoryview(content)
     if raw:
         return Sound(data, raw_rate, CHANNELS, BITS_PER_SAMPLE // 8)
-    if bytes(data[:4]) != b"RIFF" or bytes(data[8:12]) != b"WAVE":
+    if bytes(data[:4]) not in (b"RIFF", b"RF64") or bytes(data[8:12]) != b"WAVE":
         raise ValueError("file does not start with RIFF id")
-    at, form = 12, None
+    at, form, whole = 12, None, None
     while at + 8 <= len(data):
-        name, size = bytes(data[at : at + 4]), struct.unpack("<I", data[at + 4 : at + 8])[0]
+        name, size = struct.unpack("<4sI", bytes(data[at : at + 8]))
         if name == b"fmt ":
-            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", bytes(data[at + 8 : at + 24]))
             if kind == 0xFFFE and size >= 26:  # extensible: the kind stands in the sub-format
-                kind = struct.unpack("<H", data[at + 32 : at + 34])[0]
+                (kind,) = struct.unpack("<H", bytes(data[at + 32 : at + 34]))
             form = kind, channels, rate, bits
+        elif name == b"ds64":  # sizes that do not fit the 32-bit fields
+            (whole,) = struct.unpack("<Q", bytes(data[at + 16 : at + 24]))
         elif name == b"data":
             if form is None:
                 raise ValueError("data chunk before fmt chunk")
             kind, channels, rate, bits = form
             if (kind, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)} or not channels or not rate:
                 raise ValueError(f"unknown format: {kind}, {bits} bits")
+            if size == 0xFFFFFFFF and whole is not None:
+                size = whole
             if at + 8 + size > len(data):
                 raise ValueError("Truncated file")
-            return Sound(data[at + 8 : at + 8 + size], rate, channels, bits // 8, kind == 3)
+            return Sound(data[at + 8 : at + 8 + size], rate, channels, bits // 8, kind == 3, at + 8)
         at += 8 + size + size % 2
     raise ValueError("fmt chunk and/or data chunk missing")
 
@@ -241,14 +310,22 @@ def highpass_blocks(blocks: Iterator[np.ndarray], alpha: float = HIGHPASS_ALPHA,
         yield out
 
 
+def segment_count(n: int, frames: int) -> int:
+    """Segments of a signal of `n` samples; one without a frame has one."""
+    return -(-max(1, 1 + (n - FRAME_SIZE) // HOP_SIZE) // frames)
+
+
+def segment_span(seg: int, n: int, frames: int) -> tuple[int, int, int]:
+    """Leading frames of a segment, and the samples that it spans."""
+    lead = min(LEAD_FRAMES, seg * frames)
+    return lead, (seg * frames - lead) * HOP_SIZE, min(n, (seg * frames + frames + TAIL_FRAMES - 1) * HOP_SIZE + FRAME_SIZE)
+
+
 def _segments(blocks: Iterator[np.ndarray], n: int, frames: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(segment, leading frames, samples): the frames of a segment and their neighbours, from a signal of `n` samples."""
-    total = max(1, 1 + (n - FRAME_SIZE) // HOP_SIZE)
     held, begin = np.zeros(0), 0
-    for seg in range(-(-total // frames)):
-        lead = min(LEAD_FRAMES, seg * frames)
-        first = (seg * frames - lead) * HOP_SIZE
-        stop = min(n, (seg * frames + frames + TAIL_FRAMES - 1) * HOP_SIZE + FRAME_SIZE)
+    for seg in range(segment_count(n, frames)):
+        lead, first, stop = segment_span(seg, n, frames)
         parts, end = [held[first - begin :]], begin + len(held)
         while end < stop:
             parts.append(next(blocks))
@@ -257,6 +334,29 @@ def _segments(blocks: Iterator[np.ndarray], n: int, frames: int) -> Iterator[tup
         yield seg, lead, held[: stop - first]
 
 
+_SEGMENT = pa.schema(
+    [
+        ("recording_id", pa.string()),
+        ("seg", pa.int64()),
+        ("lead", pa.int32()),
+        ("samples", pa.list_(pa.float32())),
+        ("n_samples", pa.int64()),
+        ("original_sample_rate", pa.int32()),
+        ("channels", pa.int32()),
+        ("error", pa.string()),
+    ]
+)
+
+
+def segment_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(list(c), type=t) for c, t in zip(zip(*rows), _SEGMENT.types)]
+    return pa.RecordBatch.from_arrays(columns, schema=_SEGMENT)
+
+
+def failure_row(path: str, failure: Exception) -> tuple:
+    return path, 0, 0, None, None, None, None, str(failure)
+
+
 def decode(
     files: DataFrame,
     highpass: bool = False,
@@ -274,17 +374,6 @@ def decode(
     rate_column = F.col(raw_rate) if isinstance(raw_rate, str) else F.lit(raw_rate)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [f.strip().split(" ")[0] for f in SEGMENT_SCHEMA.split(",")]
-        types = [
-            pa.string(), pa.int64(), pa.int32(), pa.list_(pa.float32()), pa.int64(), pa.int32(),
-            pa.int32(), pa.string(),
-        ]
-        schema = pa.schema(list(zip(fields, types)))
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            columns = [pa.array(list(c), type=t) for c, t in zip(zip(*rows), types)]
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
-
         def rows_of(path: str, content: bytes, kind: str, raw: int) -> Iterator[tuple]:
             try:
                 sound = read_header(content, kind == RAW_TYPE, raw)
@@ -299,7 +388,7 @@ def decode(
                 for seg, lead, part in _segments(blocks, n, frames):
                     yield path, seg, lead, part.astype(np.float32), n, rate, sound.channels, None
             except Exception as failure:  # a bad file must not stop the job
-                yield path, 0, 0, None, None, None, None, str(failure)
+                yield failure_row(path, failure)
 
         waiting, held = [], 0
         for source in batches:
@@ -308,10 +397,10 @@ def decode(
                     waiting.append(out)
                     held += 64 + (0 if out[3] is None else len(out[3]))
                     if held > BATCH_SAMPLES:
-                        yield batch(waiting)
+                        yield segment_batch(waiting)
                         waiting, held = [], 0
         if waiting:
-            yield batch(waiting)
+            yield segment_batch(waiting)
 
     rate = F.coalesce(rate_column.cast("int"), F.lit(SAMPLE_RATE)).alias("raw_rate")
     return files.select("path", "content", "content_type", rate).mapInArrow(job, SEGMENT_SCHEMA)
