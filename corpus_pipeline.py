@@ -6,11 +6,10 @@ the columns of `documents`, and of whatever else the table holds. Null and empty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontaminate, neardup, privacy, toxicity
-from pulsegrid.llm.graph import in_table
 from pulsegrid.llm.queries import bound_batches, packed, table, toxicity_model
 from pulsegrid.session import ship_package, stage_table
 
@@ -23,16 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows that share a doc_id, one. Rows without doc_id stay."""
-    found = stage_table(neardup.near_duplicates(docs), "groups").where("doc_id is not null")
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    # Only rows that may be dropped are joined; the others need no shuffle.
-    kept = in_table(docs, "doc_id", dropped, how="left_anti")
-    kept = kept.unionByName(in_table(docs, "doc_id", dropped).join(dropped, "doc_id", "left_anti").select(docs.columns))
-    if found.groupBy("doc_id").count().where("count > 1").take(1):
-        order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-        kept = kept.withColumn("__n", F.row_number().over(order.orderBy(F.xxhash64("text"), "text"))).where("__n = 1").drop("__n")
-    return kept
+    """One row of each group of near copies: the one with the smallest doc_id. Rows that share a doc_id but not a text are documents of
+    their own. Rows without doc_id or without words stay; an empty table stays empty."""
+    return neardup.without_near_duplicates(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

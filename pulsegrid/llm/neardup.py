@@ -233,9 +233,9 @@ def candidate_edges(posted: DataFrame, classes: DataFrame, s: Settings) -> DataF
 def confirmed_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """Forests (a, b) of the links that hold on full sets, within candidate clusters (node, component)."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "component").join(classes.select("node", "d1", "d2"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null")
-    rows = in_table(texts, "node", clusters.select("node")).join(members, "node")
+    members = clusters.join(sizes, "component").join(classes.select("node", "first", "d1", "d2"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").where("first is not null and text is not null")
+    rows = in_table(texts, "first", members.select("first")).join(members, "first")
     rows = in_block_pairs(rows, "component", "size", s.block).select("component", "lo", "hi", "at", "node", "d1", "d2", "text")
     rows = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
 
@@ -285,28 +285,87 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+CLASS = ["d1", "d2", "n_shingles"]
+
+
+def linked_classes(marked: DataFrame, docs: DataFrame, s: Settings, by_text: bool) -> DataFrame:
+    """(d1, d2, n_shingles, first, root) of each class of equal sets that has a doc_id; `root` is the smallest node that links reach.
+
+    A class's node is its smallest doc_id (`first`), so that a repeated id joins the classes of its texts; or, `by_text`, a number of
+    its own, fixed by writing the table.
+    """
+    classes = marked.where("n_shingles > 0").groupBy(*CLASS, "signature").agg(F.min("doc_id").alias("first")).where("first is not null")
+    node = F.monotonically_increasing_id() if by_text else F.col("first")
+    classes = stage_table(classes.withColumn("node", node), "classes")
+    found = candidate_edges(postings(classes, s), classes, s)
+    clusters = components(found)
+    links = components(confirmed_edges(docs, clusters, classes, s))
+    roots = classes.select(*CLASS, "first", "node").join(links, "node", "left")
+    return roots.select(*CLASS, "first", F.coalesce("component", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text); other columns are not read.
 
     `component_id` is the smallest doc_id that links reach; null and empty texts and texts of white space link with
     nothing. Rows that share a doc_id are one document, whatever their texts. A row without doc_id belongs to the class of
     its set, or to nothing (null) if no row of the class has an id, and links no others. `kept` is doc_id = component_id, nulls equal.
+    Repeated rows are given as often as they stand there, ties do not occur (sets link or do not), long texts are read whole, and
+    an empty table gives no rows.
     """
     s = settings or Settings()
     marked = stage_table(fingerprints(docs, s), "fingerprints")
-    keys = ["d1", "d2", "n_shingles", "signature"]
-    classes = marked.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("node"))
-    classes = stage_table(classes.where("node is not null"), "classes")
-    found = candidate_edges(postings(classes, s), classes, s)
-    clusters = components(found)
-    links = components(confirmed_edges(docs, clusters, classes, s))
-    roots = classes.select("d1", "d2", "n_shingles", "node").join(links, "node", "left")
-    roots = roots.select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("root"))
+    roots = linked_classes(marked, docs, s, by_text=False).drop("first")
     # A document of several classes (a repeated id) joins them.
-    out = marked.select("doc_id", "n_shingles", "d1", "d2").join(roots, ["d1", "d2", "n_shingles"], "left")
+    out = marked.select("doc_id", "n_shingles", "d1", "d2").join(roots, CLASS, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("root"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", kept())
 
 
+def without_near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """One row of each group of `docs` (doc_id, text, any others), and every row that belongs to none.
+
+    Groups are of texts, not of ids: rows that share a doc_id but not a text are documents of their own. The row that stays has
+    the smallest doc_id of its group; of rows with that id, the one with the smallest text, and one of rows that are alike. Rows without doc_id or
+    without words stay, and so does every other row whose text links with none. Only rows that may go are shuffled.
+    """
+    s = settings or Settings()
+    marked = stage_table(fingerprints(docs, s), "fingerprints")
+    roots = stage_table(linked_classes(marked, docs, s, by_text=True), "groups")
+    stays = roots.groupBy("root").agg(F.min(F.struct("first", "d1", "d2")).alias("stays"))
+    roots = roots.join(stays, "root").select(*CLASS, "stays")
+    rows = marked.where("doc_id is not null and n_shingles > 0").groupBy("doc_id", *CLASS).agg(F.count("*").alias("copies"))
+    rows = rows.join(roots, CLASS).withColumn("kept", F.struct("doc_id", "d1", "d2") == F.col("stays"))
+    # Documents of which a row goes, and what becomes of each of their texts.
+    touched = stage_table(rows.where(~F.col("kept") | (F.col("copies") > 1)).select("doc_id", *CLASS, "kept"), "touched")
+    ids = touched.select("doc_id").distinct()
+    columns = docs.columns
+    free = in_table(docs, "doc_id", ids, how="left_anti")
+    rest = with_class(in_table(docs, "doc_id", ids), s)
+    judged = rest.join(touched.withColumnsRenamed({"doc_id": "__id", **{c: f"__{c}" for c in [*CLASS, "kept"]}}), ["__id", *[f"__{c}" for c in CLASS]], "left")
+    single = judged.where("__kept is null").select(*columns)
+    kept_rows = judged.where("__kept").select("__id", "__d1", "__d2", F.struct(*columns).alias("__row"))
+    one = kept_rows.groupBy("__id", "__d1", "__d2").agg(F.min_by("__row", F.struct(F.xxhash64("__row.text"), "__row.text")).alias("__row"))
+    return free.unionByName(single).unionByName(one.select("__row.*"))
+
+
+def with_class(docs: DataFrame, s: Settings) -> DataFrame:
+    """The rows of `docs` with the class of their text as `__id`, `__d1`, `__d2`, `__n_shingles`."""
+    names = ["__id", "__d1", "__d2", "__n_shingles"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), *docs.columns)
+    types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[2:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, one, two = [0] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+            for row, shingles in shingle_sets(batch.column(1), s):
+                size[row] = len(shingles)
+                one[row], two[row] = digest(shingles)
+            found = [pa.array(x, pa.int64()) for x in (one, two, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[2:]], names=[*names, *batch.schema.names[2:]])
+
+    return rows.mapInArrow(lean(run), f"__id long, __d1 long, __d2 long, __n_shingles long, {types}")
+
+
 def kept() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("component_id"))
