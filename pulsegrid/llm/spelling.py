@@ -381,7 +381,8 @@ _PAIRS = pa.schema([("latin", pa.binary()), ("other", pa.binary()), ("n_other",
 
 def near_pairs(posted: DataFrame, s: Settings) -> DataFrame:
     """(latin, other, n_other): both directions of each pair of words at one edit, several times if several lists hold it."""
-    hot = posted.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > s.block)
+    # Written first: few lists are long, and a small table joins without a shuffle of the postings.
+    hot = stage_table(posted.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > s.block), "long_lists")
     rows = posted.join(hot, "key", "left")
     blocks = F.coalesce(F.ceil(F.col("size") / s.block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("latin", "key"), F.col("blocks")).cast("int")
