@@ -156,21 +156,35 @@ def exact_median(
     part as well as large ones do. Counts per bin find the bins that hold the middle
     ranks, and only the values of those bins are ordered. A key without a value has median NULL.
     """
+    values = value_counts(df, keys, value, bins_per_octave)
+    holding = middle_bins(values.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m")), keys)
+    found = middle_values(values, holding, keys, value, name)
+    without = df.groupBy(*keys).agg(F.count(value).alias("_n")).where("_n = 0")
+    return found.unionByName(without.select(*keys, F.lit(None).cast("double").alias(name)))
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, bins_per_octave: int = 64) -> DataFrame:
+    """(keys, value, _n, _bin): equal values counted together, and the bin of each; bins are in order of the values."""
     octave = f"cast(floor(log2(abs({value})) * {bins_per_octave}) as bigint) + {1100 * bins_per_octave}"
     part = F.expr(f"case when {value} > 0 then {octave} when {value} < 0 then -({octave}) else 0 end")
-    values = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", part)
-    )
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.withColumn("_bin", part)
+
+
+def middle_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _bin, _below, _total) of the bins that hold the middle ranks, from (keys, _bin, _m)."""
     running = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-    holding = (
-        values.groupBy(*keys, "_bin")
-        .agg(F.sum("_n").alias("_m"))
-        .withColumn("_upto", F.sum("_m").over(running))
+    return (
+        bins.withColumn("_upto", F.sum("_m").over(running))
         .withColumn("_total", F.sum("_m").over(W.partitionBy(*keys)))
         .withColumn("_below", F.col("_upto") - F.col("_m"))
         .where("_below <= _total div 2 and _upto > (_total - 1) div 2")
         .select(*keys, "_bin", "_below", "_total")
     )
+
+
+def middle_values(values: DataFrame, holding: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, name): mean of the values at the middle ranks; only values of the bins in `holding` are ordered."""
     inside = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     ranked = (
         null_safe_join(values, holding, [*keys, "_bin"])
@@ -181,6 +195,4 @@ def exact_median(
     def at(rank: str) -> Column:
         return F.max(F.expr(f"if(_lo <= {rank} and {rank} < _hi, {value}, null)"))
 
-    found = ranked.groupBy(*keys).agg(((at("(_total - 1) div 2") + at("_total div 2")) / 2).alias(name))
-    without = df.groupBy(*keys).agg(F.count(value).alias("_n")).where("_n = 0")
-    return found.unionByName(without.select(*keys, F.lit(None).cast("double").alias(name)))
+    return ranked.groupBy(*keys).agg(((at("(_total - 1) div 2") + at("_total div 2")) / 2).alias(name))

@@ -6,12 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from pulsegrid.plans.queries import QUERIES as plans
+from pulsegrid.plans.extended import QUERIES as further
+from pulsegrid.plans.queries import QUERIES as first
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
+plans = {*first, *further}
 QUERIES = {name: query for name, query in entry_module.queries().items() if name in plans}
 ORACLE = {name: sql for name, sql in entry_module.oracle_sql().items() if name in plans}
 ROWS_ONLY = {"constant_q_frames", "transcription", "transcription_notes", "transcription_onsets"}
