@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     # Filters on the recording choose files before they are read.
     "spark.sql.python.filterPushdown.enabled": "true",
+    # State that does not fit the heap, and `transformWithState`.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Segment rows hold about 600,000 samples: batches are bounded in bytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
 from pulsegrid.constants import ALLOWED_CONTENT_TYPES, HIGHPASS_ALPHA, HOP_SIZE, SAMPLE_RATE
@@ -214,3 +215,24 @@ def scan_segments(spark: SparkSession, path: str, **options) -> DataFrame:
     """The segments of all recordings under `path`, read by byte ranges; options as of the data source."""
     spark.dataSource.register(RecordingRanges)
     return spark.read.format("recording_ranges").options(**{k: str(v) for k, v in options.items()}).load(path)
+
+
+def read_listed(files: DataFrame, range_bytes: int = RANGE_BYTES, **options) -> DataFrame:
+    """The segments of listed `files` (path, length): ranges are rows, dealt evenly over tasks, so no list of files is gathered.
+
+    `options` are the fields of `Options`.
+    """
+    chosen = Options(**options)
+    starts = F.expr(f"sequence(0L, greatest(length - 1, 0L) div {range_bytes} * {range_bytes}, {range_bytes}L)")
+    # A range ends with the file where no other follows.
+    end = F.expr(f"if(lo + {range_bytes} >= length, length + 1, lo + {range_bytes})")
+    rows = files.select("path", "length", F.explode(starts).alias("lo")).withColumn("hi", end)
+    rows = rows.repartition("path", "lo")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.to_pylist():
+                for row in segments_of(Range(**part), chosen):
+                    yield R.segment_batch([row])
+
+    return rows.mapInArrow(run, R.SEGMENT_SCHEMA)
