@@ -27,11 +27,15 @@ def in_table(df: DataFrame, column: str, ids: DataFrame, bits: int = 24, how: st
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link neighbours of each node with the smallest of them: the larger neighbours, or the smaller ones and the node."""
+    """Link neighbours of each node with the smallest of them: the larger neighbours, or the smaller ones and the node.
+
+    The smallest neighbours are written first, so that a small table of them is broadcast and edges are not dealt by node; a
+    large one is joined as it lies, so that adaptive execution can split the edges of a crowded node.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     back = both.select(F.col("v").alias("u"), F.col("u").alias("v"))
     near = both.union(back) if large else both.union(back).where("v < u")
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stage_table(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     linked = near.join(least, "u")
     if large:
         out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
