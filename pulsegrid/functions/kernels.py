@@ -19,6 +19,7 @@ from pulsegrid.constants import (
     CQT_BINS,
     FRAME_SIZE,
     HOP_SIZE,
+    LOWEST_MIDI,
     ONSET_K,
     ONSET_WINDOW,
     SAMPLE_RATE,
@@ -126,6 +127,49 @@ def lag_differences(max_lag: int):
     return sums
 
 
+def hps_notes(n: int = CQT_BINS, max_voices: int = 4, max_h: int = 5):
+    """Notes of spectra of `n` semitone bins by log harmonic sum, in order; each voice takes 0.9/h of its harmonics out of the rest.
+
+    As `operators.pitch.hps_notes`, for many rows at once.
+    """
+    bins = np.arange(n)
+    targets = np.minimum(bins[:, None] + [int(round(12 * np.log2(h))) for h in range(1, max_h + 1)], n - 1)
+    taken = np.zeros((n, n))
+    for h in range(1, max_h + 1):
+        np.add.at(taken, (bins, targets[:, h - 1]), 0.9 / h)
+
+    def pick(c: np.ndarray) -> np.ndarray:
+        """Bins of the voices of each row, -1 where there is none."""
+        top, rest, picks = c.max(axis=1), c.copy(), np.full((len(c), max_voices), -1)
+        rows = np.flatnonzero(top > 0)
+        for voice in range(max_voices):
+            logs = np.log(rest[rows] + 1e-8)
+            support = np.zeros_like(logs)
+            for h in range(2, max_h + 1):
+                at = targets[:, h - 1]
+                support += np.where(at == bins, 0.0, logs[:, at] / (h * h))
+            scores = np.where(rest[rows] < 0.05 * top[rows, None], -1e6, 3 * logs + 0.5 * support)
+            best = np.argmax(np.round(scores, 9), axis=1)
+            goes_on = scores[np.arange(len(rows)), best] >= np.log((0.4 if voice else 0.08) * top[rows])
+            rows, best = rows[goes_on], best[goes_on]
+            picks[rows, voice] = best
+            rest[rows] = np.maximum(0.0, rest[rows] - c[rows] * taken[best])
+        return picks
+
+    def notes(spectrum: pa.Array) -> pa.Array:
+        valid = ~np.asarray(spectrum.is_null())
+        held = [np.empty(0, np.int32)] * len(spectrum)
+        rows = spectrum.filter(pa.array(valid))
+        if len(rows):
+            for k, found in zip(np.flatnonzero(valid), pick(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n).astype(np.float64)), strict=True):
+                held[k] = np.sort(found[found >= 0] + LOWEST_MIDI).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
+        values = np.concatenate(held) if held else np.empty(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()), mask=pa.array(~valid) if (~valid).any() else None)
+
+    return F.arrow_udf(notes, T.ArrayType(T.IntegerType())).asNondeterministic()
+
+
 def chroma(size: int, base_class: int = 0):
     """Fold `size` bins to 12 pitch classes and divide by (L2 norm + 1e-6)."""
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.constants import ANALYSIS_DELAY, SAMPLE_RATE
+from pulsegrid.constants import ANALYSIS_DELAY, FRAME_SIZE, HOP_SIZE, SAMPLE_RATE
 from pulsegrid.functions import arrays as A
 from pulsegrid.functions import scalars as X
 
@@ -105,34 +106,52 @@ def confidence_text(confidence: str) -> str:
     return f"concat({X.fixed(f'{confidence} * 100', 1, tie_up=True)}, '%')"
 
 
+def recording_parts(recordings: DataFrame, part_frames: int = PART_FRAMES) -> DataFrame:
+    """(recording_id, part, parts): a row for each part of `part_frames` frames of each recording, with events or without.
+
+    `recordings` has `n_samples`, or `duration_seconds`; a recording without a frame has one part.
+    """
+    n = "n_samples" if "n_samples" in recordings.columns else f"cast(round(duration_seconds * {SAMPLE_RATE}) as bigint)"
+    last = f"(greatest(1, ({n} - {FRAME_SIZE}) div {HOP_SIZE} + 1) - 1) div {part_frames}"
+    rows = recordings.select("recording_id", F.expr(f"cast({last} as bigint)").alias("_last"))
+    return rows.select("recording_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("part"), (F.col("_last") + 1).alias("parts"))
+
+
 def event_lists(
     recordings: DataFrame, onsets: DataFrame, notes: DataFrame, part_frames: int = PART_FRAMES
 ) -> DataFrame:
-    """Onset times, their count and the joined note names, per recording and part of `part_frames` frames."""
+    """Onset times and the joined note names of each part of `part_frames` frames of each recording.
+
+    `n_onsets` counts those of the part, `total_onsets` those of the recording, and `parts` its parts, of which each has a
+    row. Over a recording's rows only counts are windowed, one number a part.
+    """
     part = F.expr(f"frame_index div {part_frames}").alias("part")
     rows = (
         onsets.select("recording_id", part, "frame_index", "time_seconds")
         .unionByName(
             notes.select("recording_id", part, "frame_index", "note_name"), allowMissingColumns=True
         )
-        .unionByName(
-            recordings.select("recording_id", F.lit(0).cast("bigint").alias("part")),
-            allowMissingColumns=True,
-        )
+        .unionByName(recording_parts(recordings, part_frames), allowMissingColumns=True)
     )
     times = F.collect_list(F.when(F.col("time_seconds").isNotNull(), F.struct("frame_index", "time_seconds")))
     names = F.collect_list(F.when(F.col("note_name").isNotNull(), F.struct("frame_index", "note_name")))
+    whole = W.partitionBy("recording_id")
     return (
         rows.groupBy("recording_id", "part")
         .agg(
             F.count("time_seconds").alias("n_onsets"),
             F.array_sort(times).alias("_times"),
             F.array_sort(names).alias("_names"),
+            F.max("parts").alias("parts"),
         )
+        .withColumn("total_onsets", F.sum("n_onsets").over(whole))
+        .withColumn("parts", F.max("parts").over(whole))
         .select(
             "recording_id",
             "part",
+            "parts",
             "n_onsets",
+            "total_onsets",
             F.col("_times.time_seconds").alias("onset_times"),
             F.expr(
                 "if(size(_names) = 0, 'None detected', array_join(_names.note_name, ', '))"
@@ -144,17 +163,20 @@ def event_lists(
 def result_documents(
     summaries: DataFrame, onsets: DataFrame, notes: DataFrame, chords: DataFrame, part_frames: int = PART_FRAMES
 ) -> DataFrame:
-    """Nested result per recording and part of `part_frames` frames: event arrays in frame order, and the summary."""
+    """Nested result of each part of `part_frames` frames of each recording: event arrays in frame order, the number of
+    parts, and the summary of the whole recording. A part without events has a row with empty arrays."""
     tables = {"onsets": onsets, "notes": notes, "chords": chords}
     part = F.expr(f"frame_index div {part_frames}").cast("bigint").alias("part")
-    rows = summaries.select("recording_id", F.lit(0).cast("bigint").alias("part"))
+    known = {"n_samples", "duration_seconds"} & set(summaries.columns)
+    first = summaries.select("recording_id", F.lit(0).cast("bigint").alias("part"), F.lit(1).cast("bigint").alias("parts"))
+    rows = recording_parts(summaries, part_frames) if known else first
     for name, df in tables.items():
         fields = ["frame_index", *[c for c in df.columns if c not in ("recording_id", "frame_index")]]
         rows = rows.unionByName(
             df.select("recording_id", part, F.struct(*fields).alias(name)), allowMissingColumns=True
         )
     nested = rows.groupBy("recording_id", "part").agg(
-        *[F.array_sort(F.collect_list(name)).alias(name) for name in tables]
+        F.max("parts").alias("parts"), *[F.array_sort(F.collect_list(name)).alias(name) for name in tables]
     )
     fields = [c for c in summaries.columns if c != "recording_id"]
     return nested.join(

@@ -98,8 +98,9 @@ def smooth_states(
     stay: float = 0.9,
     frames: int = SEGMENT_FRAMES,
     per_block: int = SEGMENTS_PER_BLOCK,
-    levels: int = 1,
+    levels: int | None = None,
     weights: np.ndarray | None = None,
+    top: int = 2048,
 ) -> DataFrame:
     """`(keys, pos, state)`: the most likely state of every row; `probs` has `states` entries.
 
@@ -107,10 +108,14 @@ def smooth_states(
     billionths, are the probabilities. They are taken inside the groups, so that only the vectors are shuffled.
 
     `levels` of combining leave one matrix per `frames * per_block ** levels` positions of a
-    key for the last step, which takes a key's matrices in one task. One level leaves at most
-    2,048 for 2^31 positions; take two for longer keys.
+    key for the last step, which takes a key's matrices in one task. Unless given, there are as many levels as leave
+    at most `top` matrices of the longest key, whose last position is looked up first.
     """
     keys = list(keys)
+    if levels is None:
+        left, levels = -(-((df.agg(F.max(pos)).first()[0] or 0) + 1) // (frames * per_block)), 1
+        while left > top:
+            left, levels = -(-left // per_block), levels + 1
     stay_score, move_score = transition_scores(states, stay)
     rows = df.select(
         *keys,

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.constants import C1_MIDI, FRAME_SIZE, HOP_SIZE
+from pulsegrid.functions import arrays as A
 from pulsegrid.functions.polyphase import WINDOW
 from pulsegrid.functions.registry import register_functions
 from pulsegrid.operators import chords, products, scans
@@ -16,6 +18,7 @@ from pulsegrid.operators.frames import sliding_frames
 from pulsegrid.operators.nearest import nearest_join, ratio_anti_join
 from pulsegrid.plans import oracle as O
 from pulsegrid.plans import queries as Q
+from pulsegrid.plans import transcribe as T
 from pulsegrid.session import stage_root
 from pulsegrid.sources import ranges
 from pulsegrid.sources import recordings as R
@@ -226,3 +229,40 @@ def sql_functions(spark, sf_dir):
   note_name(midi) AS name, pitch_class(midi) AS pc, hz_to_piano(value) AS value_midi
 FROM (SELECT event_id, value, cast(21 + event_id % 88 AS int) AS midi FROM _scalar_events)"""
     )
+
+
+SCORE = f"""score AS (
+  SELECT s_suppkey // {Q.SLOTS} AS recording_id, s_suppkey % {Q.SLOTS} AS slot, CAST(48 + (s_suppkey * 5 + coalesce(s_nationkey, 0)) % 24 AS INT) AS midi
+  FROM supplier WHERE s_suppkey IS NOT NULL)"""
+
+
+@query(
+    O.with_(SCORE)
+    + f"""SELECT CAST(recording_id AS VARCHAR) AS recording_id, count(*) AS events, count(*) AS found,
+  round(({Q.LEAD_IN} + {Q.SLOTS} * {Q.EVENT}) / 44100.0, 6) AS duration_seconds, 44100 AS sample_rate FROM score GROUP BY 1"""
+)
+def transcription_events(spark, sf_dir):
+    """Events of each recording that an onset of the whole job marks within 60 ms, and the durations."""
+    done = T.transcribe(Q.supplier_audio(spark, sf_dir))
+    start = F.expr(f"({Q.LEAD_IN} + slot * {Q.EVENT}) / 44100D")
+    # An onset can only belong to the slot that it falls into, or to the next one.
+    near = F.explode(F.expr(f"array(cast(floor((time_seconds * 44100D - {Q.LEAD_IN}) / {Q.EVENT}) as int), cast(floor((time_seconds * 44100D - {Q.LEAD_IN}) / {Q.EVENT}) + 1 as int))"))
+    marked = done.onsets.select("recording_id", "time_seconds", near.alias("slot")).where(F.abs(F.col("time_seconds") - start) <= 0.06)
+    score = Q.supplier_score(spark, sf_dir).select(F.col("recording_id").cast("string").alias("recording_id"), "slot").distinct()
+    hits = score.join(marked.select("recording_id", "slot").distinct().withColumn("hit", F.lit(1)), ["recording_id", "slot"], "left")
+    counts = hits.groupBy("recording_id").agg(F.count("*").alias("events"), F.count("hit").alias("found"))
+    return counts.join(done.summary.select("recording_id", Q.rounded("duration_seconds", 6, "duration_seconds"), "sample_rate"), "recording_id")
+
+
+@query(
+    O.with_(SCORE)
+    + "SELECT recording_id, slot, midi AS loudest FROM score WHERE slot NOT IN (4, 8)"
+)
+def constant_q_tones(spark, sf_dir):
+    """The loudest bin of the recordings' constant-Q track in the middle of each single tone: the note that was played."""
+    frames = T.frame_features(R.decode(Q.supplier_audio(spark, sf_dir))).where("frame is not null")
+    middle = F.expr(f"({Q.LEAD_IN} + slot * {Q.EVENT} + {Q.EVENT // 2} - {FRAME_SIZE // 2}) div {HOP_SIZE}").alias("frame")
+    score = Q.supplier_score(spark, sf_dir).where("size(notes) = 1").select("recording_id", "slot", middle)
+    loudest = F.expr(f"cast({A.first_argmax('cqt', 6)} as int) + {C1_MIDI}").alias("loudest")
+    rows = frames.select(F.col("recording_id").cast("bigint").alias("recording_id"), "frame", loudest)
+    return score.join(rows, ["recording_id", "frame"]).select("recording_id", F.col("slot").cast("bigint").alias("slot"), "loudest")

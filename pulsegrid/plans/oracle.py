@@ -898,15 +898,13 @@ JOIN em USING (vec_id) WHERE k <= 3"""
 
 # Samples of the texts of 200 ids laid end to end, and Hann-windowed tones written out sample by sample.
 ORACLE["constant_q_spectrum"] = """
-WITH joined AS (
-  SELECT doc_id // 200 AS part, string_agg(text, '' ORDER BY doc_id, text) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1),
-words AS (
-  SELECT part, unnest(regexp_extract_all(hex(encode(text)) || CASE WHEN strlen(text) % 2 = 1 THEN '00' ELSE '' END, '[0-9A-F]{4}')) AS w,
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)) || CASE WHEN strlen(text) % 2 = 1 THEN '00' ELSE '' END, '[0-9A-F]{4}')) AS w,
     generate_subscripts(regexp_extract_all(hex(encode(text)) || CASE WHEN strlen(text) % 2 = 1 THEN '00' ELSE '' END, '[0-9A-F]{4}'), 1) - 1 AS t
-  FROM joined),
-samples AS (SELECT part, t, CAST('0x' || substr(w, 3, 2) || substr(w, 1, 2) AS INT) AS v FROM words),
+  FROM documents WHERE text IS NOT NULL),
+samples AS (SELECT doc_id, t, CAST('0x' || substr(w, 3, 2) || substr(w, 1, 2) AS INT) AS v FROM words),
 frames AS (
-  SELECT part, t // 2048 AS frame, list((v - CASE WHEN v >= 32768 THEN 65536 ELSE 0 END) / 32768.0 ORDER BY t) AS f
+  SELECT doc_id, t // 2048 AS frame, list((v - CASE WHEN v >= 32768 THEN 65536 ELSE 0 END) / 32768.0 ORDER BY t) AS f
   FROM samples GROUP BY 1, 2 HAVING count(*) = 2048),
 bins AS (
   SELECT bin, 440 * pow(2, (21 + bin - 69) / 12.0) AS hz, 44100 / (pow(2, 1 / 12.0) - 1) / (440 * pow(2, (21 + bin - 69) / 12.0)) AS span
@@ -917,7 +915,7 @@ tones AS (
       CASE WHEN abs(n - centre) <= span / 2 THEN 0.5 + 0.5 * cos(2 * pi() * (n - centre) / span) ELSE 0 END * 2 / sqrt(span) AS w
     FROM bins, (SELECT unnest(range(0, 2049, 512)) AS centre), (SELECT unnest(range(2048)) AS n))
   GROUP BY 1, 2)
-SELECT part, frame, CAST(bin AS INT) AS bin,
+SELECT doc_id, frame, CAST(bin AS INT) AS bin,
   round(avg(sqrt(pow(list_inner_product(f, re), 2) + pow(list_inner_product(f, im), 2))), 5) + 0.0 AS mag
 FROM frames, tones GROUP BY 1, 2, 3
 """

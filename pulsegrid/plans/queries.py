@@ -29,6 +29,7 @@ from pulsegrid.operators.onsets import find_onsets
 from pulsegrid.operators.series import exact_median, join_by_span, keep_where
 from pulsegrid.plans import transcribe as T
 from pulsegrid.sources import recordings as R
+from pulsegrid.sources import synthesis
 from pulsegrid.sources import views as V
 
 # Stand-in frame geometry.
@@ -545,7 +546,7 @@ def harmonic_map(spark, sf_dir):
 
 @query
 def hps_pitch(spark, sf_dir):
-    return V.embedding_frames(spark, sf_dir).select(*FRAME, expr(pitch.hps_note("mag", BINS), "note"))
+    return V.embedding_frames(spark, sf_dir).select(*FRAME, F.get(K.hps_notes(BINS, 1)("mag"), 0).alias("note"))
 
 
 def _loud_frames(spark, sf_dir):
@@ -557,7 +558,7 @@ def _loud_frames(spark, sf_dir):
 def hps_multivoice(spark, sf_dir):
     return (
         _loud_frames(spark, sf_dir)
-        .select(*FRAME, F.posexplode(F.expr(pitch.hps_notes("mag", BINS, 4))).alias("voice", "note"))
+        .select(*FRAME, F.posexplode(K.hps_notes(BINS)("mag")).alias("voice", "note"))
     )
 
 
@@ -679,7 +680,7 @@ def _estimates(spark, sf_dir, frames=V.embedding_frames):
         "mag",
         expr(pitch.fft_note("mag", BINS), "FFT"),
         expr(pitch.harmonic_sum_note("mag", BINS), "CQT_Simple"),
-        expr(pitch.hps_note("mag", BINS), "HPS"),
+        F.get(K.hps_notes(BINS, 1)("mag"), 0).alias("HPS"),
         expr(_lag_note("autocorr_lag"), "Autocorr"),
         expr(_lag_note("yin_lag"), "YIN"),
     )
@@ -770,10 +771,10 @@ def harmonic_suppress(spark, sf_dir):
 
 @query
 def constant_q_frames(spark, sf_dir):
-    """Constant-Q spectra of the documents' bytes, laid end to end and read as audio: loudest bin per frame."""
-    frames = T.frame_features(R.decode(_long_audio(spark, sf_dir))).where("frame is not null")
+    """Constant-Q spectra of each document's bytes read as audio: loudest bin per frame."""
+    frames = T.frame_features(R.decode(_document_audio(spark, sf_dir))).where("frame is not null")
     return frames.select(
-        F.col("recording_id").cast("bigint").alias("part"),
+        F.col("recording_id").cast("bigint").alias("doc_id"),
         "frame",
         expr(f"cast({A.first_argmax('cqt', 6)} as int) + {C1_MIDI}", "loudest"),
         rounded(A.total("cqt"), 3, "sum_cqt"),
@@ -784,18 +785,18 @@ def constant_q_frames(spark, sf_dir):
 def constant_q_spectrum(spark, sf_dir):
     """Constant-Q magnitudes from A0 of consecutive full-size frames of the documents read as audio."""
     per_segment = R.SEGMENT_FRAMES * HOP_SIZE // FRAME_SIZE
-    own = R.decode(_long_audio(spark, sf_dir)).select(
+    own = R.decode(_document_audio(spark, sf_dir)).select(
         "recording_id", "seg", F.expr(f"transform({R.own_samples()}, v -> cast(v as double))").alias("own")
     )
     starts = f"if(size(own) >= {FRAME_SIZE}, sequence(0, size(own) div {FRAME_SIZE} - 1), cast(array() as array<int>))"
     frames = own.select("*", F.explode(F.expr(starts)).alias("_i")).select(
-        F.col("recording_id").cast("bigint").alias("part"),
+        F.col("recording_id").cast("bigint").alias("doc_id"),
         F.expr(f"seg * {per_segment} + _i").alias("frame"),
         F.expr(f"slice(own, _i * {FRAME_SIZE} + 1, {FRAME_SIZE})").alias("f"),
     )
     return (
-        frames.select("part", "frame", F.posexplode(K.constant_q(LOWEST_MIDI)("f")).alias("bin", "mag"))
-        .select("part", "frame", "bin", rounded("mag", 5, "mag"))
+        frames.select("doc_id", "frame", F.posexplode(K.constant_q(LOWEST_MIDI)("f")).alias("bin", "mag"))
+        .select("doc_id", "frame", "bin", rounded("mag", 5, "mag"))
     )
 
 
@@ -813,15 +814,22 @@ def _document_audio(spark, sf_dir):
     )
 
 
-def _long_audio(spark, sf_dir):
-    """As raw audio, the texts of 200 consecutive ids laid end to end: signals of thousands of frames."""
-    docs = V.table(spark, sf_dir, "documents").where("text is not null")
-    together = docs.groupBy(F.expr("cast(doc_id div 200 as string)").alias("path")).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("rows")
+# The score that suppliers make: ten to a recording, one event each, two of the ten a chord.
+SLOTS, EVENT, LEAD_IN = 10, 26_460, 11_025
+
+
+def supplier_score(spark, sf_dir):
+    """(recording_id, slot, notes): a note that follows from a supplier's key and nation; the fifth and ninth play triads."""
+    base = "cast(48 + (s_suppkey * 5 + coalesce(s_nationkey, 0)) % 24 as int)"
+    third = "if(s_acctbal >= 5000, 4, 3)"
+    notes = f"if(s_suppkey % {SLOTS} in (4, 8), array({base}, {base} + {third}, {base} + 7), array({base}))"
+    return V.table(spark, sf_dir, "supplier").where("s_suppkey is not null").select(
+        expr(f"s_suppkey div {SLOTS}", "recording_id"), expr(f"cast(s_suppkey % {SLOTS} as int)", "slot"), expr(notes, "notes")
     )
-    text = F.array_join("rows.text", "")
-    padded = F.when(F.octet_length(text) % 2 == 1, F.concat(text, F.char(F.lit(0)))).otherwise(text)
-    return together.select("path", F.encode(padded, "UTF-8").alias("content"), F.lit(R.RAW_TYPE).alias("content_type"))
+
+
+def supplier_audio(spark, sf_dir):
+    return synthesis.recordings(supplier_score(spark, sf_dir), SLOTS, EVENT, LEAD_IN)
 
 
 def _document_files(spark, sf_dir):
@@ -1045,13 +1053,12 @@ def top_candidates(spark, sf_dir):
 
 
 def _transcribed(spark, sf_dir):
-    files = _long_audio(spark, sf_dir).withColumn("length", F.octet_length("content").cast("bigint"))
-    return T.transcribe(files)
+    return T.transcribe(supplier_audio(spark, sf_dir))
 
 
 @query
 def transcription(spark, sf_dir):
-    """The whole job over all documents, laid end to end and read as raw audio: one summary row each."""
+    """The whole job over the recordings that all suppliers play: one summary row each."""
     return _transcribed(spark, sf_dir).summary
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from pulsegrid.constants import (
     ALLOWED_CONTENT_TYPES,
+    CQT_BINS,
     LOWEST_MIDI,
     PADDED_SIZE,
     SAMPLE_RATE,
 )
+from pulsegrid.functions import arrays as A
 from pulsegrid.functions import kernels as K
 from pulsegrid.operators import chords, fusion, gate, periods, pitch, reports
 from pulsegrid.operators.onsets import find_onsets
@@ -35,9 +37,12 @@ class Transcription:
     summary: DataFrame
     file_info: DataFrame
     quarantine: DataFrame
+    #: Harmonic sums of all bins at each onset, (recording_id, frame_index, scores).
+    candidates: DataFrame
 
-    def documents(self) -> DataFrame:
-        nested = reports.result_documents(self.summary, self.onsets, self.notes, self.chords)
+    def documents(self, part_frames: int = reports.PART_FRAMES) -> DataFrame:
+        """Nested results, one for each part of `part_frames` frames; take more than the longest recording has for whole ones."""
+        nested = reports.result_documents(self.summary, self.onsets, self.notes, self.chords, part_frames)
         return nested.join(self.file_info, "recording_id", "left")
 
     def report(self) -> DataFrame:
@@ -45,8 +50,13 @@ class Transcription:
         rates = reports.with_detection_rate(self.summary).select("recording_id", "detection_rate")
         return reports.report_rows(self.summary, self.notes).join(rates, "recording_id", "left")
 
-    def event_lists(self) -> DataFrame:
-        return reports.event_lists(self.summary, self.onsets, self.notes)
+    def event_lists(self, part_frames: int = reports.PART_FRAMES) -> DataFrame:
+        return reports.event_lists(self.summary, self.onsets, self.notes, part_frames)
+
+    def top_candidates(self, n: int = 3) -> DataFrame:
+        """The `n` best bins of the simple harmonic sum at each onset: (recording_id, frame_index, rank, midi_note, score)."""
+        ranked = self.candidates.select(*KEY, "frame_index", F.posexplode(F.expr(reports.top_candidates("scores", n))).alias("rank", "_d"))
+        return ranked.select(*KEY, "frame_index", "rank", F.expr(f"cast(_d.index + {LOWEST_MIDI} as int)").alias("midi_note"), F.col("_d.score").alias("score"))
 
     def note_lines(self) -> DataFrame:
         """Text lines of the notes."""
@@ -111,17 +121,19 @@ def pitch_estimates(events: DataFrame) -> DataFrame:
         {
             "_al": F.expr(periods.autocorrelation_lag("_acf", SAMPLE_RATE, *AUTOCORR_LAGS)),
             "_yl": F.expr(periods.yin_lag("_curve", SAMPLE_RATE, *YIN_LAGS)),
+            "_hps": K.hps_notes(CQT_BINS, 1)("cqt"),
+            "scores": F.expr(A.bind("array_max(cqt)", "mx", pitch.harmonic_sum_scores("cqt"))),
         }
     ).drop("_acf", "_curve")
     return lags.withColumns(
         {
             "FFT": F.expr(pitch.fft_note("mag")),
             "CQT_Simple": F.expr(pitch.harmonic_sum_note("cqt")),
-            "HPS": F.expr(pitch.hps_note("cqt")),
+            "HPS": F.expr("get(_hps, 0)"),
             "Autocorr": F.expr(f"if(_al is null, null, {periods.lag_note('_al', SAMPLE_RATE)})"),
             "YIN": F.expr(f"if(_yl is null, null, {periods.lag_note('_yl', SAMPLE_RATE)})"),
         }
-    ).drop("_al", "_yl", "cqt")
+    ).drop("_al", "_yl", "_hps", "cqt")
 
 
 def pick_notes(estimates: DataFrame, **spectrum) -> DataFrame:
@@ -192,7 +204,7 @@ def transcribe_segments(segments: DataFrame, files: DataFrame, refused: DataFram
     # Notes are estimated where the frames lie, then only the picks are joined to the events.
     picks = pick_notes(pitch_estimates(features.where("event is not null")))
     routed = stage_table(
-        routed.join(picks.select(*KEY, "frame", "pick"), [*KEY, "frame"], "left"), "events"
+        routed.join(picks.select(*KEY, "frame", "pick", "scores"), [*KEY, "frame"], "left"), "events"
     )
     notes = reports.note_records(routed.where("not gate"))
     found = chord_events(routed.where("gate"))
@@ -207,4 +219,5 @@ def transcribe_segments(segments: DataFrame, files: DataFrame, refused: DataFram
         summary=reports.summary(decoded, onset_rows, notes, found),
         file_info=R.file_info(files, decoded),
         quarantine=refused.unionByName(R.failed(rows)),
+        candidates=routed.where("scores is not null").select(*KEY, F.col("frame").alias("frame_index"), "scores"),
     )

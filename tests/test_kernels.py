@@ -116,3 +116,15 @@ def test_silent_spectrum_has_no_note(spark):
         F.expr(pitch.fft_note("f", 88)).alias("f"),
     ).first()
     assert tuple(row) == (None, None, None)
+
+
+def test_hps_kernel_equals_the_expression(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.exponential(size=88) * rng.choice([0.01, 1.0, 1000.0]) * (rng.uniform(size=88) < 0.3)]) for i in range(300)]
+    rows += [(300, [0.0] * 88), (301, None), (302, [1.0] * 88)]
+    df = spark.createDataFrame(rows, "i int, c array<double>").repartition(3)
+    for voices in (1, 4):
+        got = df.select("i", K.hps_notes(88, voices)("c").alias("kernel"), F.expr(pitch.hps_notes("c", 88, voices)).alias("text")).collect()
+        assert len(got) == 303 and all((r.kernel or []) == (r.text or []) for r in got)
+    assert max(len(r.kernel or []) for r in got) == 4 and min(len(r.kernel or []) for r in got) == 0
+    assert df.limit(0).select(K.hps_notes()("c")).collect() == []

@@ -38,3 +38,12 @@ def test_silence_keeps_one_state(spark):
     df = spark.createDataFrame([("s", t, [0.5] * 4) for t in range(40)], "k string, t bigint, p array<double>")
     got = smooth_states(df, ["k"], "t", "p", 4, 0.9, 8, 2).collect()
     assert {r.state for r in got} == {0}
+
+
+def test_levels_follow_the_longest_key(spark):
+    """With few matrices allowed at the top, several levels are taken; the path stays the same."""
+    rng = np.random.default_rng(6)
+    rows = [(1, t, [float(v) for v in rng.dirichlet(np.ones(3))]) for t in range(400)] + [(2, 0, [0.2, 0.5, 0.3])]
+    df = spark.createDataFrame(rows, "k int, t long, p array<double>").repartition(3)
+    one = sorted(map(tuple, smooth_states(df, ["k"], "t", "p", 3, 0.9, 8, 2, levels=1).collect()))
+    assert sorted(map(tuple, smooth_states(df, ["k"], "t", "p", 3, 0.9, 8, 2, top=3).collect())) == one and len(one) == 401

@@ -302,3 +302,79 @@ def test_declared_types_win_over_extensions(spark, tmp_path):
     declared = spark.createDataFrame([(plain["a.bin"].path, "audio/x-wav")], "path string, content_type string")
     types = {name(r.path): r.content_type for r in R.scan(spark, str(tmp_path), declared=declared).collect()}
     assert types == {"a.bin": "audio/x-wav", "b.wav": "audio/wav"}
+
+
+def test_chords_among_notes(spark, tmp_path):
+    """A scale with triads among its notes: the chord path labels them, with their inversions, and leaves the notes alone."""
+    names = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
+    parts, played = [silence(0.25)], []
+    for k in range(16):
+        base = 48 + (7 * k) % 24
+        if k % 6 == 4:
+            parts.append(chord((base, base + 4, base + 7)))
+            played.append((0.25 + 0.6 * k, base % 12))
+        else:
+            parts.append(tone(hz(base), 0.6))
+    write(tmp_path / "mixed.wav", np.concatenate(parts))
+    got = transcribe(R.scan(spark, str(tmp_path)))
+    chords, notes = got.chords.collect(), got.notes.collect()
+    near = [(r, pc) for r in chords for start, pc in played if abs(r.time_seconds - start) < 0.06]
+    assert len(near) >= 2 and sum(r.label.split(":")[0] == names[pc] for r, pc in near) >= 2
+    assert all(r.inversion in ("root", "first", "second", "slash") and r.type == "chord" and 0 < r.note_score <= r.confidence for r in chords)
+    assert len({r.note_name for r in notes}) >= 5 and len({r.method for r in notes}) >= 2
+    summary = got.summary.first()
+    assert (summary.total_notes, summary.total_chords) == (len(notes), len(chords))
+    # The candidates of the real job: best first, three an onset, and the note of the simple method is among them.
+    top = got.top_candidates().collect()
+    assert {r.rank for r in top} == {0, 1, 2} and {r.frame_index for r in notes} <= {r.frame_index for r in top}
+    for at in {r.frame_index for r in top}:
+        scores = [r.score for r in sorted((r for r in top if r.frame_index == at), key=lambda r: r.rank)]
+        assert scores == sorted(scores, reverse=True) and len(scores) == 3
+
+
+def test_every_part_of_a_recording_has_a_row(spark, result):
+    """Parts without events keep their row; totals are those of the recording."""
+    lists = {}
+    for r in result.event_lists(part_frames=100).collect():
+        lists.setdefault(name(r.recording_id), []).append(r)
+    whole = {name(r.recording_id): r for r in result.event_lists().collect()}
+    assert set(lists) == set(whole)
+    for key, rows in lists.items():
+        rows.sort(key=lambda r: r.part)
+        assert [r.part for r in rows] == list(range(rows[0].parts)) and len({r.total_onsets for r in rows}) == 1
+        assert sum(r.n_onsets for r in rows) == rows[0].total_onsets == whole[key].n_onsets == whole[key].total_onsets
+        assert [t for r in rows for t in r.onset_times] == whole[key].onset_times and whole[key].parts == 1
+    assert len(lists["silence.wav"]) == 2 and lists["silence.wav"][1].note_names == "None detected" and len(lists["short.wav"]) == 1
+    docs = {}
+    for r in result.documents(part_frames=100).collect():
+        docs.setdefault(name(r.recording_id), []).append(r)
+    full = {name(r.recording_id): r for r in result.documents().collect()}
+    for key, rows in docs.items():
+        rows.sort(key=lambda r: r.part)
+        assert [r.part for r in rows] == list(range(rows[0].parts)) and [o for r in rows for o in r.onsets] == full[key].onsets
+        assert [o for r in rows for o in r.notes] == full[key].notes and rows[0].analysis_summary == full[key].analysis_summary
+
+
+def test_recordings_that_suppliers_play(spark):
+    """The flagship's input reaches both paths: several notes, methods, chords and inversions."""
+    from pulsegrid.plans.queries import QUERIES, supplier_audio
+
+    path = "/root/testdata/sf0.01"
+    done = transcribe(supplier_audio(spark, path))
+    notes, chords, summary = done.notes.collect(), done.chords.collect(), done.summary.collect()
+    assert len({r.midi_note % 12 for r in notes}) >= 5 and len({r.method for r in notes}) >= 3
+    assert len(chords) >= 10 and len({r.inversion for r in chords}) >= 2 and len({r.label for r in chords}) >= 5
+    assert len(summary) == 10 and all(r.total_onsets == r.total_notes + r.total_chords or r.total_onsets > 0 for r in summary)
+    assert sum(r.total_chords for r in summary) == len(chords) and QUERIES["transcription"](spark, path).columns == done.summary.columns
+
+
+def test_scores_are_bounded_recordings(spark):
+    from pulsegrid.sources import synthesis
+
+    score = spark.createDataFrame([(1, 0, [60]), (1, 0, [48]), (1, 2, [60, 64, 67]), (None, 0, [60]), (2, 9, [60]), (3, 1, None)], "recording_id int, slot int, notes array<int>")
+    files = {r.path: r for r in synthesis.recordings(score.unionByName(score), 3, 1000, 500).collect()}
+    assert set(files) == {"1", "3"} and all(r.length == len(r.content) == 2 * 3500 for r in files.values())
+    x = np.frombuffer(files["1"].content, "<i2")
+    assert not x[:500].any() and x[600:1400].any() and not x[1500:2500].any() and x[2600:].any()
+    want = np.round(synthesis.played([48], 1000) * 32767).astype("<i2")
+    assert (x[500:1500] == want).all() and not np.frombuffer(files["3"].content, "<i2").any()
