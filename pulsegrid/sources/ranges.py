@@ -149,7 +149,8 @@ class RecordingRanges(DataSource):
     """Options: `path`, `pathGlobFilter` (file names), `rangeBytes`, `maxBytes` (longer files are left out), `rawRate`, `highpass`,
     `resample`, `frames` (of a segment). Files of other content types than WAV and raw PCM are left out.
 
-    Filters on `recording_id` choose files before any is read, if `spark.sql.python.filterPushdown.enabled` is set.
+    With `pushFilters` filters on `recording_id` choose files before any is read; the session must then have
+    `spark.sql.python.filterPushdown.enabled` set, as `session.build_session` does. `scan_segments` gives the option where it may.
     """
 
     @classmethod
@@ -160,7 +161,9 @@ class RecordingRanges(DataSource):
         return R.SEGMENT_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return RangeReader(dict(self.options))
+        options = dict(self.options)
+        wanted = _switch({k.lower(): v for k, v in options.items()}.get("pushfilters"), False)
+        return FilteringReader(options) if wanted else RangeReader(options)
 
 
 class RangeReader(DataSourceReader):
@@ -179,13 +182,6 @@ class RangeReader(DataSourceReader):
         )
         self.conditions: list[Filter] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith, StringEndsWith, StringContains)) and f.attribute == ("recording_id",):
-                self.conditions.append(f)
-            else:
-                yield f
-
     def _chosen(self, path: str) -> bool:
         tests = {
             EqualTo: lambda f: path == f.value,
@@ -211,9 +207,21 @@ class RangeReader(DataSourceReader):
                 yield R.segment_batch([row])
 
 
+class FilteringReader(RangeReader):
+    """Takes filters on the recording over; a session in which they are not pushed down refuses such a reader."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In, StringStartsWith, StringEndsWith, StringContains)) and f.attribute == ("recording_id",):
+                self.conditions.append(f)
+            else:
+                yield f
+
+
 def scan_segments(spark: SparkSession, path: str, **options) -> DataFrame:
     """The segments of all recordings under `path`, read by byte ranges; options as of the data source."""
     spark.dataSource.register(RecordingRanges)
+    options.setdefault("pushFilters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     return spark.read.format("recording_ranges").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 

@@ -104,6 +104,20 @@ def test_path_filters_choose_files(spark, folder):
     assert df.where("seg = 1 and recording_id like '%.raw'").count() == 1
 
 
+def test_without_pushed_filters(spark, folder):
+    """A session in which filters are not pushed down reads the same; Spark filters the rows itself."""
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        df = ranges.scan_segments(spark, str(folder), rangeBytes=100_000, frames=FRAMES).where("recording_id like '%.raw'")
+        assert df.count() == R.segment_count(200_000, FRAMES) and df.rdd.getNumPartitions() > 20
+        direct = spark.read.format("recording_ranges").option("frames", FRAMES).load(str(folder))
+        assert direct.where("recording_id like '%.raw'").count() == R.segment_count(200_000, FRAMES)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_a_file_beyond_two_gibibytes(spark, tmp_path):
     """A sparse file of 2.2 GB: ranges read it; read whole, it goes to quarantine and the others are analysed."""
     (tmp_path / "small.wav").write_bytes(wav(np.concatenate([silence(0.25), tone(440, 0.5)])))
