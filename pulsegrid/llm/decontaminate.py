@@ -5,8 +5,9 @@ shared random bit of (j, word) says so. Two sequences at a small edit distance c
 becomes Hamming distance. A repetition has its own walk and samples a few steps; windows of documents that agree with an item
 in all of them are candidates, and an exact edit distance over words decides. Windows start at each word of each document and are item-sized:
 items are taken in classes by length, and each repetition starts the walk at another place of the item. Repetitions are added until a simulation with
-edits at the allowed rate reaches the target recall, or to a limit. What the walks miss is found without chance: each item is also cut into one
-more piece than it may have edits, so in every match one piece at least stands word for word, and the pieces are looked up too.
+edits at the allowed rate reaches the target recall at every length, or to a limit. What the walks miss is found without chance: an item is also cut into
+one more piece than it may have edits, so in every match one piece at least stands word for word, and the pieces are looked up too. That is done for all items
+(`exact`), or only for those of lengths at which the walks stayed below the target.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ class Settings:
     """A passage is a match within floor(`rate` * words of the item) word edits.
 
     `block_items` bounds the items that are broadcast at once; a larger benchmark takes several passes. `target_recall` and `max_repetitions` are
-    those of the walks; with the pieces every match is found.
+    those of the walks, with `trials` simulated passages a length. With `exact` no match is missed; without, walks alone find the
+    target's share of passages at the allowed rate of edits, and more of less edited ones.
     """
 
     rate: float = 0.25
     samples: int = 3
-    target_recall: float = 0.99
+    target_recall: float = 0.997
     max_repetitions: int = 96
     trials: int = 400
+    exact: bool = True
     block_items: int = 50_000
     seed: int = 3
 
@@ -71,30 +74,37 @@ class Walk:
         return cls(size, (number * 0.618034) % 1.0, number % 2 == 1, multipliers, (0, *map(int, steps)))
 
     def signatures(self, words: np.ndarray, at: np.ndarray, among: list[HashSet] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Starting positions and signatures of the walks from `at`; those outside `among`, level by level, are dropped."""
+        """Starting positions and signatures of the walks from `at`; those outside `among`, level by level from the second on, are dropped."""
         place, last = at, len(words) - 1
         sign = np.full(len(at), self.size, dtype=np.uint64)
         for level, step in enumerate(self.steps):
             for j in range(self.steps[level - 1] if level else 0, step):
                 place = np.minimum(place + ((words[place] * self.multipliers[j]) >> U64(63)).astype(np.int64), last)
             sign = mix(sign * U64(0x9E3779B97F4A7C15) + words[place])
-            if among is not None:
+            if among is not None and level:  # the first word is known to be one of the table's
                 keep, _ = among[level].find(sign)
                 at, place, sign = at[keep], place[keep], sign[keep]
         return at, sign
 
-    def levels(self, words: np.ndarray, at: int) -> list[int]:
-        """Signature of a walk from `at` after each sampled step; none from the first step on that lies behind the last word.
+    def places(self, words: np.ndarray, at: int) -> list[int]:
+        """Where a walk from `at` stands at each sampled step; none from the first step on that lies behind the last word.
 
-        In a document other words follow an item, so a walk over its end reads another signature there.
+        In a document other words follow an item, so a walk over its end reads other words there.
         """
-        out, place, sign = [], at, U64(self.size)
+        out, place = [], at
+        for level, step in enumerate(self.steps):
+            for j in range(self.steps[level - 1] if level else 0, step):
+                place += int(words[place]) * int(self.multipliers[j]) >> 63 & 1
+                if place == len(words):
+                    return out
+            out.append(place)
+        return out
+
+    def levels(self, words: np.ndarray, at: int) -> list[int]:
+        """Signature of a walk from `at` after each sampled step that stands inside the words."""
+        out, sign = [], U64(self.size)
         with np.errstate(over="ignore"):
-            for level, step in enumerate(self.steps):
-                for j in range(self.steps[level - 1] if level else 0, step):
-                    place += int((words[place] * self.multipliers[j]) >> U64(63))
-                    if place == len(words):
-                        return out
+            for place in self.places(words, at):
                 sign = mix(np.array([sign * U64(0x9E3779B97F4A7C15) + words[place]]))[0]
                 out.append(sign)
         return out
@@ -112,7 +122,7 @@ class Piece:
         sign = np.full(len(at), self.size, dtype=np.uint64)
         for level in range(self.size):
             sign = mix(sign * U64(0x9E3779B97F4A7C15) + words[at + level])
-            if among is not None:
+            if among is not None and level:
                 keep, _ = among[level].find(sign)
                 at, sign = at[keep], sign[keep]
         return at, sign
@@ -164,6 +174,7 @@ class Index:
                 self.words.append(h[block.first[k] : block.first[k + 1]])
         self.common = Counter(w for words in self.words for w in set(words.tolist()))
         self.tables: list[tuple[Walk | Piece, list[HashSet], tuple[np.ndarray, np.ndarray], np.ndarray]] = []
+        self.short: list[int] = []
         classes: dict[int, list[int]] = {}
         for i, words in enumerate(self.words):
             classes.setdefault(1 << (len(words).bit_length() - 1), []).append(i)
@@ -171,44 +182,88 @@ class Index:
             self._add_class(size, members)
         self.first_words = HashSet([self.words[i][o] for _, _, held, _ in self.tables for i, o in zip(*held, strict=True)])
         walks = len(self.tables)
-        self._add_pieces()
+        self._add_pieces(range(len(self.words)) if s.exact else self.short)
         self.pieces = self.tables[walks:]
         del self.tables[walks:]
         self.piece_words = HashSet([self.words[i][o] for _, _, held, _ in self.pieces for i, o in zip(*held, strict=True)])
+        self.begins = [self._first(self.first_words, t) for t in self.tables], [self._first(self.piece_words, t) for t in self.pieces]
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.most = np.floor(s.rate * self.sizes).astype(np.int64)
+        self.members = HashSet(np.concatenate([self.keyed(w, np.full(len(w), i)) for i, w in enumerate(self.words)]) if self.words else [])
+
+    def _first(self, among: HashSet, table) -> np.ndarray:
+        """Which of the first words of all tables are first words of this one."""
+        out = np.zeros(len(among.values), dtype=bool)
+        _, rank = among.find(np.array([self.words[i][o] for i, o in zip(*table[2], strict=True)], dtype=np.uint64))
+        out[rank] = True
+        return out
+
+    @staticmethod
+    def keyed(words: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Hash of each word as a word of an item."""
+        return mix(words + (items.astype(np.uint64) + U64(1)) * U64(0xD6E8FEB86659FD93))
 
     def start(self, walk: Walk, words: np.ndarray) -> int:
         """Where the walk starts in an item: by place alone, or at the rarest word of the benchmark near the repetition's place.
 
-        If its sampled steps do not stay inside the item, the next best place where they do is taken; from the first word they do.
+        If its sampled steps do not stay inside the item, or stand on one word, which says little, the next best place where they
+        do better is taken; from the first word they stay inside.
         """
         if walk.by_place:
-            near = range(int(walk.fraction * len(words)), 0, -1)
-            return next((k for k in near if len(walk.levels(words, k)) == len(walk.steps)), 0)
-        room = len(words) - walk.size
-        near = max(1, walk.size // 4)
-        at = int(walk.fraction * (room + near))
-        span = range(max(0, at - near), min(len(words) - 1, at + near) + 1)
-        span = sorted(span, key=lambda k: (self.common[int(words[k])], abs(k - at)))
-        return next((k for k in span if len(walk.levels(words, k)) == len(walk.steps)), 0)
+            span = list(range(int(walk.fraction * len(words)), -1, -1))
+        else:
+            room = len(words) - walk.size
+            near = max(1, walk.size // 4)
+            at = int(walk.fraction * (room + near))
+            span = list(range(max(0, at - near), min(len(words) - 1, at + near) + 1))
+            span.sort(key=lambda k: (self.common[int(words[k])], abs(k - at)))
+        first = None
+        for k in span:
+            at = walk.places(words, k)
+            if len(at) == len(walk.steps):
+                if len(set(words[at].tolist())) == len(at):
+                    return k
+                first = k if first is None else first
+        return first or 0
+
+    #: Words of simulated passages that are held at once, and lengths that are simulated of a class.
+    SIMULATED, LENGTHS = 1 << 21, 32
 
     def _add_class(self, size: int, members: list[int]) -> None:
         s = self.settings
         rng = np.random.default_rng([s.seed, size])
-        trials = []
-        for _ in range(s.trials):
-            words = self.words[int(rng.choice(members))]
-            before, after = rng.integers(1, 1 << 62, (2, 2 * size), dtype=np.uint64)
-            trials.append((words, np.concatenate([before, edited(words, int(s.rate * len(words)), rng), after])))
-        missed = trials
+        by_length: dict[int, list[int]] = {}
+        for i in members:
+            by_length.setdefault(len(self.words[i]), []).append(i)
+        lengths = sorted(by_length)
+        lengths = [lengths[k] for k in np.unique(np.linspace(0, len(lengths) - 1, min(self.LENGTHS, len(lengths))).astype(int))]
+        trials = max(20, min(s.trials, self.SIMULATED // (3 * size * len(lengths))))
+        item, length, passages = [], [], []
+        for n in lengths:
+            for i in rng.choice(by_length[n], trials).tolist():
+                after = rng.integers(1, 1 << 62, size + 1, dtype=np.uint64)  # other words follow in a document
+                item.append(i)
+                length.append(n)
+                passages.append(np.concatenate([edited(self.words[i], int(s.rate * n), rng), after]))
+        item, length = np.array(item), np.array(length)
+        trial = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+        words, missed = np.concatenate(passages), np.ones(len(passages), dtype=bool)
+        allowed = (1 - s.target_recall) * trials
         for number in range(s.max_repetitions):
             walk = Walk.draw(size, number, s)
             starts = [self.start(walk, self.words[i]) for i in members]
-            self._add_table(walk, members, starts)
-            missed = [x for x in missed if not self._meets(walk, *x)]
-            if len(missed) <= (1 - s.target_recall) * s.trials:
+            final = dict(zip(members, self._add_table(walk, members, starts), strict=True))
+            begin = {i: self.words[i][at] for i, at in zip(members, starts, strict=True)}
+            at = np.flatnonzero(words == np.array([begin[i] for i in item.tolist()], dtype=np.uint64)[trial])
+            met = walk.signatures(words, at)[1] == np.array([final[i] for i in item.tolist()], dtype=np.uint64)[trial[at]]
+            missed[trial[at[met]]] = False
+            if all(missed[length == n].sum() <= allowed for n in lengths):
                 return
+        below = {n for n in lengths if missed[length == n].sum() > allowed}
+        # A length that was not simulated goes with its neighbours.
+        self.short += [i for i in members if below & {max(n for n in lengths if n <= len(self.words[i])), min(n for n in lengths if n >= len(self.words[i]))}]
 
-    def _add_table(self, walk: Walk | Piece, members: list[int], starts: list[int]) -> None:
+    def _add_table(self, walk: Walk | Piece, members: list[int], starts: list[int]) -> list[int]:
         signs = [walk.levels(self.words[i], at) for i, at in zip(members, starts, strict=True)]
         sets = [HashSet([x[level] for x in signs]) for level in range(len(signs[0]))]
         final = np.array([x[-1] for x in signs], dtype=np.uint64)
@@ -216,12 +271,13 @@ class Index:
         bounds = np.searchsorted(final[order], np.r_[sets[-1].values, U64((1 << 64) - 1)])
         bounds[-1] = len(final)
         self.tables.append((walk, sets, (np.asarray(members)[order], np.asarray(starts)[order]), bounds))
+        return final.tolist()
 
-    def _add_pieces(self) -> None:
-        """Tables of the pieces of all items, by length: an item has one more than the edits it may have."""
+    def _add_pieces(self, members) -> None:
+        """Tables of the pieces of some items, by length: an item has one more than the edits it may have."""
         sizes: dict[int, list[tuple[int, int]]] = {}
-        for i, words in enumerate(self.words):
-            n = len(words)
+        for i in members:
+            n = len(self.words[i])
             parts = int(math.floor(self.settings.rate * n)) + 1
             cuts = [k * n // parts for k in range(parts + 1)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -229,16 +285,16 @@ class Index:
         for size, held in sorted(sizes.items()):
             self._add_table(Piece(size), *map(list, zip(*held, strict=True)))
 
-    def _meets(self, walk: Walk, words: np.ndarray, changed: np.ndarray) -> bool:
-        wanted = walk.levels(words, self.start(walk, words))[-1]
-        return bool((walk.signatures(changed, np.arange(len(changed)))[1] == wanted).any())
-
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, item, start in the item) of windows that agree with an item's sampled steps or with a piece, in bounded lots."""
-        for tables, first_words in ((self.tables, self.first_words), (self.pieces, self.piece_words)):
-            at_starts, _ = first_words.find(words)
-            for walk, sets, (items, starts), bounds in tables:
-                at, sign = walk.signatures(words, at_starts, sets)
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, item, start in the item, by a walk) of windows that agree with an item's sampled steps or with a piece, in bounded lots."""
+        waiting: list[tuple[np.ndarray, ...]] = []
+        for tables, first_words, begins, walked in (
+            (self.tables, self.first_words, self.begins[0], True),
+            (self.pieces, self.piece_words, self.begins[1], False),
+        ):
+            at_starts, rank_of = first_words.find(words)
+            for (walk, sets, (items, starts), bounds), begin in zip(tables, begins, strict=True):
+                at, sign = walk.signatures(words, at_starts[begin[rank_of]], sets)
                 if not len(at):
                     continue
                 found, rank = sets[-1].find(sign)
@@ -248,7 +304,28 @@ class Index:
                     each = np.arange(lo, min(lo + LOT, int(total[-1])))
                     hit = np.searchsorted(total, each, side="right")
                     which = each - (total - size)[hit] + bounds[rank[hit]]
-                    yield at[found[hit]], items[which], starts[which]
+                    waiting.append((at[found[hit]], items[which], starts[which], np.full(len(each), walked)))
+                    if sum(len(w[0]) for w in waiting) >= LOT:
+                        yield tuple(map(np.concatenate, zip(*waiting, strict=True)))
+                        waiting = []
+        if waiting:
+            yield tuple(map(np.concatenate, zip(*waiting, strict=True)))
+
+    def likely(self, words: np.ndarray, items: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which of the windows `lo` to `hi` hold as many words of their items as a match has at least."""
+        out = np.zeros(len(items), dtype=bool)
+        ends = np.cumsum(hi - lo)
+        a = 0
+        while a < len(items):
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + 4 * LOT, side="right")))
+            size = (hi - lo)[a:b]
+            window = np.repeat(np.arange(a, b), size)
+            at = np.arange(len(window)) - np.repeat(ends[a:b] - size - done, size) + lo[window]
+            held, _ = self.members.find(self.keyed(words[at], items[window]))
+            out[a:b] = np.bincount(window[held] - a, minlength=b - a) >= (self.sizes - self.most)[items[a:b]]
+            a = b
+        return out
 
 
 def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -263,41 +340,46 @@ def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
 #: Candidates that are held at once before they are gathered by document and item.
 LOT = 1 << 18
 
-SCHEMA = "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long"
-_SCHEMA = pa.schema([(name, pa.int64()) for name in ("doc_id", "item_id", "distance", "item_words", "start_word", "end_word")])
-
-
-def _matches(block, words: np.ndarray, index: Index, s: Settings) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, item, distance, first word about, end word) of the best match of each item in each document of a block."""
-    wanted: dict[tuple[int, int], list[np.ndarray]] = {}
-    for at, items, starts in index.candidates(words):
-        docs = np.searchsorted(block.first, at, side="right") - 1
-        order = np.lexsort((at - starts, items, docs))
-        docs, items, begins = docs[order], items[order], (at - starts)[order]
-        cuts = np.flatnonzero((np.diff(docs) != 0) | (np.diff(items) != 0)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs)], strict=True):
-            key = (int(docs[a]), int(items[a]))
-            held = wanted.setdefault(key, [])
-            held.append(np.unique(begins[a:b]))
-            if len(held) > 64:
-                wanted[key] = [np.unique(np.concatenate(held))]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for (d, i), held in wanted.items():
-        begins, item = np.unique(np.concatenate(held)), index.words[i]
-        n, most = len(item), int(math.floor(s.rate * len(item)))
+SCHEMA = "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long, by_walk boolean"
+_SCHEMA = pa.schema([*[(name, pa.int64()) for name in ("doc_id", "item_id", "distance", "item_words", "start_word", "end_word")], ("by_walk", pa.bool_())])
+
+
+def _matches(block, words: np.ndarray, index: Index, s: Settings) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    """(document, item, distance, first word about, end word, by a walk) of the best match of each item in each document of a block."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    for at, items, starts, walked in index.candidates(words):
+        docs, begins = np.searchsorted(block.first, at, side="right") - 1, at - starts
+        order = np.lexsort((~walked, begins, items, docs))
+        docs, items, begins, walked = docs[order], items[order], begins[order], walked[order]
+        fresh = np.ones(len(docs), dtype=bool)
+        fresh[1:] = (np.diff(docs) != 0) | (np.diff(items) != 0) | (np.diff(begins) != 0)
+        docs, items, begins, walked = docs[fresh], items[fresh], begins[fresh], walked[fresh]
+        lo = np.maximum(block.first[docs], begins - index.most[items])
+        hi = np.minimum(block.first[docs + 1], begins + index.sizes[items] + index.most[items])
+        good = index.likely(words, items, lo, hi)
+        kept.append((docs[good], items[good], begins[good], walked[good]))
+    if not any(len(k[0]) for k in kept):
+        return
+    docs, items, begins, walked = map(np.concatenate, zip(*kept, strict=True))
+    order = np.lexsort((begins, items, docs))
+    docs, items, begins, walked = docs[order], items[order], begins[order], walked[order]
+    # Windows that overlap are read as one, so no word is compared twice with an item.
+    apart = np.ones(len(docs), dtype=bool)
+    apart[1:] = (np.diff(docs) != 0) | (np.diff(items) != 0) | (np.diff(begins) > (index.sizes + 2 * index.most)[items[1:]])
+    cuts = np.flatnonzero(apart).tolist()
+    best: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
+    for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=True):
+        d, i = int(docs[a]), int(items[a])
+        item, n, most = index.words[i], int(index.sizes[i]), int(index.most[i])
         first, last = int(block.first[d]), int(block.first[d + 1])
-        # Windows that overlap are read as one, so no word is compared twice with an item.
-        fresh = np.flatnonzero(np.diff(begins) > n + 2 * most) + 1
-        for low, high in zip(begins[np.r_[0, fresh]].tolist(), begins[np.r_[fresh - 1, len(begins) - 1]].tolist(), strict=True):
-            lo, hi = max(first, low - most), min(last, high + n + most)
-            if np.isin(words[lo:hi], item).sum() < n - most:
-                continue
-            found, end = distance(item.tolist(), words[lo:hi].tolist(), most)
-            if found <= most:
-                end = lo + end - first
-                best[d, i] = min(best.get((d, i), (most + 1, 0, 0)), (found, max(0, end - n), end))
-    for (d, i), (found, begin, end) in sorted(best.items()):
-        yield d, i, found, begin, end
+        lo, hi = max(first, int(begins[a]) - most), min(last, int(begins[b - 1]) + n + most)
+        found, end = distance(item.tolist(), words[lo:hi].tolist(), most)
+        if found <= most:
+            end = lo + end - first
+            now = (found, max(0, end - n), end, bool(walked[a:b].any()))
+            best[d, i] = min(best.get((d, i), (most + 1, 0, 0, False)), now)
+    for (d, i), match in sorted(best.items()):
+        yield d, i, *match
 
 
 def _indexes(spark: SparkSession, benchmark: DataFrame, s: Settings) -> Iterator[Broadcast]:
@@ -309,8 +391,8 @@ def _indexes(spark: SparkSession, benchmark: DataFrame, s: Settings) -> Iterator
         yield spark.sparkContext.broadcast(Index([r["item_id"] for r in part], [r["text"] for r in part], s))
 
 
-def _found(texts: pa.Array, index: Index, s: Settings) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, distance, start word, end word) of all matches in a batch of texts."""
+def _found(texts: pa.Array, index: Index, s: Settings) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    """(row, item, distance, start word, end word, by a walk) of all matches in a batch of texts."""
     for block in word_blocks(texts, ALNUM):
         if len(block.start):
             for d, *rest in _matches(block, folded_words(block), index, s):
@@ -322,8 +404,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
 
     Words are runs of letters and digits, case-folded. `distance` is the smallest edit distance in words of the item to a
     run of the document's words around its candidate windows; `end_word` is where the first such run ends, `start_word` as
-    many words before as the item has. Null and empty texts on either side match nothing; repeated rows and items are
-    matched each. An item of fewer than 1 / rate words matches only itself. No row is shuffled.
+    many words before as the item has; `by_walk` says whether a walk met the run, or only a piece did. Null and empty texts on either
+    side match nothing, empty tables give no rows; repeated rows and items are matched each, and of places at one distance the first counts.
+    An item of fewer than 1 / rate words matches only itself. Long texts are one block each and are read whole; other columns are
+    not read. No row is shuffled.
     """
     s = settings or Settings()
     out = None
@@ -334,8 +418,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 rows = [
-                    (ids[row], held.ids[i], edits, len(held.words[i]), begin, end)
-                    for row, i, edits, begin, end in _found(batch.column(1), held, s)
+                    (ids[row], held.ids[i], edits, len(held.words[i]), begin, end, walked)
+                    for row, i, edits, begin, end, walked in _found(batch.column(1), held, s)
                 ]
                 if rows:
                     yield record_batch(_SCHEMA, list(zip(*rows, strict=True)))
@@ -346,7 +430,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | Non
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text matches no benchmark item; no row is shuffled."""
+    """The rows of `docs`, with all their columns, whose text matches no benchmark item; no row is shuffled.
+
+    Rows without a text or an id stay, repeated rows stay or go together, and an empty table stays empty.
+    """
     s = settings or Settings()
     text = docs.columns.index("text")
     for index in _indexes(docs.sparkSession, benchmark, s):
