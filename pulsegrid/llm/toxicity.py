@@ -143,6 +143,9 @@ class Measure:
         symbol = _SYMBOL[block.data]
         inner = np.zeros(len(symbol), dtype=bool)
         inner[1:-1] = ~letter[1:-1] & ~_SPACE[block.data[1:-1]] & letter[:-2] & letter[2:]
+        # What stands at either end of a text has no neighbour in it.
+        ends = np.concatenate([block.begin[:-1], block.begin[1:] - 1])
+        inner[ends[(ends >= 0) & (ends < len(inner))]] = False
         exclamation = (block.data == 33) | (block.data == 63)
         capitals = np.r_[0, np.cumsum(capital)]
         size = block.end - block.start
@@ -260,7 +263,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, settings: Settings |
     """Learn from documents (doc_id, text) with a label (doc_id, toxic) that `train`, over doc_id, marks.
 
     At most about `max_rows` labelled rows are used, chosen by hash of their id; rows with null id or label are not.
-    An id labelled twice counts as toxic if one label says so.
+    An id labelled twice counts as toxic if one label says so. Null and empty texts are texts without a word, long ones are measured
+    whole, repeated documents count as often as they stand there. Empty tables give a model that scores all texts 0.
+    Other columns of the tables are not read.
     """
     s = settings or Settings()
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -293,7 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, settings: Settings |
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The `keep` columns of `docs` and the `score` (0 to 1) of each whole text; null reads as empty.
 
-    One row for each row; nothing is shuffled.
+    One row for each row, whatever repeats, none for an empty table; nothing is shuffled. Equal texts score alike, so ties
+    stay ties. Names of `docs` may clash with any used here but `score`.
     """
     if model.trees is None:
         return docs.select(*keep, F.lit(model.prior).alias("score"))
