@@ -232,8 +232,9 @@ def candidate_edges(posted: DataFrame, classes: DataFrame, s: Settings) -> DataF
 
 def confirmed_edges(docs: DataFrame, clusters: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """Forests (a, b) of the links that hold on full sets, within candidate clusters (node, component)."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "component").join(classes.select("node", "first", "d1", "d2"), "node")
+    # Clusters of more than a block are few; their sizes are written first, so that members need not be dealt by cluster.
+    sizes = stage_table(clusters.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > s.block), "large_clusters")
+    members = clusters.join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1))).join(classes.select("node", "first", "d1", "d2"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").where("first is not null and text is not null")
     rows = in_table(texts, "first", members.select("first")).join(members, "first")
     rows = in_block_pairs(rows, "component", "size", s.block).select("component", "lo", "hi", "at", "node", "d1", "d2", "text")
@@ -332,8 +333,9 @@ def without_near_duplicates(docs: DataFrame, settings: Settings | None = None) -
     s = settings or Settings()
     marked = stage_table(fingerprints(docs, s), "fingerprints")
     roots = stage_table(linked_classes(marked, docs, s, by_text=True), "groups")
-    stays = roots.groupBy("root").agg(F.min(F.struct("first", "d1", "d2")).alias("stays"))
-    roots = roots.join(stays, "root").select(*CLASS, "stays")
+    own = F.struct("first", "d1", "d2")
+    several = roots.groupBy("root").agg(F.min(own).alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n")
+    roots = roots.join(stage_table(several, "stays"), "root", "left").select(*CLASS, F.coalesce("stays", own).alias("stays"))
     rows = marked.where("doc_id is not null and n_shingles > 0").groupBy("doc_id", *CLASS).agg(F.count("*").alias("copies"))
     rows = rows.join(roots, CLASS).withColumn("kept", F.struct("doc_id", "d1", "d2") == F.col("stays"))
     # Documents of which a row goes, and what becomes of each of their texts.
