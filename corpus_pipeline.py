@@ -15,7 +15,8 @@ from pulsegrid.session import ship_package, stage_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated score is below the operator's threshold."""
+    """Documents whose calibrated score is below the operator's threshold. Repeated rows stay or go together, null and empty
+    texts are scored as texts without a word, and an empty table stays empty."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     rated = toxicity.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, ["row"])
     return rated.where(F.col("score") < toxicity.Settings.threshold).select("row.*")
@@ -28,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage within the allowed edit distance of a benchmark item."""
+    """Documents that hold no passage within the allowed edit distance of a benchmark item. Repeated rows stay or go together,
+    null and empty texts stay, and an empty table stays empty."""
     return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -41,7 +43,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids in sequences."""
+    """Pieces of the documents' token ids in sequences. Repeated rows are packed each, null and empty texts as their end
+    token alone, and an empty table gives no piece."""
     return packed(docs)
 
 

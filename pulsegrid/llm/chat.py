@@ -100,7 +100,8 @@ def format_chats(turns: DataFrame, template: Template | None = None, part_bytes:
     Rows are ordered by turn, then role, then text, nulls first; repeated rows are repeated turns. Null roles and texts
     read as empty. Rows are range-partitioned by conversation *and* turn, so one conversation with a third of all rows
     spreads over many tasks; a part is at most `part_bytes` of turns, or one longer turn. `loss_spans` are the code
-    points of `formatted` under the loss mask. A null conv_id is a conversation of its own.
+    points of `formatted` under the loss mask. A null conv_id is a conversation of its own. Rows that tie in all of this are alike.
+    An empty table gives no part; other columns are not read.
     """
     template = template or Template()
     template.strings()

@@ -239,8 +239,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: Settings | No
     """Pieces of the token ids of all rows of `docs` (doc_id, text), with their places in sequences.
 
     A row's ids are those of its whole text (null: empty) and `end_id`. `ids` holds a piece's ids as little-endian
-    unsigned 32-bit numbers. Repeated rows are packed each; an empty table gives no piece. The tokenizer file is read
-    on the executors. A sequence is full, or has a power of two of tokens, or is padded by less than `parts` times `step`.
+    unsigned 32-bit numbers. Repeated rows are packed each; an empty table gives no piece. A long text is cut where
+    sequences end, and other columns are not read. The tokenizer file is read on the executors. A sequence is full, or has a
+    power of two of tokens, or is padded by less than `parts` times `step`.
     """
     s = settings or Settings()
 

@@ -295,7 +295,8 @@ def sanitise(docs: DataFrame, keep: list[str], settings: Settings | None = None)
 
     `n_*` count base spans, `base_sha256` is the digest of their list, `spans` lists all spans as kind:start:end in code points, end exclusive, by
     start, then kind. `masked` is the sanitised text; null stays null and has no spans, nor have empty texts. One row for each row; repeated
-    rows are alike. Term counts run over all rows.
+    rows are alike. Term counts run over all rows. Spans that begin together are in order of their kinds, then of their ends. A long text is read
+    whole, in time linear in it. An empty table gives no rows. Names in `keep` may be any but those of the findings; no other column is read.
     """
     s = settings or Settings()
     terms = disclosing_terms(docs, s)
