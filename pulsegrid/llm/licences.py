@@ -3,7 +3,8 @@
 Licence templates are indexed by their rarest words, by inverse document frequency over all documents: each posting is a (template,
 position). A document's occurrences of these words are joined with the postings; hits whose positions differ by nearly the
 same amount lie on one diagonal, and a diagonal with enough different words is a candidate. It is accepted if all mandatory
-phrases of the template stand there word for word and enough of the template's weight is covered.
+phrases of the template stand there word for word and enough of the template's weight is covered. The base phrases are posted too, each
+under its rarest word alone: wherever that word occurs, the whole phrase is looked for around it, so no place is missed.
 """
 
 from __future__ import annotations
@@ -104,8 +105,8 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> tuple[int, dict[str, int]]:
-    """Number of rows of `docs`, and how many hold each template word; tasks send one count a word."""
-    vocabulary = sorted({w for t in templates for w in words_of(t.text)})
+    """Number of rows of `docs`, and how many hold each word of a template or base phrase; tasks send one count a word."""
+    vocabulary = sorted({w for text in (*BASE, *(t.text for t in templates)) for w in words_of(text)})
     hashes = _hashes(vocabulary)
     order = np.argsort(hashes)
 
@@ -152,6 +153,13 @@ class Index:
         self.bounds = np.r_[0, np.cumsum([len(x) for x in listed])]
         self.posts = np.array([p for x in listed for p in x], dtype=np.int64).reshape(-1, 2)
         self.base = [(_hashes(phrase.split()), label) for phrase, label in BASE.items()]
+        # (phrase, position) of the rarest word of each base phrase.
+        self.base_posts: dict[int, list[tuple[int, int]]] = {}
+        for k, phrase in enumerate(BASE):
+            held = phrase.split()
+            q = min(range(len(held)), key=lambda j: (frequency.get(held[j], 0), j))
+            self.base_posts.setdefault(int(self.base[k][0][q]), []).append((k, q))
+        self.base_words = HashSet(list(self.base_posts))
 
     @staticmethod
     def _place(words: list[str], phrase: list[str]) -> int:
@@ -160,6 +168,21 @@ class Index:
                 return q
         raise ValueError(f"a mandatory phrase is not in its template: {' '.join(phrase)}")
 
+    def base_places(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """(label, documents, places) of each base phrase: its posted word, and the others at the positions that it implies."""
+        at, rank = self.base_words.find(words)
+        for r, h in enumerate(self.base_words.values):
+            for k, q in self.base_posts[int(h)]:
+                phrase, label = self.base[k]
+                start = at[rank == r] - q
+                doc = np.searchsorted(first, start + q, side="right") - 1
+                inside = (start >= first[doc]) & (start + len(phrase) <= first[doc + 1])
+                start, doc = start[inside], doc[inside]
+                for j, word in enumerate(phrase):
+                    same = words[start + j] == word
+                    start, doc = start[same], doc[same]
+                yield label, doc, start
+
     def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, template, lowest and highest diagonal) of runs of hits with enough different anchors.
 
@@ -241,7 +264,8 @@ def scan_licences(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
 
     `n_base`, `first_word`, `last_word` and `base_labels` are those of the base phrases; `labels` adds those of accepted templates.
     `score` is the largest coverage of an accepted template, 0.5 if only base phrases stand there, 0 without a licence.
-    Null and empty texts have no words. Repeated rows are scanned each.
+    Null and empty texts have no words, an empty table gives no rows. Repeated rows are scanned each; ties do not occur, since all
+    labels are given. Long texts are one block each and are read whole; other columns are not read.
     """
     s = settings or Settings()
     index = Index(templates, *document_frequencies(docs, templates), s)
@@ -257,11 +281,7 @@ def scan_licences(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
             for block in word_blocks(batch.column(1), ALNUM):
                 words = block.hashes()
                 n_words[block.lo : block.hi] = block.counts
-                for phrase, label in index.base:
-                    at = consecutive(words, phrase)
-                    doc = np.searchsorted(block.first, at, side="right") - 1
-                    whole = at + len(phrase) <= block.first[doc + 1]
-                    at, doc = at[whole], doc[whole]
+                for label, doc, at in index.base_places(words, block.first):
                     place = at - block.first[doc]
                     np.add.at(n_base, block.lo + doc, 1)
                     np.minimum.at(first, block.lo + doc, place)
