@@ -27,7 +27,9 @@ from pulsegrid.session import stage_table
 class Settings:
     """`sample` vectors fit the centroids, `probe_queries` measure recall; both are collected, so they are bounds.
 
-    `block` rows of a cell, or of neighbouring cells, are reranked together.
+    The centroids of a half grow with the square root of the rows, for some `rows_per_cell` rows a cell, up to `max_centroids`;
+    the codebook is then 2 ** 20 cell counts (8 MB) and as many centroids. `block` rows of a cell, or of neighbouring cells, are
+    reranked together.
     """
 
     k: int = 20
@@ -35,7 +37,7 @@ class Settings:
     sample: int = 20_000
     rounds: int = 10
     rows_per_cell: int = 200
-    max_centroids: int = 64
+    max_centroids: int = 1024
     probe_queries: int = 128
     block: int = 4096
     seed: int = 7
@@ -233,7 +235,8 @@ def search(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, s
     `is_query` is a condition over the column `id`. All usable rows are candidates but those with the query's own id; ties go to the
     smaller id; repeated rows count each, a repeated query once. With fewer candidates than `k` all that the walk
     reached are returned, and it reaches at least 2 k rows. A cell of more than `block` rows is split by hash of the row, so
-    a vector that fills a third of the table spreads over tasks; queries stream past a block's rows.
+    a vector that fills a third of the table spreads over tasks; queries stream past a block's rows. An empty table, or one
+    without a usable vector, gives no rows. Other columns are not read, whatever their names.
     """
     s = settings or Settings()
     rows, d = usable(vectors, id_col, vector_col)
