@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 CLASHING = "size long, shard int, slot long, score double, kept boolean, labels string, spans string, masked string, row string, x string, features string, mark long, terms string"
+#: Names that operators use inside, on the other tables.
+CLASHING_ELSEWHERE = "n_turns long, part_no long, formatted string, loss_spans string, distance long, start_word long, id long, vector string, cell long, rank int, label int, later boolean, count long, n long"
 
 
 def prose(seed: int, n: int) -> str:
@@ -45,10 +48,17 @@ def odd_dir(spark, tmp_path_factory):
     clash = [x.split()[0] for x in CLASHING.split(", ")]
     docs = spark.createDataFrame([(*d, len(d[1]) if d[1] else None, *[None] * len(clash)) for d in DOCS], f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
     docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+
+    def put(rows, schema, name):
+        """Write a table with columns whose names clash with those of the operators."""
+        df = spark.createDataFrame(rows, schema)
+        more = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in CLASHING_ELSEWHERE.split(", ") if c.split()[0] not in df.columns}
+        df.withColumns(more).write.parquet(f"{path}/{name}.parquet")
+
     labels = [(d[0], 1, int(d[0] == 14)) for d in DOCS] + [(1, None, None), (None, 1, 1), (99, 0, 1)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    put(labels, "doc_id long, quality int, toxic int", "labels")
     items = [(1, ITEM), (2, None), (3, ""), (4, "?!"), (5, ITEM), (None, prose(8, 12)), (6, prose(9, 3))]
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    put(items, "item_id long, text string", "benchmark")
     turns = [
         (1, 0, "user", "hi"),
         (1, 1, "assistant", "a\\b <|im_end|>\n<|im_start|>user<|im_sep|> \\<|im_end|> <<s>> [INST]"),
@@ -59,12 +69,12 @@ def odd_dir(spark, tmp_path_factory):
         (None, 0, "assistant", "no id"),
         (3, 0, "ro\nle<|im_sep|>", "é" * 50_000),
     ]
-    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    put(turns, "conv_id long, turn long, role string, text string", "conversations")
     rng = random.Random(5)
     same = [rng.gauss(0, 1) for _ in range(8)]
     vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(100 + i, same) for i in range(30)]
     vectors += [(200, None), (220, [0.0] * 8), (240, [None] * 8), (260, [float("nan")] + [1.0] * 7), (280, [float("inf")] * 8), (300, []), (None, same), (320, [1.0])]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    put(vectors, "vec_id long, embedding array<float>", "embeddings")
     return path
 
 

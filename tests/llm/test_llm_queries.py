@@ -4,10 +4,11 @@ import hashlib
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pulsegrid.llm import chat, licences, packing, privacy, sharding
@@ -68,6 +69,50 @@ def test_language_odd(spark, odd_dir):
     assert by[15]["lang_pred"] != "und" and all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_language_brute_force(spark):
+    """Sizes by a plain loop over pieces and dictionaries, on all rows of the small tables."""
+    import zstandard
+    from pulsegrid.llm import langid
+    from pulsegrid.llm.queries import remainder
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs, train=~(remainder(5) == 0))
+    assert len(model.dictionaries) > 2
+    found = {r["doc_id"]: r for r in langid.identify(docs, model, F.lit(False)).collect()}
+    for doc, text in documents(spark, "/root/testdata/sf0.001"):
+        plain = "".join(c if c.isalpha() else " " for c in text or "").split()
+        data = " ".join(plain).lower().encode()
+        sizes = {}
+        for lang, held in model.dictionaries.items():
+            for at in range(0, len(data), 1024):
+                one = zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes[lang] = sizes.get(lang, 0) + len(one.compress(data[at : at + 1024]))
+        best = min(sizes, key=lambda x: (sizes[x], x)) if sizes else "und"
+        # A precomputed dictionary may choose other matches: a byte or two a piece.
+        got = found[doc]["lang_best"]
+        assert got == best or sizes[got] - sizes[best] <= 2 * (1 + len(data) // 1024)
+
+
+def test_many_languages(spark):
+    """More languages than the sample has room for at full size: each keeps an excerpt."""
+    from pulsegrid.llm import langid
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(300):
+        letters = rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:6]
+        words = ["".join(rng.choice(letters, 5)) for _ in range(12)]
+        rows += [(3 * k + j, " ".join(rng.choice(words, 60)), f"l{k}") for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, train=F.lit(True), sample=400)
+    assert len(model.dictionaries) == 300
+    found = langid.identify(docs, model).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert np.mean([r["lang_best"] == truth[r["doc_id"]] for r in found]) > 0.95
+
+
 # op2
 
 
@@ -224,6 +269,84 @@ def test_decontamination_walks_stay_inside_items(spark):
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} >= {(k, k, 0) for k in range(len(items))}
 
 
+def planted(size, n, seed):
+    """`n` items of `size` words and a document for each, with a quarter of the words edited at random places."""
+    from pulsegrid.llm import decontaminate
+
+    rng = np.random.default_rng([seed, size])
+    items = [[f"w{rng.integers(0, 3000)}" if rng.random() < 0.7 else f"the{rng.integers(0, 5)}" for _ in range(size)] for _ in range(n)]
+    docs = []
+    for words in items:
+        changed = decontaminate.edited(np.arange(1, size + 1, dtype=np.uint64), size // 4, rng).tolist()
+        said = [words[k - 1] if k <= size else f"e{k}" for k in changed]
+        around = [f"x{rng.integers(0, 3000)}" for _ in range(60)]
+        docs.append(" ".join([*around[:30], *said, *around[30:]]))
+    return [" ".join(x) for x in items], docs
+
+
+def test_decontamination_by_walks_alone(spark):
+    """At each of many lengths walks find 0.97 of the passages with a quarter of their words edited, 0.99 of all; no piece helps."""
+    from pulsegrid.llm import decontaminate
+
+    s = decontaminate.Settings(exact=False)
+    hits = {}
+    for size in [8, 9, 11, 12, 15, 16, 19, 24, 27, 31, 32, 37, 45, 50, 57, 63, 64]:
+        items, docs = planted(size, 200, 5)
+        index = decontaminate.Index(list(range(len(items))), items, s)
+        assert not index.pieces and not index.short
+        found = {(d, i) for d, i, *_ in decontaminate._found(pa.array(docs), index, s)}
+        hits[size] = np.mean([(k, k) in found for k in range(200)])
+        without = decontaminate.Index(list(range(len(items))), items, s)
+        without.tables, without.begins = [], ([], [])
+        assert not list(decontaminate._found(pa.array(docs), without, s))
+    assert min(hits.values()) >= 0.97 and np.mean(list(hits.values())) >= 0.99, hits
+
+
+def test_decontamination_says_what_the_walks_found(spark):
+    from pulsegrid.llm import decontaminate
+
+    items, docs = zip(*(planted(size, 60, 6) for size in (8, 20, 40)), strict=True)
+    items, docs = sum(items, []), sum(docs, [])
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [r for r in decontaminate.contaminated(frame, bench).collect() if r["doc_id"] == r["item_id"]]
+    assert len(got) == len(docs) and 0.98 <= np.mean([r["by_walk"] for r in got]) <= 1
+    # Where walks are not allowed enough repetitions, pieces find the rest, and only what they find says so.
+    few = decontaminate.Settings(exact=False, max_repetitions=1)
+    got = [r for r in decontaminate.contaminated(frame, bench, few).collect() if r["doc_id"] == r["item_id"]]
+    assert len(got) == len(docs) and 0.05 < np.mean([r["by_walk"] for r in got]) < 0.9
+
+
+def plain_distance(item, words):
+    """Smallest edit distance of `item` to any run of `words`, by the whole table."""
+    row = [0] * (len(words) + 1)
+    for i, a in enumerate(item, 1):
+        above, row = row, [i]
+        for j, b in enumerate(words, 1):
+            row.append(min(above[j - 1] + (a != b), above[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_decontamination_brute_force(spark, sf_dir):
+    """All documents against all items of the small tables."""
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" or "\xc0" <= c <= "\xde" and c != "\xd7" else c for c in t or ""))
+    items = {r["item_id"]: fold(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = set()
+    for doc, text in documents(spark, sf_dir):
+        words = fold(text)
+        held = Counter(words)
+        for i, item in items.items():
+            most = len(item) // 4
+            # Too few words in common for any run.
+            if not item or sum(min(n, held[w]) for w, n in Counter(item).items()) < len(item) - most:
+                continue
+            d = plain_distance(item, words)
+            if d <= most:
+                want.add((doc, i, d))
+    found = rows(spark, "op4_decontamination", sf_dir)
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in found} == want and len(found) == len(want)
+
+
 # op5
 
 
@@ -272,16 +395,59 @@ def test_least_squares():
 # op6
 
 
-def test_toxicity(spark):
-    path = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("size", "least"), [("sf0.01", 0.75), ("sf0.1", 0.85)])
+def test_toxicity(spark, size, least):
+    path = f"/root/testdata/{size}"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
     found = rows(spark, "op6_toxicity", path)
-    assert len(found) == 1000 and all(r["held_out"] == (held_out(r["doc_id"], 3) == 1) for r in found)
+    assert len(found) in (1000, 10_000) and all(r["held_out"] == (held_out(r["doc_id"], 3) == 1) for r in found)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in found)
     later = [(r["score"], labels[r["doc_id"]]) for r in found if r["held_out"] and r["doc_id"] in labels]
     hot, cold = [s for s, y in later if y], [s for s, y in later if not y]
-    assert np.mean([a > b for a in hot for b in cold]) > 0.75
-    assert np.mean([s >= 0.7 for s in cold]) < 0.03
+    assert np.mean([(a > b) + (a == b) / 2 for a in hot for b in cold]) > least
+    assert np.mean([s >= 0.7 for s in cold]) < 0.03 and np.mean([s >= 0.7 for s in hot]) >= 0.6
+
+
+def grown(model):
+    """The trees of a model as nested tuples (feature, threshold, left, right) or predictions, read from their description."""
+    trees = []
+    for tree in model.trees.trees:
+        lines = [line for line in tree.toDebugString.splitlines()[1:] if line.strip()]
+
+        def node(depth, lines=lines):
+            line = lines.pop(0).strip()
+            if line.startswith("Predict:"):
+                return float(line.split()[1])
+            feature, threshold = re.search(r"feature (\d+) <= ([-\d.eE]+)", line).groups()
+            left = node(depth + 1)
+            assert lines.pop(0).strip().startswith("Else")
+            return int(feature), float(threshold), left, node(depth + 1)
+
+        trees.append(node(0))
+    return trees
+
+
+def test_toxicity_brute_force(spark):
+    """The score of the same trees and calibration by plain loops, text by text."""
+    from pulsegrid.llm import toxicity
+    from pulsegrid.llm.queries import toxicity_model
+
+    path = "/root/testdata/sf0.1"  # enough labels for a calibration
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = toxicity_model(docs, spark.read.parquet(f"{path}/labels.parquet"))
+    measure, trees, weights = toxicity.Measure(model.lexicon), grown(model), model.trees.treeWeights
+    bounds, values = list(model.calibration.boundaries), list(model.calibration.predictions)
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    for doc, text in documents(spark, path):
+        (x,) = measure(pa.array([text]))
+        total = 0.0
+        for tree, weight in zip(trees, weights, strict=True):
+            while isinstance(tree, tuple):
+                tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+            total += weight * tree
+        p = 1 / (1 + math.exp(-2 * total))
+        assert found[doc] == pytest.approx(min(1, max(0, np.interp(p, bounds, values))), abs=1e-9)
+    assert len(trees) == 24 and len(set(found.values())) > 10
 
 
 def test_toxicity_odd(spark, odd_dir):
@@ -319,6 +485,50 @@ def test_licence_templates(spark):
     assert all(found[1000 + k]["labels"] == "" for k in range(60))
 
 
+def test_licence_labels_brute_force(spark):
+    """All documents against all templates: phrases by plain search, the template's weight over every band of diagonals."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = documents(spark, sf_dir)
+    s = licences.Settings()
+    split = [(d, licences.words_of(t or "")) for d, t in docs]
+    n = Counter(w for _, words in split for w in set(words))
+    want = {}
+    for d, words in split:
+        labels, score, at = {label for phrase, label in licences.BASE.items() if f" {phrase} " in f" {' '.join(words)} "}, 0.0, defaultdict(list)
+        base = bool(labels)
+        for k, w in enumerate(words):
+            at[w].append(k)
+        for template in licences.TEMPLATES:
+            said = licences.words_of(template.text)
+            weight = [math.log((len(docs) + 1) / (n[w] + 1)) + 1e-3 for w in said]
+            phrases = [licences.words_of(p) for p in template.mandatory]
+            places = [(q, k - q) for p in phrases for q in [licences.Index._place(said, p)] for k in at[p[0]] if words[k : k + len(p)] == p]
+            if len({q for q, _ in places}) < len(phrases):
+                continue
+            width = max(s.band, s.slack * len(said)) + 2 * s.slack
+            for start in {x - k for _, x in places for k in range(width)}:
+                inside = [(q, x) for q, x in places if start <= x < start + width]
+                if len({q for q, _ in inside}) == len(phrases):
+                    held = sum(v for q, (w, v) in enumerate(zip(said, weight, strict=True)) if any(start <= k - q < start + width for k in at[w]))
+                    if held / sum(weight) >= s.min_coverage:
+                        labels.add(template.label)
+                        score = max(score, min(1.0, held / sum(weight)))
+        want[d] = ",".join(sorted(labels)), round(score or 0.5 * base, 6)
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 6)) for r in rows(spark, "op7_licence_scan", sf_dir)}
+    assert got == want and sum(bool(x) for x, _ in want.values()) > 10
+
+
+def test_licence_base_phrases_come_from_the_index(spark, odd_dir, monkeypatch):
+    """Without its postings no base phrase is found."""
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    index = licences.Index(licences.TEMPLATES, *licences.document_frequencies(docs, licences.TEMPLATES), licences.Settings())
+    (block,) = licences.word_blocks(pa.array(["an apache mit license license, mit apache license mit license", "license mit"]), licences.ALNUM)
+    held = {(label, int(d), int(k)) for label, docs_, at in index.base_places(block.hashes(), block.first) for d, k in zip(docs_, at, strict=True)}
+    assert held == {("mit", 0, 2), ("apache", 0, 6), ("mit", 0, 8)}
+    index.base_words = licences.HashSet([])
+    assert not list(index.base_places(block.hashes(), block.first))
+
+
 def test_licence_after_a_run_of_anchors(spark):
     table = " ".join(f"{k}.0" for k in range(1, 20_000))
     frame = spark.createDataFrame([(0, f"{table} by Licensed under CC BY 4.0. {table}"), (1, table)], "doc_id long, text string")
@@ -477,6 +687,67 @@ def test_personal_data(spark, odd_dir):
             assert [s for s in spans if not s.startswith("term:")] == base
 
 
+def plain_term_spans(docs, s):
+    """Spans of all kinds of each text, with the disclosing terms counted by plain loops."""
+    word = re.compile(r"[^\x00-\x60\x7B-\x7F]+")
+
+    def words(text):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        return [(m.start(), m.end(), m[0]) for m in word.finditer(low)]
+
+    contexts, both, holding, n = defaultdict(set), defaultdict(set), defaultdict(set), Counter()
+    for row, (_, text) in enumerate(docs):
+        text = text or ""
+        n.update({w for _, _, w in words(text)})
+        spans = [x.split(":") for x in plain_spans(text)]
+        blank = list(text)
+        for _, a, b in spans:
+            blank[int(a) : int(b)] = " " * (int(b) - int(a))
+        long = [(a, w) for a, _, w in words("".join(blank)) if len(w.encode()) >= s.min_bytes]
+        for kind, a, b in spans:
+            value = text[int(a) : int(b)]
+            entity = kind, value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value)
+            holding[entity].add(row)
+            k = sum(start < int(a) for start, _ in long)
+            around = tuple(w for _, w in long[max(0, k - s.reach) : k + s.reach])
+            for w in around:
+                contexts[entity, w].add(around)
+                both[entity, w].add(row)
+    terms = set()
+    for (entity, w), seen in contexts.items():
+        share = min(1.0, len(both[entity, w]) / n[w])
+        if len(seen) >= s.support and share >= s.share and math.log2(share / (len(holding[entity]) / len(docs))) >= s.bits:
+            terms.add(w)
+    out = []
+    for doc, text in docs:
+        order = {k: i for i, k in enumerate([*PATTERNS, "term"])}
+        spans = plain_spans(text or "") + [f"term:{a}:{b}" for a, b, w in words(text or "") if w in terms]
+        out.append((doc, ",".join(sorted(spans, key=lambda x: (int(x.split(":")[1]), order[x.split(":")[0]], int(x.split(":")[2]))))))
+    return out, terms
+
+
+def test_personal_terms_brute_force(spark):
+    path = "/root/testdata/sf0.01"
+    docs = documents(spark, path)
+    want, terms = plain_term_spans(docs, privacy.Settings())
+    got = [(r["doc_id"], r["spans"]) for r in rows(spark, "op10_personal_data", path)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    # A table with more to disclose: few names, each with its own address, in other words each time.
+    rng = np.random.default_rng(9)
+    names = [f"person{chr(97 + k)}{chr(97 + k // 3)}x" for k in range(12)]
+    filler = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(300)]
+    docs = []
+    for d in range(400):
+        k = int(rng.integers(0, 12))
+        said = [str(w) for w in rng.choice(filler, 14)]
+        if d % 2:
+            said[5:5] = [names[k], f"{names[k]}@corp.example.com" if rng.random() < 0.9 else "10.1.2.3"]
+        docs.append((d, " ".join(said)))
+    want, terms = plain_term_spans(docs, privacy.Settings())
+    found = privacy.sanitise(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), ["doc_id"]).collect()
+    assert sorted((r["doc_id"], r["spans"]) for r in found) == sorted(want) and len(terms) >= 6
+
+
 def test_linear_in_text():
     assert privacy.base_spans("a" * 300_000 + "@") == [] and privacy.base_spans("1" * 300_000) == []
     assert privacy.base_spans("x a@b.c@d.e y") == [(2, 0, 7)]
