@@ -25,7 +25,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Dictionary bytes of each language; at most `max_languages` times the excerpts given to `fit`."""
+    """Dictionary bytes of each language."""
 
     dictionaries: dict[str, bytes]
     level: int = 5
@@ -55,23 +55,23 @@ def fit(
     train: Column,
     excerpts: int = 48,
     excerpt_chars: int = 1024,
-    max_languages: int = 100,
+    sample: int = 4800,
     **options,
 ) -> LanguageModel:
     """Learn dictionaries from the rows of `docs` (doc_id, text, lang) that `train` marks and that have text and lang.
 
-    The sample is bounded: `excerpts` per language, each of `excerpt_chars` from a place in the text that its hash
-    chooses. Rows are picked as the smallest hash in each of `excerpts` slots, so a language is sampled evenly whatever
-    its share of rows, and repeated ids count once.
+    The sample is bounded: `excerpts` per language, but no more than `sample` in all as long as there is one for each
+    language, each of `excerpt_chars` from a place in the text that its hash chooses. Rows are picked as the smallest hash in
+    each of as many slots, so a language is sampled evenly whatever its share of rows, and repeated ids count once.
     """
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.where(train & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", h.alias("h"), "text")
-    picked = rows.groupBy("lang", F.pmod("h", F.lit(excerpts)).alias("slot")).agg(F.min("h").alias("h"))
-    chosen = picked.limit(excerpts * max_languages + 1).collect()
-    if len(chosen) > excerpts * max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    if not chosen:
+    # One row for each value of lang: the slots follow from their number.
+    languages = rows.select("lang").distinct().count()
+    if not languages:
         return LanguageModel({}, **options)
+    slots = max(1, min(excerpts, sample // languages))
+    chosen = rows.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).collect()
     room = F.greatest(F.length("text") - excerpt_chars + 1, F.lit(1))
     excerpt = F.substring("text", (F.pmod("h", room) + 1).cast("int"), F.lit(excerpt_chars))
     texts = (
@@ -108,7 +108,8 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column | None = No
     """Language of each whole text of `docs` (doc_id, text); one row for each row, none is shuffled.
 
     `lang` is `und` for rejected texts, `lang_best` only for null texts and texts without a letter, whose score is 0.
-    Ties go to the language that sorts first and are rejected. Without a learned language all is `und`.
+    Ties go to the language that sorts first and are rejected. Without a learned language all is `und`. Repeated rows are
+    judged each, an empty table gives no rows; a long text is judged whole, piece by piece. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if held_out is None else held_out).alias("held_out"), "text")
 
