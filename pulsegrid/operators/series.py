@@ -63,6 +63,39 @@ def number_rows(
     )
 
 
+def lay_end_to_end(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    length: str,
+    ranges: Sequence[str | Column],
+    name: str = "at",
+    slice_length: int = 1 << 25,
+) -> DataFrame:
+    """Add where each row begins if the rows of its key, each `length` long, are laid end to end; NULL keys are keys.
+
+    As `number_rows`: slices of about `slice_length` in all are cut by `ranges`, which must run with the keys and the order but
+    may be coarser, so that large values are neither sampled nor compared. Rows that `ranges` does not tell apart share a slice.
+    """
+    slices = -(-int(df.agg(F.sum(F.expr(length))).first()[0] or 0) // slice_length)
+
+    def before(size: str, order: Sequence[str], *keys: str) -> Column:
+        earlier = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(F.expr(size)).over(earlier), F.lit(0)).cast("bigint")
+
+    if slices <= 1:
+        return df.withColumn(name, before(length, order, *keys))
+    sliced = stage_table(df.repartitionByRange(slices, *ranges).withColumn("_slice", F.spark_partition_id()), "slices")
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.sum(F.expr(length)).alias("_size"))
+    offsets = sizes.select(*keys, "_slice", before("_size", ["_slice"], *keys).alias("_offset"))
+    placed = sliced.withColumn("_before", before(length, order, *keys, "_slice"))
+    return (
+        null_safe_join(placed, offsets, [*keys, "_slice"])
+        .withColumn(name, F.col("_before") + F.col("_offset"))
+        .drop("_slice", "_before", "_offset")
+    )
+
+
 def with_halo(df: DataFrame, pos: str, before: int, after: int, length: int = SEGMENT) -> DataFrame:
     """Add `_seg`, copying rows needed by the neighbours; own rows have `pos div length = _seg`."""
     if max(before, after) > length:
