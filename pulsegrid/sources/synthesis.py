@@ -13,6 +13,8 @@ from pulsegrid.sources.recordings import RAW_TYPE
 # Weights of the harmonics of a single tone; the tones of a chord are pure.
 HARMONICS = (1, 1 / 2, 1 / 3, 1 / 4, 1 / 5, 1 / 6)
 ATTACK, RELEASE = 0.005, 0.02
+# Recordings that a task plays and hands on; a few rows of a score are seconds of work.
+RECORDINGS_A_TASK = 8
 
 
 def played(notes: list[int], n: int) -> np.ndarray:
@@ -27,27 +29,30 @@ def played(notes: list[int], n: int) -> np.ndarray:
     return y * np.minimum(1, t / ATTACK) * np.minimum(1, (n / SAMPLE_RATE - t) / RELEASE)
 
 
-def event_pcm(samples: int):
-    """Arrow UDF: PCM16 of an event, from its array of notes (none: silence)."""
+def recording_pcm(samples: int, lead: int):
+    """Arrow UDF: PCM16 of a recording, `lead` samples of silence and its events end to end, from their arrays of notes (none: silence)."""
 
-    def run(notes: pa.Array) -> pa.Array:
-        out = [np.round(played([m for m in row or [] if m is not None], samples) * 32767).astype("<i2").tobytes() for row in notes.to_pylist()]
-        return pa.array(out, pa.binary())
+    def event(notes: list[int | None] | None) -> bytes:
+        return np.round(played([m for m in notes or [] if m is not None], samples) * 32767).astype("<i2").tobytes()
 
-    return F.arrow_udf(run, "binary")
+    def run(score: pa.Array) -> pa.Array:
+        return pa.array((bytes(2 * lead) + b"".join(map(event, row.as_py())) for row in score), pa.binary())
+
+    return F.arrow_udf(run, "binary").asNondeterministic()  # as in `kernels.kernel_udf`: a test of the length must not play it again
 
 
 def recordings(score: DataFrame, slots: int, samples: int, lead: int) -> DataFrame:
     """Raw recordings `(path, content, content_type, length)` of a score (recording_id, slot, notes).
 
     A recording begins with `lead` samples of silence and holds `slots` events of `samples` samples each, whatever the score
-    repeats: of rows of one slot the smallest notes are played, and a slot without a row is silent.
+    repeats: of rows of one slot the smallest notes are played, and a slot without a row is silent. The score is dealt by
+    recording to as many tasks as there is to play, and only the score: no sound is shuffled.
     """
     one = score.where(f"recording_id is not null and slot between 0 and {slots - 1}").groupBy("recording_id", "slot").agg(F.min("notes").alias("notes"))
-    sounds = one.withColumn("pcm", event_pcm(samples)("notes"))
-    held = sounds.groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "pcm"))).alias("_by"))
-    silent = F.expr(f"cast(repeat(char(0), {2 * samples}) as binary)")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.coalesce(F.try_element_at("_by", s), silent))
-    body = F.aggregate(parts, F.expr(f"cast(repeat(char(0), {2 * lead}) as binary)"), lambda acc, p: F.concat(acc, p))
-    files = held.select(F.col("recording_id").cast("string").alias("path"), body.alias("content"), F.lit(RAW_TYPE).alias("content_type"))
+    scores = one.groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "notes"))).alias("_by"))
+    count = one.agg(F.approx_count_distinct("recording_id")).first()[0]
+    tasks = max(1, -(-count // RECORDINGS_A_TASK), min(count, 2 * one.sparkSession.sparkContext.defaultParallelism))
+    events = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.try_element_at("_by", s))
+    held = scores.repartition(tasks, "recording_id").select("recording_id", recording_pcm(samples, lead)(events).alias("content"))
+    files = held.select(F.col("recording_id").cast("string").alias("path"), "content", F.lit(RAW_TYPE).alias("content_type"))
     return files.withColumn("length", F.octet_length("content").cast("bigint"))

@@ -378,3 +378,17 @@ def test_scores_are_bounded_recordings(spark):
     assert not x[:500].any() and x[600:1400].any() and not x[1500:2500].any() and x[2600:].any()
     want = np.round(synthesis.played([48], 1000) * 32767).astype("<i2")
     assert (x[500:1500] == want).all() and not np.frombuffer(files["3"].content, "<i2").any()
+
+
+def test_a_score_is_dealt_to_tasks_that_play_it(spark):
+    """Recordings are played where they are decoded, a few in each task, however small the score is; no sound is shuffled."""
+    from pyspark.sql import functions as F
+    from pulsegrid.sources import synthesis
+
+    score = spark.range(40 * synthesis.RECORDINGS_A_TASK).select(F.col("id").alias("recording_id"), F.lit(0).alias("slot"), F.expr("array(cast(48 + id % 24 as int))").alias("notes"))
+    files = R.admitted(synthesis.recordings(score, 2, 700, 100), (R.RAW_TYPE,))
+    held = files.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= 30 and max(r["count"] for r in held) <= 4 * synthesis.RECORDINGS_A_TASK and files.count() == 40 * synthesis.RECORDINGS_A_TASK
+    plan = files._jdf.queryExecution().optimizedPlan().toString()
+    played = plan.index("run(")
+    assert "Repartition" in plan[played:] and "Repartition" not in plan[:played] and plan.count("run(") == 1
