@@ -38,13 +38,31 @@ def kernel_udf(function):
     return F.arrow_udf(function, DOUBLES).asNondeterministic()
 
 
+# Values that a kernel is given at once: what it makes on its way does not grow with the batch.
+BLOCK_VALUES = 1 << 18
+
+
+def _in_blocks(kernel, rows: np.ndarray) -> np.ndarray:
+    """Apply `kernel` to blocks of stacked rows; only its results are held."""
+    step = max(1, BLOCK_VALUES // max(1, rows.shape[1]))
+    if len(rows) <= step:
+        return kernel(rows)
+    out = None
+    for at in range(0, len(rows), step):
+        part = kernel(rows[at : at + step])
+        if out is None:
+            out = np.empty((len(rows), *part.shape[1:]), part.dtype)
+        out[at : at + step] = part
+    return out
+
+
 def _by_length(col: pa.Array, kernel) -> pa.Array:
     """Apply `kernel` (stacked rows in, stacked rows out) to the rows of each length."""
     sizes = np.diff(col.offsets.to_numpy())
     flat = col.values.to_numpy(zero_copy_only=False)
     starts = col.offsets.to_numpy()[:-1]
     if len(col) and not col.null_count and sizes[0] and (sizes == sizes[0]).all():
-        out = kernel(flat[starts[0] : starts[0] + sizes.sum()].reshape(len(col), -1).astype(np.float64, copy=False))
+        out = _in_blocks(kernel, flat[starts[0] : starts[0] + sizes.sum()].reshape(len(col), -1).astype(np.float64, copy=False))
         ends = np.arange(len(col) + 1, dtype=np.int32) * np.int32(out.shape[1])
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(out).ravel()))
     valid = ~np.asarray(col.is_null())
@@ -55,9 +73,11 @@ def _by_length(col: pa.Array, kernel) -> pa.Array:
             for i in where:
                 rows[i] = np.empty(0)
             continue
-        stacked = flat[starts[where][:, None] + np.arange(size)].astype(np.float64, copy=False)
-        for i, out in zip(where, kernel(stacked)):
-            rows[i] = out
+        step = max(1, BLOCK_VALUES // size)
+        for part in (where[at : at + step] for at in range(0, len(where), step)):
+            stacked = flat[starts[part][:, None] + np.arange(size)].astype(np.float64, copy=False)
+            for i, out in zip(part, kernel(stacked)):
+                rows[i] = out
     widths = np.array([0 if r is None else len(r) for r in rows], dtype=np.int64)
     offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
     present = [r for r in rows if r is not None and len(r)]
@@ -66,6 +86,23 @@ def _by_length(col: pa.Array, kernel) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)
 
 
+def in_turn(*kernels):
+    """One Arrow UDF that applies kernels one after another, to a few rows at a time: of all but the last no batch is held."""
+    functions = [k.func for k in kernels]
+
+    def run(col: pa.Array) -> pa.Array:
+        rows = max(1, BLOCK_VALUES // FRAME_SIZE)
+        parts = []
+        for at in range(0, max(1, len(col)), rows):
+            part = col.slice(at, rows)
+            for function in functions:
+                part = function(part)
+            parts.append(part)
+        return pa.concat_arrays(parts)
+
+    return F.arrow_udf(run, kernels[-1].returnType).asNondeterministic()
+
+
 @kernel_udf
 def rfft_magnitude(frame: pa.Array) -> pa.Array:
     """Magnitudes of the real FFT."""
@@ -466,6 +503,14 @@ def frame_features(frames_per_segment: int, tonal: bool = True):
     widths_of = (CQT_BINS, 12) if tonal else (0, 0)
     nothing = np.empty(0), np.empty((0, widths_of[0])), np.empty((0, widths_of[1])), []
 
+    def rises(frames: np.ndarray) -> np.ndarray:
+        """Flux of each frame but the first against the one before it; only the spectra of a block are held."""
+        out, step = [np.empty(0)], BLOCK_VALUES // FRAME_SIZE
+        for at in range(0, len(frames), step):
+            mags = np.abs(np.fft.rfft(frames[max(0, at - 1) : at + step] * taper, axis=1))
+            out.append((np.maximum(np.diff(mags, axis=0), 0.0) ** 2).sum(axis=1))
+        return np.concatenate(out)
+
     def of_segment(x: np.ndarray, seg: int, lead: int, n_samples: int):
         start = seg * frames_per_segment
         last = (n_samples - FRAME_SIZE) // HOP_SIZE
@@ -475,8 +520,7 @@ def frame_features(frames_per_segment: int, tonal: bool = True):
         back = min(lead, ONSET_WINDOW)
         frames = np.lib.stride_tricks.sliding_window_view(x, FRAME_SIZE)[::HOP_SIZE]
         frames = frames[lead - back : lead + own + ANALYSIS_DELAY + 1]
-        mags = np.abs(np.fft.rfft(frames * taper, axis=1))
-        flux = (np.maximum(np.diff(mags, axis=0), 0.0) ** 2).sum(axis=1)
+        flux = rises(frames)
         if back == 0:
             flux = np.concatenate([[0.0], flux])
         first = start - back + (1 if back else 0)

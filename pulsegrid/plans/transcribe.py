@@ -105,23 +105,25 @@ def chord_events(events: DataFrame) -> DataFrame:
 
 
 def pitch_estimates(events: DataFrame) -> DataFrame:
-    """Notes of the five estimators on the tapered frames `event`, each computed once."""
-    spectra = (
-        events.select(*KEY, "frame", "event")
-        .withColumn("_prepared", K.lag_frame(PADDED_SIZE)("event"))
-        .withColumn("mag", K.rfft_magnitude("event"))
-        .withColumn("cqt", K.constant_q(LOWEST_MIDI)("event"))
-        .withColumn("_acf", K.autocorrelation(AUTOCORR_LAGS[1])("_prepared"))
-        .withColumn(
-            "_curve", K.normalised_differences(*YIN_LAGS)(K.lag_differences(YIN_LAGS[1])("_prepared"))
-        )
-        .drop("event", "_prepared")
+    """Notes of the five estimators on the tapered frames `event`.
+
+    All that reads the frames is one projection, so that they go to one Python worker of a task, once.
+    """
+    prepared = K.lag_frame(PADDED_SIZE)
+    differences = K.lag_differences(YIN_LAGS[1]), K.normalised_differences(*YIN_LAGS)
+    spectra = events.select(
+        *KEY,
+        "frame",
+        K.rfft_magnitude("event").alias("mag"),
+        K.constant_q(LOWEST_MIDI)("event").alias("cqt"),
+        K.in_turn(prepared, K.autocorrelation(AUTOCORR_LAGS[1]))("event").alias("_acf"),
+        K.in_turn(prepared, *differences)("event").alias("_curve"),
+        K.in_turn(K.constant_q(LOWEST_MIDI), K.hps_notes(CQT_BINS, 1))("event").alias("_hps"),
     )
     lags = spectra.withColumns(
         {
             "_al": F.expr(periods.autocorrelation_lag("_acf", SAMPLE_RATE, *AUTOCORR_LAGS)),
             "_yl": F.expr(periods.yin_lag("_curve", SAMPLE_RATE, *YIN_LAGS)),
-            "_hps": K.hps_notes(CQT_BINS, 1)("cqt"),
             "scores": F.expr(A.bind("array_max(cqt)", "mx", pitch.harmonic_sum_scores("cqt"))),
         }
     ).drop("_acf", "_curve")

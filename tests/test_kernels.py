@@ -128,3 +128,34 @@ def test_hps_kernel_equals_the_expression(spark):
         assert len(got) == 303 and all((r.kernel or []) == (r.text or []) for r in got)
     assert max(len(r.kernel or []) for r in got) == 4 and min(len(r.kernel or []) for r in got) == 0
     assert df.limit(0).select(K.hps_notes()("c")).collect() == []
+
+
+def test_kernels_take_blocks_of_a_batch():
+    """What a kernel makes on its way does not grow with the batch: it is given blocks, whether rows have one length or several."""
+    import pyarrow as pa
+
+    seen = []
+
+    def kernel(x):
+        seen.append(x.size)
+        return x[:, :3] * 2
+
+    for lengths in ([FRAME_SIZE] * 700, [FRAME_SIZE] * 700 + [5]):
+        rows = [np.full(n, i, np.float64) for i, n in enumerate(lengths)]
+        seen.clear()
+        got = K._by_length(pa.array(rows), kernel).to_pylist()
+        assert got == [[2.0 * i] * 3 for i in range(len(rows))] and max(seen) <= K.BLOCK_VALUES and len(seen) > 1
+
+
+def test_kernels_in_turn_equal_one_after_another():
+    import pyarrow as pa
+
+    x = np.random.default_rng(2).normal(size=(300, FRAME_SIZE))
+    col = pa.array([*x, None, np.empty(0)])
+    first, last = K.lag_frame(2 * FRAME_SIZE), K.autocorrelation(50)
+    together = K.in_turn(first, last).func
+    for batch in (col, col.slice(290), col.slice(0, 0)):
+        want, got = last.func(first.func(batch)).to_pylist(), together(batch).to_pylist()
+        assert [r is None for r in got] == [r is None for r in want] and all(a is None or np.allclose(a, b) for a, b in zip(got, want, strict=True))
+    notes = K.in_turn(K.constant_q(LOWEST_MIDI), K.hps_notes(88, 1)).func(col.slice(0, 300)).to_pylist()
+    assert notes == K.hps_notes(88, 1).func(K.constant_q(LOWEST_MIDI).func(col.slice(0, 300))).to_pylist()
