@@ -63,6 +63,10 @@ def number_rows(
     )
 
 
+def total_length(df: DataFrame, length: str) -> int:
+    return int(df.agg(F.sum(F.expr(length))).first()[0] or 0)
+
+
 def lay_end_to_end(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,13 +75,15 @@ def lay_end_to_end(
     ranges: Sequence[str | Column],
     name: str = "at",
     slice_length: int = 1 << 25,
+    total: int | None = None,
 ) -> DataFrame:
     """Add where each row begins if the rows of its key, each `length` long, are laid end to end; NULL keys are keys.
 
     As `number_rows`: slices of about `slice_length` in all are cut by `ranges`, which must run with the keys and the order but
     may be coarser, so that large values are neither sampled nor compared. Rows that `ranges` does not tell apart share a slice.
+    `total` is the length of all rows if it is known.
     """
-    slices = -(-int(df.agg(F.sum(F.expr(length))).first()[0] or 0) // slice_length)
+    slices = -(-(total_length(df, length) if total is None else total) // slice_length)
 
     def before(size: str, order: Sequence[str], *keys: str) -> Column:
         earlier = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

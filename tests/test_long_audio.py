@@ -7,6 +7,7 @@ from pulsegrid.constants import FRAME_SIZE, LOWEST_MIDI
 from pulsegrid.functions import kernels as K
 from pulsegrid.operators.series import lay_end_to_end
 from pulsegrid.plans import queries as Q
+from pulsegrid.sources import recordings as R
 
 ROWS = [(i, "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(1 + i * 37 % 1500))) for i in range(400)]
 ROWS += [(7, "again, with an é"), (7, "again, with an é"), (9, ""), (10, None), (401, "x" * 700_001)]
@@ -57,3 +58,33 @@ def test_positions_do_not_depend_on_slices(spark):
         for n in (1 << 30, 1 << 16)
     )
     assert one == many and len(one) == len([t for _, t in ROWS if t])
+
+
+def test_one_worker_reads_a_task(spark, tmp_path):
+    """Frames are not handed from one Python worker of a task to another, in batches of their own."""
+    plan = Q.constant_q_spectrum(spark, documents(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_tasks_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    """What a task reads as one batch is bounded by bytes, whatever the number of shuffle partitions is."""
+    folder, whole = documents(spark, tmp_path), sum(map(len, laid().values()))
+    for task in (1 << 19, 1 << 20):
+        monkeypatch.setattr(Q, "TASK_BYTES", task, raising=False)
+        dealt = Q._long_audio(spark, folder).groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("content")).alias("n")).collect()
+        assert sum(r.n for r in dealt) == whole and len(dealt) > 1
+        assert Q._long_audio(spark, folder).rdd.getNumPartitions() == -(-whole // task)
+
+
+def test_full_frames_are_the_kernel_over_own_samples(spark):
+    """Segments overlap; each full-size frame is taken once, what does not fill one is left, failures give no rows."""
+    x = np.random.default_rng(5).integers(-30_000, 30_000, 5 * FRAME_SIZE * 16 + 700).astype("<i2")
+    files = spark.createDataFrame(
+        [("a", bytearray(x.tobytes()), R.RAW_TYPE), ("short", bytearray(x[:9].tobytes()), R.RAW_TYPE), ("none", bytearray(), R.RAW_TYPE), ("bad", bytearray(b"no"), "audio/wav")],
+        "path string, content binary, content_type string",
+    ).coalesce(1)
+    rows = R.decode(files, frames=64, then=R.full_frames(K.constant_q(LOWEST_MIDI), 64), schema=R.FULL_FRAME_SCHEMA).collect()
+    got = {r.seg * 16 + r.i: r.out for r in rows}
+    want = K.constant_q_rows(x[: len(x) // FRAME_SIZE * FRAME_SIZE].reshape(-1, FRAME_SIZE) / 32768, LOWEST_MIDI, K.FRAME_CENTRES)
+    assert {r.recording_id for r in rows} == {"a"} and len(rows) == len(got) == len(want) and max(r.seg for r in rows) >= 4
+    assert all(np.allclose(got[k], row, atol=1e-9) for k, row in enumerate(want))
