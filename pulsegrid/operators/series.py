@@ -93,12 +93,14 @@ def lay_end_to_end(
         return df.withColumn(name, before(length, order, *keys))
     sliced = stage_table(df.repartitionByRange(slices, *ranges).withColumn("_slice", F.spark_partition_id()), "slices")
     sizes = sliced.groupBy(*keys, "_slice").agg(F.sum(F.expr(length)).alias("_size"))
-    offsets = sizes.select(*keys, "_slice", before("_size", ["_slice"], *keys).alias("_offset"))
-    placed = sliced.withColumn("_before", before(length, order, *keys, "_slice"))
+    # A struct of keys is never NULL and equal where they are: the window's partitions serve the join, and rows move once.
+    key = F.struct(*keys).alias("_key")
+    offsets = sizes.select(key, "_slice", before("_size", ["_slice"], *keys).alias("_offset"))
+    placed = sliced.select("*", key).withColumn("_before", before(length, order, "_key", "_slice"))
     return (
-        null_safe_join(placed, offsets, [*keys, "_slice"])
+        placed.join(offsets, ["_key", "_slice"])
         .withColumn(name, F.col("_before") + F.col("_offset"))
-        .drop("_slice", "_before", "_offset")
+        .drop("_key", "_slice", "_before", "_offset")
     )
 
 

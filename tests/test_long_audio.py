@@ -88,3 +88,18 @@ def test_full_frames_are_the_kernel_over_own_samples(spark):
     want = K.constant_q_rows(x[: len(x) // FRAME_SIZE * FRAME_SIZE].reshape(-1, FRAME_SIZE) / 32768, LOWEST_MIDI, K.FRAME_CENTRES)
     assert {r.recording_id for r in rows} == {"a"} and len(rows) == len(got) == len(want) and max(r.seg for r in rows) >= 4
     assert all(np.allclose(got[k], row, atol=1e-9) for k, row in enumerate(want))
+
+
+def test_rows_move_once_to_be_placed(spark):
+    """NULL keys or not, the join that adds the earlier slices finds the rows where the window over a slice left them."""
+    rows = spark.createDataFrame([(k, t) for k, t in ROWS if t], "k bigint, t string").withColumn("part", F.expr("k div 200"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        laid_out = lay_end_to_end(rows, ["part"], ["k", "t"], "octet_length(t)", ["k", F.substring("t", 1, 4)], slice_length=1 << 16)
+        plan = laid_out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # One of the rows, three of the sizes of slices.
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning") == 4
+    assert sorted(laid_out.columns) == ["at", "k", "part", "t"]
