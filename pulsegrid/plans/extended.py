@@ -47,9 +47,11 @@ def range_scan(spark, sf_dir):
     """Whole documents as raw 16-bit files, each read by byte ranges."""
     files = Q._document_audio(spark, sf_dir).where("octet_length(content) > 0")
     folder = own_folder(spark, "audio")
-    named = files.select(F.concat("path", F.lit("-"), F.hex(F.xxhash64("content")), F.lit(".raw")).alias("name"), "content")
+    # Dealt over folders, since listing them holds the names of one.
+    inner = F.lpad(F.hex(F.pmod(F.xxhash64("path", "content"), F.lit(1024))), 3, "0")
+    named = files.select(F.concat(inner, F.lit("/"), "path", F.lit("-"), F.hex(F.xxhash64("content")), F.lit(".raw")).alias("name"), "content")
     written = R.write_files(named, folder).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    # Small ranges, so that longer documents take several: at most some 64 in all.
+    # Small ranges, so that longer documents take several: some 64 in all, more where a task would have too many files.
     segments = ranges.scan_segments(spark, folder, rangeBytes=max(1 << 15, written // 64), frames=64) if written else R.decode(files.limit(0))
     doc_id = F.regexp_extract("recording_id", r"([^/]*)-[0-9A-F]+\.raw$", 1).cast("bigint")
     return (

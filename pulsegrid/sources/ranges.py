@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import fnmatch
 import math
+import pickle
+import uuid
+import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +26,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from pulsegrid.constants import ALLOWED_CONTENT_TYPES, HIGHPASS_ALPHA, HOP_SIZE, SAMPLE_RATE
 from pulsegrid.functions.polyphase import Polyphase
+from pulsegrid.session import stage_root
 from pulsegrid.sources import recordings as R
 
 RANGE_BYTES = 64 << 20
+# Short files that go to one task, at most, and those that it is told of directly instead of by a listing.
+TASK_FILES = 1 << 15
+FEW_FILES = 1 << 8
 # Samples before a range after which the high-pass has forgotten where it began (to 1e-18).
 WARM = math.ceil(math.log(1e-18) / math.log(HIGHPASS_ALPHA))
 
@@ -50,6 +58,26 @@ class Ranges(InputPartition):
         self.ranges = ranges
 
 
+@dataclass
+class ListedRanges(InputPartition):
+    """As `Ranges`, of many whole short files: `size` bytes at `begin` of a listing in the shared folder name them."""
+
+    listing: str
+    begin: int
+    size: int
+
+    def __init__(self, listing: str, begin: int, size: int):
+        super().__init__(0)
+        self.listing, self.begin, self.size = listing, begin, size
+
+    @property
+    def ranges(self) -> tuple[Range, ...]:
+        system, place = opened(self.listing)
+        with system.open_input_file(place) as file:
+            block = file.read_at(self.size, self.begin)
+        return tuple(Range(path, length, 0, length + 1) for path, length in pickle.loads(zlib.decompress(block)))
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path in it; `file:/x` as Spark writes it, a URI, or a local path."""
     if path.startswith("file:"):
@@ -59,35 +87,69 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def listed(folder: str, pattern: str | None = None) -> list[tuple[str, int]]:
-    """(path, length) of the files under `folder`, in order; names that start with `_` or `.` are left out, as Spark does."""
+def listed(folder: str, pattern: str | None = None) -> Iterator[tuple[str, int]]:
+    """(path, length) of the files under `folder`, in order; names that start with `_` or `.` are left out, as Spark does.
+
+    Folders are read one by one, so what is held at once are the names of the fullest one.
+    """
     system, base = opened(folder)
     prefix = "file:" if isinstance(system, fs.LocalFileSystem) else folder[: len(folder) - len(base)] if folder.endswith(base) else ""
+
+    def walk(place: str) -> Iterator[fs.FileInfo]:
+        found = system.get_file_info(fs.FileSelector(place, allow_not_found=place != base))
+        found = [f for f in found if not f.base_name.startswith(("_", "."))]
+        found.sort(key=lambda f: f.path + "/" * (f.type == fs.FileType.Directory), reverse=True)
+        while found:
+            f = found.pop()
+            if f.type == fs.FileType.Directory:
+                yield from walk(f.path)
+            else:
+                yield f
+
     info = system.get_file_info(base)
-    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(base, recursive=True))
-    out = []
-    for f in found:
-        hidden = any(part.startswith(("_", ".")) for part in f.path[len(base) :].split("/") if part)
-        if f.type == fs.FileType.File and not hidden and (pattern is None or fnmatch.fnmatch(f.base_name, pattern)):
-            out.append((prefix + f.path, f.size))
-    return sorted(out)
-
-
-def packed_ranges(files: list[tuple[str, int]], size: int) -> list[Ranges]:
-    """Long files cut at multiples of `size`, short ones together up to that size."""
-    out, waiting, held = [], [], 0
+    for f in [info] if info.type == fs.FileType.File else walk(base):
+        if f.type == fs.FileType.File and (pattern is None or fnmatch.fnmatch(f.base_name, pattern)):
+            yield prefix + f.path, f.size
+
+
+def packed_ranges(files: Iterable[tuple[str, int]], size: int) -> Iterator[Ranges]:
+    """Long files cut at multiples of `size`, short ones together up to that size and `TASK_FILES`."""
+    waiting, held = [], 0
     for path, length in files:
         cuts = list(range(0, max(length, 1), size))
         pieces = [Range(path, length, a, b) for a, b in zip(cuts, [*cuts[1:], length + 1])]
         if len(pieces) > 1:
-            out += [Ranges((p,)) for p in pieces]
+            yield from (Ranges((p,)) for p in pieces)
             continue
-        if waiting and held + length > size:
-            out.append(Ranges(tuple(waiting)))
+        if waiting and (held + length > size or len(waiting) >= TASK_FILES):
+            yield Ranges(tuple(waiting))
             waiting, held = [], 0
         waiting += pieces
         held += length
-    return [*out, Ranges(tuple(waiting))] if waiting else out
+    if waiting:
+        yield Ranges(tuple(waiting))
+
+
+def spooled(parts: Iterable[Ranges], folder: str) -> Iterator[Ranges | ListedRanges]:
+    """`parts`, where the files of a task that are more than a few are named in a listing in the shared `folder`."""
+    system, base = opened(folder)
+    name = f"listing-{uuid.uuid4().hex}"
+    out, begin = None, 0
+    try:
+        for part in parts:
+            if len(part.ranges) <= FEW_FILES:
+                yield part
+                continue
+            if out is None:
+                system.create_dir(base, recursive=True)
+                out = system.open_output_stream(f"{base.rstrip('/')}/{name}")
+            block = zlib.compress(pickle.dumps([(r.path, r.length) for r in part.ranges]), 1)
+            out.write(block)
+            yield ListedRanges(f"{folder.rstrip('/')}/{name}", begin, len(block))
+            begin += len(block)
+    finally:
+        if out is not None:
+            out.close()
 
 
 @dataclass(frozen=True)
@@ -147,7 +209,8 @@ def _switch(value: str | None, default: bool) -> bool:
 
 class RecordingRanges(DataSource):
     """Options: `path`, `pathGlobFilter` (file names), `rangeBytes`, `maxBytes` (longer files are left out), `rawRate`, `highpass`,
-    `resample`, `frames` (of a segment). Files of other content types than WAV and raw PCM are left out.
+    `resample`, `frames` (of a segment), `listings` (a folder that driver and executors share: the names of many short files
+    are written there instead of being held by the driver). Files of other content types than WAV and raw PCM are left out.
 
     With `pushFilters` filters on `recording_id` choose files before any is read; the session must then have
     `spark.sql.python.filterPushdown.enabled` set, as `session.build_session` does. `scan_segments` gives the option where it may.
@@ -174,6 +237,7 @@ class RangeReader(DataSourceReader):
         self.folder, self.pattern = given["path"], given.get("pathglobfilter")
         self.size = int(given.get("rangebytes", RANGE_BYTES))
         self.most = int(given["maxbytes"]) if "maxbytes" in given else None
+        self.listings = given.get("listings")
         self.options = Options(
             _switch(given.get("highpass"), False),
             _switch(given.get("resample"), True),
@@ -192,16 +256,17 @@ class RangeReader(DataSourceReader):
         }
         return all(tests[type(f)](f) for f in self.conditions)
 
-    def partitions(self) -> list[Ranges]:
+    def partitions(self) -> list[Ranges | ListedRanges]:
         allowed = {*ALLOWED_CONTENT_TYPES, R.RAW_TYPE}
-        files = [
+        files = (
             (path, length)
             for path, length in listed(self.folder, self.pattern)
             if R.CONTENT_TYPES.get(_extension(path)) in allowed and self._chosen(path) and (self.most is None or length <= self.most)
-        ]
-        return packed_ranges(files, self.size) or [Ranges(())]
+        )
+        parts = packed_ranges(files, self.size)
+        return [*(parts if self.listings is None else spooled(parts, self.listings))] or [Ranges(())]
 
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges | ListedRanges) -> Iterator[pa.RecordBatch]:
         for part in partition.ranges:
             for row in segments_of(part, self.options):
                 yield R.segment_batch([row])
@@ -218,10 +283,24 @@ class FilteringReader(RangeReader):
                 yield f
 
 
+def _listings(spark: SparkSession) -> str | None:
+    """Where listings go; None, so that partitions name their files, where no folder is shared or Arrow cannot open it."""
+    context = spark.sparkContext
+    try:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{stage_root(spark).rstrip('/')}/pulsegrid")
+        folder = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        opened(folder)
+    except (ValueError, OSError, NotImplementedError, Py4JJavaError):
+        return None
+    return folder if folder.startswith("file:") or "://" in folder else None
+
+
 def scan_segments(spark: SparkSession, path: str, **options) -> DataFrame:
     """The segments of all recordings under `path`, read by byte ranges; options as of the data source."""
     spark.dataSource.register(RecordingRanges)
     options.setdefault("pushFilters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    if "listings" not in options and (listings := _listings(spark)):
+        options["listings"] = listings
     return spark.read.format("recording_ranges").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 

@@ -1,5 +1,6 @@
 """Recordings read by byte ranges: equal to reading them whole, in several tasks, of any size."""
 
+import pickle
 import struct
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pulsegrid.constants import HOP_SIZE, SAMPLE_RATE
 from pulsegrid.functions.kernels import resample_rows
 from pulsegrid.functions.polyphase import Polyphase
+from pulsegrid.plans import extended
 from pulsegrid.plans.transcribe import transcribe, transcribe_ranges
 from pulsegrid.sources import ranges
 from pulsegrid.sources import recordings as R
@@ -210,3 +212,84 @@ def test_files_are_written_whole(spark, tmp_path):
     written.collect()  # again: the same files
     found = R.listing(spark, str(tmp_path / "out"))
     assert found.count() == 20 and found.selectExpr("sum(length)").first()[0] == 200 * 210
+
+
+# Many files
+
+
+def plain_scan(texts):
+    """(doc_id, n_samples, total, largest, smallest) of whole documents."""
+    out = set()
+    for doc_id, text in texts:
+        raw = text.encode()
+        x = np.frombuffer(raw + b"\0" * (len(raw) % 2), "<i2").astype(int)
+        if len(x):
+            out.add((doc_id, len(x), int(x.sum()), int(x.max()), int(x.min())))
+    return out
+
+
+def test_range_scan_names_no_documents_to_the_driver(spark, tmp_path, monkeypatch):
+    """What the driver hands to tasks, and the fullest folder that it lists, stay small when documents are many."""
+    rng = np.random.default_rng(5)
+    texts = [(i, "same text" if i % 3 else "".join(chr(c) for c in rng.integers(32, 700, 1 + i % 97))) for i in range(2999)]
+    texts += [(9000, "x" * 700_001), (9001, ""), (9002, "a")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = tmp_path / "audio"
+    monkeypatch.setattr(extended, "own_folder", lambda *_: str(folder))
+    assert {tuple(r) for r in extended.range_scan(spark, str(tmp_path)).collect()} == plain_scan(texts)
+    files = [f for f in folder.rglob("*") if f.is_file()]
+    assert len(files) == 3001
+    assert max(sum(1 for _ in d.iterdir()) for d in [folder, *folder.iterdir()] if d.is_dir()) <= 1024
+    reader = ranges.RangeReader({"path": str(folder), "listings": str(tmp_path / "listings"), "rangeBytes": "65536"})
+    parts = reader.partitions()
+    assert len(pickle.dumps(parts)) < 30_000
+    assert sorted({r.path for p in parts for r in p.ranges}) == sorted(f"file:{f}" for f in files)
+
+
+def test_listed_files_are_those_of_the_folder(spark, tmp_path, monkeypatch):
+    """Ranges that stand in a listing are those that partitions name themselves, in the order of paths."""
+    place = tmp_path / "in"
+    for name in ("a.raw", "a/b.raw", "a-b.raw", "a/_c.raw", ".d/e.raw", "_f/g.raw", "a/h/i.raw", "j.wav", "k.txt", "a0.raw", "empty/l/m.RAW", "z/.n.raw"):
+        (place / name).parent.mkdir(parents=True, exist_ok=True)
+        (place / name).write_bytes(b"12" * 50)
+    for i in range(300):
+        (place / "z" / f"{i}.raw").write_bytes(b"1234" * i)
+    (place / "z" / "long.raw").write_bytes(b"1234" * 60_000)
+    (place / "nothing").mkdir()
+    found = [*ranges.listed(str(place))]
+    assert found == sorted(found) and len(found) == 309
+    assert [p for p, _ in ranges.listed(str(place), "?.raw") if "/z/" not in p] == [f"file:{place}/{x}" for x in ("a.raw", "a/b.raw", "a/h/i.raw")]
+    assert [*ranges.listed(str(place / "a.raw"))] == [(f"file:{place}/a.raw", 100)]
+    with pytest.raises(FileNotFoundError):
+        [*ranges.listed(str(place / "absent"))]
+    monkeypatch.setattr(ranges, "FEW_FILES", 8)
+    given = {"path": str(place), "rangeBytes": "50000"}
+    named, short = (ranges.RangeReader(g).partitions() for g in (given, {**given, "listings": f"file://{tmp_path}/lists"}))
+    assert [p.ranges for p in named] == [p.ranges for p in short]
+    assert {type(p) for p in short} == {ranges.Ranges, ranges.ListedRanges} and sum(len(p.ranges) > 8 for p in named) > 3
+    monkeypatch.setattr(ranges, "TASK_FILES", 20)
+    few = ranges.RangeReader(given).partitions()
+    assert max(len(p.ranges) for p in few) == 20 and {r for p in few for r in p.ranges} == {r for p in named for r in p.ranges}
+
+
+def test_a_session_without_a_shared_folder_names_files(spark, folder, monkeypatch):
+    whole = rows(ranges.scan_segments(spark, str(folder), pathGlobFilter="*.wav", frames=FRAMES))
+
+    def refuse(_):
+        raise ValueError("no shared folder")
+
+    assert ranges._listings(spark).startswith("file:")
+    for root in (refuse, lambda _: "nowhere://x/y", lambda _: "viewfs:/only/spark/reads"):
+        monkeypatch.setattr(ranges, "stage_root", root)
+        assert ranges._listings(spark) is None
+        assert rows(ranges.scan_segments(spark, str(folder), pathGlobFilter="*.wav", frames=FRAMES)) == whole
+
+
+def test_many_files_are_read_by_a_listing(spark, tmp_path):
+    for i in range(2 * ranges.FEW_FILES):
+        (tmp_path / f"{i}.raw").write_bytes(struct.pack("<3h", i, -i, 7))
+    df = ranges.scan_segments(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 1
+    assert {(r.recording_id, tuple(int(x * 32768) for x in r.samples)) for r in df.collect()} == {
+        (f"file:{tmp_path}/{i}.raw", (i, -i, 7)) for i in range(2 * ranges.FEW_FILES)
+    }
